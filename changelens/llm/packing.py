@@ -102,7 +102,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, group_rows: int = 81
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         found = minimum_bin_slack(rows["length"].to_numpy(), capacity)
-        rows = rows.assign(sequence_id=(rows["pack_group"].astype("int64") << 32) + found)
+        rows = rows.assign(sequence_id=rows["pack_group"].astype("int64") * (1 << 32) + found)
         rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
         return rows[[*kept, "sequence_id", "offset"]]
 
