@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changelens.llm import license_scan, mixing, packing, quality_rules, sharding, url_filters
+from changelens.llm import license_scan, mixing, near_dedup, packing, quality_rules, sharding, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_captures(url_filters.derived_captures(pages), url_filters.derived_entries(pages))
 
 
+def op7_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_lpt_sharding, op3_license_scan, op4_quality_rules, op6_url_filter, op8_source_mixture, op10_bin_slack_packing)
+    found = (op2_lpt_sharding, op3_license_scan, op4_quality_rules, op6_url_filter, op7_super_minhash, op8_source_mixture, op10_bin_slack_packing)
     return {f.__name__: f for f in found}
 
 
