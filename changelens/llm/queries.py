@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changelens.llm import license_scan, mixing, near_dedup, packing, quality_rules, sharding, url_filters
+from changelens.llm import license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_site_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.lpt_shards(table(spark, sf_dir, "documents"), 40)
 
@@ -43,7 +47,7 @@ def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_lpt_sharding, op3_license_scan, op4_quality_rules, op6_url_filter, op7_super_minhash, op8_source_mixture, op10_bin_slack_packing)
+    found = (op1_site_classifier, op2_lpt_sharding, op3_license_scan, op4_quality_rules, op6_url_filter, op7_super_minhash, op8_source_mixture, op10_bin_slack_packing)
     return {f.__name__: f for f in found}
 
 
