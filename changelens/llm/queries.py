@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changelens.llm import license_scan, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, url_filters
+from changelens.llm import license_scan, mixing, near_dedup, neighbours, packing, quality_classifier, quality_rules, sharding, token_shards, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.training_order(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filters.judge_captures(url_filters.derived_captures(pages), url_filters.derived_entries(pages))
@@ -42,12 +46,16 @@ def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op9_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_site_classifier, op2_lpt_sharding, op3_license_scan, op4_quality_rules, op6_url_filter, op7_super_minhash, op8_source_mixture, op10_bin_slack_packing)
+    found = (op1_site_classifier, op2_lpt_sharding, op3_license_scan, op4_quality_rules, op5_training_order, op6_url_filter, op7_super_minhash, op8_source_mixture, op9_multiprobe_search, op10_bin_slack_packing)
     return {f.__name__: f for f in found}
 
 
