@@ -89,6 +89,7 @@ def mix_blocks(
     block_words: int = 512,
     seed: int = 17,
     buckets: int = 1024,
+    row_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, blocks): every input row with its source's target, and the blocks that the mix takes of it.
 
@@ -97,7 +98,9 @@ def mix_blocks(
     a source is cut. Copies are cut into blocks of block_words. The blocks of a source are permuted by a keyed hash
     and dealt to shards by exact quotas from split_quotas; shuffle_key is the order inside a shard.
 
-    rows: row_id, doc_id, source, size, source_size, target, copies, extra. blocks: row_id, doc_id, source, copy,
+    row_id is row_col, a long that numbers the rows, or a number given here.
+
+    rows: row_id, doc_id, source, size, source_size, target, copies, extra. blocks: row_id, doc_id, source, size, copy,
     block, words, shard, shuffle_key. A null or empty text has size 0 and gives no block; a null source is a source
     of its own; repeated rows each count; an empty table gives empty results. Reruns agree: the order hangs on
     doc_id, size and seed. The driver holds one row a source and n_shards counts for each.
@@ -105,7 +108,7 @@ def mix_blocks(
     words = F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]++"))
     rows = written(
         docs.select(
-            F.monotonically_increasing_id().alias("row_id"),
+            (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_id"),
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.coalesce(words, F.lit(0)).cast("long").alias("size"),
@@ -154,12 +157,13 @@ def mix_blocks(
     starts = F.sequence(F.lit(0).cast("long"), F.col("copy_words") - 1, F.lit(block_words).cast("long"))
     blocks = (
         drawn.filter("size > 0")
-        .select("row_id", "doc_id", "source", F.posexplode(copy_words).alias("copy", "copy_words"))
-        .select("row_id", "doc_id", "source", "copy", "copy_words", F.posexplode(starts).alias("block", "start"))
+        .select("row_id", "doc_id", "source", "size", F.posexplode(copy_words).alias("copy", "copy_words"))
+        .select("row_id", "doc_id", "source", "size", "copy", "copy_words", F.posexplode(starts).alias("block", "start"))
         .select(
             "row_id",
             "doc_id",
             "source",
+            "size",
             "copy",
             "block",
             F.least(F.lit(block_words).cast("long"), F.col("copy_words") - F.col("start")).alias("words"),
@@ -186,6 +190,7 @@ def mix_blocks(
             "row_id",
             "doc_id",
             "source",
+            "size",
             "copy",
             "block",
             "words",
@@ -218,3 +223,31 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
 def write_mix(blocks: DataFrame, path: str) -> None:
     """Blocks by shard, each shard in its local random order."""
     blocks.repartition("shard").sortWithinPartitions("shard", "shuffle_key").write.partitionBy("shard").parquet(path)
+
+
+#: Up to so many drawn copies, documents are picked by a broadcast list of them; beyond, by a shuffled join.
+BROADCAST_COPIES = 500_000
+
+
+def mixed_documents(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """docs as the mix takes them: a row for each copy drawn. A cut copy holds its first words, one blank apart.
+
+    Documents are numbered in a written table, so that a copy finds its row by number. Documents of no words, which no
+    mix counts, are left out.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    stored = written(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*columns).alias("document")), "mix-documents")
+    flat = stored.select("number", "document.*") if "number" not in docs.columns else stored.select(F.col("number").alias("row_number"), "document.*")
+    number = "number" if "number" not in docs.columns else "row_number"
+    _, blocks = mix_blocks(flat, text_col=text_col, row_col=number, **options)
+    copies = written(blocks.groupBy("row_id", "copy", "size").agg(F.sum("words").alias("words")), "mix-copies")
+    if copies.count() <= BROADCAST_COPIES:
+        copies = F.broadcast(copies)
+    text = F.col("document")[text_col]
+    first = F.array_join(F.slice(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""), F.lit(1), F.col("words").cast("int")), " ")
+    cut = F.when(F.col("words") < F.col("size"), first).otherwise(text)
+    return (
+        stored.join(copies, F.col("number") == F.col("row_id"))
+        .select("document", cut.alias("mixed_text"))
+        .select(*(F.col("mixed_text").alias(c) if c == text_col else F.col("document")[c].alias(c) for c in docs.columns))
+    )

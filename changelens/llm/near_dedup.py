@@ -189,3 +189,18 @@ def near_duplicates(
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """docs with one row of each component, that of its smallest id; every row whose set is empty stays.
+
+    The rows to drop are found by id. Up to BROADCAST_NODES of them are broadcast; more are joined by shuffling. Should
+    an id that stays be repeated, one row of it is taken.
+    """
+    judged = written(near_duplicates(docs, id_col=id_col, **options), "judged")
+    drop = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("dropped")).distinct()
+    if drop.count() <= BROADCAST_NODES:
+        drop = F.broadcast(drop)
+    left = docs.join(drop, F.col(id_col).eqNullSafe(F.col("dropped")), "left_anti")
+    stay = judged.filter("kept and n_shingles > 0")
+    return left if stay.groupBy("doc_id").count().filter("count > 1").isEmpty() else left.dropDuplicates([id_col])

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from changelens.llm.scratch import ship, written
 
@@ -80,7 +81,7 @@ def telling_features(counts: DataFrame, n_bad: int, n_good: int, most: int, *, r
 
 
 def scored(docs: DataFrame, llr: dict[str, float], *, strongest: int = 3) -> DataFrame:
-    """docs(doc_id, text, host, path) with, for text, step: the sum of its strongest log ratios, in whole steps."""
+    """docs(doc_id, text, ...) with, for text, step: the sum of its strongest log ratios, in whole steps."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(llr)
 
@@ -92,10 +93,11 @@ def scored(docs: DataFrame, llr: dict[str, float], *, strongest: int = 3) -> Dat
             for text in batch.column(1):
                 top = sorted((known[x] for x in features(text.as_py() or "") & names), reverse=True)[:strongest]
                 steps.append(math.floor(sum(top)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(steps, pa.int32())], ["doc_id", "host", "path", "step"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(steps, pa.int32())], [*names_out, "step"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "host", "path").mapInArrow(score, f"doc_id {kind}, host string, path string, step int")
+    names_out = [c for c in docs.columns if c != "text"]
+    out = T.StructType([*(docs.schema[c] for c in names_out), T.StructField("step", T.IntegerType())])
+    return docs.select("doc_id", "text", *names_out[1:]).mapInArrow(score, out)
 
 
 def shrinkage(sites: DataFrame, rate: Column | float) -> float:
@@ -127,6 +129,7 @@ def classify(
     sample: int = 40_000,
     most_features: int = 50_000,
     reject_above: float = 0.5,
+    whole: bool = False,
 ) -> DataFrame:
     """One row a document: its evidence, its host's and path's bad rates, the posterior of being bad, and kept.
 
@@ -141,10 +144,12 @@ def classify(
     The driver holds most_features ratios and some tens of steps. A null text has no feature; a null host or path is
     a site of its own; documents without labels are judged like all others; without any label the evidence is even
     and everything is kept. Repeated rows are judged alike. An empty table gives an empty result.
+    whole adds each document's row as the struct document.
     """
     ship(docs.sparkSession)
     site = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), site(host_col).alias("host"), site(path_col).alias("path"))
+    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")] if whole else []
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), site(host_col).alias("host"), site(path_col).alias("path"), *own)
     marked = labels.filter("doc_id is not null").groupBy("doc_id").agg(
         F.max(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))).alias("bad")
     )
@@ -152,14 +157,14 @@ def classify(
     part = sample / max(1, marked.count())
     edge = -(1 << 63) + int(min(0.7, part) * (1 << 64))  # so that some are left to calibrate
     marked = marked.withColumn("training", order < F.lit(min(edge, (1 << 63) - 1)))
-    training = docs.join(marked.filter("training"), "doc_id")
+    training = docs.select("doc_id", "text").join(marked.filter("training"), "doc_id")
     sizes = training.groupBy("bad").count()
     sizes = {r["bad"]: r["count"] for r in sizes.collect()}
     n_bad, n_good = sizes.get(True, 0), sizes.get(False, 0)
     llr = telling_features(feature_counts(training), n_bad, n_good, most_features) if n_bad and n_good else {}
 
     rows = written(scored(docs, llr), "scored")
-    held = rows.join(marked.filter(~F.col("training")), "doc_id").groupBy("step").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
+    held = rows.select("doc_id", "step").join(marked.filter(~F.col("training")), "doc_id").groupBy("step").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
     evidence, rate = calibrated([(r["step"], r["bad"], r["good"]) for r in held.collect()])
     steps = F.broadcast(docs.sparkSession.createDataFrame(sorted(evidence.items()), "known int, evidence double"))
     top = max(evidence)
@@ -184,7 +189,7 @@ def classify(
     return (
         rows.join(F.broadcast(paths) if few else paths, ["host", "path"])
         .withColumn("posterior", chance(F.least(F.greatest("path_rate", F.lit(1e-9)), F.lit(1 - 1e-9))))
-        .select("doc_id", "host", "path", "evidence", "host_rate", "path_rate", "posterior", (F.col("posterior") <= reject_above).alias("kept"))
+        .select("doc_id", "host", "path", "evidence", "host_rate", "path_rate", "posterior", (F.col("posterior") <= reject_above).alias("kept"), *(["document"] if whole else []))
     )
 
 

@@ -50,17 +50,25 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) >= 3, covered).otherwise(0)
 
 
-def text_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """Counts over each whole text, one row a document. A null text counts as empty, a null stratum as ''."""
+def text_statistics(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", whole: bool = False
+) -> DataFrame:
+    """Counts over each whole text, one row a document. A null text counts as empty, a null stratum as ''.
+
+    whole: with the document's row itself, as the struct document.
+    """
+    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")] if whole else []
+    kept = ["document"] if whole else []
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(F.col("text"), "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     long = lambda c: c.cast("long")
     return (
         docs.select(
-            F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")
+            F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), *own
         )
         .withColumn("words", F.array_remove(F.split("text", BLANKS), ""))
         .select(
+            *kept,
             "doc_id",
             "stratum",
             long(F.size("words")).alias("n_words"),
@@ -137,16 +145,17 @@ def certified_cutoffs(
 
 
 def apply_quality_rules(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **options
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", whole: bool = False, **options
 ) -> DataFrame:
     """One row a document: its counts, base_failed, and kept.
 
     labels (doc_id, quality): a document with quality 1 is good; of repeated labels the smallest counts, null ones
     are left out. The holdout is every labelled document that the base rules pass. Null text counts as empty and so
     fails the base rules; a stratum without labels, an empty label table or an empty input rejects nothing more.
-    Repeated rows are judged alike. Only the named columns are read.
+    Repeated rows are judged alike. Only the named columns are read, unless
+    whole asks for each document's row, as the struct document.
     """
-    rows = written(text_statistics(docs, id_col=id_col, text_col=text_col, stratum_col=stratum_col), "quality-rows")
+    rows = written(text_statistics(docs, id_col=id_col, text_col=text_col, stratum_col=stratum_col, whole=whole), "quality-rows")
     marked = labels.filter("quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
     judged = rows.select("*", *(level(r).alias(r) for r in RULES))
     holdout = judged.filter(~F.col("base_failed")).join(marked, "doc_id").select("stratum", "good", *RULES)
@@ -165,4 +174,5 @@ def apply_quality_rules(
         (~F.col("base_failed") & ~broken).alias("kept"),
         "stratum",
         *(F.coalesce(F.col(r) > F.col(f"{r}_cutoff"), F.lit(False)).alias(f"{r}_failed") for r in RULES),
+        *(["document"] if whole else []),
     )

@@ -5,18 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from changelens.llm import packing
+from changelens.llm import mixing, near_dedup, packing, quality_classifier, quality_rules
 from changelens.llm.scratch import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply_quality_rules(docs, labels(spark, sf_dir), whole=True)
+    return judged.filter("kept").select("document.*")
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = quality_classifier.classify(docs, labels(spark, sf_dir), whole=True)
+    return judged.filter("kept").select("document.*")
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.without_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("pack", pack)]
+STAGES: list[tuple[str, Stage]] = [("rules", rules), ("classifier", classifier), ("dedup", dedup), ("mix", mix), ("pack", pack)]
 
 #: Signatures, random mixing draws and bin packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
