@@ -1,12 +1,13 @@
-"""The subpackage's registered queries and the SQL that some of them equal."""
+"""The subpackage's registered queries."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from changelens.llm import license_scan, mixing, near_dedup, neighbours, packing, quality_classifier, quality_rules, sharding, token_shards, url_filters
+from changelens.llm import license_scan, mixing, near_dedup, neighbours, oracles, packing, quality_classifier, quality_rules, sharding, token_shards, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +36,8 @@ def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filters.judge_captures(url_filters.derived_captures(pages), url_filters.derived_entries(pages))
+    judged = url_filters.judge_captures(url_filters.derived_captures(pages), url_filters.derived_entries(pages))
+    return judged.withColumn("fetched_s", F.unix_timestamp("fetched_at")).drop("fetched_at")
 
 
 def op7_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,5 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+oracle_sql = oracles.oracle_sql
