@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -110,24 +111,51 @@ def slotted(rows: DataFrame, *, key: int, shard_rows: int) -> tuple[DataFrame, i
     )
 
 
-def write_shards(rows: DataFrame, path: str, *, length: int, shard_rows: int, n: int) -> DataFrame:
+def write_shards(rows: DataFrame, path: str, *, length: int, shard_rows: int, n: int, buffer_bytes: int = 64 << 20) -> DataFrame:
     """shard-00000.bin and so on below path, slot s at byte (s mod shard_rows) * 2 * length of its shard.
 
-    Rows are dealt by ranges of shards, so a task holds whole, neighbouring shards in slot order. A shard is written
-    under a name of the attempt's own and then moved, so a task that runs again replaces its shards with the same
-    bytes. Returns (shard, first_slot, n_rows, crc32), the manifest.
+    Each task first gathers its sequences by shard, as compressed runs, so that the shuffle moves few, small rows; a
+    task holds buffer_bytes of them at most. Runs go to ranges of neighbouring shards, and a task writes its range's
+    shards one after the other, in slot order. A shard is written under a name of the attempt's own and then moved, so
+    a task that runs again replaces its shards with the same bytes. Returns (shard, first_slot, n_rows, crc32), the
+    manifest.
     """
-    spark = rows.sparkSession
-    ship(spark)
+    ship(rows.sparkSession)
     n_shards = max(1, -(-n // shard_rows))
+    ranges = min(n_shards, 4096)
+    stride = 2 * length
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[list[int], list[bytes]]] = {}
+        held = 0
+
+        def runs() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({
+                "shard": pa.array(list(found), pa.int32()),
+                "slots": pa.array([slots for slots, _ in found.values()], pa.list_(pa.int64())),
+                "run": pa.array([zstandard.compress(b"".join(ids)) for _, ids in found.values()], pa.binary()),
+            })
+
+        for batch in batches:
+            for slot, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                slots, parts = found.setdefault(slot // shard_rows, ([], []))
+                slots.append(slot)
+                parts.append(ids)
+                held += len(ids)
+            if held > buffer_bytes:
+                yield runs()
+                found, held = {}, 0
+        if found:
+            yield runs()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(path)
+        system.create_dir(root, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        shard, parts = None, []
+        shard, parts = None, {}
 
         def close() -> pa.RecordBatch:
-            data = b"".join(parts)
+            data = b"".join(parts[slot] for slot in sorted(parts))
             name = posixpath.join(root, f"shard-{shard:05d}.bin")
             with system.open_output_stream(f"{name}.{attempt}") as out:
                 out.write(data)
@@ -137,37 +165,39 @@ def write_shards(rows: DataFrame, path: str, *, length: int, shard_rows: int, n:
                 "n_rows": pa.array([len(parts)], pa.int64()), "crc32": pa.array([zlib.crc32(data)], pa.int64()),
             })
 
-        system.create_dir(root, recursive=True)
         for batch in batches:
-            for row_shard, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for row_shard, slots, run in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if row_shard != shard:
                     if parts:
                         yield close()
-                    shard, parts = row_shard, []
-                parts.append(ids)
+                    shard, parts = row_shard, {}
+                data = zstandard.decompress(run)
+                parts.update((slot, data[i * stride : (i + 1) * stride]) for i, slot in enumerate(slots))
         if parts:
             yield close()
 
-    dealt = rows.select("shard", "slot", "ids").repartitionByRange(min(n_shards, 4096), "shard").sortWithinPartitions("slot")
-    return written(dealt.select("shard", "ids").mapInArrow(write, "shard int, first_slot long, n_rows long, crc32 long"), "manifest")
+    runs = rows.select("slot", "ids").mapInArrow(gather, "shard int, slots array<long>, run binary")
+    at = F.floor(F.col("shard").cast("long") * ranges / n_shards).cast("int")
+    dealt = runs.repartitionById(ranges, at).sortWithinPartitions("shard")
+    return written(dealt.mapInArrow(write, "shard int, first_slot long, n_rows long, crc32 long"), "manifest")
 
 
 def read_slots(spark: SparkSession, path: str, *, length: int, shard_rows: int) -> DataFrame:
     """(slot, ids) of every sequence in the shards below path. A shard is a file of bounded size."""
+    ship(spark)
     stride = 2 * length
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = content.as_py()
+                n = len(data) // stride
+                ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(stride), n, [None, pa.py_buffer(data)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n), pa.int64()), ids], ["slot", "ids"])
+
     first = F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("long") * shard_rows
-    starts = F.sequence(F.lit(0), (F.col("length") - 1).cast("int"), F.lit(stride))
-    record = lambda at: F.struct(
-        (F.col("first") + F.floor(at / stride)).alias("slot"), F.substring(F.col("content"), at + 1, F.lit(stride)).alias("ids")
-    )
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.bin")
-        .load(path)
-        .select(first.alias("first"), "content", "length")
-        .select(F.explode(F.transform(starts, record)).alias("x"))
-        .select("x.*")
-    )
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path)
+    return files.select(first.alias("first"), "content").mapInArrow(cut, "slot long, ids binary")
 
 
 def materialise(
@@ -176,7 +206,7 @@ def materialise(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    length: int = 512,
+    length: int = 256,
     shard_rows: int = 8192,
     end_id: int = 0,
     key: int = 20_240_607,
@@ -198,7 +228,7 @@ def materialise(
     return placed.select("doc_id", "piece", "n_tokens", "slot", "shard"), manifest, path
 
 
-def training_order(docs: DataFrame, *, length: int = 512, shard_rows: int = 8192, **options) -> DataFrame:
+def training_order(docs: DataFrame, *, length: int = 256, shard_rows: int = 8192, **options) -> DataFrame:
     """The index of materialise() with each sequence's checksum, as read back from the shards."""
     index, _, path = materialise(docs, length=length, shard_rows=shard_rows, **options)
     if index.isEmpty():
