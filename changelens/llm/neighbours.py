@@ -181,7 +181,7 @@ def neighbours(
 
     found = written(best(parts(index, visits)), "found")
     enough = found.groupBy("query_row").count().filter(F.col("count") >= min(n, total - 1))
-    short = asked.join(enough, F.col("row") == F.col("query_row"), "left_anti")
+    short = written(asked.join(enough.select(F.col("query_row").alias("row")), "row", "left_anti").select("row", "id", "v"), "short")
     as_binary = F.pandas_udf(lambda vectors: vectors.map(lambda v: np.asarray(v, dtype=np.float64).tobytes()), "binary", F.PandasUDFType.SCALAR)
     everything = lambda df: df.select(
         F.lit(ALL).alias("tbl"), F.lit(0).cast("long").alias("bucket"), "row", "id", as_binary(F.col("v")).alias("v")

@@ -157,7 +157,10 @@ def classify(
     part = sample / max(1, marked.count())
     edge = -(1 << 63) + int(min(0.7, part) * (1 << 64))  # so that some are left to calibrate
     marked = marked.withColumn("training", order < F.lit(min(edge, (1 << 63) - 1)))
-    training = docs.select("doc_id", "text").join(marked.filter("training"), "doc_id")
+    chosen = marked.filter("training")
+    if chosen.count() <= 2 * sample:  # by the bound; only a table of repeated hashes could hold more
+        chosen = F.broadcast(chosen)
+    training = docs.select("doc_id", "text").join(chosen, "doc_id")
     sizes = training.groupBy("bad").count()
     sizes = {r["bad"]: r["count"] for r in sizes.collect()}
     n_bad, n_good = sizes.get(True, 0), sizes.get(False, 0)

@@ -12,12 +12,12 @@ from changelens.llm.scratch import written
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Each rule's value, large where a text looks bad, in steps of 1/200; a value is held to TOP steps.
 RULES = {
-    "symbols": "n_symbols / n_words",
-    "dup_lines": "n_dup_lines / n_lines",
-    "repeats": "n_repeat_words / n_words",
-    "capitals": "n_capitals / word_chars",
-    "word_length": "word_chars / n_words / 10",
-    "marks": "n_marks / n_words",
+    "symbols": "n_symbols / nullif(n_words, 0)",
+    "dup_lines": "n_dup_lines / nullif(n_lines, 0)",
+    "repeats": "n_repeat_words / nullif(n_words, 0)",
+    "capitals": "n_capitals / nullif(word_chars, 0)",
+    "word_length": "word_chars / nullif(n_words, 0) / 10",
+    "marks": "n_marks / nullif(n_words, 0)",
 }
 STEPS, TOP = 200, 2000
 #: Cutoff tables of up to so many strata are broadcast.
