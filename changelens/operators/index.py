@@ -145,8 +145,8 @@ def alias_prefixes(config: Column, folder: str = "") -> Column:
     shape = "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>"
     options = F.from_json(config, shape, {"allowComments": "true", "allowTrailingComma": "true"})["compilerOptions"]
     base = F.concat(F.lit(folder + "/" if folder else ""), F.coalesce(options["baseUrl"], F.lit(".")), F.lit("/"))
-    target = lambda e: collapse(F.concat(base, F.regexp_replace(e["value"][0], r"\*$", "")))
-    starred = F.filter(F.map_entries(options["paths"]), lambda e: e["key"].endswith("/*") & F.coalesce(e["value"][0].endswith("/*"), F.lit(False)))
+    target = lambda e: collapse(F.concat(base, F.regexp_replace(F.get(e["value"], F.lit(0)), r"\*$", "")))
+    starred = F.filter(F.map_entries(options["paths"]), lambda e: e["key"].endswith("/*") & F.coalesce(F.get(e["value"], F.lit(0)).endswith("/*"), F.lit(False)))
     found = F.transform(
         starred,
         lambda e: F.struct(
@@ -169,9 +169,9 @@ def resolve_imports(specs: DataFrame, paths: DataFrame, aliases: DataFrame | Non
     else:
         specs = specs.join(aliases, "repository_id", "left").withColumn("aliases", F.coalesce("aliases", default))
     folder = F.regexp_replace("from_path", r"[^/]*$", "")
-    alias = F.filter("aliases", lambda a: F.startswith(F.col("spec"), a["key"]))[0]
+    alias = F.get(F.filter("aliases", lambda a: F.startswith(F.col("spec"), a["key"])), F.lit(0))
     base = F.when(F.col("spec").rlike(r"^\.\.?/"), collapse(F.concat(folder, "spec"))).when(
-        alias.isNotNull(), collapse(F.concat(alias["value"], F.expr("substring(spec, length(filter(aliases, a -> startswith(spec, a.key))[0].key) + 1)")))
+        alias.isNotNull(), collapse(F.concat(alias["value"], F.expr("substring(spec, length(get(filter(aliases, a -> startswith(spec, a.key)), 0).key) + 1)")))
     )
     script = r"\.(c|m)?js$"
     b = F.col("base")

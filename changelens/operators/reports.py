@@ -98,7 +98,7 @@ def score_trend(reviews: DataFrame, since: str | None = None) -> DataFrame:
     kept = reviews.filter("status = 'completed'")
     if since:
         kept = kept.filter(F.col("created_at") >= F.lit(since).cast("timestamp"))
-    average = F.sum(F.col("score").cast("decimal(18,6)")) / F.count("score") / 10
+    average = F.sum(F.col("score").cast("decimal(18,6)")) / F.nullif(F.count("score"), F.lit(0)) / 10
     return kept.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(
         F.round(average, 1).cast("double").alias("avg_score"), F.count("*").alias("reviews")
     )

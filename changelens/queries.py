@@ -36,7 +36,7 @@ def distinct_findings(m) -> DataFrame:
 def score_trend(m, table):
     seen = registry.scope_reviews(m("reviews"), registry.visible_repositories(m("installations"), m("repositories")))
     day = F.date_format("created_at", "yyyy-MM-dd").alias("day")
-    average = F.sum(F.col("score").cast("decimal(18,6)")) / F.count("score") / 10
+    average = F.sum(F.col("score").cast("decimal(18,6)")) / F.nullif(F.count("score"), F.lit(0)) / 10
     return seen.filter("status = 'completed'").groupBy("user", day).agg(F.round(average, 1).cast("double").alias("avg_score"), F.count("*").alias("reviews"))
 
 
