@@ -31,13 +31,13 @@ def blast_radius(changed: DataFrame, edges: DataFrame, max_depth: int = 3) -> Da
     changed(review_id, repository_id, rank, path); edges as reverse_edges gives them. via is the changed file at the
     other end; among several, that of the smallest rank. Each level joins the frontier with the edges and drops what
     was reached before, so cycles end. Levels are few, and each is cut off by a checkpoint where the session has a
-    folder for them.
+    folder for checkpoints.
     """
     keys = ["review_id", "repository_id", "path"]
     start = changed.groupBy(*keys).agg(F.min("rank").alias("origin"))
     seen = start.select(*keys, "origin", F.lit(0).alias("distance"))
     frontier = start
-    cut = bool(changed.sparkSession.conf.get("spark.checkpoint.dir", None))
+    cut = changed.sparkSession.sparkContext.getCheckpointDir() is not None
     for distance in range(1, max_depth + 1):
         reached = (
             frontier.join(edges, ["repository_id", "path"])

@@ -30,13 +30,14 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def newest(spark: SparkSession, path: str, below: int | None = None) -> int | None:
+    """The greatest version that has files; a writer's files appear when its job is committed."""
     try:
-        names = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", True).load(path).select("path")
+        names = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path")
     except Exception as error:  # no version was ever written
         if "PATH_NOT_FOUND" in str(error):
             return None
         raise
-    found = names.select(F.regexp_extract("path", r"version=(\d+)/_SUCCESS$", 1).cast("long").alias("v"))
+    found = names.select(F.regexp_extract("path", r"version=(\d+)/[^/]+$", 1).cast("long").alias("v"))
     if below is not None:
         found = found.filter(F.col("v") < below)
     return found.agg(F.max("v")).first()[0]
