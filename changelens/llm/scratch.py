@@ -10,12 +10,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made for sessions without spark.checkpoint.dir, by application.
+_MADE: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir; below a new temporary folder where that is unset."""
+    """A fresh path below spark.checkpoint.dir; below a temporary folder of the session's where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="changelens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _MADE:
+            _MADE[app] = tempfile.mkdtemp(prefix="changelens-")
+        base = _MADE[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
