@@ -148,5 +148,5 @@ def score_band(score: Column) -> Column:
 
 def clean_permissions(raw: Column) -> Column:
     """The entries of a JSON map whose values are strings."""
-    quoted = F.filter(F.map_entries(F.from_json(raw, "map<string,string>")), lambda e: F.get_json_object(raw, F.concat(F.lit("$."), e["key"])).isNotNull() & raw.contains(F.concat(F.lit('"'), e["value"], F.lit('"'))))
-    return F.map_from_entries(quoted)
+    values = F.map_filter(F.from_json(raw, "map<string,variant>"), lambda _, v: F.schema_of_variant(v) == "STRING")
+    return F.transform_values(values, lambda _, v: v.cast("string"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelens.functions.text import score_band, ui_score
+from changelens.functions.text import clean_permissions, score_band, ui_score
 from changelens.operators.findings import SEVERITIES, severity_rank
 
 
@@ -84,8 +84,6 @@ def repository_row(repositories: DataFrame) -> DataFrame:
 
 def installation_row(raw: DataFrame) -> DataFrame:
     """raw(installation_id, login, slug, account_id, type, suspended_at, permissions, events) as a stored row."""
-    from changelens.functions.text import clean_permissions
-
     account = F.coalesce("login", "slug", F.col("account_id").cast("string"))
     return raw.select(
         "installation_id", account.alias("account_login"), F.coalesce("type", F.lit("Enterprise")).alias("account_type"),

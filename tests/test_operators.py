@@ -420,3 +420,53 @@ def test_sources(spark, tmp_path):
     assert [r["t"] for r in blobs.select(tables.decode_blob(F.col("c"), F.col("e")).alias("t")).collect()] == ["hé", None, "plain"]
     tables.write_table(spark.createDataFrame([("r", "a.ts", "s", ["b.ts"])], tables.SCHEMAS["code_files"]), str(tmp_path), "code_files")
     assert tables.read_table(spark, str(tmp_path), "code_files").first()["imports"] == ["b.ts"]
+
+
+def test_installations_and_details(spark):
+    schema = "installation_id long, login string, slug string, account_id long, type string, suspended_at timestamp, permissions string, events array<string>"
+    raw = spark.createDataFrame([(1, None, "slug", 5, None, None, '{"a": "read", "b": 3, "c": null}', ["push"]), (2, None, None, 5, "User", at(1), "{}", [])], schema)
+    out = {r["installation_id"]: r for r in reports.installation_row(raw).collect()}
+    assert (out[1]["account_login"], out[1]["account_type"], out[1]["status"], out[1]["permissions"]) == ("slug", "Enterprise", "active", {"a": "read"})
+    assert (out[2]["account_login"], out[2]["status"], out[2]["permissions"]) == ("5", "suspended", {})
+    reviews = spark.createDataFrame([(1, None, "o/r", 7, 64), (2, "t", "o/r", 8, None)], "id long, pr_title string, repo_full_name string, pr_number int, score int")
+    found = spark.createDataFrame([(1, 2, "b", "f", 1, "low", "bug", "m", "open"), (1, 1, "a", "f", 1, "low", "bug", "m", "open")], "review_id long, ord int, id string, file string, line int, severity string, category string, message string, status string")
+    detail = {r["id"]: r for r in reports.review_detail(reviews, found).collect()}
+    assert detail[1]["title"] == "o/r#7" and [i["id"] for i in detail[1]["issues"]] == ["a", "b"] and detail[2]["issues"] == [] and detail[1]["band"] == "fair"
+
+
+def test_index_refresh(spark):
+    files = spark.createDataFrame([("r", "a.ts", 1), ("r", "b.ts", 2), ("r", "c.ts", 3)], "repository_id string, path string, v int")
+    new = spark.createDataFrame([("r", "a.ts", 10), ("r", "z.ts", 11)], "repository_id string, path string, v int")
+    changes = spark.createDataFrame([("r", "a.ts", "changed"), ("r", "c.ts", "removed")], "repository_id string, path string, change string")
+    chunks, after = index.refresh_index(changes, new, new, files, files)
+    assert rows(after, "path", "v") == [("a.ts", 10), ("b.ts", 2)] and rows(chunks, "path") == [("a.ts",), ("b.ts",)]
+    assert rows(index.refresh_index(changes.limit(0), new, new, files, files)[1], "path", "v") == rows(files, "path", "v")
+
+
+def test_summaries(spark):
+    schema = "review_id long, verdict string, conclusion string, headline string, reasons array<string>, policies array<struct<id:string,status:string,message:string>>, level string, risk_score int, factors array<string>, failed_reviewers array<string>, alignment string, intent_summary string, n_files int, n_findings int, counts string, n_rejected int, score int, details_url string, summary string"
+    row = (1, "request_changes", "failure", "Blocked", ["a", "b", "c", "d"], [("x", "fail", "no")], "high", 50, ["f", "g", "h"], ["security"], "misaligned", None, 2, 3, "1 high", 1, 64, "http://x", "S")
+    df = spark.createDataFrame([row], schema)
+    assert render.recommendations(df).first()["recommendations"] == [
+        "Fix before merging: a; b; c", "High-impact change (f; g): ask a second human reviewer.", "Re-run the review: the security reviewer(s) failed.",
+        "The code doesn't match the PR description; update one of them.",
+    ]
+    assert render.review_summary_text(df).first()["summary"] == "Reviewed 2 file(s). Risk: high (f). Found 3 issue(s): 1 high. 1 possible issue(s) were checked and rejected."
+    check = render.check_summary(df).first()
+    assert check["check_title"] == "Blocked" and "(50/100): f; g; h" in check["check_text"]
+    found = spark.createDataFrame([(1, 0, "high", "a.ts", 3, "m", True), (1, 1, "low", None, None, "off", False)], "review_id long, ord int, severity string, file string, line int, message string, inline boolean")
+    markdown = render.review_summary_markdown(df, found).first()["markdown"]
+    assert "6.4/10" in markdown and "🟠 1 high" in markdown and "- 🔵 `PR` off" in markdown and markdown.endswith("[Open the full review](http://x)")
+
+
+def test_recovery(spark):
+    schema = "id long, status string, attempts int, installation_id long, updated_at timestamp"
+    reviews = spark.createDataFrame([(1, "pending", 3, None, at(0)), (2, "in_progress", 1, 5, at(1)), (3, "pending", 0, None, at(1)), (4, "pending", 0, 5, at(55)), (5, "completed", 0, 5, at(0))], schema)
+    assert rows(lifecycle.sweep_stuck(reviews, "2024-01-01 01:00:00"), "id", "new_status", "new_attempts") == [(1, "failed", 3), (2, "pending", 2)]
+    asked = spark.createDataFrame([("o/r", 1, "h", "base", "prev"), ("o/r", 2, "h", "base", None)], "repo_full_name string, pr_number int, head_sha string, base_sha string, previous_sha string")
+    assert rows(lifecycle.diff_base(asked), "pr_number", "from_sha") == [(1, "prev"), (2, "base")]
+    gone = spark.createDataFrame([("prev",)], "previous_sha string")
+    assert rows(lifecycle.diff_base(asked, gone), "pr_number", "from_sha") == [(1, "base"), (2, "base")]
+    events_ = spark.createDataFrame([("a", "received"), ("b", "received"), ("c", "failed")], "delivery_id string, status string")
+    sent = spark.createDataFrame([("a", at(1)), ("c", at(1))], "delivery_id string, sent_at timestamp")
+    assert rows(lifecycle.mark_published(events_, sent), "delivery_id", "status") == [("a", "published"), ("b", "received"), ("c", "failed")]
