@@ -15,7 +15,7 @@ from changelens.llm.scratch import ship, written
 from changelens.llm.signatures import band_keys, set_digest, shingle_set, super_minhash
 
 #: Up to so many nodes, texts are picked by a broadcast list of them; beyond, by a shuffled join.
-BROADCAST_NODES = 500_000
+BROADCAST_NODES = 200_000
 #: Pairs whose signatures agree on less than this share are not compared. At similarity 0.75 and 128 slots a share
 #: spreads by less than 0.039, so a linked pair falls below it about once in 100,000.
 ESTIMATE = 0.6
