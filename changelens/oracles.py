@@ -86,7 +86,7 @@ REASON = (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    found = {
         "score_trend": sql(
             """SELECT v."user", strftime(created_at, '%Y-%m-%d') AS day, round(sum(score)::DECIMAL(18,6) / count(score) / 10, 1)::DOUBLE AS avg_score,
             count(*) AS reviews FROM reviews r JOIN visible v USING (repo_full_name) WHERE status = 'completed' GROUP BY 1, 2""",
@@ -281,12 +281,56 @@ def oracle_sql() -> dict[str, str]:
             LEFT JOIN (SELECT name, count(*) AS findings, count(*) FILTER (NOT EXISTS (SELECT 1 FROM x e WHERE e.want AND e.name = x.name AND e.file = x.file AND abs(e.line - x.line) <= 3)) AS fp FROM x WHERE NOT want GROUP BY 1) f USING (name)""",
             "review_findings",
         ).replace("(SELECT review_id % 100 AS name", "(SELECT name").replace(
-            ") SELECT e.name", "), x AS (SELECT review_id % 100 AS name, file, line, ord % 9 = 0 AS want FROM (SELECT DISTINCT * FROM review_findings) WHERE review_id % 3 = 0 AND file IS NOT NULL) SELECT e.name", 1
+            ") SELECT e.name", "), x AS (SELECT review_id % 100 AS name, file, line, ord % 3 = 0 AS want FROM (SELECT DISTINCT * FROM review_findings) WHERE review_id % 3 = 0 AND file IS NOT NULL) SELECT e.name", 1
         ),
         "import_resolution": sql(
             """SELECT DISTINCT f.repository_id, f.path AS from_path, regexp_replace(i, '^src/(.*)\\.ts$', './\\1.js') AS spec, i AS path FROM (SELECT repository_id, path, unnest(imports) AS i FROM code_files) f
             JOIN code_files g ON g.repository_id = f.repository_id AND g.path = f.i WHERE f.i <> f.path""",
             "code_files",
         ),
+        "finding_comments": sql(
+            """SELECT id, md5(CASE severity WHEN 'critical' THEN '🔴' WHEN 'high' THEN '🟠' WHEN 'medium' THEN '🟡' ELSE '🔵' END || ' **' || upper(severity) || '** · ' || category
+            || CASE WHEN source = 'eslint' THEN ' · ESLint' ELSE '' END || chr(10) || chr(10) || message || CASE ord % 3 WHEN 0 THEN chr(10) || chr(10) || '**Suggestion**' || chr(10) || '```' || chr(10) || 'call(x);' || chr(10) || '```'
+            WHEN 1 THEN chr(10) || chr(10) || '**Suggestion**' || chr(10) || 'use a name' ELSE '' END) AS comment_md5 FROM review_findings""",
+            "review_findings",
+        ),
+        "token_usage": sql("SELECT review_id, sum(CASE WHEN ord <> 4 THEN ord * 10 ELSE 0 END)::BIGINT AS tokens FROM review_findings GROUP BY 1", "review_findings"),
+        "reviewer_status": sql(
+            """SELECT review_id, array_to_string(list_filter(['quality', 'security', 'testing'], lambda r: list_contains(bad, r)), ',') AS failed,
+            array_to_string(list_filter(['quality', 'security', 'testing'], lambda r: list_contains(good, r)), ',') AS skills, len(good) = 0 AS all_failed FROM (SELECT review_id,
+            coalesce(list(reviewer) FILTER (NOT ok), []) AS bad, coalesce(list(reviewer) FILTER (ok), []) AS good FROM (SELECT review_id, reviewer, max(ord) < 6 AS ok FROM review_findings WHERE source <> 'eslint' GROUP BY 1, 2) GROUP BY 1)""",
+            "review_findings",
+        ),
+        "scan_tree": sql(
+            r"""SELECT review_id AS repository_id, filename AS path FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY ord) AS n FROM files WHERE length(content) <= 4000
+            AND (regexp_matches(filename, '\.(c|m)?(j|t)sx?$') OR regexp_matches(filename, '\.py$')) AND NOT regexp_matches(filename, '(^|/)dist/|\.min\.')) WHERE n <= 5""",
+            "files",
+        ),
+        "embedding_texts": sql("SELECT ord, md5(substr('// file: ' || filename || CASE WHEN ord % 2 = 0 THEN ' · f' || ord ELSE '' END || chr(10) || content, 1, 2000)) AS text_md5 FROM files", "files"),
+        "line_contexts": sql(
+            """SELECT ord, md5(array_to_string(list_transform(range(1, least(3, len(ls)) + 1), lambda i: CASE i WHEN 2 THEN '>' ELSE ' ' END || lpad(i::VARCHAR, 5, ' ') || ' | ' || ls[i]), chr(10))) AS context_md5
+            FROM (SELECT ord, string_split(content, chr(10)) AS ls FROM files)""",
+            "files",
+        ),
+        "max_fan_in": sql(
+            "SELECT c.repository_id AS review_id, max(coalesce(n, 0)) AS max_fan_in FROM code_files c LEFT JOIN (SELECT repository_id, path, count(*) AS n FROM edges GROUP BY 1, 2) e ON e.repository_id = c.repository_id AND e.path = c.path "
+            "WHERE c.path LIKE '%7.ts' GROUP BY 1",
+            "edges",
+        ),
+        "registry_installations": sql(
+            """SELECT user_id AS installation_id, arg_max(CASE event_id % 5 WHEN 0 THEN 'deleted' WHEN 1 THEN 'suspended' ELSE 'active' END, (received_at, event_id)) AS status, arg_max(delivery_id, (received_at, event_id)) AS account_login,
+            arg_min('u' || event_id, (received_at, event_id)) FILTER (event_id % 3 = 0) AS owner_user_id FROM webhook_events GROUP BY 1""",
+            "webhook_events",
+        ),
+        "save_findings": sql("SELECT review_id, count(*) AS n FROM (SELECT DISTINCT * FROM review_findings) f WHERE ord = 1 AND review_id % 4 = 0 OR review_id NOT IN (SELECT review_id FROM review_findings WHERE ord = 1 AND review_id % 4 = 0) GROUP BY 1", "review_findings"),
+        "repost_findings": sql(
+            """SELECT review_id, CASE WHEN r.id % 5 = 0 THEN 'from' ELSE 'base' END AS from_sha, count(*) AS n FROM review_findings f JOIN reviews r ON r.id = f.review_id WHERE f.status <> 'dismissed' AND r.status = 'completed'
+            AND score IS NOT NULL AND installation_id IS NOT NULL AND (r.id % 5 = 0 OR r.id % 6 <> 0) GROUP BY 1, 2""",
+            "reviews", "review_findings",
+        ),
+        "request_manual": sql("SELECT repo_full_name, pr_number, head_sha FROM reviews WHERE id % 2 = 0 AND (id % 3 = 0 OR status NOT IN ('in_progress', 'completed'))", "reviews"),
         "line_churn": "SELECT * FROM (SELECT conv_id, line, greatest(-n, 0) AS removed, greatest(n, 0) AS added FROM (SELECT conv_id, line, sum(s)::BIGINT AS n FROM (SELECT conv_id, unnest(string_split(text, chr(10))) AS line, CASE turn WHEN 0 THEN -1 ELSE 1 END AS s FROM conversations WHERE turn IN (0, 2)) GROUP BY 1, 2)) WHERE removed + added > 0",
     }
+    found["eval_summary"] = f"""SELECT round(sum(found) / sum(expected), 2) AS recall, round((sum(findings) - sum("falsePositives")) / sum(findings), 2) AS "precision",
+        sum("falsePositives")::BIGINT AS "falsePositives", count(*) FILTER (name % 10 = 0) AS errors, (7 * count(*))::BIGINT AS tokens FROM ({found["eval_metrics"]})"""
+    return found

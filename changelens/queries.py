@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens.functions import paths, text
-from changelens.operators import diff, evals, events, findings, graph, index, lifecycle, registry, reports, retrieval, scoring
+from changelens.operators import diff, evals, events, findings, graph, index, lifecycle, registry, render, reports, retrieval, scoring
 from changelens.sources.model import model
-from changelens.sources.tables import is_code_file
+from changelens.sources.tables import is_code_file, scan_tree as scanned
 from changelens.sources.topics import topic_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -379,9 +379,9 @@ def registry_repositories(m, table):
 @query
 def eval_metrics(m, table):
     found = distinct_findings(m).filter("review_id % 3 = 0 and file is not null").withColumn("name", F.col("review_id") % 100)
-    expected = found.filter("ord % 9 = 0").withColumnRenamed("id", "eid")
+    expected = found.filter("ord % 3 = 0").withColumnRenamed("id", "eid")
     cases = expected.select("name").distinct()
-    return evals.eval_case_metrics(cases, expected, found.filter("ord % 9 <> 0").withColumnRenamed("id", "fid"))
+    return evals.eval_case_metrics(cases, expected, found.filter("ord % 3 <> 0").withColumnRenamed("id", "fid"))
 
 
 @query
@@ -397,3 +397,79 @@ def import_resolution(m, table):
         "repository_id", "from_path", F.regexp_replace("to", r"^src/(.*)\.ts$", "./$1.js").alias("spec")
     )
     return index.resolve_imports(specs.distinct(), files)
+
+
+@query
+def finding_comments(m, table):
+    suggestion = F.when(F.col("ord") % 3 == 0, "call(x);").when(F.col("ord") % 3 == 1, "use a name")
+    return m("review_findings").withColumn("suggestion", suggestion).select("id", F.md5(render.finding_comment()).alias("comment_md5"))
+
+
+@query
+def token_usage(m, table):
+    return scoring.token_usage(m("review_findings").withColumn("tokens", F.when(F.col("ord") != 4, F.col("ord") * 10)))
+
+
+@query
+def reviewer_status(m, table):
+    calls = m("review_findings").filter("source <> 'eslint'").groupBy("review_id", "reviewer").agg((F.max("ord") < 6).alias("ok"))
+    out = scoring.reviewer_status(calls)
+    return out.select("review_id", F.array_join("failed_reviewers", ",").alias("failed"), F.array_join("skills", ",").alias("skills"), "all_failed")
+
+
+@query
+def scan_tree(m, table):
+    listing = m("files").select(F.col("review_id").alias("repository_id"), "ord", F.lit("blob").alias("type"), F.col("filename").alias("path"), F.sha1("filename").alias("sha"), F.length("content").alias("size"))
+    return scanned(listing, most=5, max_bytes=4000).select("repository_id", "path")
+
+
+@query
+def embedding_texts(m, table):
+    symbol = F.when(F.col("ord") % 2 == 0, F.concat(F.lit("f"), F.col("ord").cast("string")))
+    return m("files").select("ord", F.md5(text.embedding_text(F.col("filename"), symbol, F.col("content"))).alias("text_md5"))
+
+
+@query
+def line_contexts(m, table):
+    return m("files").select("ord", F.md5(text.line_context(F.col("content"), F.lit(2), 1, marked=True)).alias("context_md5"))
+
+
+@query
+def max_fan_in(m, table):
+    changed = m("code_files").filter("path like '%7.ts'").select(F.col("repository_id").alias("review_id"), "repository_id", "path")
+    return graph.max_fan_in(changed, m("code_files"))
+
+
+@query
+def registry_installations(m, table):
+    action = F.when(F.col("event_id") % 5 == 0, "deleted").when(F.col("event_id") % 5 == 1, "suspend").otherwise("created")
+    owner = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("u"), F.col("event_id").cast("string")))
+    changes = m("webhook_events").select(
+        F.col("github_repo_id").alias("installation_id"), F.col("received_at").alias("at"), F.col("event_id").alias("seq"), action.alias("action"), "delivery_id", owner.alias("owner_user_id")
+    )
+    return registry.registry_installations(changes.withColumnRenamed("delivery_id", "account_login"))
+
+
+@query
+def save_findings(m, table):
+    stored = distinct_findings(m)
+    new = stored.filter("review_id % 4 = 0 and ord = 1")
+    return lifecycle.save_findings(stored, new).groupBy("review_id").agg(F.count("*").alias("n"))
+
+
+@query
+def repost_findings(m, table):
+    reviews = m("reviews").withColumns({"base_sha": F.when(F.col("id") % 6 != 0, F.lit("base")), "reviewed_from_sha": F.when(F.col("id") % 5 == 0, F.lit("from"))})
+    return lifecycle.repost_findings(reviews, m("review_findings")).groupBy("review_id", "from_sha").agg(F.count("*").alias("n"))
+
+
+@query
+def request_manual(m, table):
+    asked = m("reviews").filter("id % 2 = 0").select("repo_full_name", "pr_number", "head_sha")
+    _, publish = lifecycle.request_manual(asked, m("reviews").filter("id % 3 <> 0"))
+    return publish.select("repo_full_name", "pr_number", "head_sha")
+
+
+@query
+def eval_summary(m, table):
+    return evals.eval_summary(eval_metrics(m, table).withColumns({"tokens": F.lit(7).cast("long"), "error": F.when(F.col("name") % 10 == 0, F.lit("x"))}))
