@@ -111,7 +111,7 @@ def oracle_sql() -> dict[str, str]:
         "review_rows": sql("SELECT id, coalesce(pr_title, repo_full_name || '#' || pr_number) AS title, round(score) / 10 AS shown_score, CASE WHEN round(score) / 10 >= 8 THEN 'good' WHEN round(score) / 10 >= 5 THEN 'fair' WHEN score IS NOT NULL THEN 'poor' END AS band FROM reviews", "reviews"),
         "repository_rows": sql("SELECT full_name, split_part(full_name, '/', 1) AS account, coalesce(html_url, 'https://github.com/' || full_name) AS html_url FROM repositories", "repositories"),
         "user_installations": sql(
-            """SELECT owner_user_id, installation_id, row_number() OVER (PARTITION BY owner_user_id ORDER BY created_s, installation_id) AS place,
+            """SELECT owner_user_id, installation_id, (row_number() OVER (PARTITION BY owner_user_id ORDER BY created_s, installation_id))::INT AS place,
             bool_or(status = 'active') OVER (PARTITION BY owner_user_id) AS has_active FROM installations WHERE status <> 'deleted'""",
             "installations",
         ),
@@ -165,7 +165,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "issues_by_file": sql(
             """SELECT review_id, file, min(sr) AS worst, count(*) AS n, array_to_string(list(id ORDER BY sr, coalesce(line, 0), id), ',') AS ids,
-            row_number() OVER (PARTITION BY review_id ORDER BY min(sr), count(*) DESC, file NULLS FIRST) AS place FROM ranked GROUP BY 1, 2""",
+            (row_number() OVER (PARTITION BY review_id ORDER BY min(sr), count(*) DESC, file NULLS FIRST))::INT AS place FROM ranked GROUP BY 1, 2""",
             "ranked",
         ),
         "overall_score": sql("SELECT review_id, greatest(0, floor(100 - sum(w) + 0.5))::INT AS score FROM weighed GROUP BY 1", "weighed"),
@@ -192,7 +192,7 @@ def oracle_sql() -> dict[str, str]:
             "review_findings",
         ),
         "distinct_categories": sql("SELECT review_id, array_to_string(list_sort(list_distinct(list(category))), ',') AS categories FROM review_findings GROUP BY 1", "review_findings"),
-        "top_findings": sql("SELECT review_id, id, place FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY sr, ord, id) AS place FROM ranked) WHERE place <= 3", "ranked"),
+        "top_findings": sql("SELECT review_id, id, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY sr, ord, id) AS place FROM ranked) WHERE place <= 3", "ranked"),
         "verify_batches": sql(
             """SELECT review_id, id, ((n - 1) // 2)::INT AS batch, ((n - 1) % 2)::INT AS batch_id FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY ord, id) AS n
             FROM (SELECT DISTINCT * FROM review_findings) WHERE source <> 'eslint')""",
@@ -217,7 +217,7 @@ def oracle_sql() -> dict[str, str]:
             "code_files",
         ),
         "rag_top_k": sql(
-            """SELECT review_id, id, place FROM (SELECT q.id AS review_id, c.id, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), c.id) AS place
+            """SELECT review_id, id, place::INT AS place FROM (SELECT q.id AS review_id, c.id, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), c.id) AS place
             FROM code_chunks q JOIN code_chunks c USING (repository_id) WHERE q.id % 25 = 0 AND c.id <> q.id AND list_cosine_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) < 0.9) WHERE place <= 8""",
             "code_chunks",
         ),
@@ -228,7 +228,7 @@ def oracle_sql() -> dict[str, str]:
             "patch_lines",
         ),
         "line_windows": sql(
-            """SELECT ord, s + 1 AS start_line, least(s + 6, n) AS end_line, md5(array_to_string(ls[s + 1:s + 6], chr(10))) AS content_md5 FROM (SELECT ord, ls, len(ls) AS n, unnest(range(0, greatest(0, ceil((len(ls) - 6) / 5)::BIGINT * 5) + 1, 5)) AS s
+            """SELECT ord, (s + 1)::INT AS start_line, least(s + 6, n)::INT AS end_line, md5(array_to_string(ls[s + 1:s + 6], chr(10))) AS content_md5 FROM (SELECT ord, ls, len(ls) AS n, unnest(range(0, greatest(0, ceil((len(ls) - 6) / 5)::BIGINT * 5) + 1, 5)) AS s
             FROM (SELECT ord, string_split(content, chr(10)) AS ls FROM files)) WHERE trim(regexp_replace(array_to_string(ls[s + 1:s + 6], ''), '\\s', '', 'g')) <> ''""",
             "files",
         ),
