@@ -39,7 +39,10 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """This package for the session's Python workers, once; they need no copy of their own."""
+    """This package for the session's Python workers, once; they need no copy of their own.
+
+    The driver packs it and Spark's file server hands it out, so nothing is read from the driver's folder by others.
+    """
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
