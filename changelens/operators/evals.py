@@ -9,16 +9,23 @@ from pyspark.sql import functions as F
 def eval_hits(findings: DataFrame, expected: DataFrame, slack: int = 3) -> tuple[DataFrame, DataFrame]:
     """(expected with found, findings with relevant): same case and file, lines at most slack apart.
 
-    findings(name, fid, file, line), expected(name, eid, file, line). Case and file are equi-join keys, the lines a
-    range condition. A finding without a line hits nothing.
+    findings(name, fid, file, line), expected(name, eid, file, line). Each side's distinct places meet by case, file and
+    bucket of 2 * slack + 1 lines, which holds at most so many places of either, so the cost grows with the rows and not
+    with their pairs. A row without a case, file or line hits nothing.
     """
-    f = findings.filter("line is not null").select("name", "file", "fid", F.col("line").alias("_f"))
-    e = expected.select("name", "file", "eid", F.col("line").alias("_e"))
-    near = f.join(e, ["name", "file"]).filter(F.abs(F.col("_f") - F.col("_e")) <= slack)
-    flag = lambda df, key, name: df.join(
-        near.select("name", key).distinct().withColumn("_hit", F.lit(True)), ["name", key], "left"
-    ).withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_hit")
-    return flag(expected, "eid", "found"), flag(findings, "fid", "relevant")
+    width = 2 * slack + 1
+    bucket = lambda line: F.floor(F.col(line) / width)
+    f = findings.select("name", "file", F.col("line").alias("_f")).dropna().distinct().withColumn("_b", bucket("_f"))
+    e = expected.select("name", "file", F.col("line").alias("_e")).dropna().distinct()
+    around = F.sequence(F.floor((F.col("_e") - slack) / width), F.floor((F.col("_e") + slack) / width))
+    near = f.join(e.withColumn("_b", F.explode(around)), ["name", "file", "_b"]).filter(F.abs(F.col("_f") - F.col("_e")) <= slack)
+
+    def flag(df: DataFrame, line: str, name: str) -> DataFrame:
+        hit = near.select(F.col("name").alias("_name"), F.col("file").alias("_file"), F.col(line).alias("_line")).distinct().withColumn("_hit", F.lit(True))
+        at = (F.col("name") == F.col("_name")) & (F.col("file") == F.col("_file")) & (F.col("line") == F.col("_line"))
+        return df.join(hit, at, "left").withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_name", "_file", "_line", "_hit")
+
+    return flag(expected, "_e", "found"), flag(findings, "_f", "relevant")
 
 
 def eval_case_metrics(cases: DataFrame, expected: DataFrame, findings: DataFrame, slack: int = 3) -> DataFrame:

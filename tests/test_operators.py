@@ -385,6 +385,37 @@ def test_evals(spark):
     assert evals.eval_summary(metrics.limit(0)).first()["recall"] == 1.0
 
 
+def most_rows(df):
+    """The most rows that any node of df's executed plan gave."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        metric = node.metrics().get("numOutputRows")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+    return most
+
+
+def test_eval_hits_grow_with_the_rows(spark):
+    at = spark.range(2000).select(F.lit("c").alias("name"), "id", F.lit("a.ts").alias("file"), (F.col("id") % 60).cast("int").alias("line"))
+    expected, found = at.filter("line < 40").withColumnRenamed("id", "eid"), at.filter("line > 20 and line % 9 = 0").withColumnRenamed("id", "fid")
+    for df, flag in zip(evals.eval_hits(found, expected), ("found", "relevant"), strict=True):
+        assert most_rows(df) <= 2000
+        other = {27, 36, 45, 54} if flag == "found" else set(range(40))
+        assert all(r[flag] == any(abs(r["line"] - x) <= 3 for x in other) for r in df.collect())
+
+
+def test_eval_hits_judge_rows_by_their_own_place(spark):
+    expected = spark.createDataFrame([("c", 1, "a.ts", 10), ("c", 1, "a.ts", 90), ("c", 2, None, 10), ("c", 3, "a.ts", None)], "name string, eid int, file string, line int")
+    found = spark.createDataFrame([("c", 1, "a.ts", 13), ("c", 2, "a.ts", 6), ("c", 3, None, 10), ("d", 4, "a.ts", 10)], "name string, fid int, file string, line int")
+    wanted, got = evals.eval_hits(found, expected)
+    assert sorted(r["line"] for r in wanted.filter("found").collect()) == [10] and wanted.count() == 4
+    assert [r["fid"] for r in got.filter("relevant").collect()] == [1] and got.count() == 4
+
+
 def test_rendering(spark):
     row = spark.createDataFrame([("high", "bug", "msg", "x = 1;", "eslint")], "severity string, category string, message string, suggestion string, source string")
     assert row.select(render.finding_comment().alias("c")).first()["c"] == "🟠 **HIGH** · bug · ESLint\n\nmsg\n\n**Suggestion**\n```\nx = 1;\n```"
