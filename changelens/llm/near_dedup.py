@@ -19,6 +19,8 @@ BROADCAST_NODES = 200_000
 #: Pairs whose signatures agree on less than this share are not compared. At similarity 0.75 and 128 slots a share
 #: spreads by less than 0.039, so a linked pair falls below it about once in 100,000.
 ESTIMATE = 0.6
+#: Rows in the order in which one is elected; null ids count as largest.
+SMALLEST = "struct(doc_id IS NULL, doc_id, text_hash, number)"
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -55,8 +57,8 @@ def link_forest(nodes: np.ndarray, signatures: np.ndarray, texts: list[str], per
     return [(int(nodes[x]), int(nodes[r])) for x, r in enumerate(root.tolist()) if x != r]
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str, slots: int, band_rows: int) -> DataFrame:
-    """Each row's set size and name, its bands' keys and one byte of each signature slot; nulls where the set is empty."""
+def signed(docs: DataFrame, id_col: str, text_col: str, number_col: str | None, slots: int, band_rows: int) -> DataFrame:
+    """Each row's number, set size and name, its bands' keys and one byte of each signature slot; nulls where the set is empty."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,58 +74,46 @@ def signed(docs: DataFrame, id_col: str, text_col: str, slots: int, band_rows: i
                     column.append(value)
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))],
-                ["doc_id", "text_hash", *out],
+                [batch.column(0), batch.column(1), batch.column(3), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))],
+                ["doc_id", "text_hash", "number", *out],
             )
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(
-        sign, f"doc_id {kind}, text_hash long, n_shingles long, set_id binary, bands array<long>, signature binary"
+    number = (F.col(number_col) if number_col else F.lit(None)).cast("long").alias("number")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), number).mapInArrow(
+        sign, f"doc_id {kind}, text_hash long, number long, n_shingles long, set_id binary, bands array<long>, signature binary"
     )
 
 
-def near_duplicates(
+def grouped_nodes(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
+    number_col: str | None = None,
     percent: int = 75,
     slots: int = 128,
     band_rows: int = 4,
     family_bytes: int = 64 << 20,
     block_bytes: int = 8 << 20,
-) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id and kept.
-
-    Rows of equal shingle sets form one node. A node gets a SuperMinHash signature, cut into bands of band_rows; nodes
-    that share a band's key are candidates. With 32 bands of 4, two nodes of similarity 0.75 share none about five
-    times in a million. Candidates' components are families. A family's members are compared inside tasks: pairs whose
-    signatures are far apart are passed over, others are confirmed on their whole sets, and a task returns a forest,
-    never its pairs. Families of over block_bytes are cut into blocks and each pair of blocks meets in one task, so no
-    task holds more than about twice that. If a family exceeds family_bytes, its buckets take its place, cut the same
-    way, so that a chain of loose candidates doesn't become one large comparison. The forests' components are the
-    result; component_id is the smallest doc_id in it.
-
-    Null, empty and blank texts have an empty set and stand alone, component_id being their own doc_id. Repeated rows
-    share a node and are all kept or not by their doc_id. Null ids count as largest. Texts are whole at any length. An
-    empty table gives an empty result. Only id_col and text_col are read.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, nodes, groups): the rows as signed() gives them; a node for each shingle set, with the doc_id, text_hash and
+    number of its smallest row; and the component of each node that is linked with another. See near_duplicates.
     """
-    spark = docs.sparkSession
-    rows = written(signed(docs, id_col, text_col, slots, band_rows), "signed")
-    null_last = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    rows = written(signed(docs, id_col, text_col, number_col, slots, band_rows), "signed")
     nodes = written(
         rows.filter("n_shingles > 0")
         .groupBy("set_id")
         .agg(
-            F.min(null_last).alias("first"),
+            F.min(F.expr(SMALLEST)).alias("first"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("bands").alias("bands"),
             F.first("signature").alias("signature"),
         )
         .select(
-            F.monotonically_increasing_id().alias("node"), "set_id", "n_shingles", "bands", "signature", "first.doc_id", "first.text_hash"
+            F.monotonically_increasing_id().alias("node"), "set_id", "n_shingles", "bands", "signature", "first.doc_id", "first.text_hash", "first.number"
         ),
         "nodes",
     )
@@ -174,10 +164,29 @@ def near_duplicates(
         .groupBy("task")
         .applyInPandas(compare, "a long, b long")
     )
-    grouped = components(forest)
-    ids = nodes.select("node", "doc_id").join(grouped, "node")
+    return rows, nodes, components(forest)
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id and kept.
+
+    Rows of equal shingle sets form one node. A node gets a SuperMinHash signature, cut into bands of band_rows; nodes
+    that share a band's key are candidates. With 32 bands of 4, two nodes of similarity 0.75 share none about five
+    times in a million. Candidates' components are families. A family's members are compared inside tasks: pairs whose
+    signatures are far apart are passed over, others are confirmed on their whole sets, and a task returns a forest,
+    never its pairs. Families of over block_bytes are cut into blocks and each pair of blocks meets in one task, so no
+    task holds more than about twice that. If a family exceeds family_bytes, its buckets take its place, cut the same
+    way, so that a chain of loose candidates doesn't become one large comparison. The forests' components are the
+    result; component_id is the smallest doc_id in it.
+
+    Null, empty and blank texts have an empty set and stand alone, component_id being their own doc_id. Repeated rows
+    share a node and are all kept or not by their doc_id. Null ids count as largest. Texts are whole at any length. An
+    empty table gives an empty result. Only id_col and text_col are read.
+    """
+    rows, nodes, groups = grouped_nodes(docs, **options)
+    ids = nodes.select("node", "doc_id").join(groups, "node")
     least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    node_ids = grouped.join(least, "component").select("node", "component_id")
+    node_ids = groups.join(least, "component").select("node", "component_id")
     named = (
         nodes.select("set_id", "node", F.col("doc_id").alias("own_id"))
         .join(node_ids, "node", "left")
@@ -191,16 +200,20 @@ def near_duplicates(
     )
 
 
-def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each component, that of its smallest id; every row whose set is empty stays.
 
-    The rows to drop are found by id. Up to BROADCAST_NODES of them are broadcast; more are joined by shuffling. Should
-    an id that stays be repeated, one row of it is taken.
+    Rows are numbered in a written table, elected and dropped by number, so repeated and null ids are documents of their
+    own. Of rows of the smallest id, the one of the smallest text hash and number stays. Up to BROADCAST_NODES dropped
+    numbers are broadcast; more are joined by shuffling.
     """
-    judged = written(near_duplicates(docs, id_col=id_col, **options), "judged")
-    drop = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("dropped")).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    stored = written(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*columns).alias("document")), "dedup-documents")
+    flat = stored.select("number", F.col("document")[id_col].alias("doc_id"), F.col("document")[text_col].alias("text"))
+    rows, nodes, groups = grouped_nodes(flat, number_col="number", **options)
+    group = F.coalesce("component", "node").alias("group")
+    elected = nodes.join(groups, "node", "left").groupBy(group).agg(F.min(F.expr(SMALLEST))["number"].alias("number"))
+    drop = written(rows.filter("n_shingles > 0").select("number").join(elected.select("number"), "number", "left_anti"), "dropped")
     if drop.count() <= BROADCAST_NODES:
         drop = F.broadcast(drop)
-    left = docs.join(drop, F.col(id_col).eqNullSafe(F.col("dropped")), "left_anti")
-    stay = judged.filter("kept and n_shingles > 0")
-    return left if stay.groupBy("doc_id").count().filter("count > 1").isEmpty() else left.dropDuplicates([id_col])
+    return stored.join(drop, "number", "left_anti").select("document.*")

@@ -186,6 +186,19 @@ def test_near_duplicates_edges(docs, none):
     assert sorted(k for k in kept if k is not None) == [0, 1, 2, 4, 7, 9, 10, 11, 12]
 
 
+def test_without_near_duplicates_takes_rows_not_ids(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(40))
+    rows = [
+        (1, text(0)), (1, text(0)), (1, text(1)), (1, ""), (1, ""), (2, text(2)), (3, text(2) + " tail"), (3, text(3)),
+        (None, text(4)), (None, text(5)), (None, text(2) + " more"), (None, text(6)), (None, text(6) + " tail"), (None, ""), (None, None),
+    ]
+    out = near_dedup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = Counter((r["doc_id"], r["text"]) for r in out)
+    last = [key for key in left if key[1] in (text(6), text(6) + " tail")]
+    assert len(last) == 1 and left.pop(last[0]) == 1
+    assert left == Counter([(1, text(0)), (1, text(1)), (1, ""), (1, ""), (2, text(2)), (3, text(3)), (None, text(4)), (None, text(5)), (None, ""), (None, None)])
+
+
 def test_components_of_paths_and_cycles(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3)]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
