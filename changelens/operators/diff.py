@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions.paths import skipped_path
-from changelens.functions.text import estimate_tokens
 
 
 def classify_diff_files(files: DataFrame) -> DataFrame:
@@ -58,41 +57,52 @@ def number_patch(lines: DataFrame, *keys: str) -> DataFrame:
 def pack_diff(files: DataFrame, budget: int = 12_000, key: str = "review_id") -> DataFrame:
     """(key, text, included, skipped) of files(key, ord, filename, status, patch): the smallest first, while they fit.
 
-    A file that doesn't fit is skipped and the next one tried. A comparison has at most 300 files, so a review's files
-    are folded as one array.
+    A file that doesn't fit is skipped and the next one tried. Key and ord name one file. The fit is decided on sizes
+    alone: a review's files that aren't above the budget by themselves are folded as (size, ord, filename, tokens), and
+    only texts that fit, which the budget bounds, are numbered and gathered.
     """
     judged = classify_diff_files(files)
-    numbered = number_patch(parse_patch(judged.filter("reviewable"), key, "ord"), key, "ord")
-    block = F.concat(F.lit('<file path="'), "filename", F.lit('" status="'), "status", F.lit('">\n'), F.coalesce("numbered", F.lit("")), F.lit("\n</file>"))
-    rows = judged.join(numbered, [key, "ord"], "left").select(
-        key, F.length("patch").alias("size"), "ord", "filename", "reason", F.when(F.col("reviewable"), block).alias("block")
-    )
-    listed = rows.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.when(F.col("block").isNotNull(), F.struct("size", "ord", "filename", "block")))).alias("candidates"),
-        F.sort_array(F.collect_list(F.when(F.col("block").isNull(), F.struct("ord", "filename", "reason")))).alias("dropped"),
+    head = F.concat(F.lit('<file path="'), "filename", F.lit('" status="'), "status", F.lit('">\n'))
+    block = F.concat(head, F.coalesce("numbered", F.lit("")), F.lit("\n</file>"))
+    lines = parse_patch(judged.filter("reviewable"), key, "ord")
+    # as number_patch writes them: kind, five places, bar, text and line end
+    length = lines.groupBy(key, "ord").agg((F.sum(F.length("text") + 10) - 1).alias("numbered_length"))
+    block_length = F.length(head) + F.coalesce("numbered_length", F.lit(0)) + F.length(F.lit("\n</file>"))
+    sized = judged.join(length, [key, "ord"], "left").select(
+        key,
+        "ord",
+        "filename",
+        F.length("patch").alias("size"),
+        F.when(F.col("reviewable"), F.ceil(block_length / 4)).alias("tokens"),
+        "reason",
     )
-    none = F.array().cast("array<string>")
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), none.alias("parts"), none.alias("included"), none.alias("over"))
+    fold = sized.filter(F.col("tokens") <= budget).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("size", "ord", "filename", "tokens"))).alias("candidates"))
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(fold.schema["candidates"].dataType).alias("taken"))
 
     def add(a, f):
-        fits = a["used"] + estimate_tokens(f["block"]) <= budget
-        longer = lambda xs, x, when: F.when(when, F.concat(xs, F.array(x))).otherwise(xs)
-        return F.struct(
-            F.when(fits, a["used"] + estimate_tokens(f["block"])).otherwise(a["used"]).alias("used"),
-            longer(a["parts"], f["block"], fits).alias("parts"),
-            longer(a["included"], f["filename"], fits).alias("included"),
-            longer(a["over"], f["filename"], ~fits).alias("over"),
-        )
-
-    skip = lambda name, why: F.struct(name.alias("filename"), why.alias("reason"))
-    return listed.withColumn("p", F.aggregate("candidates", start, add)).select(
+        fits = a["used"] + f["tokens"] <= budget
+        return F.when(fits, F.struct((a["used"] + f["tokens"]).alias("used"), F.concat(a["taken"], F.array(f)).alias("taken"))).otherwise(a)
+
+    taken = fold.select(key, F.posexplode(F.aggregate("candidates", start, add)["taken"]).alias("place", "f")).select(
+        F.col(key).alias("_key"), F.col("f.ord").alias("_ord"), "place"
+    )
+    at = F.col(key).eqNullSafe(F.col("_key")) & F.col("ord").eqNullSafe(F.col("_ord"))
+    chosen = judged.filter("reviewable").join(taken, at).drop("_key", "_ord")
+    numbered = number_patch(parse_patch(chosen, key, "ord"), key, "ord")
+    shown = chosen.join(numbered, [key, "ord"], "left").groupBy(F.col(key).alias("_key")).agg(
+        F.sort_array(F.collect_list(F.struct("place", "filename", block.alias("block")))).alias("shown")
+    )
+    over = F.lit("over the token budget")
+    skip = F.when(F.col("tokens").isNull(), F.struct(F.lit(0).alias("late"), F.lit(0).alias("size"), "ord", "filename", "reason")).when(
+        F.col("place").isNull(), F.struct(F.lit(1).alias("late"), "size", "ord", "filename", over.alias("reason"))
+    )
+    listed = sized.join(taken, at, "left").groupBy(key).agg(F.sort_array(F.collect_list(skip)).alias("skipped"))
+    part = lambda name: F.coalesce(F.transform("shown", lambda x: x[name]), F.array().cast("array<string>"))
+    return listed.join(shown, F.col(key).eqNullSafe(F.col("_key")), "left").select(
         key,
-        F.array_join("p.parts", "\n\n").alias("text"),
-        F.col("p.included").alias("included"),
-        F.concat(
-            F.transform("dropped", lambda d: skip(d["filename"], d["reason"])),
-            F.transform("p.over", lambda name: skip(name, F.lit("over the token budget"))),
-        ).alias("skipped"),
+        F.array_join(part("block"), "\n\n").alias("text"),
+        part("filename").alias("included"),
+        F.transform("skipped", lambda x: F.struct(x["filename"].alias("filename"), x["reason"].alias("reason"))).alias("skipped"),
     )
 
 

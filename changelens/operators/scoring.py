@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions.paths import deleted_test_file, glob_match, sensitive_path
@@ -63,13 +63,16 @@ def instructions_for(files: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def risk_inputs(files: DataFrame, kept: DataFrame, affected: DataFrame | None = None, fan_in: DataFrame | None = None) -> DataFrame:
-    """What assess_risk needs of each review. Lines and paths count files that the policy keeps, deleted tests all files."""
+    """What assess_risk needs of each review. Lines and paths count files that the policy keeps, deleted tests all files.
+
+    changed_paths holds the first four sensitive ones, enough to name three and to tell that there are more.
+    """
     base = files.groupBy("review_id").agg(F.count_if(deleted_test_file(F.col("status"), F.col("filename"))).alias("deleted_tests"))
-    lines = kept.groupBy("review_id").agg(
-        F.sum(F.col("additions") + F.col("deletions")).alias("lines_changed"),
-        F.transform(F.sort_array(F.collect_list(F.struct("ord", "filename"))), lambda x: x["filename"]).alias("changed_paths"),
-    )
-    out = base.join(lines, "review_id", "left")
+    lines = kept.groupBy("review_id").agg(F.sum(F.col("additions") + F.col("deletions")).alias("lines_changed"))
+    place = F.row_number().over(Window.partitionBy("review_id").orderBy("ord", "filename"))
+    named = kept.filter(sensitive_path(F.col("filename"))).select("review_id", "ord", "filename").withColumn("place", place).filter("place <= 4")
+    first = named.groupBy("review_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "filename"))), lambda x: x["filename"]).alias("changed_paths"))
+    out = base.join(lines, "review_id", "left").join(first, "review_id", "left")
     none = F.lit(0).cast("long")
     out = out.join(affected.groupBy("review_id").agg(F.count("*").alias("affected")), "review_id", "left") if affected is not None else out.withColumn("affected", none)
     out = out.join(fan_in.select("review_id", "max_fan_in"), "review_id", "left") if fan_in is not None else out.withColumn("max_fan_in", none)

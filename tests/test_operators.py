@@ -52,6 +52,36 @@ def test_pack_diff(spark):
     assert out[1]["text"].startswith('<file path="src/a.ts" status="modified">\n ')
 
 
+def test_pack_diff_folds_sizes_and_gathers_what_fits(spark):
+    files = [(1, i, f"src/f{i:03}.ts", "modified", "@@ -1,1 +1,2 @@\n" + "\n".join(["+line of code"] * (i % 7 + 1)), 1, 0) for i in range(400)]
+    files += [(1, 400, "big.ts", "modified", "@@ -1,1 +1,400 @@\n" + "\n".join(["+x"] * 4000), 400, 0), (None, 0, "n.ts", "modified", PATCH, 2, 1)]
+    packed = diff.pack_diff(spark.createDataFrame(files, FILES), 1000)
+    out = {r["review_id"]: r for r in packed.collect()}
+    numbered = {i: "\n".join(f"+{n + 1:5} | line of code" for n in range(i % 7 + 1)) for i in range(400)}
+    blocks, used, included, over = [], 0, [], []
+    for i in sorted(range(400), key=lambda i: (i % 7, i)):
+        block = f'<file path="src/f{i:03}.ts" status="modified">\n{numbered[i]}\n</file>'
+        fits = used + -(-len(block) // 4) <= 1000
+        used += -(-len(block) // 4) if fits else 0
+        blocks += [block] if fits else []
+        (included if fits else over).append(f"src/f{i:03}.ts")
+    assert out[1]["included"] == included and out[1]["text"] == "\n\n".join(blocks)
+    assert [tuple(s) for s in out[1]["skipped"]] == [(name, "over the token budget") for name in [*over, "big.ts"]]
+    assert out[None]["included"] == ["n.ts"]
+    # neither the fold nor the texts' aggregate may see a block of a file that doesn't fit
+    folded = [line for line in packed._jdf.queryExecution().optimizedPlan().toString().split("\n") if "aggregate(" in line]
+    assert folded and not any("block" in line or "numbered" in line for line in folded)
+
+
+def test_risk_inputs_gather_four_paths(spark):
+    files = spark.createDataFrame([(1, i, f"src/auth/f{i:03}.ts", "modified", PATCH, 2, 1) for i in range(300)] + [(2, 0, "x.md", "modified", PATCH, 2, 1)], FILES)
+    inputs = scoring.risk_inputs(files, files)
+    got = {r["review_id"]: r["changed_paths"] for r in inputs.collect()}
+    assert got == {1: [f"src/auth/f{i:03}.ts" for i in range(4)], 2: []}
+    factors = {r["review_id"]: r["factors"] for r in scoring.assess_risk(inputs).collect()}
+    assert "touches sensitive code: src/auth/f000.ts, src/auth/f001.ts, src/auth/f002.ts…" in factors[1]
+
+
 def test_chunks(spark):
     code = """import { x } from "./x";
 
