@@ -16,9 +16,9 @@ from changelens.llm.signatures import band_keys, set_digest, shingle_set, super_
 
 #: Up to so many nodes, texts are picked by a broadcast list of them; beyond, by a shuffled join.
 BROADCAST_NODES = 200_000
-#: Pairs whose signatures agree on less than this share are not compared. At similarity 0.75 and 128 slots a share
-#: spreads by less than 0.039, so a linked pair falls below it about once in 100,000.
-ESTIMATE = 0.6
+#: Pairs whose signatures agree on less than this share are not compared. By the binomial tail over 128 one-byte slots, a
+#: pair at similarity 0.75 falls below it 0.4 times in a million, less often than it shares no band.
+ESTIMATE = 0.55
 #: Rows in the order in which one is elected; null ids count as largest.
 SMALLEST = "struct(doc_id IS NULL, doc_id, text_hash, number)"
 

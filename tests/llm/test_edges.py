@@ -186,6 +186,14 @@ def test_near_duplicates_edges(docs, none):
     assert sorted(k for k in kept if k is not None) == [0, 1, 2, 4, 7, 9, 10, 11, 12]
 
 
+def test_pairs_of_low_estimate_are_confirmed():
+    words = [f"w{i}" for i in range(104)]
+    texts = [" ".join(words), " ".join(words[:-10] + [f"x{i}" for i in range(10)])]
+    signatures = np.zeros((2, 128), dtype=np.uint8)
+    signatures[1, 72:] = 1
+    assert near_dedup.link_forest(np.array([5, 9]), signatures, texts, 75) in ([(9, 5)], [(5, 9)])
+
+
 def test_without_near_duplicates_takes_rows_not_ids(spark):
     text = lambda k: " ".join(f"t{k}w{j}" for j in range(40))
     rows = [
