@@ -8,23 +8,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.llm.scratch import ship, written
 from changelens.llm.tokens import word_tokenizer
 
+
 def token_pieces(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, vocabulary: str | None = None
 ) -> DataFrame:
-    """Documents as pieces of at most capacity tokens: doc_id, piece, start, length, ids_crc32.
+    """Documents as pieces of at most capacity tokens: doc_id, piece, start, length, ids_crc32, and row, which numbers them.
 
     A document is its ids and end_id. Only a longer one is cut, each piece but the last being full. Null text counts
     as empty, which is end_id alone.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = word_tokenizer(vocabulary)
+        tokenizer, number = word_tokenizer(vocabulary), TaskContext.get().partitionId() << 33
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "ids_crc32")}
             for row, text in enumerate(batch.column(1)):
@@ -34,12 +36,15 @@ def token_pieces(
                     for column, value in zip(out.values(), (row, piece, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(value)
             ids = batch.column(0).take(pa.array(out.pop("row"), pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, pa.int64()) for v in out.values())], ["doc_id", *out])
+            numbers = pa.array(np.arange(number, number + len(ids)), pa.int64())
+            number += len(ids)
+            columns = [pa.array(v, pa.int32() if name == "piece" else pa.int64()) for name, v in out.items()]
+            yield pa.RecordBatch.from_arrays([ids, *columns, numbers], ["doc_id", *out, "row"])
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        cut, f"doc_id {kind}, piece long, start long, length long, ids_crc32 long"
+        cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, row long"
     )
 
 
@@ -92,15 +97,16 @@ def minimum_bin_slack(lengths: np.ndarray, capacity: int) -> np.ndarray:
 def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, group_rows: int = 8192) -> DataFrame:
     """Pieces with the sequence that holds them and their offset there.
 
-    Pieces are dealt by a hash to groups of about group_rows, each packed by one task with minimum_bin_slack, so a
-    task's memory doesn't grow with the input; a group wastes at most about one sequence. Sequence numbers hold the
-    group in their upper half. Repeated pieces are packed one by one; an empty table gives an empty result.
+    pieces are a written table of token_pieces. They are dealt by a hash of their numbers to groups of about
+    group_rows, each packed by one task with minimum_bin_slack, so a task's memory doesn't grow with the input,
+    however often a piece is repeated; a group wastes at most about one sequence. Sequence numbers hold the group in
+    their upper half. Repeated pieces are packed one by one; an empty table gives an empty result.
     """
     ship(pieces.sparkSession)
     groups = max(1, -(-pieces.count() // group_rows))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        rows = rows.sort_values(["length", "row"], ascending=[False, True])
         found = minimum_bin_slack(rows["length"].to_numpy(), capacity)
         rows = rows.assign(sequence_id=rows["pack_group"].astype("int64") * (1 << 32) + found)
         rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
@@ -109,8 +115,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, group_rows: int = 81
     kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.select(*kept).schema)
     return (
-        pieces.select(*kept)
-        .withColumn("pack_group", F.pmod(F.xxhash64(*kept), F.lit(groups)))
+        pieces.select(*kept, "row", F.pmod(F.xxhash64("row"), F.lit(groups)).alias("pack_group"))
         .groupBy("pack_group")
         .applyInPandas(pack, f"{schema}, sequence_id long, offset long")
     )
