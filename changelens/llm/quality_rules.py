@@ -107,41 +107,51 @@ def allowed_rejections(n: Column, most: float, risk: float) -> Column:
 
 
 def certified_cutoffs(
-    holdout: DataFrame, *, false_rejection: float = 0.005, risk: float = 0.05, price: float = 20.0
+    holdout: DataFrame, *, false_rejection: float = 0.02, risk: float = 0.05, price: float = 20.0
 ) -> DataFrame:
     """(stratum, rule, cutoff): a text is rejected where the rule's level lies above the cutoff.
 
-    holdout has stratum, good and a column of levels for each rule. In a stratum, each rule's cutoffs are tested from
-    the mildest on, one after the other, each against "it rejects more than false_rejection of good texts", by the
-    exact binomial tail. Testing in a fixed order and stopping at the first failure needs no correction among
-    cutoffs; the risk is divided among all rules and strata (Bonferroni). So with probability 1 - risk, no cutoff
-    breaks its limit. Of the cutoffs that pass, the one with the most rejected bad texts less price times the
-    rejected good ones is taken, the mildest on ties; a rule without such gain has no cutoff. Strata with too few
-    labelled good texts have none either.
+    holdout has stratum, good and a column of levels for each rule. A stratum with enough labelled good texts is tested
+    by itself, the others together as the rest, whose limit then holds for them as a whole. Who is tested alone follows
+    from the numbers of good texts only: of the m largest strata, the m-th is, if m + 1 shares of the risk still let it
+    certify a cutoff that rejects none. In a stratum, each rule's cutoffs are tested from the mildest on, one after the
+    other, each against "it rejects more than false_rejection of good texts", by the exact binomial tail. Testing in a
+    fixed order and stopping at the first failure needs no correction among cutoffs; the risk is divided among all rules
+    and tested strata (Bonferroni). So with probability 1 - risk, no cutoff breaks its limit. Of the cutoffs that pass,
+    the one with the most rejected bad texts less price times the rejected good ones is taken, the mildest on ties; a
+    rule without such gain has no cutoff. A rest of too few labelled good texts has none either.
+
+    The table of strata, one row each, is ordered in one task.
     """
     rules = list(RULES)
     good, bad = F.count_if("good"), F.count_if(~F.col("good"))
-    sizes = holdout.groupBy("stratum").agg(good.alias("n"))
-    tests = F.greatest(F.lit(1), F.count("*").over(Window.partitionBy())) * len(rules)
-    sizes = sizes.withColumn("tests", tests).select(
-        "stratum", allowed_rejections(F.col("n"), false_rejection, F.lit(risk) / F.col("tests")).alias("allowed")
-    )
+    largest = F.row_number().over(Window.orderBy(F.desc("n"), "stratum"))
+    alone = F.col("n") * math.log1p(-false_rejection) <= F.log(F.lit(risk / len(rules)) / (F.col("m") + 1))
+    strata = holdout.groupBy("stratum").agg(good.alias("n")).withColumn("m", largest)
+    strata = written(strata.select("stratum", "n", F.when(alone, F.col("stratum")).alias("unit")), "quality-strata")  # a null unit is the rest
+    shares = strata.agg(F.count("unit")).first()[0] + 1
+    units = strata.groupBy("unit").agg(allowed_rejections(F.sum("n"), false_rejection, F.lit(risk / (shares * len(rules)))).alias("allowed"))
+    few = F.broadcast if strata.count() <= BROADCAST_STRATA else lambda df: df
     counts = (
         holdout.select("stratum", "good", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in rules))).alias("x"))
         .select("stratum", "good", "x.*")
         .filter("level is not null")
         .groupBy("stratum", "rule", "level")
         .agg(good.alias("good"), bad.alias("bad"))
+        .join(few(strata.select("stratum", "unit")), "stratum")
+        .groupBy("unit", "rule", "level")
+        .agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     )
-    above = Window.partitionBy("stratum", "rule").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy("unit", "rule").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
     tested = (
-        counts.select("stratum", "rule", (F.col("level") - 1).alias("cutoff"), F.sum("good").over(above).alias("good"), F.sum("bad").over(above).alias("bad"))
-        .join(sizes, "stratum")
+        counts.select("unit", "rule", (F.col("level") - 1).alias("cutoff"), F.sum("good").over(above).alias("good"), F.sum("bad").over(above).alias("bad"))
+        .join(few(units.withColumnRenamed("unit", "of")), F.col("unit").eqNullSafe(F.col("of")))
         .filter(F.col("good") <= F.col("allowed"))
         .withColumn("gain", F.col("bad") - price * F.col("good"))
         .filter("gain > 0")
     )
-    return tested.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
+    cutoffs = tested.groupBy("unit", "rule").agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
+    return strata.select("stratum", F.col("unit").alias("of")).join(cutoffs, F.col("unit").eqNullSafe(F.col("of"))).select("stratum", "rule", "cutoff")
 
 
 def apply_quality_rules(
@@ -150,8 +160,9 @@ def apply_quality_rules(
     """One row a document: its counts, base_failed, and kept.
 
     labels (doc_id, quality): a document with quality 1 is good; of repeated labels the smallest counts, null ones
-    are left out. The holdout is every labelled document that the base rules pass. Null text counts as empty and so
-    fails the base rules; a stratum without labels, an empty label table or an empty input rejects nothing more.
+    are left out. The holdout is every labelled document that the base rules pass; certified_cutoffs says which cutoffs
+    follow. Null text counts as empty and so fails the base rules; a stratum without any labelled document, an empty
+    label table or an empty input rejects nothing more.
     Repeated rows are judged alike. Only the named columns are read, unless
     whole asks for each document's row, as the struct document.
     """
