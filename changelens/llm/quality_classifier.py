@@ -18,6 +18,10 @@ from changelens.llm.scratch import ship, written
 WORD = re.compile(r"\w+")
 #: Prefixes of words, so that a word's stem speaks for forms that the sample lacks.
 STEMS = (4, 5)
+#: The weight of the level above where sites don't differ.
+NO_DIFFERENCE = 1e9
+#: Site tables of up to so many bytes are broadcast; larger ones are joined by shuffling.
+BROADCAST_BYTES = 16 << 20
 
 
 def features(text: str) -> set[str]:
@@ -63,7 +67,7 @@ def feature_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def telling_features(counts: DataFrame, n_bad: int, n_good: int, most: int, *, ratio: float = 3.0, test: float = 20.0) -> dict[str, float]:
+def telling_features(counts: DataFrame, n_bad: int, n_good: int, most: int, *, ratio: float = 2.0, test: float = 12.0) -> dict[str, float]:
     """The log likelihood ratios of features that speak for bad documents: of at least ratio, and beyond chance by a
     likelihood-ratio test (G squared) of at least test."""
     llr = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (n_good + 1))
@@ -100,22 +104,60 @@ def scored(docs: DataFrame, llr: dict[str, float], *, strongest: int = 3) -> Dat
     return docs.select("doc_id", "text", *names_out[1:]).mapInArrow(score, out)
 
 
-def shrinkage(sites: DataFrame, rate: Column | float) -> float:
-    """The weight, in documents, of the level above: from the variance of site rates beyond what counts alone give.
+def chance_at(rate: Column | float, evidence: Column) -> Column:
+    """The chance of being bad at a site of that rate: its odds times e to the evidence, which is infinite for a label."""
+    return 1 / (1 + (1 - rate) / rate * F.exp(-evidence))
 
-    sites(n, bad). The method of moments for a beta prior: Q = sum n (r - rate)^2 exceeds its expectation without
-    site differences by tau^2 times (N - sum n^2 / N); the weight is rate (1 - rate) / tau^2 - 1.
+
+def held_in(rate: Column) -> Column:
+    return F.greatest(F.least(rate, F.lit(1 - 1e-9)), F.lit(1e-9))
+
+
+def site_cells(rows: DataFrame, *site: str) -> DataFrame:
+    """(site, cells, size): each site's documents as an array of (evidence, n), sorted; as long as there are score steps."""
+    pooled = rows.groupBy(*site, "evidence").agg(F.sum("n").alias("n"))
+    cells = F.sort_array(F.collect_list(F.struct("evidence", "n"))).alias("cells")
+    return pooled.groupBy(*site).agg(cells, F.sum("n").alias("size"))
+
+
+def over_cells(value) -> Column:
+    """The sum of n * value(evidence) over a site's cells."""
+    return F.aggregate("cells", F.lit(0.0), lambda total, c: total + c["n"] * value(c["evidence"]))
+
+
+def prior_weight(sites: DataFrame, above: str) -> float:
+    """How many documents the rate of the level above counts for, from how far sites(cells, size, above) differ.
+
+    At the rate r of the level above, a document's score is s = (c - r) / (r (1 - r)), c being its chance there. Without
+    site differences a site's sum of scores U has the variance I, the sum of s squared; differences of variance t in the
+    rates add I * I * t. So t is the sum of U * U - I over all sites, by that of I * I, and the weight of a beta prior
+    follows as r (1 - r) / t - 1. Evidence that tells little has a small I, so chances that vary less than labels do
+    don't hide a difference. It is rounded, so that the order of a sum doesn't show.
     """
-    r = F.col("bad") / F.col("n")
-    row = sites.agg(
-        F.sum(F.col("n") * (r - rate) ** 2).alias("q"), F.sum("n").alias("n"), F.sum(F.col("n") ** 2).alias("nn"),
-        F.count("*").alias("k"), (F.sum(F.col("n") * rate) / F.sum("n")).alias("rate"),
-    ).first()
-    if not row["n"] or row["k"] < 2:
-        return 1e9
-    within = row["rate"] * (1 - row["rate"])
-    between = (row["q"] - (row["k"] - 1) * within) / (row["n"] - row["nn"] / row["n"])
-    return 1e9 if between <= 0 or within <= 0 else min(1e9, max(1.0, within / between - 1))
+    r = F.col(above)
+    score = lambda e: (chance_at(r, e) - r) / (r * (1 - r))
+    at = sites.select(over_cells(score).alias("u"), over_cells(lambda e: score(e) * score(e)).alias("i"), (F.col("size") * r * (1 - r)).alias("spread"), "size")
+    row = at.agg(F.sum(F.col("u") * F.col("u") - F.col("i")).alias("t"), F.sum(F.col("i") * F.col("i")).alias("ii"), F.sum("spread").alias("spread"), F.sum("size").alias("n")).first()
+    if not row["n"] or not row["ii"] or row["t"] <= 0:
+        return NO_DIFFERENCE
+    return float(f"{min(NO_DIFFERENCE, max(1.0, row['spread'] / row['n'] * row['ii'] / row['t'] - 1)):.6g}")
+
+
+def site_rate(above: Column, weight: float, rounds: int = 30) -> Column:
+    """A site's bad rate by expectation and maximisation: its documents' chances at the rate, with weight documents of the rate above."""
+    step = lambda r, _: held_in((over_cells(lambda e: chance_at(r, e)) + weight * above) / (F.col("size") + weight))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), held_in(above), step)
+
+
+def overall_rate(cells: list[tuple[float, int]], start: float) -> float:
+    """The bad rate of all documents, from (evidence, n)."""
+    if not cells:
+        return start
+    evidence, n = np.array([c[0] for c in cells]), np.array([c[1] for c in cells], dtype=float)
+    rate = start
+    for _ in range(200):
+        rate = float(np.clip((n / (1 + (1 - rate) / rate * np.exp(-evidence))).sum() / n.sum(), 1e-6, 1 - 1e-6))
+    return float(f"{rate:.9g}")
 
 
 def classify(
@@ -136,18 +178,22 @@ def classify(
     labels(doc_id, quality, toxic): quality 0 or toxic 1 means bad; of repeated labels the worst counts, null ones
     count as clean. Up to `sample` labelled documents, those with the smallest hashes of doc_id, train the features;
     all other labelled ones calibrate: the ratio of a score step's shares among bad and good documents, smoothed and
-    non-decreasing in the step, is the evidence. With it and the global rate every document has a chance of being bad;
-    these chances, summed by host and by path in the host, give the hosts' rates, shrunk towards the global rate, and
-    the paths', shrunk towards their host's, as far as shrinkage() says. The posterior is the path's odds times the
-    evidence.
+    non-decreasing in the step, is the evidence.
+
+    A site's documents are then counts by evidence, a labelled document being certain. From them follow the overall bad
+    rate, each host's, shrunk towards it, and each path's in a host, shrunk towards the host's, as far as
+    prior_weight() says; sparse sites stay close to the level above. The posterior is the path's odds times the
+    document's own evidence; its own label, if it has one, counts at its site only.
+
+    The table has no URLs: by default the source stands for the host and the language for the path.
 
     The driver holds most_features ratios and some tens of steps. A null text has no feature; a null host or path is
-    a site of its own; documents without labels are judged like all others; without any label the evidence is even
-    and everything is kept. Repeated rows are judged alike. An empty table gives an empty result.
+    a site of its own, apart from an empty one; documents without labels are judged like all others; without any label
+    the evidence is even and everything is kept. Repeated rows are judged alike. An empty table gives an empty result.
     whole adds each document's row as the struct document.
     """
     ship(docs.sparkSession)
-    site = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    site = lambda c: F.col(c).cast("string")
     own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")] if whole else []
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), site(host_col).alias("host"), site(path_col).alias("path"), *own)
     marked = labels.filter("doc_id is not null").groupBy("doc_id").agg(
@@ -167,35 +213,42 @@ def classify(
     llr = telling_features(feature_counts(training), n_bad, n_good, most_features) if n_bad and n_good else {}
 
     rows = written(scored(docs, llr), "scored")
-    held = rows.select("doc_id", "step").join(marked.filter(~F.col("training")), "doc_id").groupBy("step").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
+    seen = written(
+        rows.select("doc_id", "host", "path", "step").join(marked, "doc_id", "left").groupBy("host", "path", "step", "bad", "training").agg(F.count("*").alias("n")),
+        "site-counts",
+    )
+    held = seen.filter(~F.col("training")).groupBy("step").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good"))
     evidence, rate = calibrated([(r["step"], r["bad"], r["good"]) for r in held.collect()])
     steps = F.broadcast(docs.sparkSession.createDataFrame(sorted(evidence.items()), "known int, evidence double"))
-    top = max(evidence)
-    rows = rows.join(steps, F.least(F.greatest("step", F.lit(0)), F.lit(top)) == F.col("known"))
-    odds = lambda p: p / (1 - p)
-    chance = lambda prior: F.lit(1.0) - 1 / (1 + odds(prior) * F.exp("evidence"))
-    rows = rows.withColumn("chance", chance(F.lit(rate)))
-
-    paths = written(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("chance").alias("bad")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    all_ = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
-    overall = (all_["bad"] + rate) / (all_["n"] + 1) if all_["n"] else rate
-    weight = shrinkage(hosts, F.lit(overall))
-    hosts = hosts.select("host", ((F.col("bad") + weight * overall) / (F.col("n") + weight)).alias("host_rate"))
-    paths = paths.join(hosts, "host")
-    weight = shrinkage(paths, F.col("host_rate"))
-    paths = written(
-        paths.withColumn("path_rate", (F.col("bad") + weight * F.col("host_rate")) / (F.col("n") + weight)).select("host", "path", "host_rate", "path_rate"),
-        "path-rates",
-    )
-    few = paths.count() <= 100_000
+    at_step = F.least(F.greatest("step", F.lit(0)), F.lit(max(evidence))) == F.col("known")
+    paths = path_rates(seen.join(steps, at_step), rate)
+    joined = F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))
+    size = paths.agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("host"), F.lit(0)) + F.coalesce(F.octet_length("path"), F.lit(0))).alias("bytes")).first()
+    few = (size["bytes"] or 0) + 40 * size["n"] <= BROADCAST_BYTES
+    paths = paths.withColumnsRenamed({"host": "_host", "path": "_path"})
     return (
-        rows.join(F.broadcast(paths) if few else paths, ["host", "path"])
-        .withColumn("posterior", chance(F.least(F.greatest("path_rate", F.lit(1e-9)), F.lit(1 - 1e-9))))
+        rows.join(steps, at_step)
+        .join(F.broadcast(paths) if few else paths, joined)
+        .withColumn("posterior", chance_at(F.col("path_rate"), F.col("evidence")))
         .select("doc_id", "host", "path", "evidence", "host_rate", "path_rate", "posterior", (F.col("posterior") <= reject_above).alias("kept"), *(["document"] if whole else []))
     )
 
 
+def path_rates(seen: DataFrame, start: float) -> DataFrame:
+    """(host, path, host_rate, path_rate) of counts seen(host, path, evidence, bad, n); where bad is known, it is certain."""
+    certain = F.when(F.col("bad"), float("inf")).otherwise(float("-inf"))
+    counts = written(
+        seen.withColumn("evidence", F.when(F.col("bad").isNull(), F.col("evidence")).otherwise(certain)).groupBy("host", "path", "evidence").agg(F.sum("n").alias("n")),
+        "site-cells",
+    )
+    overall = overall_rate([(r["evidence"], r["n"]) for r in counts.groupBy("evidence").agg(F.sum("n").alias("n")).orderBy("evidence").collect()], start)
+    hosts = written(site_cells(counts, "host").withColumn("overall", F.lit(overall)), "host-cells")
+    rates = hosts.select(F.col("host").alias("_host"), site_rate(F.col("overall"), prior_weight(hosts, "overall")).alias("host_rate"))
+    paths = written(site_cells(counts, "host", "path").join(rates, F.col("host").eqNullSafe(F.col("_host"))).drop("_host"), "path-cells")
+    weight = prior_weight(paths, "host_rate")
+    return written(paths.select("host", "path", "host_rate", site_rate(F.col("host_rate"), weight).alias("path_rate")), "path-rates")
+
+
 def calibrated(counts: list[tuple[int, int, int]]) -> tuple[dict[int, float], float]:
     """(log ratio of each score step from 0 to the greatest, bad rate) from (step, bad, good) counts.
 
