@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
-from changelens.llm.license_scan import PHRASES, TEMPLATES, template_tokens
-from changelens.llm.quality_rules import RULES, STEPS, TOP
-
+# The rules, phrases and notices again, in SQL's own words, so that a slip in the operators shows.
+RULES = {
+    "symbols": "n_symbols::DOUBLE / nullif(n_words, 0)",
+    "dup_lines": "n_dup_lines::DOUBLE / nullif(n_lines, 0)",
+    "repeats": "n_repeat_words::DOUBLE / nullif(n_words, 0)",
+    "capitals": "n_capitals::DOUBLE / nullif(word_chars, 0)",
+    "word_length": "word_chars::DOUBLE / nullif(n_words, 0) / 10",
+    "marks": "n_marks::DOUBLE / nullif(n_words, 0)",
+}
+PHRASES = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
+NOTICES = """
+    ('apache-2.0', 'licensed under the apache license version 2 0'),
+    ('bsd', 'redistribution and use in source and binary forms with or without modification are permitted'),
+    ('cc-by-4.0', 'licensed under a creative commons attribution 4 0 international license'),
+    ('cc-by-nc-4.0', 'licensed under cc by nc 4 0'),
+    ('cc-by-sa-4.0', 'licensed under cc by sa 4 0'),
+    ('gpl-3.0', 'this work is licensed under the gnu general public license version 3'),
+    ('gpl-notice', 'you can redistribute it and or modify it under the terms of the gnu general public license'),
+    ('mit', 'released under the mit license'),
+    ('mit-grant', 'permission is hereby granted free of charge to any person obtaining a copy of this software'),
+    ('mpl-2.0', 'this source code form is subject to the terms of the mozilla public license v 2 0')"""
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLANK = r"[^\x20\x09-\x0D]"
@@ -12,17 +30,15 @@ BLANK = r"[^\x20\x09-\x0D]"
 
 def license_scan(threshold: float = 0.9, block: int = 64) -> str:
     places = []
-    for phrase in PHRASES:
-        words = phrase.split()
+    for words in PHRASES.values():
         test = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
         places.append(f"list_filter(range(1, len(w) - {len(words) - 2}), lambda i: {test})")
-    templates = ", ".join(f"('{label}', [{', '.join(repr(t) for t in tokens)}])" for label, tokens in template_tokens(TEMPLATES).items())
-    labels = ", ".join(f"CASE WHEN len({p}) > 0 THEN '{label}' END" for p, label in zip(places, PHRASES.values(), strict=True))
+    labels = ", ".join(f"CASE WHEN len({p}) > 0 THEN '{label}' END" for p, label in zip(places, PHRASES, strict=True))
     return rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '{WORD}') AS w FROM documents),
         b AS (SELECT doc_id, w, len(w) AS n_words, list_concat(list_concat({places[0]}, {places[1]}), {places[2]}) AS spots,
               list_sort(list_filter([{labels}], lambda x: x IS NOT NULL)) AS base FROM d),
-        t(label, tokens) AS (VALUES {templates}),
+        t AS (SELECT label, list_distinct(string_split(notice, ' ')) AS tokens FROM (VALUES {NOTICES}) n(label, notice)),
         blocks AS (SELECT doc_id, list_distinct(w[s + 1:s + {block}]) AS words
                    FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 1 - {block // 2}, 0) + 1, {block // 2})) AS s FROM d)),
         hits AS (SELECT doc_id, label, max(len(list_intersect(tokens, words)) / len(tokens)) AS c FROM blocks, t
@@ -35,8 +51,8 @@ def license_scan(threshold: float = 0.9, block: int = 64) -> str:
         FROM b LEFT JOIN found USING (doc_id)"""
 
 
-def quality_rules(most: float = 0.005, risk: float = 0.05, price: float = 20.0) -> str:
-    levels = ", ".join(f"least({TOP}, floor(({value.replace('/', '::DOUBLE /', 1)}) * {STEPS}))::INT AS {rule}" for rule, value in RULES.items())
+def quality_rules(most: float = 0.02, risk: float = 0.05, price: float = 20.0) -> str:
+    levels = ", ".join(f"least(2000, floor(({value}) * 200))::INT AS {rule}" for rule, value in RULES.items())
     rows = " UNION ALL ".join(f"SELECT stratum, good, '{r}' AS rule, {r} AS level FROM holdout" for r in RULES)
     cut = ", ".join(f"max(cutoff) FILTER (rule = '{r}') AS {r}_cutoff" for r in RULES)
     fails = ", ".join(f"coalesce({r} > {r}_cutoff, false) AS {r}_failed" for r in RULES)
@@ -53,15 +69,17 @@ def quality_rules(most: float = 0.005, risk: float = 0.05, price: float = 20.0)
               FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
         j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {levels} FROM f),
         holdout AS (SELECT j.*, good FROM j JOIN (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1) l ON l.doc_id = j.doc_id WHERE NOT base_failed),
-        sizes AS (SELECT stratum, count(*) FILTER (good) AS n FROM holdout GROUP BY 1),
-        terms AS (SELECT stratum, n, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({most}) + (n - i) * ln(1 - {most})) AS p
-                  FROM (SELECT stratum, n, unnest(range(0, floor(n * {most})::BIGINT + 1)) AS i FROM sizes)),
-        tails AS (SELECT stratum, i, sum(p) OVER (PARTITION BY stratum ORDER BY i) AS tail FROM terms),
-        allowed AS (SELECT stratum, coalesce(max(i) FILTER (tail <= {risk} / ({len(RULES)} * (SELECT count(*) FROM sizes))), -1) AS k FROM tails GROUP BY 1),
-        counts AS (SELECT stratum, rule, level, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad FROM ({rows}) WHERE level IS NOT NULL GROUP BY 1, 2, 3),
-        above AS (SELECT stratum, rule, level - 1 AS cutoff, sum(good) OVER v AS good, sum(bad) OVER v AS bad FROM counts WINDOW v AS (PARTITION BY stratum, rule ORDER BY level DESC)),
-        gains AS (SELECT stratum, rule, cutoff, bad - {price} * good AS gain FROM above JOIN allowed USING (stratum) WHERE good <= k AND bad - {price} * good > 0),
-        cuts AS (SELECT stratum, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, cutoff DESC) AS n FROM gains) WHERE n = 1),
+        sizes AS (SELECT *, row_number() OVER (ORDER BY n DESC, stratum) AS m FROM (SELECT stratum, count(*) FILTER (good) AS n FROM holdout GROUP BY 1)),
+        strata AS (SELECT stratum, n, CASE WHEN n * ln(1 - {most}) <= ln({risk} / ({len(RULES)} * (m + 1))) THEN 'alone ' || stratum ELSE 'rest' END AS unit FROM sizes),
+        units AS (SELECT unit, sum(n)::BIGINT AS n FROM strata GROUP BY 1),
+        terms AS (SELECT unit, n, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({most}) + (n - i) * ln(1 - {most})) AS p
+                  FROM (SELECT unit, n, unnest(range(0, floor(n * {most})::BIGINT + 1)) AS i FROM units)),
+        tails AS (SELECT unit, i, sum(p) OVER (PARTITION BY unit ORDER BY i) AS tail FROM terms),
+        allowed AS (SELECT unit, coalesce(max(i) FILTER (tail <= {risk} / ({len(RULES)} * (SELECT count(*) FILTER (unit <> 'rest') + 1 FROM strata))), -1) AS k FROM tails GROUP BY 1),
+        counts AS (SELECT unit, rule, level, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad FROM ({rows}) JOIN strata USING (stratum) WHERE level IS NOT NULL GROUP BY 1, 2, 3),
+        above AS (SELECT unit, rule, level - 1 AS cutoff, sum(good) OVER v AS good, sum(bad) OVER v AS bad FROM counts WINDOW v AS (PARTITION BY unit, rule ORDER BY level DESC)),
+        gains AS (SELECT unit, rule, cutoff, bad - {price} * good AS gain FROM above JOIN allowed USING (unit) WHERE good <= k AND bad - {price} * good > 0),
+        cuts AS (SELECT stratum, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY unit, rule ORDER BY gain DESC, cutoff DESC) AS gains_n FROM gains) JOIN strata s USING (unit) WHERE gains_n = 1),
         wide AS (SELECT stratum, {cut} FROM cuts GROUP BY 1)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({broken}) AS kept, j.stratum, {fails}
         FROM j LEFT JOIN wide ON wide.stratum = j.stratum"""
