@@ -35,8 +35,30 @@ def template_tokens(templates: dict[str, str]) -> dict[str, list[str]]:
 
 def lowered(text: Column) -> Column:
     """Lower case for the letters A-Z; other letters may change, but none turns into one of a-z."""
-    kelvin = "K"  # its lower case is the letter k
-    return F.lower(F.when(text.contains(kelvin), F.translate(text, kelvin, "Å")).otherwise(text))
+    kelvin = "K"  # its lower case is the letter k
+    return F.lower(F.when(text.contains(kelvin), F.translate(text, kelvin, "Å")).otherwise(text))
+
+
+def known_words(docs: DataFrame, known: list[str], *, id_col: str, text_col: str) -> DataFrame:
+    """(row_id, doc_id, n_words, hits): of each whole text, how many words it has, and the place (from 0) and word of each known one."""
+    words = F.array_remove(F.split(lowered(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS), "")
+    places = lambda w: F.filter(F.transform(w, lambda x, i: F.struct(i.alias("at"), x.alias("token"))), lambda h: h["token"].isin(known))
+    found = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), places(w).alias("hits")))
+    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), found.alias("found")).select("row_id", "doc_id", "found.*")
+
+
+def phrase_starts(hits: Column, phrase: str) -> Column:
+    """Where a phrase's words stand one behind the other. All of its words are known ones, so they are neighbours in hits."""
+    words = phrase.split()
+
+    def stands(h: Column, k: Column) -> Column:
+        test = h["token"] == words[0]
+        for i, word in enumerate(words[1:], start=1):
+            other = F.get(hits, k + i)
+            test &= F.coalesce((other["token"] == word) & (other["at"] == h["at"] + i), F.lit(False))
+        return test
+
+    return F.transform(F.filter(hits, stands), lambda h: h["at"])
 
 
 def scan_licenses(
@@ -56,47 +78,20 @@ def scan_licenses(
     its first common token within the first |T| - o + 1 tokens of T and |B| - o + 1 of B, so blocks and templates are
     joined on those prefix tokens, if B is long enough and the tokens behind the shared one can still make up o; the
     pairs found are confirmed on whole sets. Words outside all templates can't add to an overlap and are left out of
-    B's order. Texts whose words, all together, hold no template are not cut into blocks.
+    B's order. A text without any template's prefix token holds none and is not cut into blocks.
 
-    A null text counts as empty and has no block. Repeated rows each have their own row_id. An empty table gives two
-    empty results. Templates are a parameter of tens of lines; their tables are broadcast.
+    A text is split into words once; of these only the known ones, of templates and phrases, are kept, with their
+    places. A null text counts as empty and has no block. Repeated rows each have their own row_id. An empty table
+    gives two empty results. Templates are a parameter of tens of lines; their tables are broadcast.
     """
     spark = docs.sparkSession
     tokens = template_tokens(TEMPLATES if templates is None else templates)
     need = {label: math.ceil(threshold * len(t) - 1e-9) for label, t in tokens.items()}
     vocabulary = sorted(set().union(*tokens.values()))
-    known = F.array(*map(F.lit, vocabulary))
-    lower = lowered(F.coalesce(F.col(text_col), F.lit("")))
-    holds = lambda words: F.exists(
-        F.array(*(F.struct(F.array(*map(F.lit, t)).alias("t"), F.lit(need[label]).alias("o")) for label, t in tokens.items())),
-        lambda x: F.size(F.array_intersect(x["t"], words)) >= x["o"],
-    )
-    place = {p: f"(?<!{WORD}){p.replace(' ', SEPARATORS)}(?!{WORD})" for p in PHRASES}
-    anywhere = f"(?:{'|'.join(place.values())})"
-    found = F.col("n_base") > 0
-    count = lambda pattern: F.regexp_count("text", F.lit(pattern)).cast("long")
-    words_in = lambda c: F.regexp_count(c, F.lit(WORD + "+")).cast("long")
-    rows = written(
-        docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), lower.alias("text"))
-        .withColumn("words", F.array_remove(F.split("text", SEPARATORS), ""))
-        .withColumn("hits", F.array_intersect("words", known))
-        .withColumn("n_base", count(anywhere))
-        .select(
-            "row_id",
-            "doc_id",
-            F.size("words").cast("long").alias("n_words"),
-            "n_base",
-            F.when(found, words_in(F.regexp_extract("text", rf"^([\s\S]*?){anywhere}", 1))).alias("first_word"),
-            F.when(found, words_in(F.regexp_extract("text", rf"^([\s\S]*){anywhere}", 1))).alias("last_word"),
-            F.when(found, F.array(*(F.when(F.col("text").rlike(place[p]), F.lit(label)) for p, label in PHRASES.items()))).alias("base"),
-            "hits",
-            F.when(holds(F.col("hits")), F.col("words")).alias("words"),
-        )
-        .withColumn("base", F.coalesce(F.array_sort(F.array_compact("base")), F.array().cast("array<string>"))),
-        "license-rows",
-    )
+    known = sorted({*vocabulary, *(word for phrase in PHRASES for word in phrase.split())})
+    rows = written(known_words(docs, known, id_col=id_col, text_col=text_col), "license-words")
     # Documents that have each token, over all of them; a token that none has is the rarest.
-    seen = rows.select(F.explode("hits").alias("token")).groupBy("token").count()
+    seen = rows.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["token"]))).alias("token")).groupBy("token").count()
     vocabulary_rows = spark.createDataFrame([(t,) for t in vocabulary], "token string")
     order = written(
         vocabulary_rows.join(F.broadcast(seen), "token", "left").select("token", F.coalesce("count", F.lit(0)).alias("n_docs")), "license-order"
@@ -114,13 +109,21 @@ def scan_licenses(
         .filter("t_pos <= t_size - need")
         .select("label", "need", "t_size", "t_pos", "x.token")
     )
+    prefixes = written(prefixes, "license-prefixes")
+    first = F.lit([r["token"] for r in prefixes.select("token").distinct().collect()] or [""])
     step = block_words // 2
-    cut = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1 - step, F.lit(0)), F.lit(step)), lambda i: F.slice(w, i + 1, block_words))
+    # A word lies in the block that begins at its multiple of step, if there is one, and in the one before.
+    last = F.floor(F.greatest(F.col("n_words") - 1 - step, F.lit(0)) / step)
+    own = F.floor(F.col("h.at") / step)
     blocks = (
-        rows.filter("words is not null")
-        .select("row_id", F.posexplode(let(F.col("words"), cut)).alias("block", "words"))
-        .select("row_id", "block", F.array_intersect("words", known).alias("tokens"))
-        .filter(F.size("tokens") >= min(need.values()))
+        rows.filter(F.arrays_overlap(F.transform("hits", lambda h: h["token"]), first))
+        .select("row_id", "n_words", F.explode("hits").alias("h"))
+        .filter(F.col("h.token").isin(vocabulary))
+        .select("row_id", last.alias("last"), F.explode(F.array(own, own - 1)).alias("block"), F.col("h.token").alias("token"))
+        .filter("block between 0 and last")
+        .groupBy("row_id", "block")
+        .agg(F.collect_set("token").alias("tokens"))
+        .filter((F.size("tokens") >= min(need.values())) & F.arrays_overlap("tokens", first))
     )
     matches = (
         ranked(blocks, "row_id", "block")
@@ -135,7 +138,24 @@ def scan_licenses(
         .filter("overlap >= need")
         .select("row_id", "block", "label", (F.col("overlap") / F.col("t_size")).alias("containment"))
     )
-    return rows, matches
+    return base_places(rows), matches
+
+
+def base_places(rows: DataFrame) -> DataFrame:
+    """rows(row_id, doc_id, n_words, hits) with n_base, first_word, last_word and base, the sorted labels of the phrases found."""
+    starts = F.array(*(F.struct(F.lit(label).alias("label"), phrase_starts(F.col("hits"), phrase).alias("at")) for phrase, label in PHRASES.items()))
+    found = F.col("starts")
+    every = F.flatten(F.transform(found, lambda s: s["at"]))
+    labels = F.array_sort(F.transform(F.filter(found, lambda s: F.size(s["at"]) > 0), lambda s: s["label"]))
+    return rows.select("row_id", "doc_id", "n_words", starts.alias("starts")).select(
+        "row_id",
+        "doc_id",
+        "n_words",
+        F.size(every).cast("long").alias("n_base"),
+        F.array_min(every).cast("long").alias("first_word"),
+        F.array_max(every).cast("long").alias("last_word"),
+        labels.alias("base"),
+    )
 
 
 def license_labels(docs: DataFrame, **options) -> DataFrame:
