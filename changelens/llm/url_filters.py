@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changelens.llm.scratch import written
+
 #: Days in a time bucket of the interval join.
 BUCKET_DAYS = 30
+#: Intervals of up to so many bytes, spread over their buckets, are broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Parts into which each pattern's captures are dealt where intervals are joined by shuffling.
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -56,50 +62,58 @@ def url_keys(url: Column) -> Column:
     return F.when(host.isNotNull(), keys)
 
 
-def active_entries(captures: DataFrame, intervals: DataFrame) -> DataFrame:
-    """(capture_id, kind, pattern, verdict) of every entry that is active when a capture is fetched.
+def active_entries(captures: DataFrame, intervals: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(capture, kind, pattern, verdict) of every entry that is active when a capture is fetched.
+
+    captures(capture, url, fetched_at). Captures and intervals meet by pattern and time bucket, an interval being in each
+    bucket that it touches, so a capture sees only its pattern's entries of that month; the bounds decide. An open
+    interval ends with the last capture. A capture that is fetched at valid_from is inside, at valid_to outside.
 
-    captures(capture_id, url, fetched_at). Captures and intervals meet by pattern and time bucket, an interval being
-    in each bucket that it touches, so a capture sees only its pattern's entries of that month; the bounds decide. An
-    open interval ends with the last capture. A capture that is fetched at valid_from is inside, at valid_to outside.
+    Intervals of up to broadcast_bytes are broadcast, so that no capture moves. More are joined by shuffling, each
+    pattern being dealt to SALTS parts: nearly all captures of a month can share a top-level domain.
     """
     bucket = lambda at: F.floor(F.unix_date(F.to_date(at)) / BUCKET_DAYS)
     last = F.lit(captures.agg(F.max("fetched_at")).first()[0]).cast("timestamp")
     until = F.least(F.coalesce("valid_to", last), last)
-    spread = intervals.filter(F.col("valid_from") <= last).withColumn(
-        "bucket", F.explode(F.sequence(bucket(F.col("valid_from")), bucket(until)))
+    spread = written(
+        intervals.filter(F.col("valid_from") <= last).withColumn("bucket", F.explode(F.sequence(bucket(F.col("valid_from")), bucket(until)))), "intervals"
     )
     keyed = (
         captures.filter("fetched_at is not null")
-        .select("capture_id", "fetched_at", F.explode(url_keys(F.col("url"))).alias("key"))
-        .select("capture_id", "fetched_at", "key.*", bucket(F.col("fetched_at")).alias("bucket"))
-    )
-    return (
-        keyed.join(spread, ["kind", "pattern", "bucket"])
-        .filter("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)")
-        .select("capture_id", "kind", "pattern", "verdict")
+        .select("capture", "fetched_at", F.explode(url_keys(F.col("url"))).alias("key"))
+        .select("capture", "fetched_at", "key.*", bucket(F.col("fetched_at")).alias("bucket"))
     )
+    size = spread.agg(F.coalesce(F.sum(F.octet_length("pattern") + F.octet_length("verdict") + 64), F.lit(0))).first()[0]
+    keys = ["kind", "pattern", "bucket"]
+    if size <= broadcast_bytes:
+        met = keyed.join(F.broadcast(spread), keys)
+    else:
+        keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("capture"), F.lit(SALTS)))
+        met = keyed.join(spread.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, "salt"])
+    return met.filter("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)").select("capture", "kind", "pattern", "verdict")
 
 
-def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """captures with n_active, matched ('kind:pattern=verdict', sorted, comma-joined) and kept.
+def judge_captures(captures: DataFrame, entries: DataFrame, **options) -> DataFrame:
+    """captures(capture_id, url, fetched_at) with n_active, matched ('kind:pattern=verdict', sorted, comma-joined) and kept.
 
     The most specific active entry decides: a folder before a host before a domain, the longer pattern before the
     shorter; with none, or with an 'allow', the capture is kept. A null or hostless URL and a null fetch time match
-    nothing and are kept. capture_id names a row: repeated rows need ids of their own. Empty tables give empty or
-    unmatched results.
+    nothing and are kept. Captures are numbered in a written table and judged by number, so repeated rows and rows of
+    one or no capture_id each have their own, equal result. Empty tables give empty or unmatched results. Only the
+    three columns are read.
     """
     rank = F.expr("struct(case kind when 'path' then 3 when 'host' then 2 else 1 end, length(pattern), pattern)")
+    rows = written(captures.select(F.monotonically_increasing_id().alias("capture"), "capture_id", "url", "fetched_at"), "captures")
     found = (
-        active_entries(captures, entry_intervals(entries))
-        .groupBy("capture_id")
+        active_entries(rows, entry_intervals(entries), **options)
+        .groupBy("capture")
         .agg(
             F.count("*").alias("n_active"),
             F.array_join(F.sort_array(F.collect_list(F.concat("kind", F.lit(":"), "pattern", F.lit("="), "verdict"))), ",").alias("matched"),
             F.max_by("verdict", rank).alias("verdict"),
         )
     )
-    return captures.join(found, "capture_id", "left").select(
+    return rows.join(found, "capture", "left").select(
         "capture_id",
         "url",
         "fetched_at",
