@@ -70,10 +70,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     current = written(ends.mapInArrow(_forest, "a long, b long"), "forest")
     while True:
         both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # The minima are tables of their own, so that a join with them is one of two plain inputs, which adaptive
+        # execution broadcasts or splits: a star's centre has all its edges under one key.
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
         large = written(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = (
             large.join(low, "a")
             .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))

@@ -98,6 +98,8 @@ def grouped_nodes(
     band_rows: int = 4,
     family_bytes: int = 64 << 20,
     block_bytes: int = 8 << 20,
+    block_rows: int = 128,
+    spread: int = 24,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, groups): the rows as signed() gives them; a node for each shingle set, with the doc_id, text_hash and
     number of its smallest row; and the component of each node that is linked with another. See near_duplicates.
@@ -123,17 +125,19 @@ def grouped_nodes(
     families = components(shared.filter("node != least").select("node", "least").distinct(), "node", "least")
     member = families.join(nodes.select("node", "n_shingles", "signature", "doc_id", "text_hash"), "node")
     member = written(member.withColumn("bytes", F.col("n_shingles") * 8 + slots), "members")
-    weight = member.groupBy("component").agg(F.sum("bytes").alias("unit_bytes"))
-    whole = member.join(weight, "component").select("node", "bytes", F.col("component").alias("unit"), "unit_bytes")
+    size = (F.sum("bytes").alias("unit_bytes"), F.count("*").alias("unit_rows"))
+    whole = member.join(member.groupBy("component").agg(*size), "component").select("node", "bytes", F.col("component").alias("unit"), "unit_bytes", "unit_rows")
     loose = shared.select("node", F.col("key").alias("unit")).join(
         whole.filter(F.col("unit_bytes") > family_bytes).select("node", "bytes"), "node"
     )
-    loose = loose.join(loose.groupBy("unit").agg(F.sum("bytes").alias("unit_bytes")), "unit").select("node", "bytes", "unit", "unit_bytes")
+    loose = loose.join(loose.groupBy("unit").agg(*size), "unit").select("node", "bytes", "unit", "unit_bytes", "unit_rows")
     total = member.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    n_blocks = F.ceil(F.col("unit_bytes") / block_bytes).cast("int")
+    by_rows = F.least(F.lit(spread), F.ceil(F.col("unit_rows") / block_rows))
+    n_blocks = F.greatest(F.ceil(F.col("unit_bytes") / block_bytes), by_rows).cast("int")
+    lanes = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
     block = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j"))))
-    lane = F.pmod(F.xxhash64("unit"), F.lit(max(1, -(-total // block_bytes))))
+    lane = F.pmod(F.xxhash64("unit"), F.lit(lanes))
     tasks = (
         whole.filter(F.col("unit_bytes") <= family_bytes)
         .union(loose)
@@ -174,8 +178,9 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     that share a band's key are candidates. With 32 bands of 4, two nodes of similarity 0.75 share none about five
     times in a million. Candidates' components are families. A family's members are compared inside tasks: pairs whose
     signatures are far apart are passed over, others are confirmed on their whole sets, and a task returns a forest,
-    never its pairs. Families of over block_bytes are cut into blocks and each pair of blocks meets in one task, so no
-    task holds more than about twice that. If a family exceeds family_bytes, its buckets take its place, cut the same
+    never its pairs. Families of over block_bytes, or of over block_rows members, which make up to `spread` blocks, are cut
+    into blocks and each pair of blocks meets in one task, so no task holds more than about twice block_bytes and a
+    family's pairs are spread over many tasks. If a family exceeds family_bytes, its buckets take its place, cut the same
     way, so that a chain of loose candidates doesn't become one large comparison. The forests' components are the
     result; component_id is the smallest doc_id in it.
 
