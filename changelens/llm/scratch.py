@@ -15,9 +15,14 @@ _MADE: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir; below a temporary folder of the session's where that is unset."""
+    """A fresh path below spark.checkpoint.dir; in local mode, below a temporary folder where that is unset.
+
+    On a cluster the folder must be shared by all executors, so there an unset one is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _MADE:
             _MADE[app] = tempfile.mkdtemp(prefix="changelens-")

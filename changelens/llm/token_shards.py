@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -59,7 +60,10 @@ def sequences(docs: DataFrame, *, id_col: str, text_col: str, length: int, end_i
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("row", "piece", "n_tokens", "ids")}
             for row, text in enumerate(batch.column(1)):
-                data = np.frombuffer(tokenizer.encode(text.as_py() or ""), dtype="<u4").astype("<u2").tobytes() + fill[:2]
+                ids = np.frombuffer(tokenizer.encode(text.as_py() or ""), dtype="<u4")
+                if len(ids) and ids.max() > 0xFFFF:
+                    raise ValueError(f"token id {ids.max()} doesn't fit 16 bits")
+                data = ids.astype("<u2").tobytes() + fill[:2]
                 for piece, start in enumerate(range(0, len(data), stride)):
                     part = data[start : start + stride]
                     for column, value in zip(out.values(), (row, piece, len(part) // 2, part + fill[len(part) :]), strict=True):
@@ -111,6 +115,14 @@ def slotted(rows: DataFrame, *, key: int, shard_rows: int) -> tuple[DataFrame, i
     )
 
 
+def with_scheme(path: str, stored: DataFrame) -> str:
+    """path on the file system that Spark itself takes for one without a scheme, as a file of the table stored shows."""
+    if re.match(r"[a-z][a-z0-9+.-]*:", path):
+        return path
+    found = stored.select(F.input_file_name()).first()
+    return re.match(r"([a-z][a-z0-9+.-]*:(?://[^/]*)?)?", found[0] if found else "").group() + path
+
+
 def write_shards(rows: DataFrame, path: str, *, length: int, shard_rows: int, n: int, buffer_bytes: int = 64 << 20) -> DataFrame:
     """shard-00000.bin and so on below path, slot s at byte (s mod shard_rows) * 2 * length of its shard.
 
@@ -149,7 +161,7 @@ def write_shards(rows: DataFrame, path: str, *, length: int, shard_rows: int, n:
             yield runs()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = fs.FileSystem.from_uri(path)
+        system, root = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
         system.create_dir(root, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
         shard, parts = None, {}
@@ -215,7 +227,8 @@ def materialise(
     """(index, manifest, path): all documents as sequences in a keyed random order, in fixed-stride shards below path.
 
     index has doc_id, piece, n_tokens, slot and shard of every sequence; slots run from 0 without gaps, so the order
-    is read from any slot on by its byte place. Only ids of the 49k vocabulary fit the 16 bits. A null text counts as
+    is read from any slot on by its byte place. Ids must fit 16 bits, as those of the 49k vocabulary do; a larger one is
+    an error. A path without a scheme lies on Spark's default file system. A null text counts as
     empty and is one sequence of end_id; repeated rows have sequences of their own; an empty table gives an empty
     index and no shard. The order hangs on key and on how the input is split, not on timing: sequences are written
     once, and what follows reads that table.
@@ -223,6 +236,7 @@ def materialise(
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-shards")
     rows = written(sequences(docs, id_col=id_col, text_col=text_col, length=length, end_id=end_id, vocabulary=vocabulary), "sequences")
+    path = with_scheme(path, rows)
     placed, n = slotted(rows, key=key, shard_rows=shard_rows)
     manifest = write_shards(placed, path, length=length, shard_rows=shard_rows, n=n)
     return placed.select("doc_id", "piece", "n_tokens", "slot", "shard"), manifest, path
