@@ -108,7 +108,7 @@ def neighbours(
     k: int = 6,
     width: float = 2.0,
     probes: int = 64,
-    bucket_rows: int = 4096,
+    bucket_rows: int = 2048,
     seed: int = 5,
 ) -> DataFrame:
     """Each query's n nearest rows found: query_id, rank, vec_id, score. Queries are rows whose id is a multiple of every.
@@ -119,8 +119,8 @@ def neighbours(
     are split by a hash and a query visits all parts, so a hot bucket never lies in one task. A query that finds fewer
     than n, or than there are, is compared with all rows, in the same parts.
 
-    Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Ties
-    go to the smaller id. A row is its own query only: repeated rows find each other, and a repeated query has results
+    Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do
+    rows without an id; finite vectors whose squares overflow are no candidates. Ties go to the smaller id. A row is its own query only: repeated rows find each other, and a repeated query has results
     for each row. Without usable vectors the result is empty. The driver holds one random matrix and one row a
     component.
     """
