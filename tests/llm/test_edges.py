@@ -128,15 +128,6 @@ def test_classifier_on_held_out_documents(spark):
     assert len(wrong) <= 5
 
 
-def test_sparse_sites_shrink(spark):
-    sites = spark.createDataFrame([(1000, 500.0), (1000, 10.0), (2, 2.0), (1, 0.0)], "n long, bad double")
-    from pyspark.sql import functions as F
-
-    assert quality_classifier.shrinkage(sites, F.lit(0.25)) < 20
-    even = spark.createDataFrame([(1000, 250.0), (1000, 251.0)], "n long, bad double")
-    assert quality_classifier.shrinkage(even, F.lit(0.2505)) == 1e9
-
-
 def brute_components(texts):
     words = [(t or "").encode("utf-8").lower().split() for t in texts]
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()) for w in words]
@@ -227,7 +218,7 @@ def test_mixture(docs, none):
     again = sorted((str(r["doc_id"]), r["taken"]) for r in mixing.mixture(docs).collect())
     assert again == sorted((str(r["doc_id"]), r["taken"]) for r in out)
     assert mixing.mixture(none).count() == 0
-    words = sum(len(r["text"].split()) for r in mixing.mixed_documents(docs.drop("words")).collect())
+    words = sum(len(r["text"].split()) for r in mixing.mixed_documents(docs).collect())
     assert abs(words - sum(taken.values())) <= 300  # other blanks than ASCII ones split a few words more
 
 
@@ -385,3 +376,26 @@ def test_pipeline_keeps_its_rules(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert names == ["rules", "classifier", "dedup", "mix", "pack"]
+
+
+def test_pipeline_on_nulls_repeats_clashing_columns_and_no_rows(spark, tmp_path):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(70))
+    rows = [(i, text(i), "en", f"s{i % 2}", 0, 1, 2, "d") for i in range(12)]
+    rows += [(None, text(50), None, None, 0, 1, 2, "d"), (None, text(51), "", "", None, 1, 2, "d"), (3, text(52), "en", "s1", 0, 1, 2, "d"), rows[4], rows[4]]
+    rows += [(60, None, "en", "s1", 0, 1, 2, "d"), (61, "", "en", "s1", 0, 1, 2, "d"), (62, " ".join(f"L{j}" for j in range(30_000)), "en", "s1", 0, 1, 2, "d")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, Number int, kept int, document string"
+    labels = spark.createDataFrame([(0, 1, 0), (None, 0, 1), (1, None, None)], "doc_id long, quality int, toxic int")
+    for name, data in (("some", rows), ("none", [])):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/some")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "Number", "kept", "document"]
+        seen.append(Counter((r["doc_id"], r["text"]) for r in docs.collect()))
+    good = Counter((r[0], r[1]) for r in rows if r[1])
+    assert seen[0] == seen[1] == good
+    assert seen[2] == Counter(good.keys())
+    assert {key[0] for key in seen[3]} <= {key[0] for key in good}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
