@@ -5,21 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The tags that each kind of prompt fences off.
+# The tags that each kind of prompt fences off, and what a review's steps are called.
 CONTEXT_TAGS = "untrusted|related_code|callers|affected_files|team_rules|diff|file|tool_findings"
 REVIEW_TAGS = "untrusted|tool_findings|diff|file"
 CLAIM_TAGS = "untrusted"
 PROGRESS_LABELS = {
+    "initialize_run": "Starting",
+    "validate_event": "Starting",
+    "snapshot_repository": "Reading the repository",
+    "collect_pr_context": "Collecting the pull request",
+    "collect_business_context": "Reading linked issues",
+    "detect_technology": "Detecting the stack",
+    "resolve_skills": "Choosing review checklists",
+    "build_context_packs": "Gathering related code",
+    "build_software_graph": "Mapping dependencies",
+    "extract_business_intent": "Understanding the intent",
     "committer": "Understanding the change",
-    "blast_radius": "Tracing impact",
+    "align": "Checking it matches the description",
+    "volume": "Understanding the change",
+    "cohesion": "Understanding the change",
+    "blast_radius": "Measuring the blast radius",
+    "criticality": "Assessing risk",
     "risk_assessment": "Assessing risk",
-    "quality": "Reviewing",
-    "aggregate_findings": "Collecting findings",
-    "deduplicate_findings": "Removing duplicates",
+    "quality": "Reviewing code quality",
+    "security": "Reviewing security",
+    "testing": "Checking tests",
+    "aggregate_findings": "Merging findings",
+    "deduplicate_findings": "Merging findings",
+    "verification_planner": "Verifying findings",
     "independent_verify": "Verifying findings",
     "scorecard": "Scoring",
-    "policy_evaluation": "Applying policy",
+    "policy_evaluation": "Applying policies",
     "assurance_decision": "Deciding",
+    "generate_insights": "Writing the report",
+    "publish_report": "Publishing",
+    "done": "Done",
 }
 
 
@@ -120,20 +140,21 @@ def extract_json(text: Column) -> Column:
 
 
 def progress_label(node: Column) -> Column:
+    """What a review's step is called; without a step it is queued, in an unknown one it is reviewing."""
     label = F.create_map(*(F.lit(x) for pair in PROGRESS_LABELS.items() for x in pair))[node]
-    return F.when(node.isNull(), "Queued").otherwise(F.coalesce(label, F.lit("Reviewing")))
+    return F.when(F.coalesce(node, F.lit("")) == "", "Queued").otherwise(F.coalesce(label, F.lit("Reviewing")))
 
 
 def age_bucket(at: Column, now: Column) -> Column:
-    """just now, minutes, hours, days up to a week, then the date."""
+    """just now, minutes, hours, days up to a month of 30, then month and day. What lies ahead is just now."""
     seconds = F.unix_timestamp(now) - F.unix_timestamp(at)
     unit = lambda n, name: F.concat(F.floor(seconds / n).cast("string"), F.lit(f"{name} ago"))
     return (
         F.when(seconds < 60, "just now")
         .when(seconds < 3600, unit(60, "m"))
         .when(seconds < 86400, unit(3600, "h"))
-        .when(seconds < 7 * 86400, unit(86400, "d"))
-        .otherwise(F.date_format(at, "yyyy-MM-dd"))
+        .when(seconds < 30 * 86400, unit(86400, "d"))
+        .otherwise(F.date_format(at, "MMM d"))
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from changelens.functions.paths import ts_like
 from changelens.functions.text import extract_json, jaccard, normalise_path, word_set
 
+# What findings may say, who finds them, and lint rules that only make noise.
 SEVERITIES = ["critical", "high", "medium", "low"]
 CATEGORIES = ["security", "bug", "performance", "maintainability", "style"]
 REVIEWERS = ["quality", "security", "testing"]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions.paths import collapse, ts_like
-from changelens.functions.text import let, line_windows
+from changelens.functions.text import line_windows
 
 # The order in which a stem's files are tried, and the aliases of a project that declares none.
 EXTENSIONS = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts"]
@@ -23,6 +23,7 @@ CALLABLE = (
     r"|(?:(?:public|private|protected|static|async|override|get|set)\s+)*([A-Za-z_$][\w$]*)\s*\([^)]*\)[^;{]*\{)"
 )
 NOT_NAMES = ["if", "for", "while", "switch", "catch", "return", "function", "constructor"]
+# Names too common to look for.
 GENERIC = ["get", "set", "run", "main", "default", "handler"]
 IMPORTS = r"""(?:\bfrom\s*|\bimport\s*\(\s*|\brequire\s*\(\s*|^\s*import\s+|[;\n]\s*import\s+)["']([^"'\n]+)["']"""
 
@@ -99,26 +100,21 @@ def chunk_declarations(files: DataFrame, *, longest: int = 150, shortest: int =
 def declarations(files: DataFrame) -> DataFrame:
     """(review_id, path, symbol, start_line, end_line): functions, classes, methods and function-valued names at any indent.
 
-    A declaration ends at the first later line of its indent or less that begins with a closing bracket, or on its own
-    line if that comes first in a line that closes what it opens.
+    A declaration ends at the first later line of its indent that begins with a closing bracket, or on its own line where
+    that closes what it opens. One window over a file's lines of equal indent finds the ends.
     """
     lines = files.filter(ts_like(F.col("path"))).select("review_id", "path", F.posexplode(F.split("content", "\n", -1)).alias("i", "line"))
     names = [F.regexp_extract("line", CALLABLE, g) for g in (1, 2, 3)]
     symbol = F.when(names[0] != "", names[0]).when(names[1] != "", names[1]).when(names[2] != "", names[2])
     indent = F.length(F.regexp_extract("line", r"^([ \t]*)", 1))
     marked = lines.withColumns({"symbol": F.when(~symbol.isin(NOT_NAMES), symbol), "indent": indent})
-    starts = marked.filter("symbol is not null").select("review_id", "path", "symbol", F.col("i").alias("s"), "indent", "line")
-    ends = marked.filter(F.col("line").rlike(r"^\s*[})\]]")).select("review_id", "path", F.col("i").alias("e"), F.col("indent").alias("e_indent"))
-    closing = (
-        starts.join(ends, ["review_id", "path"])
-        .filter("e > s and e_indent = indent")
-        .groupBy("review_id", "path", "symbol", "s")
-        .agg(F.min("e").alias("e"))
-    )
+    later = Window.partitionBy("review_id", "path", "indent").orderBy("i").rowsBetween(1, Window.unboundedFollowing)
     one_line = F.col("line").rlike(r"[;}]\s*$")
-    end = F.when(one_line, F.col("s")).otherwise(F.coalesce("e", "s"))
-    return starts.join(closing, ["review_id", "path", "symbol", "s"], "left").select(
-        "review_id", "path", "symbol", (F.col("s") + 1).alias("start_line"), (end + 1).alias("end_line")
+    end = F.when(one_line, F.col("i")).otherwise(F.coalesce("e", "i"))
+    return (
+        marked.withColumn("e", F.min(F.when(F.col("line").rlike(r"^\s*[})\]]"), F.col("i"))).over(later))
+        .filter("symbol is not null")
+        .select("review_id", "path", "symbol", (F.col("i") + 1).alias("start_line"), (end + 1).alias("end_line"))
     )
 
 
@@ -133,6 +129,11 @@ def changed_symbols(decls: DataFrame, added: DataFrame) -> DataFrame:
     )
 
 
+def distinct_symbols(symbols: DataFrame) -> DataFrame:
+    """(review_id, symbols): the names that changed in a review's files, each once, sorted."""
+    return symbols.groupBy("review_id").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+
+
 def extract_imports(files: DataFrame) -> DataFrame:
     """(repository_id, from_path, spec) of import-from, export-from, require() and import() with a plain string."""
     code = F.regexp_replace("content", r"(?m)^\s*//.*$", "")
@@ -203,8 +204,3 @@ def refresh_index(changes: DataFrame, chunks: DataFrame, files: DataFrame, store
     keys = ["repository_id", "path"]
     after = lambda stored, new: stored.join(touched, keys, "left_anti").unionByName(new.join(touched, keys, "left_semi").select(*stored.columns))
     return after(stored_chunks, chunks), after(stored_files, files)
-
-
-def windows_of(files: DataFrame) -> DataFrame:
-    """(repository_id, path, start_line, end_line, content): every file's line windows."""
-    return files.select("repository_id", "path", F.inline(let(F.col("content"), lambda c: line_windows(c))))

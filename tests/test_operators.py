@@ -304,11 +304,17 @@ def test_text_functions(spark):
     assert value(spark, text.extract_json(F.col("t")), t="nothing") is None
     assert value(spark, paths.collapse(F.col("t")), t="src/./a/../b//c/../../../../x") == "../x"
     assert value(spark, text.estimate_tokens(F.col("t")), t="abcde") == 2
-    assert value(spark, text.progress_label(F.col("t")), t="odd") == "Reviewing"
+    steps = {"odd": "Reviewing", "": "Queued", "blast_radius": "Measuring the blast radius", "committer": "Understanding the change", "done": "Done"}
+    for step, shown in steps.items():
+        assert value(spark, text.progress_label(F.col("t")), t=step) == shown
+    for path, code in {"A.TS": True, "x.JSX": True, "y.Py": True, "z.md": False, "dist/a.ts": False}.items():
+        assert value(spark, tables.is_code_file(F.col("t")), t=path) == code
+    for path, deleted in {"a.test.ts": True, "a_spec.rb": True, "__tests__/x": True, "atest.ts": False}.items():
+        assert value(spark, paths.deleted_test_file(F.lit("removed"), F.col("t")), t=path) == deleted
     assert value(spark, text.cosine_distance(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(2.0)))) == 1.0
     assert value(spark, text.line_context(F.col("t"), F.lit(1), 1, marked=True), t="a\nb\nc") == ">    1 | a\n     2 | b"
     now = F.lit("2024-01-10 00:00:00").cast("timestamp")
-    ages = {"2024-01-09 23:59:30": "just now", "2024-01-09 23:50:00": "10m ago", "2024-01-09 20:00:00": "4h ago", "2024-01-07 00:00:00": "3d ago", "2023-12-01 00:00:00": "2023-12-01"}
+    ages = {"2024-01-09 23:59:30": "just now", "2024-01-09 23:50:00": "10m ago", "2024-01-09 20:00:00": "4h ago", "2024-01-07 00:00:00": "3d ago", "2023-12-15 00:00:00": "26d ago", "2023-12-01 00:00:00": "Dec 1", "2024-01-11 00:00:00": "just now"}
     for at, shown in ages.items():
         assert value(spark, text.age_bucket(F.lit(at).cast("timestamp"), now)) == shown
 
