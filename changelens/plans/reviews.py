@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from changelens.functions.text import rag_query_text
 from changelens.operators import diff, findings, graph, index, render, retrieval, scoring
 from changelens.operators.findings import REVIEWERS
+from changelens.sources.tables import settled
 
 #: (texts) -> [(answer, tokens)]; a None answer is a failed call.
 Model = Callable[[list[str]], list[tuple[str | None, int]]]
@@ -20,8 +21,8 @@ def infer(prompts: DataFrame, model: Model, kind: str, *keys: str) -> DataFrame:
     """prompts(keys, prompt) with data, tokens and error: the model's validated answers.
 
     An invalid answer goes back once, with what is wrong. Validation splits the rows between the two calls, so only
-    invalid ones are asked again. What fails twice has an error and no data. prompts should be a written table: the
-    calls read it again.
+    invalid ones are asked again. What fails twice has an error and no data. First answers are a written table, so a lost
+    executor doesn't ask the model anew for what is there.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -34,7 +35,7 @@ def infer(prompts: DataFrame, model: Model, kind: str, *keys: str) -> DataFrame:
         answered = df.mapInPandas(ask, f"{schema}, text string, tokens bigint")
         return findings.validate_model_output(answered, kind)
 
-    first = call(prompts.select(*keys, "prompt")).persist()
+    first = settled(call(prompts.select(*keys, "prompt")), "answers")
     valid = first.filter("error is null")
     failed = F.concat(F.lit("Your previous answer failed validation:\n"), F.substring("error", 1, 1500), F.lit("\nReturn the corrected JSON object only."))
     repair = F.concat("prompt", F.lit("\n\n"), F.substring(F.coalesce("text", F.lit("")), 1, 8000), F.lit("\n\n"), failed)
@@ -79,7 +80,7 @@ def single_pass_review(reviews: DataFrame, files: DataFrame, lint: DataFrame, mo
     packed = diff.pack_diff(files, budget)
     inputs = reviews.join(packed, "review_id", "left").join(lint_lists(lint), "review_id", "left").withColumn("diff_text", F.coalesce("text", F.lit("")))
     some = F.coalesce(F.size("included"), F.lit(0)) > 0
-    answers = infer(render.review_prompt(inputs.filter(some)), model, "review", "review_id").persist()
+    answers = settled(infer(render.review_prompt(inputs.filter(some)), model, "review", "review_id"), "review-answers")
     empty = F.lit("No reviewable code changes (only deleted, binary, generated or lock files).")
     scored = inputs.select("review_id", some.alias("some")).join(answers.drop("tokens"), "review_id", "left").select(
         "review_id",
@@ -106,48 +107,106 @@ def ground(found: DataFrame, packed: DataFrame, files: DataFrame, lint: DataFram
 
 def staged_review(
     reviews: DataFrame, files: DataFrame, lint: DataFrame, contexts: DataFrame, policies: DataFrame, risk: DataFrame, contents: DataFrame,
-    reviewer: Model, verifier: Model, budget: int = 12_000,
+    reviewer: Model, verifier: Model, intent: Model | None = None, budget: int = 12_000, intent_budget: int = 4000,
 ) -> dict[str, DataFrame]:
-    """Three reviewers, merged, de-duplicated, verified, scored and decided, for all reviews at once.
+    """What changed, three reviewers, merged, de-duplicated, verified, scored and decided, for all reviews at once.
 
     reviews(review_id, title, body); contexts(review_id, rules, callers, affected, related) as render_context takes
-    them; policies as validate_policy gives them, by review_id; contents(review_id, file, content). The reviewer is a
-    column, so the three calls are rows of one table. A reviewer that fails is named and its dimension isn't scored.
+    them; policies as validate_policy gives them, by review_id; risk as assess_risk gives it; contents(review_id, file,
+    content). intent tells what a change is for; without it the reviewer model is asked, and a failed answer is done
+    without. The reviewer is a column, so the three calls are rows of one table. A reviewer that fails is named and its
+    dimension isn't scored; a review whose reviewers all fail is in failed(review_id, error) and has no decision. A
+    review without anything to show is decided with a score of 100, without calls. What models answer is written, so
+    every result speaks of the same answers.
+
+    report(review_id, summary, score, recommendations, check_title, check_text) and assurance(review_id, assurance) are
+    the texts for people; the other tables are what they are made of.
     """
-    packed = diff.pack_diff(files, budget).persist()
-    base = reviews.join(packed, "review_id").filter(F.size("included") > 0).withColumn("diff_text", F.col("text"))
-    calls = base.join(contexts, "review_id").withColumn("reviewer", F.explode(F.array(*map(F.lit, REVIEWERS))))
+    packed = settled(diff.pack_diff(files, budget), "packed")
+    shown = F.coalesce(F.size("included"), F.lit(0))
+    everything = reviews.join(packed, "review_id", "left").withColumn("n_files", shown).withColumn("diff_text", F.coalesce("text", F.lit("")))
+    base = everything.filter("n_files > 0")
     none = F.array().cast("array<struct<ord:int,file:string,line:int,rule_id:string,message:string>>")
+    intents = intent_answers(base.withColumn("lint", none), files, intent or reviewer, intent_budget)
+
+    calls = base.join(contexts, "review_id").withColumn("reviewer", F.explode(F.array(*map(F.lit, REVIEWERS))))
     calls = calls.join(lint_lists(lint), "review_id", "left").withColumn("lint", F.when(F.col("reviewer") == "quality", F.col("lint")).otherwise(none))
     prompts = render.review_prompt(render.render_context(calls)).withColumn("prompt", F.concat("context", F.lit("\n\n"), "prompt"))
-    answers = infer(prompts, reviewer, "reviewer", "review_id", "reviewer").persist()
+    answers = settled(infer(prompts, reviewer, "reviewer", "review_id", "reviewer"), "reviewer-answers")
     status = scoring.reviewer_status(answers.select("review_id", "reviewer", F.col("error").isNull().alias("ok")))
+    first = answers.groupBy("review_id").agg(F.min_by("error", F.array_position(F.array(*map(F.lit, REVIEWERS)), F.col("reviewer"))).alias("why"))
+    failed = status.filter("all_failed").join(first, "review_id").select("review_id", F.concat(F.lit("all reviewers failed: "), "why").alias("error"))
+    status = status.filter("not all_failed")
 
     found = answers.filter("error is null").select("review_id", "reviewer", F.posexplode("data.findings").alias("ord", "f"))
-    grounded = ground(found, packed, files, lint.withColumn("reviewer", F.lit("quality")))
-    unique = findings.dedupe_findings(findings.union_reviewer_findings(grounded)).persist()
-
-    numbered = diff.number_patch(diff.parse_patch(files, "review_id", "filename"), "review_id", "filename").withColumnRenamed("filename", "file")
-    windows = (
-        findings.verify_batches(unique)
-        .join(contents, ["review_id", "file"], "left")
-        .join(numbered, ["review_id", "file"], "left")
-        .withColumn("window", render.code_window(F.col("content"), F.col("numbered"), F.col("line")))
-        .withColumn("team_rules", F.lit(None).cast("string"))
-    )
-    verdicts = infer(render.verify_prompt(windows), verifier, "verdicts", "review_id", "batch").persist()
+    down = answers.filter("error is not null").select("review_id", "reviewer")
+    grounded = ground(found, packed, files, lint.withColumn("reviewer", F.lit("quality"))).join(status.select("review_id"), "review_id", "left_semi")
+    unique = settled(findings.dedupe_findings(findings.union_reviewer_findings(grounded, down)), "unique-findings")
+    verdicts = verifier_answers(unique, files, contents, contexts, verifier)
     given = verdicts.filter("error is null").select("review_id", "batch", F.posexplode("data.verdicts").alias("ord", "v")).select(
         "review_id", "batch", "ord", F.col("v.id").try_cast("int").alias("id"), "v.verdict", F.col("v.confidence").try_cast("double").alias("confidence"), "v.reason"
     )
-    failed = verdicts.filter("error is not null").select("review_id", "batch")
-    judged = findings.apply_verdicts(unique, given, failed).persist()
+    unchecked = verdicts.filter("error is not null").select("review_id", "batch")
+    judged = settled(findings.apply_verdicts(unique, given, unchecked), "judged-findings")
     kept = judged.filter("verdict <> 'rejected'")
 
-    score = reviews.select("review_id").join(scoring.overall_score(kept), "review_id", "left").withColumn("score", F.coalesce("score", F.lit(100)))
+    done = everything.join(failed, "review_id", "left_anti")
+    score = done.select("review_id").join(scoring.overall_score(kept), "review_id", "left").withColumn("score", F.coalesce("score", F.lit(100)))
     gate = score.join(policies.select("review_id", "fail_on", "min_score", "warnings"), "review_id")
     decision = scoring.policy_decision(kept, gate)
-    tokens = scoring.token_usage(answers.select("review_id", "tokens").unionByName(verdicts.select("review_id", "tokens")))
-    return {
-        "findings": kept, "rejected": judged.filter("verdict = 'rejected'"), "score": score, "decision": decision, "status": status, "tokens": tokens,
-        "dimensions": scoring.dimension_scores(kept, status), "verification": scoring.verification_summary(judged, failed), "risk": risk, "packed": packed,
+    spent = [answers, verdicts, intents]
+    tokens = scoring.token_usage(spent[0].select("review_id", "tokens").unionByName(spent[1].select("review_id", "tokens")).unionByName(spent[2].select("review_id", "tokens")))
+    out = {
+        "findings": kept, "rejected": judged.filter("verdict = 'rejected'"), "score": score, "decision": decision, "status": status, "tokens": tokens, "failed": failed,
+        "dimensions": scoring.dimension_scores(kept, status), "verification": scoring.verification_summary(judged, unchecked), "risk": risk, "packed": packed, "intent": intents,
     }
+    report = told(done.select("review_id", "n_files"), out, scoring.severity_summary(kept))
+    return out | {"report": report, "assurance": render.assurance_record(report, out["dimensions"])}
+
+
+def intent_answers(base: DataFrame, files: DataFrame, model: Model, budget: int) -> DataFrame:
+    """What each review's change is for, by a call over a smaller diff: (review_id, data, tokens, error)."""
+    small = diff.pack_diff(files, budget).select("review_id", F.col("text").alias("small_diff"))
+    prompts = render.review_prompt(base.join(small, "review_id").withColumn("diff_text", F.col("small_diff")))
+    return settled(infer(prompts, model, "intent", "review_id"), "intent-answers")
+
+
+def verifier_answers(unique: DataFrame, files: DataFrame, contents: DataFrame, contexts: DataFrame, model: Model) -> DataFrame:
+    """Batches of findings with their code and the team's rules, as a second model judges them: (review_id, batch, data, tokens, error)."""
+    numbered = diff.number_patch(diff.parse_patch(files, "review_id", "filename"), "review_id", "filename").withColumnRenamed("filename", "file")
+    rule = lambda r: F.concat(F.lit("- "), r["path"], F.lit(": "), r["instructions"])
+    rules = contexts.select("review_id", F.array_join(F.transform("rules", rule), "\n").alias("team_rules"))
+    windows = (
+        findings.verify_batches(unique)
+        .join(contents, ["review_id", "file"], "left")
+        .join(numbered, ["review_id", "file"], "left")
+        .join(rules, "review_id", "left")
+        .withColumn("window", render.code_window(F.col("content"), F.col("numbered"), F.col("line")))
+    )
+    return settled(infer(render.verify_prompt(windows), model, "verdicts", "review_id", "batch"), "verifier-answers")
+
+
+def told(done: DataFrame, parts: dict[str, DataFrame], counts: DataFrame) -> DataFrame:
+    """The decided reviews with their texts: summary, recommendations, and the check's title and text."""
+    d = F.col("data")
+    intent = parts["intent"].filter("error is null").select(
+        "review_id", d["summary"].alias("intent_summary"), d["changeType"].alias("change_type"), d["stated"].alias("stated"), d["alignment"].alias("alignment"),
+        d["alignmentScore"].try_cast("double").alias("alignment_score"), d["alignmentSummary"].alias("alignment_summary"),
+    )
+    risk = parts["risk"].select("review_id", F.col("score").alias("risk_score"), "level", "factors")
+    checked = parts["verification"].withColumnRenamed("status", "verification_status")
+    names = F.array().cast("array<string>")
+    zero = F.lit(0).cast("long")
+    numbers = [F.coalesce(c, zero).alias(c) for c in ("confirmed", "uncertain", "rejected")]
+    counted = counts.select("review_id", F.col("summary").alias("counts"), F.expr("critical + high + medium + low").alias("n_findings"))
+    rows = done.join(parts["decision"], "review_id")
+    for more in (parts["score"], risk, intent, parts["status"].drop("all_failed"), checked, counted):
+        rows = rows.join(more, "review_id", "left")
+    rows = rows.select(
+        *[c for c in rows.columns if c not in ("confirmed", "uncertain", "rejected", "n_findings", "failed_reviewers", "skills", "verification_status")],
+        *numbers, F.coalesce("n_findings", zero).alias("n_findings"), F.coalesce("rejected", zero).alias("n_rejected"), F.coalesce("failed_reviewers", names).alias("failed_reviewers"),
+        F.coalesce("skills", names).alias("skills"), F.coalesce("verification_status", F.lit("complete")).alias("verification_status"),
+    )
+    rows = render.check_summary(render.recommendations(render.review_summary_text(rows)))
+    empty = F.lit("No reviewable code changes (only deleted, binary, generated, ignored or lock files).")
+    return rows.withColumn("summary", F.when(F.col("n_files") > 0, F.col("summary")).otherwise(empty))

@@ -24,7 +24,7 @@ def split_events(raw: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
 
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The newest version of a table that versions() keeps; empty before the first."""
+    """The newest version of a table that upsert_stream keeps; empty before the first."""
     version = newest(spark, path)
     return spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{path}/version={version}")
 
@@ -55,8 +55,10 @@ def ingest_stream(events: DataFrame, path: str, checkpoint: str, *, late: str =
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         target = f"{path}/batch={batch_id}"
-        known = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path) if has_files(spark, path) else spark.createDataFrame([], schema)
-        older = known.filter(~F.input_file_name().contains(f"/batch={batch_id}/")).select("delivery_id") if has_files(spark, path) else known.select("delivery_id")
+        older = spark.createDataFrame([], schema).select("delivery_id")
+        if has_files(spark, path):
+            known = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+            older = known.filter(~F.input_file_name().contains(f"/batch={batch_id}/")).select("delivery_id")
         batch.dropDuplicates(["delivery_id"]).join(older, "delivery_id", "left_anti").write.mode("overwrite").parquet(target)
 
     return first.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
@@ -108,9 +110,11 @@ def retry_or_dead_letter(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         left = batch.persist()
+        held = [left]
         try:
             for attempt in range(1, most + 1):
                 errors = handle(left).persist()
+                held.append(errors)
                 if errors.isEmpty():
                     return
                 again = left.join(errors, "row_key")
@@ -118,9 +122,11 @@ def retry_or_dead_letter(
                     failed(again.withColumnRenamed("error", "reason"), batch_id)
                     return
                 left = again.drop("error").persist()
+                held.append(left)
                 time.sleep(pause * 2 ** (attempt - 1))
         finally:
-            batch.unpersist()
+            for df in held:
+                df.unpersist()
 
     return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
@@ -131,16 +137,27 @@ def ordered_by_key(batch: DataFrame, key: str = "key", order: str = "offset") ->
 
 
 def claims(requests: DataFrame) -> DataFrame:
-    """A stream of requests(repo_full_name, pr_number, head_sha, seq): the first of each key is claimed, once."""
+    """A stream of requests(repo_full_name, pr_number, head_sha, seq): the first of each key is claimed.
+
+    A row that has a status, where requests carry one, tells how the key's review stands and is no request itself: a
+    failed or pending review may be claimed again, a running or completed one may not.
+    """
 
     def claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("seq")
-        taken = state.exists
-        state.update((True,))
-        yield pd.DataFrame({
-            "repo_full_name": key[0], "pr_number": key[1], "head_sha": key[2], "seq": rows["seq"].to_numpy(), "claimed": [not taken and i == 0 for i in range(len(rows))],
-        })
+        taken = state.exists and state.get[0]
+        out = []
+        for seq, status in zip(rows["seq"], rows["status"], strict=True):
+            if isinstance(status, str):
+                taken = status not in ("failed", "pending")
+                continue
+            out.append((*key, seq, not taken))
+            taken = True
+        state.update((taken,))
+        yield pd.DataFrame(out, columns=["repo_full_name", "pr_number", "head_sha", "seq", "claimed"])
 
+    if "status" not in requests.columns:
+        requests = requests.withColumn("status", F.lit(None).cast("string"))
     return requests.groupBy("repo_full_name", "pr_number", "head_sha").applyInPandasWithState(
         claim, "repo_full_name string, pr_number int, head_sha string, seq long, claimed boolean", "taken boolean", "append", GroupStateTimeout.NoTimeout
     )

@@ -71,6 +71,11 @@ def test_claims_and_progress(spark, tmp_path):
     go()
     out = spark.read.json(str(tmp_path / "claimed")).collect()
     assert sorted((r["head_sha"], r["seq"], r["claimed"]) for r in out) == [("a", 1, True), ("a", 2, False), ("a", 3, False), ("b", 3, True)]
+    again = [(1, None), (2, None), (3, "in_progress"), (4, None), (5, "failed"), (6, None), (7, "completed"), (8, None)]
+    put(tmp_path / "d", "1", [{"repo_full_name": "o/r", "pr_number": 1, "head_sha": "a", "seq": seq, "status": status} for seq, status in again])
+    taken = streams.claims(spark.readStream.schema(f"{schema}, status string").json(str(tmp_path / "d")))
+    run(taken.writeStream.format("json").option("path", str(tmp_path / "again")).option("checkpointLocation", str(tmp_path / "ck3")))
+    assert sorted((r["seq"], r["claimed"]) for r in spark.read.json(str(tmp_path / "again")).collect()) == [(1, True), (2, False), (4, False), (6, True), (8, False)]
 
     updates = [("in_progress", "quality"), ("in_progress", "quality"), ("in_progress", "scorecard"), ("completed", None), ("in_progress", "late")]
     put(tmp_path / "p", "1", [{"review_id": 1, "seq": i, "status": s, "progress": p} for i, (s, p) in enumerate(updates)])
@@ -148,6 +153,26 @@ def test_staged_review(spark):
     assert decision == {1: "request_changes", 2: "approve"}
     assert {r["review_id"]: r["score"] for r in out["score"].collect()} == {1: 64, 2: 100}
     assert out["status"].first()["failed_reviewers"] == ["security", "testing"]
+    report = {r["review_id"]: r for r in out["report"].collect()}
+    assert report[1]["summary"].startswith("Reviewed 1 file(s). Risk: low (x). Found 2 issue(s): 1 critical, ")
+    assert report[1]["recommendations"][1:] == ["Re-run the review: the security and testing reviewer(s) failed."]
+    assert report[2]["summary"].startswith("No reviewable code changes") and report[2]["check_title"] == "Passes policy; no issues found"
+    record = {r["review_id"]: json.loads(r["assurance"]) for r in out["assurance"].collect()}
+    assert record[1]["skills"] == ["quality"] and record[1]["intent"] is None and record[1]["verification"]["confirmed"] == 2 and record[1]["scorecard"]["overall"] == 6.4
+    assert record[2]["scorecard"] is None and record[2]["verification"] is None and record[2]["recommendations"] == [] and record[2]["decision"]["verdict"] == "approve"
+    assert out["failed"].count() == 0 and report[1]["check_text"].startswith("Blocked by policy")
+
+    aim = lambda prompts: [
+        (json.dumps({"summary": "Awaits the run.", "changeType": "fix", "stated": True, "alignment": "misaligned", "alignmentScore": 2, "alignmentSummary": "no"}), 5) for _ in prompts
+    ]
+    told = plans.staged_review(reviews, files, lint, contexts, policies, risk, contents, reviewer, verifier, aim)
+    full = told["report"].filter("review_id = 1").first()
+    assert full["summary"].startswith("Awaits the run. Risk: low") and full["recommendations"][-1].startswith("The code doesn't match")
+    assert json.loads(told["assurance"].filter("review_id = 1").first()["assurance"])["alignment"]["alignment"] == "misaligned"
+    assert {r["review_id"]: r["tokens"] for r in told["tokens"].collect()}[1] == {r["review_id"]: r["tokens"] for r in out["tokens"].collect()}[1] - 14 + 5
+    silent = plans.staged_review(reviews, files, lint, contexts, policies, risk, contents, lambda prompts: [("garbage", 1) for _ in prompts], verifier)
+    assert [(r["review_id"], r["error"][:22]) for r in silent["failed"].collect()] == [(1, "all reviewers failed: ")]
+    assert [r["review_id"] for r in silent["report"].collect()] == [2] and silent["decision"].count() == 1
     assert {r["dimension"]: r["score"] for r in out["dimensions"].collect()} == {"quality": 6.4, "security": None, "testing": None}
 
 
