@@ -50,7 +50,7 @@ def eval_summary(metrics: DataFrame) -> DataFrame:
 
 
 def eval_gate(summary: DataFrame, baseline: DataFrame, drop: float = 0.1) -> DataFrame:
-    """One row: the change of recall and precision against the baseline, and passed."""
+    """One row: the change of recall and precision against the baseline, of one row, and passed."""
     b = baseline.select(F.col("recall").alias("_r"), F.col("precision").alias("_p"))
     delta = lambda now, then: F.round(F.col(now) - F.col(then), 2)
     return summary.join(b, F.lit(True)).select(

@@ -53,14 +53,13 @@ def blast_radius(changed: DataFrame, edges: DataFrame, max_depth: int = 3) -> Da
 
 
 def order_affected(affected: DataFrame) -> DataFrame:
-    """Nearest first, then by path as a person would sort it."""
-    return affected.orderBy("review_id", "distance", F.collate("path", "UNICODE"))
+    """affected with place: in each review the nearest first, then by path as a person would sort it."""
+    return affected.withColumn("place", F.row_number().over(Window.partitionBy("review_id").orderBy("distance", F.collate("path", "UNICODE"), "path")))
 
 
 def nearest_caller_files(affected: DataFrame, most: int = 10) -> DataFrame:
     """The first files of each review that import a changed file."""
-    place = F.row_number().over(Window.partitionBy("review_id").orderBy(F.collate("path", "UNICODE"), "path"))
-    return affected.filter("distance = 1").withColumn("place", place).filter(F.col("place") <= most)
+    return order_affected(affected.filter("distance = 1")).filter(F.col("place") <= most)
 
 
 def find_callers(symbols: DataFrame, files: DataFrame, radius: int = 5, most: int = 12) -> DataFrame:

@@ -17,8 +17,13 @@ def claim_reviews(requests: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def request_manual(requests: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new pending reviews, requests to publish): a key that is running or done is not asked for again."""
-    asked = requests.dropDuplicates(KEY)
+    """(new pending reviews, requests to publish) of requests(KEY, seq): a key that is running or done is not asked for again.
+
+    Of several requests for a key, the first by seq counts; without seq, by the other columns.
+    """
+    order = ["seq"] if "seq" in requests.columns else requests.columns
+    first = F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))
+    asked = requests.withColumn("_first", first).filter("_first = 1").drop("_first")
     stored = reviews.select(*KEY, F.col("status").alias("_status"))
     joined = asked.join(stored, KEY, "left")
     new = joined.filter("_status is null").drop("_status").withColumn("status", F.lit("pending"))
@@ -26,6 +31,15 @@ def request_manual(requests: DataFrame, reviews: DataFrame) -> tuple[DataFrame,
     return new, publish
 
 
+def publish_failed(pending: DataFrame, errors: DataFrame) -> DataFrame:
+    """pending reviews with those whose request could not be published, errors(KEY, error), failed with their error."""
+    why = errors.groupBy(*KEY).agg(F.min("error").alias("_error"))
+    joined = pending.join(why, KEY, "left")
+    return joined.withColumns({
+        "status": F.when(F.col("_error").isNull(), F.col("status")).otherwise("failed"), "error": F.substring("_error", 1, 1000),
+    }).drop("_error")
+
+
 def lifecycle(updates: DataFrame) -> DataFrame:
     """Each review's state after updates(review_id, seq, at, progress, status, error, score).
 

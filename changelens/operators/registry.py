@@ -65,17 +65,21 @@ def deactivate_repositories(repositories: DataFrame, removed: DataFrame) -> Data
     )
 
 
-def status_of(action: Column) -> Column:
-    return F.when(action == "deleted", "deleted").when(action == "suspend", "suspended").otherwise("active")
+def status_of(action: Column, suspended_at: Column | None = None) -> Column:
+    """deleted and suspended by what happened; else by suspended_at, as the event's installation tells it."""
+    out = F.when(action == "deleted", "deleted").when(action == "suspend", "suspended")
+    if suspended_at is not None:
+        out = out.when(suspended_at.isNotNull() & (action != "unsuspend"), "suspended")
+    return out.otherwise("active")
 
 
 def registry_installations(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Installations after events(installation_id, at, seq, action, account_login, owner_user_id).
+    """Installations after events(installation_id, at, seq, action, account_login, owner_user_id), suspended_at being optional.
 
     The latest event's state holds, whatever order events arrive in; the owner is the first ever set. stored, with the
     same columns but action, and status, counts as older than all events.
     """
-    state = events.select("installation_id", F.lit(1).alias("_age"), "at", "seq", status_of(F.col("action")).alias("status"), "account_login", "owner_user_id")
+    state = events.select("installation_id", F.lit(1).alias("_age"), "at", "seq", status_of(F.col("action"), F.col("suspended_at") if "suspended_at" in events.columns else None).alias("status"), "account_login", "owner_user_id")
     if stored is not None:
         old = stored.select("installation_id", F.lit(0).alias("_age"), F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("long").alias("seq"), "status", "account_login", "owner_user_id")
         state = state.unionByName(old)
@@ -87,6 +91,16 @@ def registry_installations(events: DataFrame, stored: DataFrame | None = None) -
     )
 
 
+def deleted_installations(repositories: DataFrame, installations: DataFrame) -> DataFrame:
+    """repositories with those of deleted installations set inactive; past reviews stay, and a new install brings them back."""
+    gone = installations.filter("status = 'deleted'").select("installation_id").distinct().withColumn("_gone", F.lit(True))
+    return (
+        repositories.join(gone, "installation_id", "left")
+        .withColumn("active", F.when(F.col("_gone"), F.lit(False)).otherwise(F.col("active")))
+        .select(*repositories.columns)
+    )
+
+
 def registry_repositories(events: DataFrame) -> DataFrame:
     """Repositories after events(github_repo_id, installation_id, at, seq, full_name, private, html_url, language, description, removed).
 

@@ -169,7 +169,9 @@ def issues_by_file(findings: DataFrame, severity: str | None = None, category: s
 
 
 def finding_list(findings: DataFrame) -> DataFrame:
-    return findings.orderBy("review_id", "created_at" if "created_at" in findings.columns else "ord", "id")
+    """findings with place: those of each review by age, which their order stands for where they have no date."""
+    age = "created_at" if "created_at" in findings.columns else "ord"
+    return findings.withColumn("place", F.row_number().over(Window.partitionBy("review_id").orderBy(age, "id")))
 
 
 def prioritise_sensitive(chunks: DataFrame, flag: Column) -> DataFrame:

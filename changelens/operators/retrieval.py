@@ -55,9 +55,13 @@ def rag_top_k(queries: DataFrame, chunks: DataFrame, changed: DataFrame | None =
     below the shuffle by the planner's group limit.
     """
     c = chunks.select("repository_id", "id", "path", F.col("embedding").alias("chunk_embedding"))
-    near = queries.select("review_id", "repository_id", "embedding").join(c, "repository_id")
-    if changed is not None:
-        near = near.join(changed.select("review_id", "path").distinct(), ["review_id", "path"], "left_anti")
+    asked = queries.select("review_id", "repository_id", "embedding")
+    if changed is not None:  # few paths a review, so they travel with the query and a chunk is passed over before it is measured
+        own = changed.groupBy("review_id").agg(F.collect_set("path").alias("_changed"))
+        asked = asked.join(own, "review_id", "left")
+        near = asked.join(c, "repository_id").filter(~F.coalesce(F.array_contains("_changed", F.col("path")), F.lit(False)))
+    else:
+        near = asked.join(c, "repository_id")
     near = near.withColumn("distance", cosine_distance(F.col("embedding"), F.col("chunk_embedding"))).filter(F.col("distance") < max_distance)
     place = F.row_number().over(Window.partitionBy("review_id").orderBy("distance", "id"))
     return near.select("review_id", "id", "path", "distance", place.alias("place")).filter(F.col("place") <= k)

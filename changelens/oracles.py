@@ -34,10 +34,10 @@ MODEL = {
         CASE event_id % 3 WHEN 0 THEN 'received' WHEN 1 THEN 'published' ELSE 'failed' END AS status, user_id,
         CASE user_id % 6 WHEN 0 THEN 'opened' WHEN 1 THEN 'synchronize' WHEN 2 THEN 'closed' WHEN 3 THEN 'reopened' WHEN 4 THEN 'created' ELSE 'added' END AS action
         FROM events""",
-    "code_files": """SELECT p_partkey % 25 AS repository_id, 'src/p' || p_partkey || '.ts' AS path, sha1(p_name || p_size) AS blob_sha,
-        list_transform(range(1, (p_partkey % 4 + 2)::INT), lambda i: 'src/p' || ((p_partkey * i * 7 + i) % 2000) || '.ts') AS imports FROM part""",
+    "code_files": """SELECT p_partkey // 100 AS repository_id, 'src/p' || p_partkey || '.ts' AS path, sha1(p_name || p_size) AS blob_sha,
+        list_transform(range(1, (p_partkey % 4 + 2)::INT), lambda i: 'src/p' || (p_partkey // 100 * 100 + (p_partkey * i * 7 + i) % 100) || '.ts') AS imports FROM part""",
     "code_chunks": "SELECT vec_id AS id, label::BIGINT AS repository_id, 'src/f' || (vec_id % 40) || '.ts' AS path, embedding FROM embeddings",
-    "files": """SELECT doc_id % 50 AS review_id, CASE doc_id % 9 WHEN 0 THEN 'src/auth/' WHEN 1 THEN 'dist/' WHEN 2 THEN 'src/' ELSE 'lib/' END || source
+    "files": """SELECT doc_id // 300 AS review_id, CASE doc_id % 9 WHEN 0 THEN 'src/auth/' WHEN 1 THEN 'dist/' WHEN 2 THEN 'src/' ELSE 'lib/' END || source
         || '/f' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.min.js' WHEN 1 THEN '.ts' WHEN 2 THEN '.test.ts' WHEN 3 THEN '.py' ELSE '.png' END AS filename,
         doc_id::INT AS ord, CASE doc_id % 6 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' ELSE 'modified' END AS status,
         (n_chars % 90)::INT AS additions, (n_chars % 40)::INT AS deletions, text AS content FROM documents""",
@@ -49,6 +49,17 @@ MODEL = {
     "weighed": """SELECT *, CASE severity WHEN 'critical' THEN 30.0 WHEN 'high' THEN 15.0 WHEN 'medium' THEN 6.0 ELSE 2.0 END
         * CASE WHEN verdict = 'uncertain' THEN 0.5 ELSE 1 END AS w FROM review_findings""",
     "edges": "SELECT DISTINCT repository_id, unnest(imports) AS path, path AS importer FROM code_files",
+    "changed": """SELECT unnest([n, n + 1]) AS review_id, repository_id, n AS rank, path FROM (SELECT repository_id, path, regexp_extract(path, '[0-9]+')::BIGINT AS n FROM code_files)""",
+    "levels": """SELECT * FROM (WITH RECURSIVE walk AS (SELECT review_id, repository_id, path, rank AS origin, 0 AS distance FROM changed
+        UNION SELECT w.review_id, w.repository_id, e.importer, w.origin, w.distance + 1 FROM walk w JOIN edges e ON e.repository_id = w.repository_id AND e.path = w.path WHERE w.distance < 3)
+        SELECT review_id, repository_id, path, origin, distance FROM walk)""",
+    "nearest": "SELECT review_id, repository_id, path, min(distance) AS distance FROM levels GROUP BY 1, 2, 3",
+    "affected": """SELECT n.review_id, n.path, n.distance, min(l.origin) AS origin FROM nearest n JOIN levels l ON l.review_id = n.review_id AND l.repository_id = n.repository_id
+        AND l.path = n.path AND l.distance = n.distance WHERE n.distance > 0 GROUP BY 1, 2, 3, n.repository_id""",
+    "own": "SELECT DISTINCT * FROM review_findings",
+    "source_lines": """SELECT review_id, ord, filename AS path, i - 1 AS i, list[i] AS line, len(list) AS n FROM (SELECT review_id, ord, filename, string_split(content, chr(10)) AS list,
+        unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM files WHERE regexp_matches(filename, '[.](c|m)?(j|t)sx?$'))""",
+    "routed": """SELECT event_id, user_id % 1500 AS github_repo_id FROM webhook_events WHERE event_type = 'push' AND event_id % 4 <> 0""",
     "patches": """SELECT review_id, ord, filename, status, CASE WHEN ord % 7 <> 0 THEN '@@ -1,4 +' || (ord % 30 + 1) || ',6 @@ ctx' || chr(10)
         || array_to_string(list_transform(range(1, len(string_split(content, chr(10))) + 1), lambda i: CASE (i - 1) % 4 WHEN 1 THEN '+' WHEN 2 THEN '-'
         ELSE ' ' END || string_split(content, chr(10))[i]), chr(10)) END AS patch FROM files""",
@@ -59,7 +70,8 @@ MODEL = {
 }
 NEEDS = {
     "visible": ["installations", "repositories"], "trend": ["reviews"], "ranked": ["review_findings"], "weighed": ["review_findings"],
-    "edges": ["code_files"], "patches": ["files"], "patch_lines": ["files"],
+    "edges": ["code_files"], "changed": ["code_files"], "levels": ["code_files", "edges", "changed"], "nearest": ["code_files", "edges", "changed", "levels"],
+    "affected": ["code_files", "edges", "changed", "levels", "nearest"], "own": ["review_findings"], "source_lines": ["files"], "routed": ["webhook_events"], "patches": ["files"], "patch_lines": ["files"],
 }
 
 
@@ -73,6 +85,7 @@ def sql(select: str, *tables: str) -> str:
 
 SERIOUS = "EXISTS (SELECT 1 FROM review_findings f WHERE f.review_id = r.id AND f.status = 'open' AND f.severity IN ('critical', 'high'))"
 WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{3,}'))"
+JACCARD = "CASE WHEN len(k.w) = 0 OR len(x[1].w) = 0 THEN 0.0 ELSE len(list_intersect(k.w, x[1].w)) / len(list_distinct(list_concat(k.w, x[1].w))) END"
 SKIP_RE = {
     "dist": r"(^|/)(dist|build|out|coverage|node_modules|vendor|\.next)/",
     "min": r"\.min\.(js|css)$",
@@ -177,8 +190,14 @@ def oracle_sql() -> dict[str, str]:
             "weighed",
         ),
         "policy_decision": sql(
-            """SELECT review_id, CASE WHEN b > 0 OR low THEN 'request_changes' ELSE 'comment' END AS verdict, CASE WHEN b > 0 OR low THEN 'failure' ELSE 'success' END AS conclusion,
-            b + low::INT AS n_reasons FROM (SELECT review_id, count(*) FILTER (verdict <> 'uncertain' AND severity = 'critical') AS b, greatest(0, floor(100 - sum(w) + 0.5)) < 40 AS low FROM weighed GROUP BY 1)""",
+            """SELECT review_id, CASE WHEN len(reasons) > 0 THEN 'request_changes' ELSE 'comment' END AS verdict, CASE WHEN len(reasons) > 0 THEN 'failure' ELSE 'success' END AS conclusion,
+            CASE WHEN len(reasons) > 0 THEN 'Blocked by policy: ' || reasons[1] || CASE WHEN len(reasons) > 1 THEN ' (+' || (len(reasons) - 1) || ' more)' ELSE '' END
+            ELSE 'Passes policy with ' || n || ' finding(s) worth a look' END AS headline, array_to_string(reasons, '; ') AS reasons,
+            'fail_on ' || CASE WHEN b > 0 THEN 'fail ' || b || ' confirmed critical finding(s)' ELSE 'pass no confirmed critical findings' END
+            || '; min_score ' || CASE WHEN score < 40 THEN 'fail' ELSE 'pass' END || ' score ' || score || ' vs minimum 40' AS policies
+            FROM (SELECT *, len(blocking) AS b, list_concat(blocking, CASE WHEN score < 40 THEN ['score ' || score || ' is below min_score 40'] ELSE [] END) AS reasons FROM (
+            SELECT review_id, count(*) AS n, greatest(0, floor(100 - sum(w) + 0.5))::INT AS score, coalesce(list(severity || ' ' || category || ' finding at ' || coalesce(file, 'PR') || coalesce(':' || line, '')
+            ORDER BY ord, severity || ' ' || category || ' finding at ' || coalesce(file, 'PR') || coalesce(':' || line, '')) FILTER (verdict <> 'uncertain' AND severity = 'critical'), []) AS blocking FROM weighed GROUP BY 1))""",
             "weighed",
         ),
         "severity_summary": sql(
@@ -200,15 +219,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "split_inline": sql("SELECT review_id, id, coalesce(line % 3 = 0, false) AS inline FROM (SELECT DISTINCT * FROM review_findings) WHERE file IS NOT NULL", "review_findings"),
         "fan_in": sql("SELECT repository_id, path, count(*) AS fan_in FROM edges GROUP BY 1, 2", "edges"),
-        "blast_radius": sql(
-            """, changed AS (SELECT repository_id AS review_id, repository_id, path FROM code_files WHERE regexp_matches(path, '7\\.ts$')),
-            l1 AS (SELECT DISTINCT c.review_id, e.importer AS path FROM changed c JOIN edges e ON e.repository_id = c.repository_id AND e.path = c.path),
-            a1 AS (SELECT * FROM l1 WHERE (review_id, path) NOT IN (SELECT review_id, path FROM changed)),
-            l2 AS (SELECT DISTINCT c.review_id, e.importer AS path FROM a1 c JOIN edges e ON e.repository_id = c.review_id AND e.path = c.path),
-            a2 AS (SELECT * FROM l2 WHERE (review_id, path) NOT IN (SELECT review_id, path FROM changed UNION ALL SELECT * FROM a1))
-            SELECT review_id, path, 1 AS distance FROM a1 UNION ALL SELECT review_id, path, 2 FROM a2""",
-            "edges",
-        ),
+        "blast_radius": sql("SELECT review_id, path, distance::INT AS distance, 'src/p' || origin || '.ts' AS via FROM affected", "affected"),
         "detect_file_changes": sql(
             """SELECT coalesce(t.repository_id, k.repository_id) AS repository_id, coalesce(t.path, k.path) AS path, CASE WHEN t.path IS NULL THEN 'removed' WHEN k.path IS NULL THEN 'added' ELSE 'changed' END AS change
             FROM (SELECT repository_id, path, CASE WHEN length(path) % 3 = 0 THEN 'x' ELSE blob_sha END AS sha FROM code_files WHERE NOT regexp_matches(path, '3\\.ts$') AND repository_id % 5 <> 0) t
@@ -243,10 +254,15 @@ def oracle_sql() -> dict[str, str]:
             "files",
         ),
         "risk": sql(
-            r"""SELECT review_id, least(100, CASE WHEN s > 0 THEN 30 ELSE 0 END + least(15, (l // 50) * 3) + CASE WHEN t > 0 THEN 10 ELSE 0 END)::INT AS score FROM (SELECT review_id,
-            count(*) FILTER (regexp_matches(filename, '(^|/)(auth|login|session|jwt|token|oauth|password|crypto|secret|payment|billing|checkout|permission|rbac|acl|migrations?|security|middleware)[^/]*', 'i') AND ord % 3 <> 0) AS s,
-            coalesce(sum(additions + deletions) FILTER (ord % 3 <> 0), 0)::BIGINT AS l, count(*) FILTER (status = 'removed' AND regexp_matches(filename, '\.test\.')) AS t FROM files GROUP BY 1)""",
-            "files",
+            r"""SELECT review_id, score, CASE WHEN score >= 70 THEN 'critical' WHEN score >= 45 THEN 'high' WHEN score >= 20 THEN 'medium' ELSE 'low' END AS level, CASE WHEN factors = '' THEN 'small, isolated change' ELSE factors END AS factors
+            FROM (SELECT review_id, least(100, least(35, a * 2) + CASE WHEN fan >= 10 THEN 10 ELSE 0 END + CASE WHEN len(s) > 0 THEN 30 ELSE 0 END + least(15, (l // 50) * 3) + CASE WHEN t > 0 THEN 10 ELSE 0 END)::INT AS score,
+            concat_ws('; ', CASE WHEN a > 0 THEN a || ' file(s) depend on the changed code' END, CASE WHEN fan >= 10 THEN 'a changed file is imported directly by ' || fan || ' files' END,
+            CASE WHEN len(s) > 0 THEN 'touches sensitive code: ' || array_to_string(s[1:3], ', ') || CASE WHEN len(s) > 3 THEN '…' ELSE '' END END, CASE WHEN l >= 50 THEN l || ' lines changed' END, CASE WHEN t > 0 THEN t || ' test file(s) deleted' END) AS factors
+            FROM (SELECT f.review_id, coalesce((SELECT count(*) FROM affected x WHERE x.review_id = f.review_id), 0) AS a,
+            coalesce((SELECT max(n) FROM (SELECT c.path, count(*) AS n FROM changed c JOIN edges e ON e.repository_id = c.repository_id AND e.path = c.path WHERE c.review_id = f.review_id GROUP BY 1)), 0) AS fan,
+            coalesce(list(filename ORDER BY ord) FILTER (status <> 'added' AND regexp_matches(filename, '(^|/)(auth|login|session|jwt|token|oauth|password|crypto|secret|payment|billing|checkout|permission|rbac|acl|migrations?|security|middleware)[^/]*', 'i')), []) AS s,
+            coalesce(sum(additions + deletions) FILTER (status <> 'added'), 0)::BIGINT AS l, count(*) FILTER (status = 'removed' AND regexp_matches(filename, '[.]test[.]')) AS t FROM files f GROUP BY 1))""",
+            "files", "affected",
         ),
         "ingest_events": sql("SELECT event_id, row_number() OVER (PARTITION BY delivery_id ORDER BY received_at, event_id) > 1 AS duplicate FROM webhook_events", "webhook_events"),
         "sweep_outbox": sql("SELECT event_id, delivery_id FROM webhook_events WHERE status = 'received' AND epoch(TIMESTAMP '2024-01-05') - floor(epoch(received_at)) > 30 ORDER BY received_at, event_id LIMIT 50", "webhook_events"),
@@ -276,12 +292,11 @@ def oracle_sql() -> dict[str, str]:
         ),
         "registry_repositories": sql("SELECT user_id AS github_repo_id, arg_max(action, event_id) AS language, arg_max(action, event_id) <> 'closed' AS active FROM webhook_events GROUP BY 1", "webhook_events"),
         "eval_metrics": sql(
-            """SELECT e.name, e.expected, e.found, coalesce(f.findings, 0) AS findings, coalesce(f.fp, 0) AS "falsePositives" FROM
-            (SELECT review_id % 100 AS name, count(*) AS expected, count(*) FILTER (EXISTS (SELECT 1 FROM x f WHERE NOT f.want AND f.name = x.name AND f.file = x.file AND abs(f.line - x.line) <= 3)) AS found FROM x WHERE want GROUP BY 1) e
+            """, x AS (SELECT review_id AS name, file, line, ord % 3 = 0 AS want FROM own)
+            SELECT e.name, e.expected, e.found, coalesce(f.findings, 0) AS findings, coalesce(f.fp, 0) AS "falsePositives" FROM
+            (SELECT name, count(*) AS expected, count(*) FILTER (EXISTS (SELECT 1 FROM x f WHERE NOT f.want AND f.name = x.name AND f.file = x.file AND abs(f.line - x.line) <= 3)) AS found FROM x WHERE want GROUP BY 1) e
             LEFT JOIN (SELECT name, count(*) AS findings, count(*) FILTER (NOT EXISTS (SELECT 1 FROM x e WHERE e.want AND e.name = x.name AND e.file = x.file AND abs(e.line - x.line) <= 3)) AS fp FROM x WHERE NOT want GROUP BY 1) f USING (name)""",
-            "review_findings",
-        ).replace("(SELECT review_id % 100 AS name", "(SELECT name").replace(
-            ") SELECT e.name", "), x AS (SELECT review_id % 100 AS name, file, line, ord % 3 = 0 AS want FROM (SELECT DISTINCT * FROM review_findings) WHERE review_id % 3 = 0 AND file IS NOT NULL) SELECT e.name", 1
+            "own",
         ),
         "import_resolution": sql(
             """SELECT DISTINCT f.repository_id, f.path AS from_path, regexp_replace(i, '^src/(.*)\\.ts$', './\\1.js') AS spec, i AS path FROM (SELECT repository_id, path, unnest(imports) AS i FROM code_files) f
@@ -302,8 +317,8 @@ def oracle_sql() -> dict[str, str]:
             "review_findings",
         ),
         "scan_tree": sql(
-            r"""SELECT review_id AS repository_id, filename AS path FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY ord) AS n FROM files WHERE length(content) <= 4000
-            AND (regexp_matches(filename, '\.(c|m)?(j|t)sx?$') OR regexp_matches(filename, '\.py$')) AND NOT regexp_matches(filename, '(^|/)dist/|\.min\.')) WHERE n <= 5""",
+            r"""SELECT review_id AS repository_id, filename AS path FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY ord) AS n FROM files WHERE length(content) <= 200000
+            AND (regexp_matches(filename, '\.(c|m)?(j|t)sx?$') OR regexp_matches(filename, '\.py$')) AND NOT regexp_matches(filename, '(^|/)dist/|\.min\.')) WHERE n <= 1500""",
             "files",
         ),
         "embedding_texts": sql("SELECT ord, md5(substr('// file: ' || filename || CASE WHEN ord % 2 = 0 THEN ' · f' || ord ELSE '' END || chr(10) || content, 1, 2000)) AS text_md5 FROM files", "files"),
@@ -313,23 +328,154 @@ def oracle_sql() -> dict[str, str]:
             "files",
         ),
         "max_fan_in": sql(
-            "SELECT c.repository_id AS review_id, max(coalesce(n, 0)) AS max_fan_in FROM code_files c LEFT JOIN (SELECT repository_id, path, count(*) AS n FROM edges GROUP BY 1, 2) e ON e.repository_id = c.repository_id AND e.path = c.path "
-            "WHERE c.path LIKE '%7.ts' GROUP BY 1",
-            "edges",
+            "SELECT c.review_id, max(coalesce(n, 0)) AS max_fan_in FROM changed c LEFT JOIN (SELECT repository_id, path, count(*) AS n FROM edges GROUP BY 1, 2) e ON e.repository_id = c.repository_id AND e.path = c.path GROUP BY 1",
+            "edges", "changed",
         ),
         "registry_installations": sql(
             """SELECT user_id AS installation_id, arg_max(CASE event_id % 5 WHEN 0 THEN 'deleted' WHEN 1 THEN 'suspended' ELSE 'active' END, (received_at, event_id)) AS status, arg_max(delivery_id, (received_at, event_id)) AS account_login,
             arg_min('u' || event_id, (received_at, event_id)) FILTER (event_id % 3 = 0) AS owner_user_id FROM webhook_events GROUP BY 1""",
             "webhook_events",
         ),
-        "save_findings": sql("SELECT review_id, count(*) AS n FROM (SELECT DISTINCT * FROM review_findings) f WHERE ord = 1 AND review_id % 4 = 0 OR review_id NOT IN (SELECT review_id FROM review_findings WHERE ord = 1 AND review_id % 4 = 0) GROUP BY 1", "review_findings"),
+        "save_findings": sql("SELECT review_id, count(*) AS n FROM own WHERE severity = 'critical' OR review_id NOT IN (SELECT review_id FROM own WHERE severity = 'critical') GROUP BY 1", "own"),
         "repost_findings": sql(
             """SELECT review_id, CASE WHEN r.id % 5 = 0 THEN 'from' ELSE 'base' END AS from_sha, count(*) AS n FROM review_findings f JOIN reviews r ON r.id = f.review_id WHERE f.status <> 'dismissed' AND r.status = 'completed'
             AND score IS NOT NULL AND installation_id IS NOT NULL AND (r.id % 5 = 0 OR r.id % 6 <> 0) GROUP BY 1, 2""",
             "reviews", "review_findings",
         ),
-        "request_manual": sql("SELECT repo_full_name, pr_number, head_sha FROM reviews WHERE id % 2 = 0 AND (id % 3 = 0 OR status NOT IN ('in_progress', 'completed'))", "reviews"),
-        "line_churn": "SELECT * FROM (SELECT conv_id, line, greatest(-n, 0) AS removed, greatest(n, 0) AS added FROM (SELECT conv_id, line, sum(s)::BIGINT AS n FROM (SELECT conv_id, unnest(string_split(text, chr(10))) AS line, CASE turn WHEN 0 THEN -1 ELSE 1 END AS s FROM conversations WHERE turn IN (0, 2)) GROUP BY 1, 2)) WHERE removed + added > 0",
+        "request_manual": sql("SELECT repo_full_name, pr_number, head_sha FROM reviews WHERE attempts = 0 OR status NOT IN ('in_progress', 'completed')", "reviews"),
+        "line_churn": """WITH t AS (SELECT a.conv_id, a.turn, b.text AS before, a.text AS after FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1),
+            l AS (SELECT conv_id, turn, unnest(string_split(before, chr(10))) AS line, -1 AS s FROM t UNION ALL SELECT conv_id, turn, unnest(string_split(after, chr(10))), 1 FROM t)
+            SELECT conv_id, turn, line, greatest(-n, 0) AS removed, greatest(n, 0) AS added FROM (SELECT conv_id, turn, line, sum(s)::BIGINT AS n FROM l GROUP BY 1, 2, 3) WHERE n <> 0""",
+        "progress_labels": sql(
+            """SELECT id, coalesce(label, 'Reviewing') AS label FROM (SELECT id, id % 34 AS k FROM reviews) LEFT JOIN (VALUES (0, 'Starting'), (1, 'Starting'), (2, 'Reading the repository'), (3, 'Collecting the pull request'),
+            (4, 'Reading linked issues'), (5, 'Detecting the stack'), (6, 'Choosing review checklists'), (7, 'Gathering related code'), (8, 'Mapping dependencies'), (9, 'Understanding the intent'), (10, 'Understanding the change'),
+            (11, 'Checking it matches the description'), (12, 'Understanding the change'), (13, 'Understanding the change'), (14, 'Measuring the blast radius'), (15, 'Assessing risk'), (16, 'Assessing risk'), (17, 'Reviewing code quality'),
+            (18, 'Reviewing security'), (19, 'Checking tests'), (20, 'Merging findings'), (21, 'Merging findings'), (22, 'Verifying findings'), (23, 'Verifying findings'), (24, 'Scoring'), (25, 'Applying policies'), (26, 'Deciding'),
+            (27, 'Writing the report'), (28, 'Publishing'), (29, 'Done'), (31, 'Queued'), (32, 'Queued'), (33, 'Queued')) v(k, label) USING (k)""",
+            "reviews",
+        ),
+        "age_buckets": sql(
+            """SELECT id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s < 2592000 THEN (s // 86400) || 'd ago'
+            ELSE strftime(make_timestamp(updated_s * 1000000), '%b %-d') END AS age FROM (SELECT id, updated_s, id * 7919 % 4000000 - 100 AS s FROM reviews)""",
+            "reviews",
+        ),
+        "qualify_index": sql("SELECT event_id, r.id AS repository_id, full_name FROM routed JOIN repositories r USING (github_repo_id) WHERE active", "routed", "repositories"),
+        "changed_symbols": sql(
+            """SELECT DISTINCT f.review_id, f.path, 'fn' || f.ord || '_' || f.i AS symbol FROM source_lines f JOIN source_lines a ON a.ord = f.ord AND a.i BETWEEN f.i AND CASE WHEN f.i + 2 < f.n THEN f.i + 2 ELSE f.i END
+            WHERE f.i % 4 = 0 AND a.i % 5 = 4""",
+            "source_lines",
+        ),
+        "distinct_symbols": sql(
+            "SELECT review_id, len(s)::INT AS n, md5(array_to_string(s, ',')) AS symbols_md5 FROM (SELECT review_id, list_sort(list('fn' || ord || '_' || i)) AS s FROM source_lines WHERE i % 4 = 0 GROUP BY 1)",
+            "source_lines",
+        ),
+        "filter_ignored": sql(
+            """SELECT review_id, filename FROM files WHERE NOT (review_id % 3 = 0 AND (filename LIKE 'dist/%' OR filename LIKE '%.png')) AND NOT (review_id % 3 = 1 AND filename LIKE 'src/auth/%.ts')""",
+            "files",
+        ),
+        "lint_on_added_lines": sql(
+            """SELECT l.review_id, l.id, CASE l.ord % 4 WHEN 1 THEN 'eqeqeq' ELSE 'no-eval' END AS rule_id, CASE l.category WHEN 'style' THEN 'warning' ELSE 'error' END AS severity FROM own l
+            WHERE l.ord % 4 IN (1, 2) AND EXISTS (SELECT 1 FROM own a WHERE a.review_id = l.review_id AND a.file = l.file AND a.line = l.line AND a.status = 'open')
+            AND (SELECT count(*) FROM (SELECT file, min(id) AS o FROM own g WHERE g.review_id = l.review_id AND g.file IS NOT NULL GROUP BY 1) WHERE o <= (SELECT min(id) FROM own h WHERE h.review_id = l.review_id AND h.file = l.file)) <= 20""",
+            "own",
+        ),
+        "ground_findings": sql(
+            """, known AS (SELECT DISTINCT review_id, file FROM own WHERE status <> 'dismissed'), lines AS (SELECT DISTINCT review_id, file, line FROM own WHERE category <> 'style'),
+            model AS (SELECT * FROM (SELECT review_id, reviewer, ord, id, CASE WHEN line % 3 <> 0 AND line % 3 <> 1 OR line IS NULL OR file IS NULL THEN file ELSE file END AS file, line, severity, message, 0 AS part,
+            row_number() OVER (PARTITION BY review_id, reviewer, file, line, lower(message[1:60]) ORDER BY ord, id) AS n FROM own SEMI JOIN known USING (review_id, file) WHERE source = 'ai') WHERE n = 1),
+            errors AS (SELECT review_id, 'quality' AS reviewer, ord, id, file, line, 'medium' AS severity, message || ' (ESLint: eqeqeq)' AS message, 1 AS part FROM own e SEMI JOIN known USING (review_id, file)
+            WHERE source = 'eslint' AND verdict = 'confirmed' AND NOT EXISTS (SELECT 1 FROM model m WHERE m.review_id = e.review_id AND m.reviewer = 'quality' AND m.file = e.file AND m.line = e.line)),
+            both_ AS (SELECT review_id, reviewer, ord, id, file, line, severity, message, part FROM model UNION ALL SELECT * FROM errors)
+            SELECT b.review_id, reviewer, place::INT AS place, b.file, b.line, severity, message, EXISTS (SELECT 1 FROM lines l WHERE l.review_id = b.review_id AND l.file = b.file AND l.line = b.line) AS inline FROM (SELECT *,
+            row_number() OVER (PARTITION BY review_id, reviewer ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, part, ord, id) AS place FROM both_) b WHERE place <= 30""",
+            "own",
+        ).replace("CASE WHEN line % 3 <> 0 AND line % 3 <> 1 OR line IS NULL OR file IS NULL THEN file ELSE file END AS file", "file"),
+        "apply_verdicts": sql(
+            """, asked AS (SELECT *, (n - 1) // 2 AS batch, (n - 1) % 2 AS k FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY ord, id) AS n FROM own WHERE source <> 'eslint'))
+            SELECT review_id, id, CASE WHEN none THEN 'uncertain' ELSE said END AS verdict, CASE WHEN none THEN 0.5 WHEN said = 'uncertain' THEN least(line / 40, 0.6) ELSE line / 40 END::DOUBLE AS confidence, CASE WHEN NOT none THEN message END AS reason
+            FROM (SELECT *, category = 'performance' OR EXISTS (SELECT 1 FROM asked f WHERE f.review_id = a.review_id AND f.batch = a.batch AND f.severity = 'critical') AS none,
+            CASE category WHEN 'bug' THEN 'rejected' WHEN 'style' THEN 'uncertain' ELSE 'confirmed' END AS said FROM asked a)
+            UNION ALL SELECT review_id, id, 'confirmed', 0.8, NULL FROM own WHERE source = 'eslint'""",
+            "own",
+        ),
+        "nearest_caller_files": sql("SELECT review_id, path, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY path) AS place FROM affected WHERE distance = 1) WHERE place <= 2", "affected"),
+        "order_affected": sql("SELECT review_id, path, (row_number() OVER (PARTITION BY review_id ORDER BY distance, path))::INT AS place FROM affected", "affected"),
+        "prioritise_sensitive": sql("SELECT review_id, filename, (row_number() OVER (PARTITION BY review_id ORDER BY filename NOT LIKE 'src/auth/%', ord))::INT AS new_place FROM files", "files"),
+        "head_content_files": sql(
+            "SELECT review_id, filename, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY ord) AS place FROM files WHERE status <> 'removed' AND ord % 7 <> 0) WHERE place <= 30", "files"
+        ),
+        "finding_list": sql("SELECT review_id, id, (row_number() OVER (PARTITION BY review_id ORDER BY ord, id))::INT AS place FROM own", "own"),
+        "union_reviewer_findings": sql(
+            """, u AS (SELECT *, CASE source WHEN 'eslint' THEN 'quality' ELSE reviewer END AS who FROM own) SELECT review_id, id, CASE source WHEN 'eslint' THEN 'eslint' ELSE who END AS reviewer,
+            (row_number() OVER (PARTITION BY review_id ORDER BY CASE who WHEN 'quality' THEN 1 WHEN 'security' THEN 2 ELSE 3 END, ord, id))::INT AS ord FROM u
+            WHERE NOT (who = 'testing' AND EXISTS (SELECT 1 FROM u f WHERE f.review_id = u.review_id AND f.who = 'testing' AND f.severity = 'critical'))""",
+            "own",
+        ),
+        "removed_paths": sql("SELECT repository_id, path FROM code_files WHERE len(imports) <= 1", "code_files"),
+        "diff_line_sets": sql(
+            """SELECT review_id, ord, count(*) FILTER (kind <> '-') AS n_commentable, (sum(new_line) FILTER (kind <> '-'))::BIGINT AS sum_commentable, CASE WHEN count(*) FILTER (kind = '+') > 0 THEN count(*) FILTER (kind = '+') END AS n_added,
+            (sum(new_line) FILTER (kind = '+'))::BIGINT AS sum_added FROM patch_lines GROUP BY 1, 2""",
+            "patch_lines",
+        ),
+        "rag_query_texts": sql(
+            """SELECT review_id, md5(substr(string_agg('// file: ' || filename || chr(10) || coalesce(array_to_string(list_filter(string_split(patch, chr(10)), lambda l: starts_with(l, '+')), chr(10)), ''), chr(10) ORDER BY ord), 1, 2000)) AS text_md5
+            FROM patches GROUP BY 1""",
+            "patches",
+        ),
+        "extract_json": sql("""SELECT id, CASE id % 4 WHEN 2 THEN id::VARCHAR WHEN 3 THEN NULL ELSE '{"a":' || id || '}' END AS json FROM reviews""", "reviews"),
+        "validate_model_output": sql("SELECT id, CASE WHEN file IS NULL OR line IS NULL OR status = 'dismissed' THEN 'findings: an item is invalid' END AS error FROM review_findings", "review_findings"),
+        "review_summaries": sql(
+            """, f AS (SELECT *, CASE verdict WHEN 'uncertain' THEN 0.5 ELSE 1 END * CASE severity WHEN 'critical' THEN 30 WHEN 'high' THEN 15 WHEN 'medium' THEN 6 ELSE 2 END AS w, CASE severity WHEN 'critical' THEN '🔴' WHEN 'high' THEN '🟠' WHEN 'medium' THEN '🟡' ELSE '🔵' END AS icon FROM own)
+            SELECT review_id, md5('### 🛡️ Review: ' || printf('%.1f', greatest(0, floor(100 - s + 0.5)) / 10) || '/10' || chr(10) || chr(10) || 'What was found.' || chr(10) || chr(10) || '🔴 ' || c || ' critical · 🟠 ' || h || ' high · 🟡 ' || m || ' medium · 🔵 ' || l || ' low'
+            || CASE WHEN o > 0 THEN chr(10) || chr(10) || '<details><summary>' || o || ' finding(s) outside the changed lines</summary>' || chr(10) || chr(10) || rows_ || chr(10) || '</details>' ELSE '' END
+            || CASE WHEN review_id % 2 = 0 THEN chr(10) || chr(10) || '[Open the full review](https://host.example/' || review_id || ')' ELSE '' END) AS markdown_md5
+            FROM (SELECT review_id, sum(w) AS s, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'high') AS h, count(*) FILTER (severity = 'medium') AS m, count(*) FILTER (severity = 'low') AS l,
+            count(*) FILTER (NOT coalesce(line > 20, false)) AS o, string_agg('- ' || icon || ' `' || coalesce(file, 'PR') || coalesce(':' || line, '') || '` ' || message, chr(10) ORDER BY ord, id) FILTER (NOT coalesce(line > 20, false)) AS rows_ FROM f GROUP BY 1)""",
+            "own",
+        ),
+        "normalised_paths": sql("SELECT ord, CASE ord % 4 WHEN 2 THEN 'a/' ELSE '' END || filename AS path FROM files", "files"),
+        "deactivate_repositories": sql("SELECT github_repo_id, active AND github_repo_id NOT IN (SELECT user_id FROM webhook_events WHERE event_type = 'installation_repositories') AS active FROM repositories", "repositories", "webhook_events"),
+        "deleted_installations": sql("SELECT github_repo_id, active AND installation_id NOT IN (SELECT installation_id FROM installations WHERE status = 'deleted') AS active FROM repositories", "repositories", "installations"),
+        "refresh_index": sql(
+            """SELECT repository_id, path, CASE WHEN length(blob_sha) + length(path) > 51 THEN 'new' ELSE blob_sha END AS blob_sha, CASE WHEN length(blob_sha) + length(path) > 51 THEN 2 ELSE 1 END AS start_line
+            FROM code_files WHERE path NOT LIKE '%3.ts' OR repository_id NOT IN (SELECT repository_id FROM code_files WHERE path NOT LIKE '%3.ts')""",
+            "code_files",
+        ),
+        "finding_statuses": sql("SELECT review_id, id, CASE category WHEN 'security' THEN status WHEN 'style' THEN 'resolved' WHEN 'bug' THEN 'dismissed' ELSE 'open' END AS status FROM own", "own"),
+        "auto_reviews": sql(
+            "SELECT github_repo_id, coalesce(e, auto_review_enabled) AS auto_review_enabled FROM repositories LEFT JOIN (SELECT user_id AS github_repo_id, arg_max(status = 'published', event_id) AS e FROM webhook_events GROUP BY 1) USING (github_repo_id)",
+            "repositories", "webhook_events",
+        ),
+        "claim_owner": sql("SELECT installation_id, CASE WHEN status = 'active' THEN owner_user_id WHEN installation_id % 2 = 0 THEN 'x' || installation_id END AS owner_user_id FROM installations", "installations"),
+        "ingest_diff_files": sql(
+            "SELECT review_id, ord, filename, additions, deletions FROM (SELECT review_id // 2 AS review_id, ord, filename, additions, deletions, row_number() OVER (PARTITION BY review_id // 2 ORDER BY ord) AS n FROM files) WHERE n <= 300", "files"
+        ),
+        "decoded_blobs": sql("SELECT ord, CASE WHEN strlen(content) <= 4000 AND NOT contains(content, chr(0)) THEN md5(content) END AS content_md5 FROM files", "files"),
+        "assurance_records": sql(
+            """SELECT review_id, CASE WHEN b > 0 OR score < 40 THEN 'request_changes' ELSE 'comment' END AS verdict, score / 10 AS overall, u AS uncertain,
+            CASE WHEN b > 0 OR score < 40 THEN 'Fix before merging: ' || array_to_string(list_concat(r, CASE WHEN score < 40 THEN ['score ' || score || ' is below min_score 40'] ELSE [] END)[1:3], '; ') END AS recommendation, NULL::VARCHAR AS intent
+            FROM (SELECT review_id, greatest(0, floor(100 - sum(w) + 0.5))::INT AS score, count(*) FILTER (verdict <> 'uncertain' AND severity = 'critical') AS b, count(*) FILTER (verdict = 'uncertain') AS u,
+            coalesce(list(severity || ' ' || category || ' finding at ' || coalesce(file, 'PR') || coalesce(':' || line, '') ORDER BY ord, severity || ' ' || category || ' finding at ' || coalesce(file, 'PR') || coalesce(':' || line, ''))
+            FILTER (verdict <> 'uncertain' AND severity = 'critical'), []) AS r FROM weighed GROUP BY 1)""",
+            "weighed",
+        ),
+        "dedupe_findings": sql(
+            f""", f AS (SELECT review_id, file, list({{'r': CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, 'o': ord, 'id': id, 'l': coalesce(line, 0), 'c': category, 'w': {WORDS.replace('text', 'message')}}}
+            ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, ord, id) AS fs FROM own GROUP BY 1, 2),
+            kept AS (SELECT review_id, list_reduce(list_transform(fs, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: (k.l = x[1].l AND (k.c = x[1].c OR {JACCARD} >= 0.2)) OR (abs(k.l - x[1].l) BETWEEN 1 AND 2 AND {JACCARD} >= 0.35))) > 0
+            THEN acc ELSE list_concat(acc, x) END) AS ks FROM f)
+            SELECT review_id, k.id AS id FROM (SELECT review_id, unnest(ks) AS k FROM kept)""",
+            "own",
+        ),
+        "pack_diff": sql(
+            f""", judged AS (SELECT review_id, ord, filename, status, length(patch) AS size, {REASON} AS reason FROM patches),
+            lens AS (SELECT review_id, ord, sum(length(text) + 10) - 1 AS n FROM patch_lines GROUP BY 1, 2),
+            sized AS (SELECT j.*, CASE WHEN reason IS NULL THEN length('<file path="" status="">') + length(filename) + length(status) + 1 + coalesce(n, 0) + length('</file>') + 1 END AS chars FROM judged j LEFT JOIN lens USING (review_id, ord)),
+            folded AS (SELECT review_id, list_reduce(list_prepend({{'used': 0::BIGINT, 'n': 0::BIGINT, 'chars': 0::BIGINT}}, list({{'used': ceil(chars / 4)::BIGINT, 'n': 1::BIGINT, 'chars': chars::BIGINT}} ORDER BY size, ord, filename) FILTER (reason IS NULL)),
+            lambda a, f: CASE WHEN a.used + f.used <= 12000 THEN {{'used': a.used + f.used, 'n': a.n + 1, 'chars': a.chars + f.chars}} ELSE a END) AS a, count(*) AS files FROM sized GROUP BY 1)
+            SELECT review_id, coalesce(a.n, 0)::INT AS n_included, (files - coalesce(a.n, 0))::INT AS n_skipped, (coalesce(a.chars, 0) + 2 * greatest(coalesce(a.n, 0) - 1, 0))::INT AS n_chars FROM folded""",
+            "patch_lines", "patches",
+        ),
     }
     found["eval_summary"] = f"""SELECT round(sum(found) / sum(expected), 2) AS recall, round((sum(findings) - sum("falsePositives")) / sum(findings), 2) AS "precision",
         sum("falsePositives")::BIGINT AS "falsePositives", count(*) FILTER (name % 10 = 0) AS errors, (7 * count(*))::BIGINT AS tokens FROM ({found["eval_metrics"]})"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from changelens.functions import paths, text
 from changelens.operators import diff, evals, events, findings, graph, index, lifecycle, registry, render, reports, retrieval, scoring
 from changelens.sources.model import model
-from changelens.sources.tables import is_code_file, scan_tree as scanned
+from changelens.sources.tables import decode_blob, ingest_diff_files as ingested, is_code_file, scan_tree as scanned
 from changelens.sources.topics import topic_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,7 +174,10 @@ def policy_decision(m, table):
     reviews = scoring.overall_score(found).withColumns({
         "fail_on": F.array(F.lit("critical")), "min_score": F.lit(40), "warnings": F.array().cast("array<string>"),
     })
-    return scoring.policy_decision(found, reviews).select("review_id", "verdict", "conclusion", F.size("reasons").cast("long").alias("n_reasons"))
+    return scoring.policy_decision(found, reviews).select(
+        "review_id", "verdict", "conclusion", "headline", F.array_join("reasons", "; ").alias("reasons"),
+        F.array_join(F.transform("policies", lambda p: F.concat_ws(" ", p["id"], p["status"], p["message"])), "; ").alias("policies"),
+    )
 
 
 @query
@@ -221,12 +224,20 @@ def fan_in(m, table):
     return graph.fan_in(m("code_files"))
 
 
+def changed_files(m) -> DataFrame:
+    """Reviews of two files each, a file and the one before it by number."""
+    number = F.expr("cast(regexp_extract(path, '([0-9]+)', 1) as bigint)")
+    files = m("code_files").select("repository_id", "path", number.alias("number"))
+    return files.select(F.explode(F.array("number", F.col("number") + 1)).alias("review_id"), "repository_id", F.col("number").alias("rank"), "path")
+
+
+def affected(m) -> DataFrame:
+    return graph.blast_radius(changed_files(m), graph.reverse_edges(m("code_files")))
+
+
 @query
 def blast_radius(m, table):
-    changed = m("code_files").filter("path like '%7.ts'").select(
-        F.col("repository_id").alias("review_id"), "repository_id", F.expr("cast(regexp_extract(path, '([0-9]+)', 1) as int)").alias("rank"), "path"
-    )
-    return graph.blast_radius(changed, graph.reverse_edges(m("code_files")), 2).select("review_id", "path", "distance")
+    return affected(m).select("review_id", "path", "distance", "via")
 
 
 @query
@@ -308,7 +319,8 @@ def sensitive_paths(m, table):
 @query
 def risk(m, table):
     files = m("files")
-    return scoring.assess_risk(scoring.risk_inputs(files, files.filter("ord % 3 <> 0"))).select("review_id", "score")
+    inputs = scoring.risk_inputs(files, files.filter("status <> 'added'"), affected(m), graph.max_fan_in(changed_files(m), m("code_files")))
+    return scoring.assess_risk(inputs).select("review_id", "score", "level", F.array_join("factors", "; ").alias("factors"))
 
 
 @query
@@ -378,7 +390,7 @@ def registry_repositories(m, table):
 
 @query
 def eval_metrics(m, table):
-    found = distinct_findings(m).filter("review_id % 3 = 0 and file is not null").withColumn("name", F.col("review_id") % 100)
+    found = distinct_findings(m).withColumn("name", F.col("review_id"))
     expected = found.filter("ord % 3 = 0").withColumnRenamed("id", "eid")
     cases = expected.select("name").distinct()
     return evals.eval_case_metrics(cases, expected, found.filter("ord % 3 <> 0").withColumnRenamed("id", "fid"))
@@ -386,8 +398,10 @@ def eval_metrics(m, table):
 
 @query
 def line_churn(m, table):
-    turns = table("conversations")
-    return diff.line_churn(turns.filter("turn = 0"), turns.filter("turn = 2"), "conv_id")
+    turns = table("conversations").select("conv_id", "turn", "text")
+    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"))
+    before = turns.join(following, ["conv_id", "turn"], "left_semi").withColumn("turn", F.col("turn") + 1)
+    return diff.line_churn(before, turns.join(before.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi"), "conv_id", "turn")
 
 
 @query
@@ -420,7 +434,7 @@ def reviewer_status(m, table):
 @query
 def scan_tree(m, table):
     listing = m("files").select(F.col("review_id").alias("repository_id"), "ord", F.lit("blob").alias("type"), F.col("filename").alias("path"), F.sha1("filename").alias("sha"), F.length("content").alias("size"))
-    return scanned(listing, most=5, max_bytes=4000).select("repository_id", "path")
+    return scanned(listing).select("repository_id", "path")
 
 
 @query
@@ -436,8 +450,7 @@ def line_contexts(m, table):
 
 @query
 def max_fan_in(m, table):
-    changed = m("code_files").filter("path like '%7.ts'").select(F.col("repository_id").alias("review_id"), "repository_id", "path")
-    return graph.max_fan_in(changed, m("code_files"))
+    return graph.max_fan_in(changed_files(m), m("code_files"))
 
 
 @query
@@ -453,7 +466,7 @@ def registry_installations(m, table):
 @query
 def save_findings(m, table):
     stored = distinct_findings(m)
-    new = stored.filter("review_id % 4 = 0 and ord = 1")
+    new = stored.filter("severity = 'critical'")
     return lifecycle.save_findings(stored, new).groupBy("review_id").agg(F.count("*").alias("n"))
 
 
@@ -465,11 +478,264 @@ def repost_findings(m, table):
 
 @query
 def request_manual(m, table):
-    asked = m("reviews").filter("id % 2 = 0").select("repo_full_name", "pr_number", "head_sha")
-    _, publish = lifecycle.request_manual(asked, m("reviews").filter("id % 3 <> 0"))
+    asked = m("reviews").select("repo_full_name", "pr_number", "head_sha", F.col("id").alias("seq"))
+    _, publish = lifecycle.request_manual(asked, m("reviews").filter("attempts > 0"))
     return publish.select("repo_full_name", "pr_number", "head_sha")
 
 
 @query
 def eval_summary(m, table):
     return evals.eval_summary(eval_metrics(m, table).withColumns({"tokens": F.lit(7).cast("long"), "error": F.when(F.col("name") % 10 == 0, F.lit("x"))}))
+
+
+@query
+def progress_labels(m, table):
+    nodes = F.array(*map(F.lit, [*text.PROGRESS_LABELS, "other", ""]))
+    return m("reviews").select("id", text.progress_label(F.get(nodes, (F.col("id") % 34).cast("int"))).alias("label"))
+
+
+@query
+def age_buckets(m, table):
+    now = F.timestamp_seconds(F.unix_timestamp("updated_at") - 100 + F.col("id") * 7919 % 4_000_000)
+    return m("reviews").select("id", text.age_bucket(F.col("updated_at"), now).alias("age"))
+
+
+@query
+def qualify_index(m, table):
+    routed = events.route_index(m("webhook_events").drop("github_repo_id"))
+    return events.qualify_index_requests(routed, m("repositories")).select("event_id", "repository_id", "full_name")
+
+
+def sources(m) -> DataFrame:
+    """Script files made of the documents' lines: a function around the second of every four, a comment for the last."""
+    code = F.transform(
+        F.split("content", "\n", -1),
+        lambda line, i: F.when(i % 4 == 0, F.concat(F.lit("function fn"), F.col("ord").cast("string"), F.lit("_"), i.cast("string"), F.lit("() {")))
+        .when(i % 4 == 1, F.concat(F.lit('  a = "'), F.md5(line), F.lit('";')))
+        .when(i % 4 == 2, "}")
+        .otherwise(F.concat(F.lit("// "), F.md5(line))),
+    )
+    return m("files").select("review_id", "ord", F.col("filename").alias("path"), F.array_join(code, "\n").alias("content"))
+
+
+@query
+def changed_symbols(m, table):
+    lines = sources(m).select("review_id", "path", F.posexplode(F.split("content", "\n", -1)).alias("i", "line"))
+    added = lines.filter("i % 5 = 4").select("review_id", "path", (F.col("i") + 1).alias("line"))
+    return index.changed_symbols(index.declarations(sources(m)), added)
+
+
+def policies(m) -> DataFrame:
+    globs = F.when(F.col("review_id") % 3 == 0, F.array(F.lit("dist/**"), F.lit("*.png"))).when(F.col("review_id") % 3 == 1, F.array(F.lit("src/auth/**/*.ts")))
+    return m("files").select("review_id").distinct().select("review_id", F.coalesce(globs, F.array().cast("array<string>")).alias("ignore"))
+
+
+@query
+def filter_ignored(m, table):
+    return scoring.filter_ignored(m("files"), policies(m)).select("review_id", "filename")
+
+
+def lint(m) -> DataFrame:
+    rule = F.when(F.col("ord") % 4 == 0, "no-undef").when(F.col("ord") % 4 == 1, "eqeqeq").when(F.col("ord") % 4 == 2, "no-eval")
+    return distinct_findings(m).withColumns({"rule_id": rule, "severity": F.when(F.col("category") == "style", 1).otherwise(2)})
+
+
+@query
+def lint_on_added_lines(m, table):
+    files = distinct_findings(m).groupBy("review_id", F.col("file").alias("filename")).agg(F.min("id").alias("ord"))
+    added = distinct_findings(m).filter("status = 'open'").select("review_id", "file", "line")
+    return findings.lint_on_added_lines(lint(m), added, files.filter("filename is not null")).select("review_id", "id", "rule_id", "severity")
+
+
+@query
+def ground_findings(m, table):
+    own = distinct_findings(m).withColumn("ord", F.struct("ord", "id"))
+    prefix = F.when(F.col("line") % 3 == 0, "./").when(F.col("line") % 3 == 1, "b/").otherwise("")
+    model_rows = own.filter("source = 'ai'").withColumns({"file": F.concat(prefix, "file"), "suggestion": F.lit(None).cast("string")})
+    files = own.filter("status <> 'dismissed'").select("review_id", "file")
+    lines = own.filter("category <> 'style'").select("review_id", "file", "line")
+    errors = own.filter("source = 'eslint'").withColumns({"reviewer": F.lit("quality"), "rule_id": F.lit("eqeqeq"), "severity": F.when(F.col("verdict") == "confirmed", "error").otherwise("warning")})
+    return findings.ground_findings(model_rows, files, lines, errors).select("review_id", "reviewer", "place", "file", "line", "severity", "message", "inline")
+
+
+@query
+def apply_verdicts(m, table):
+    own = distinct_findings(m).drop("verdict").withColumn("ord", F.struct("ord", "id"))
+    asked = findings.verify_batches(own, 2)
+    said = F.when(F.col("category") == "bug", "rejected").when(F.col("category") == "style", "uncertain").otherwise("confirmed")
+    answers = asked.filter("category <> 'performance'").select(
+        "review_id", "batch", F.col("batch_id").alias("id"), F.lit(0).alias("ord"), said.alias("verdict"), (F.col("line") / 40).alias("confidence"), F.col("message").alias("reason")
+    )
+    failed = asked.filter("severity = 'critical'").select("review_id", "batch")
+    return findings.apply_verdicts(own, answers, failed, 2).select("review_id", "id", "verdict", "confidence", "reason")
+
+
+@query
+def nearest_caller_files(m, table):
+    return graph.nearest_caller_files(affected(m), 2).select("review_id", "path", "place")
+
+
+@query
+def order_affected(m, table):
+    return graph.order_affected(affected(m)).select("review_id", "path", "place")
+
+
+@query
+def prioritise_sensitive(m, table):
+    files = m("files").select("review_id", "filename", F.col("ord").alias("place"))
+    return reports.prioritise_sensitive(files, paths.sensitive_path(F.col("filename"))).select("review_id", "filename", "new_place")
+
+
+@query
+def head_content_files(m, table):
+    return diff.head_content_files(patches(m)).select("review_id", "filename", "place")
+
+
+@query
+def finding_list(m, table):
+    return reports.finding_list(distinct_findings(m)).select("review_id", "id", "place")
+
+
+@query
+def union_reviewer_findings(m, table):
+    own = distinct_findings(m).withColumn("reviewer", F.when(F.col("source") == "eslint", "quality").otherwise(F.col("reviewer")))
+    grounded = own.withColumn("place", F.struct("ord", "id")).drop("ord")
+    failed = own.filter("severity = 'critical' and reviewer = 'testing'").select("review_id", "reviewer")
+    return findings.union_reviewer_findings(grounded, failed).select("review_id", "id", "reviewer", "ord")
+
+
+@query
+def removed_paths(m, table):
+    files = m("code_files")
+    return index.removed_paths(files.filter(F.size("imports") > 1), files)
+
+
+@query
+def diff_line_sets(m, table):
+    lines = diff.parse_patch(patches(m), "review_id", "ord")
+    count = lambda df, name: df.groupBy("review_id", "ord").agg(F.count("*").alias(f"n_{name}"), F.sum("new_line").alias(f"sum_{name}"))
+    return count(diff.commentable_lines(lines), "commentable").join(count(diff.added_lines(lines), "added"), ["review_id", "ord"], "left")
+
+
+@query
+def rag_query_texts(m, table):
+    listed = patches(m).groupBy("review_id").agg(F.sort_array(F.collect_list(F.struct("ord", "filename", "patch"))).alias("fs"))
+    return listed.select("review_id", F.md5(text.rag_query_text(F.col("fs"))).alias("text_md5"))
+
+
+@query
+def extract_json(m, table):
+    number = F.col("id").cast("string")
+    inner = F.concat(F.lit('{"a":'), number, F.lit("}"))
+    reply = F.when(F.col("id") % 4 == 0, inner).when(F.col("id") % 4 == 1, F.concat(F.lit("Here: "), inner, F.lit(" as asked"))).when(F.col("id") % 4 == 2, number).otherwise(F.lit('{"a":'))
+    return m("reviews").select("id", text.extract_json(reply).alias("json"))
+
+
+@query
+def validate_model_output(m, table):
+    item = F.struct("file", "line", F.when(F.col("status") == "dismissed", "awful").otherwise(F.col("severity")).alias("severity"), "category", "message")
+    answers = m("review_findings").select("id", F.concat(F.lit("Answer: "), F.to_json(F.struct(F.array(item).alias("findings")))).alias("text"))
+    return findings.validate_model_output(answers, "reviewer").select("id", "error")
+
+
+@query
+def review_summaries(m, table):
+    found = distinct_findings(m).withColumn("inline", F.coalesce(F.col("line") > 20, F.lit(False))).withColumn("ord", F.struct("ord", "id"))
+    url = F.when(F.col("review_id") % 2 == 0, F.concat(F.lit("https://host.example/"), F.col("review_id").cast("string")))
+    reviews = scoring.overall_score(found).withColumns({"summary": F.lit("What was found."), "details_url": url})
+    return render.review_summary_markdown(reviews, found).select("review_id", F.md5("markdown").alias("markdown_md5"))
+
+
+@query
+def normalised_paths(m, table):
+    name = F.concat(F.when(F.col("ord") % 4 == 0, " ./").when(F.col("ord") % 4 == 1, "a/").when(F.col("ord") % 4 == 2, "b/a/").otherwise(""), "filename")
+    return m("files").select("ord", text.normalise_path(name).alias("path"))
+
+
+@query
+def deactivate_repositories(m, table):
+    removed = m("webhook_events").filter("event_type = 'installation_repositories'").select("github_repo_id")
+    return registry.deactivate_repositories(m("repositories"), removed).select("github_repo_id", "active")
+
+
+@query
+def deleted_installations(m, table):
+    return registry.deleted_installations(m("repositories"), m("installations")).select("github_repo_id", "active")
+
+
+@query
+def refresh_index(m, table):
+    stored = m("code_files").select("repository_id", "path", "blob_sha")
+    tree = stored.filter("path not like '%3.ts'").select(
+        "repository_id", "path", F.when(F.length("blob_sha") + F.length("path") > 51, "new").otherwise(F.col("blob_sha")).alias("sha"), F.lit("head").alias("target_sha"), F.lit(None).cast("string").alias("indexed_sha")
+    )
+    changes = index.detect_file_changes(tree, stored)
+    files = tree.select("repository_id", "path", F.col("sha").alias("blob_sha"))
+    chunks, files = index.refresh_index(changes, files.withColumn("start_line", F.lit(2)), files, stored.withColumn("start_line", F.lit(1)), stored)
+    return files.join(chunks.select("repository_id", "path", "start_line"), ["repository_id", "path"]).select("repository_id", "path", "blob_sha", "start_line")
+
+
+@query
+def finding_statuses(m, table):
+    found = distinct_findings(m)
+    said = F.when(F.col("category") == "bug", "dismissed").when(F.col("category") == "style", "nonsense").otherwise("open")
+    changes = found.select(
+        F.when(F.col("category") == "security", F.col("review_id") + 1).otherwise(F.col("review_id")).alias("review_id"), "id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"), said.alias("status")
+    )
+    later = changes.withColumn("status", F.when(F.col("seq") == 1, "resolved").otherwise(F.col("status")))
+    return lifecycle.set_finding_status(found, later).select("review_id", "id", "status")
+
+
+@query
+def auto_reviews(m, table):
+    changes = m("webhook_events").select("github_repo_id", F.col("event_id").alias("seq"), (F.col("status") == "published").alias("enabled"))
+    return lifecycle.set_auto_review(m("repositories"), changes).select("github_repo_id", "auto_review_enabled")
+
+
+@query
+def claim_owner(m, table):
+    own = m("installations").withColumn("owner_user_id", F.when(F.col("status") == "active", F.col("owner_user_id")))
+    accounts = m("installations").filter("installation_id % 2 = 0").select(F.concat(F.lit("x"), F.col("installation_id").cast("string")).alias("user"), F.upper("account_login").alias("account"))
+    return registry.claim_owner(own, accounts).select("installation_id", "owner_user_id")
+
+
+@query
+def distinct_symbols(m, table):
+    symbols = index.declarations(sources(m)).select("review_id", "symbol")
+    return index.distinct_symbols(symbols).select("review_id", F.size("symbols").alias("n"), F.md5(F.array_join("symbols", ",")).alias("symbols_md5"))
+
+
+@query
+def ingest_diff_files(m, table):
+    raw = patches(m).withColumn("review_id", F.expr("review_id div 2"))
+    return ingested(raw).select("review_id", "ord", "filename", "additions", "deletions")
+
+
+@query
+def decoded_blobs(m, table):
+    plain = F.col("ord") % 3 == 0
+    data = F.when(plain, F.col("content")).otherwise(F.base64(F.col("content").cast("binary")))
+    whole = decode_blob(data, F.when(plain, "utf-8").otherwise("base64"), 4000)
+    return m("files").select("ord", F.md5(whole).alias("content_md5"))
+
+
+@query
+def assurance_records(m, table):
+    """Every review's decision with what led to it."""
+    found = m("review_findings")
+    base = scoring.overall_score(found).withColumns({"fail_on": F.array(F.lit("critical")), "min_score": F.lit(40), "warnings": F.array().cast("array<string>")})
+    decided = base.select("review_id", "score").join(scoring.policy_decision(found, base), "review_id")
+    none = lambda kind: F.lit(None).cast(kind)
+    checked = scoring.verification_summary(found, found.limit(0).select("review_id", F.lit(0).alias("batch"))).withColumnRenamed("status", "verification_status")
+    reviews = decided.join(checked, "review_id").withColumns({
+        "n_files": F.lit(1), "level": F.lit("low"), "risk_score": F.lit(0), "factors": F.array(F.lit("small, isolated change")), "failed_reviewers": F.array().cast("array<string>"),
+        "skills": F.array(F.lit("quality")), "intent_summary": none("string"), "change_type": none("string"), "stated": none("boolean"), "alignment": none("string"),
+        "alignment_score": none("double"), "alignment_summary": none("string"),
+    })
+    dims = scoring.dimension_scores(found, base.select("review_id", F.array().cast("array<string>").alias("failed_reviewers")))
+    record = render.assurance_record(render.recommendations(reviews), dims)
+    get = lambda path: F.get_json_object("assurance", path)
+    return record.select(
+        "review_id", get("$.decision.verdict").alias("verdict"), get("$.scorecard.overall").cast("double").alias("overall"), get("$.verification.uncertain").cast("long").alias("uncertain"),
+        get("$.recommendations[0]").alias("recommendation"), get("$.intent").alias("intent"),
+    )

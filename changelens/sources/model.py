@@ -66,16 +66,16 @@ VIEWS = {
                       sha1(cast(event_id AS string)), '"}}}') AS payload
         FROM events""",
     "code_files": """
-        SELECT cast(p_partkey % 25 AS bigint) AS repository_id, concat('src/p', p_partkey, '.ts') AS path,
+        SELECT cast(p_partkey div 100 AS bigint) AS repository_id, concat('src/p', p_partkey, '.ts') AS path,
                sha1(concat(p_name, p_size)) AS blob_sha, transform(sequence(1, cast(p_partkey % 4 AS int) + 1),
-               i -> concat('src/p', (p_partkey * i * 7 + i) % 2000, '.ts')) AS imports
+               i -> concat('src/p', p_partkey div 100 * 100 + (p_partkey * i * 7 + i) % 100, '.ts')) AS imports
         FROM part""",
     "code_chunks": """
         SELECT vec_id AS id, cast(label AS bigint) AS repository_id, concat('src/f', vec_id % 40, '.ts') AS path,
                cast(vec_id % 300 + 1 AS int) AS start_line, embedding
         FROM embeddings""",
     "files": """
-        SELECT cast(doc_id % 50 AS bigint) AS review_id, concat(CASE doc_id % 9 WHEN 0 THEN 'src/auth/' WHEN 1 THEN 'dist/'
+        SELECT cast(doc_id div 300 AS bigint) AS review_id, concat(CASE doc_id % 9 WHEN 0 THEN 'src/auth/' WHEN 1 THEN 'dist/'
                WHEN 2 THEN 'src/' ELSE 'lib/' END, source, '/f', doc_id, CASE doc_id % 5 WHEN 0 THEN '.min.js' WHEN 1 THEN '.ts'
                WHEN 2 THEN '.test.ts' WHEN 3 THEN '.py' ELSE '.png' END) AS filename, cast(doc_id AS int) AS ord,
                CASE doc_id % 6 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' ELSE 'modified' END AS status,
