@@ -246,8 +246,8 @@ def laid_out(rows: DataFrame, n_shards: int, shard: Column, shuffle_key: Column)
     return rows.repartitionById(n_shards, shard).sortWithinPartitions(shard, shuffle_key)
 
 
-#: Up to so many drawn copies, documents are picked by a broadcast list of them; beyond, by a shuffled join.
-BROADCAST_COPIES = 200_000
+#: A list of drawn copies of up to so many bytes is broadcast to the documents; a larger one is joined by shuffling.
+BROADCAST_BYTES = 32 << 20
 
 
 def mixed_documents(docs: DataFrame, *, text_col: str = "text", n_shards: int = 64, block_words: int = 512, **options) -> DataFrame:
@@ -274,7 +274,8 @@ def mixed_documents(docs: DataFrame, *, text_col: str = "text", n_shards: int =
         ),
         "mix-copies",
     )
-    if copies.count() <= BROADCAST_COPIES:
+    held = copies.agg(F.coalesce(F.sum(64 + 48 * F.coalesce(F.size("parts"), F.lit(0))), F.lit(0))).first()[0]
+    if held <= BROADCAST_BYTES:
         copies = F.broadcast(copies)
     text = field(text_col)
     split = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
