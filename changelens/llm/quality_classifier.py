@@ -212,7 +212,7 @@ def classify(
     n_bad, n_good = sizes.get(True, 0), sizes.get(False, 0)
     llr = telling_features(feature_counts(training), n_bad, n_good, most_features) if n_bad and n_good else {}
 
-    rows = written(scored(docs, llr), "scored")
+    rows = written(scored(docs.select("doc_id", "text", "host", "path"), llr), "scored")
     seen = written(
         rows.select("doc_id", "host", "path", "step").join(marked, "doc_id", "left").groupBy("host", "path", "step", "bad", "training").agg(F.count("*").alias("n")),
         "site-counts",
@@ -226,6 +226,8 @@ def classify(
     size = paths.agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("host"), F.lit(0)) + F.coalesce(F.octet_length("path"), F.lit(0))).alias("bytes")).first()
     few = (size["bytes"] or 0) + 40 * size["n"] <= BROADCAST_BYTES
     paths = paths.withColumnsRenamed({"host": "_host", "path": "_path"})
+    if whole:  # scored again beside their rows: a table of them would hold the corpus once more
+        rows = scored(docs, llr)
     return (
         rows.join(steps, at_step)
         .join(F.broadcast(paths) if few else paths, joined)
