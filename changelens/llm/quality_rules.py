@@ -20,6 +20,8 @@ RULES = {
     "marks": "n_marks / nullif(n_words, 0)",
 }
 STEPS, TOP = 200, 2000
+#: Tables of up to so many labelled ids are broadcast to the documents.
+BROADCAST_LABELS = 1_000_000
 #: Cutoff tables of up to so many strata are broadcast.
 BROADCAST_STRATA = 10_000
 
@@ -164,12 +166,19 @@ def apply_quality_rules(
     follow. Null text counts as empty and so fails the base rules; a stratum without any labelled document, an empty
     label table or an empty input rejects nothing more.
     Repeated rows are judged alike. Only the named columns are read, unless
-    whole asks for each document's row, as the struct document.
+    whole asks for each document's row, as the struct document. Then the statistics are written only of documents
+    whose ids are labelled, as a table of all rows would hold the corpus once more.
     """
-    rows = written(text_statistics(docs, id_col=id_col, text_col=text_col, stratum_col=stratum_col, whole=whole), "quality-rows")
+    columns = {"id_col": id_col, "text_col": text_col, "stratum_col": stratum_col}
     marked = labels.filter("quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
-    judged = rows.select("*", *(level(r).alias(r) for r in RULES))
-    holdout = judged.filter(~F.col("base_failed")).join(marked, "doc_id").select("stratum", "good", *RULES)
+    levels = lambda df: df.select("*", *(level(r).alias(r) for r in RULES))
+    if whole and marked.count() <= BROADCAST_LABELS:
+        ids = F.broadcast(marked.select(F.col("doc_id").alias("_labelled")))
+        holdout = levels(written(text_statistics(docs.join(ids, F.col(id_col) == F.col("_labelled"), "left_semi"), **columns), "labelled-rows"))
+        judged = levels(text_statistics(docs, **columns, whole=True))
+    else:
+        holdout = judged = levels(written(text_statistics(docs, **columns, whole=whole), "quality-rows"))
+    holdout = holdout.filter(~F.col("base_failed")).join(marked, "doc_id").select("stratum", "good", *RULES)
     cutoffs = written(certified_cutoffs(holdout, **options), "quality-cutoffs")
     wide = cutoffs.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{r}_cutoff") for r in RULES))
     few = cutoffs.count() <= BROADCAST_STRATA * len(RULES)
