@@ -253,8 +253,8 @@ BROADCAST_BYTES = 32 << 20
 def mixed_documents(docs: DataFrame, *, text_col: str = "text", n_shards: int = 64, block_words: int = 512, **options) -> DataFrame:
     """docs as the shards draw them: a row for each copy of which a block is drawn, shard by shard in shuffled order.
 
-    A copy whose blocks are all drawn keeps its text; another holds the words of its drawn blocks, in the text's order
-    and one blank apart. It lies in the shard of its first drawn block, at that block's place. Documents are numbered in
+    A copy whose blocks are all drawn keeps its text; another holds the words of its drawn blocks, in the text's order,
+    each with the blanks and line ends that follow it there. It lies in the shard of its first drawn block, at that block's place. Documents are numbered in
     a written table and read from its struct, so that a copy finds its row by number and no column's name can clash.
     Documents of no words, which no mix counts, are left out. Nulls, repeats and empty tables are as in mix_blocks.
     """
@@ -278,8 +278,8 @@ def mixed_documents(docs: DataFrame, *, text_col: str = "text", n_shards: int =
     if held <= BROADCAST_BYTES:
         copies = F.broadcast(copies)
     text = field(text_col)
-    split = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-    pieces = let(split, lambda w: F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(w, p["start"].cast("int") + 1, p["words"].cast("int")))), " "))
+    split = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"), F.lit(0))
+    pieces = let(split, lambda w: F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(w, p["start"].cast("int") + 1, p["words"].cast("int")))), ""))
     cut = F.when(F.col("parts").isNull(), text).otherwise(pieces)
     drawn = stored.join(copies, F.col("number") == F.col("row_id")).select("document", cut.alias("mixed_text"), "shard", "shuffle_key")
     return laid_out(drawn, n_shards, F.col("shard"), F.col("shuffle_key")).select(

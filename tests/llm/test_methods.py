@@ -1,6 +1,7 @@
 """The dealt methods against brute force: plain forms of each over small tables."""
 
 import math
+import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -177,6 +178,15 @@ def test_mixed_documents_are_the_drawn_blocks(spark):
     assert mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+def test_cut_documents_keep_their_line_ends(spark):
+    ends = (" ", "\n", "  ", "\t\n")
+    text = {i: " " + "".join(f"w{i}x{j}" + ends[(i + j) % 4] for j in range(90)) for i in range(12)}
+    df = spark.createDataFrame([(i, t, "abc"[i % 3]) for i, t in text.items()], "doc_id long, text string, source string")
+    out = mixing.mixed_documents(df, n_shards=4, block_words=20).collect()
+    cut = [r for r in out if r["text"] != text[r["doc_id"]]]
+    assert cut and all(w in text[r["doc_id"]] for r in cut for w in re.findall(r"\S+\s*", r["text"]))
+
+
 def test_slots_are_the_permutation_of_the_sequences(spark, tmp_path):
     docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i * 7 % 90))) for i in range(40)] + [(40, None)], "doc_id long, text string")
     rows = token_shards.sequences(docs, id_col="doc_id", text_col="text", length=16, end_id=0, vocabulary=None)
