@@ -6,15 +6,17 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from changelens.operators.events import parse_events
-from changelens.sources.tables import upsert
 from changelens.sources.topics import dead_letter
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def split_events(raw: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """(valid events, rows for the dead-letter topic) of a raw stream."""
@@ -23,67 +25,37 @@ def split_events(raw: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     return valid, dead_letter(parsed.filter("reason is not null"))
 
 
-def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The newest version of a table that upsert_stream keeps; empty before the first."""
-    version = newest(spark, path)
-    return spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{path}/version={version}")
-
-
-def newest(spark: SparkSession, path: str, below: int | None = None) -> int | None:
-    """The greatest version that has files; a writer's files appear when its job is committed."""
+def stored(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
+    """The table that upsert_stream keeps: of each key, the row of the newest batch that has it; empty before the first."""
     try:
-        names = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path")
-    except Exception as error:  # no version was ever written
-        if "PATH_NOT_FOUND" in str(error):
-            return None
+        rows = spark.read.schema(f"{schema}, batch long").parquet(path)
+    except AnalysisException as error:  # no batch was ever written
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
         raise
-    found = names.select(F.regexp_extract("path", r"version=(\d+)/[^/]+$", 1).cast("long").alias("v"))
-    if below is not None:
-        found = found.filter(F.col("v") < below)
-    return found.agg(F.max("v")).first()[0]
+    columns = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("row")).select(*(F.col("row")[c].alias(c) for c in columns))
 
 
-def ingest_stream(events: DataFrame, path: str, checkpoint: str, *, late: str = "1 day") -> DataStreamWriter:
-    """events(delivery_id, received_at, ...) into a table in which a delivery id comes once, for ever.
+def ingest_stream(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """events(delivery_id, received_at, ...) into a Parquet table in which a delivery id comes once, for ever.
 
-    Repeats within the watermark are dropped by stream state; later ones by the stored table. A batch is a folder of
-    its own, so a batch that runs again replaces what it wrote.
+    The ids seen are stream state, dealt by id, so a batch costs what it brings, however long the history. State is never
+    dropped; it lies in RocksDB, on disk, which the session is set to. The file sink commits each batch once.
     """
-    first = events.withWatermark("received_at", late).dropDuplicatesWithinWatermark(["delivery_id"])
-    schema = events.schema
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = f"{path}/batch={batch_id}"
-        older = spark.createDataFrame([], schema).select("delivery_id")
-        if has_files(spark, path):
-            known = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
-            older = known.filter(~F.input_file_name().contains(f"/batch={batch_id}/")).select("delivery_id")
-        batch.dropDuplicates(["delivery_id"]).join(older, "delivery_id", "left_anti").write.mode("overwrite").parquet(target)
-
-    return first.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-
-
-def has_files(spark: SparkSession, path: str) -> bool:
-    try:
-        return not spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path).select("path").isEmpty()
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return False
-        raise
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return events.dropDuplicates(["delivery_id"]).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
 
 
-def upsert_stream(changes: DataFrame, path: str, schema: str, keys: list[str], merge: Callable[[DataFrame], DataFrame], checkpoint: str) -> DataStreamWriter:
-    """A table that follows a stream of changes: each batch, made one row a key by merge, is upserted into a new version.
+def upsert_stream(changes: DataFrame, path: str, merge: Callable[[DataFrame], DataFrame], checkpoint: str) -> DataStreamWriter:
+    """A table that follows a stream of changes: each batch, made one row a key by merge, is a folder below path.
 
-    A batch reads the newest version before its own, so running it again gives the same version.
+    A batch writes its own changes only, whatever the table's size, and replaces its folder if it runs again. stored()
+    reads the newest row of each key.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        version = newest(spark, path, below=batch_id)
-        table = spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{path}/version={version}")
-        upsert(table, merge(batch), keys).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        merge(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return changes.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
 

@@ -27,14 +27,14 @@ def run(writer):
 def test_ingest_survives_restarts_and_late_repeats(spark, tmp_path):
     schema = "delivery_id string, received_at timestamp, body string"
     source = lambda: spark.readStream.schema(schema).json(str(tmp_path / "in"))
-    go = lambda: run(streams.ingest_stream(source(), str(tmp_path / "table"), str(tmp_path / "ck"), late="1 hour"))
+    go = lambda: run(streams.ingest_stream(source(), str(tmp_path / "table"), str(tmp_path / "ck")))
     put(tmp_path / "in", "1", [{"delivery_id": d, "received_at": "2024-01-01T00:00:00", "body": "first"} for d in ("a", "b", "a")])
     go()
     put(tmp_path / "in", "2", [{"delivery_id": d, "received_at": "2024-01-05T00:00:00", "body": "second"} for d in ("b", "c")])
     go()
     put(tmp_path / "in", "3", [{"delivery_id": d, "received_at": "2024-01-09T00:00:00", "body": "third"} for d in ("a", "c", "d")])
     go()
-    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "table")).collect()
+    rows = spark.read.parquet(str(tmp_path / "table")).collect()
     assert sorted((r["delivery_id"], r["body"]) for r in rows) == [("a", "first"), ("b", "first"), ("c", "second"), ("d", "third")]
 
 
@@ -51,14 +51,19 @@ def test_topics_and_dead_letters(spark, tmp_path):
 
 def test_upserts_follow_the_stream(spark, tmp_path):
     schema = "installation_id long, status string"
+    assert streams.stored(spark, str(tmp_path / "none"), schema, ["installation_id"]).isEmpty()
     source = lambda: spark.readStream.schema(f"{schema}, seq long").json(str(tmp_path / "in"))
     last = lambda batch: batch.groupBy("installation_id").agg(F.max_by("status", "seq").alias("status"))
-    go = lambda: run(streams.upsert_stream(source(), str(tmp_path / "table"), schema, ["installation_id"], last, str(tmp_path / "ck")))
+    go = lambda: run(streams.upsert_stream(source(), str(tmp_path / "table"), last, str(tmp_path / "ck")))
     put(tmp_path / "in", "1", [{"installation_id": 1, "status": "active", "seq": 1}, {"installation_id": 1, "status": "suspended", "seq": 2}])
     go()
     put(tmp_path / "in", "2", [{"installation_id": 2, "status": "active", "seq": 3}])
     go()
-    assert sorted(map(tuple, streams.stored(spark, str(tmp_path / "table"), schema).collect())) == [(1, "suspended"), (2, "active")]
+    read = lambda: sorted(map(tuple, streams.stored(spark, str(tmp_path / "table"), schema, ["installation_id"]).collect()))
+    assert read() == [(1, "suspended"), (2, "active")]
+    put(tmp_path / "in", "3", [{"installation_id": 1, "status": None, "seq": 4}])
+    go()
+    assert read() == [(1, None), (2, "active")]
 
 
 def test_claims_and_progress(spark, tmp_path):
