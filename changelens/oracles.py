@@ -229,7 +229,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "rag_top_k": sql(
             """SELECT review_id, id, place::INT AS place FROM (SELECT q.id AS review_id, c.id, row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), c.id) AS place
-            FROM code_chunks q JOIN code_chunks c USING (repository_id) WHERE q.id % 25 = 0 AND c.id <> q.id AND list_cosine_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) < 0.9) WHERE place <= 8""",
+            FROM code_chunks q JOIN code_chunks c USING (repository_id) WHERE q.id % 50 = 0 AND c.id <> q.id AND list_cosine_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) < 0.9) WHERE place <= 8""",
             "code_chunks",
         ),
         "classify_diff_files": sql(f"SELECT review_id, filename, {REASON} AS reason, ({REASON}) IS NULL AS reviewable FROM patches", "patches"),

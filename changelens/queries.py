@@ -252,7 +252,7 @@ def detect_file_changes(m, table):
 @query
 def rag_top_k(m, table):
     chunks = m("code_chunks").withColumn("path", F.col("id").cast("string"))
-    asked = chunks.filter("id % 25 = 0").select(F.col("id").alias("review_id"), "repository_id", "embedding")
+    asked = chunks.filter("id % 50 = 0").select(F.col("id").alias("review_id"), "repository_id", "embedding")
     own = asked.select("review_id", F.col("review_id").cast("string").alias("path"))
     return retrieval.rag_top_k(asked, chunks, own, max_distance=0.9).select("review_id", "id", "place")
 
