@@ -241,21 +241,29 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def laid_out(rows: DataFrame, n_shards: int, shard: Column, shuffle_key: Column) -> DataFrame:
-    """rows with each shard in one partition, in its own random order, for a writer to keep."""
-    return rows.repartitionById(n_shards, shard).sortWithinPartitions(shard, shuffle_key)
+def laid_out(rows: DataFrame, n_shards: int, shard: Column, shuffle_key: Column, parts: int = 1) -> DataFrame:
+    """rows shard by shard, each in its own random order, for a writer to keep.
+
+    A shard lies in `parts` neighbouring partitions, which hold equal ranges of its random shuffle_key in order, so
+    a large shard is no single task's.
+    """
+    part = F.least(F.floor((shuffle_key.cast("double") / 2.0**64 + 0.5) * parts).cast("int"), F.lit(parts - 1))
+    return rows.repartitionById(n_shards * parts, shard * parts + part).sortWithinPartitions(shard, shuffle_key)
 
 
 #: A list of drawn copies of up to so many bytes is broadcast to the documents; a larger one is joined by shuffling.
 BROADCAST_BYTES = 32 << 20
 
 
-def mixed_documents(docs: DataFrame, *, text_col: str = "text", n_shards: int = 64, block_words: int = 512, **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, *, text_col: str = "text", n_shards: int = 64, block_words: int = 512, part_words: int = 16 << 20, **options
+) -> DataFrame:
     """docs as the shards draw them: a row for each copy of which a block is drawn, shard by shard in shuffled order.
 
     A copy whose blocks are all drawn keeps its text; another holds the words of its drawn blocks, in the text's order,
-    each with the blanks and line ends that follow it there. It lies in the shard of its first drawn block, at that block's place. Documents are numbered in
-    a written table and read from its struct, so that a copy finds its row by number and no column's name can clash.
+    each with the blanks and line ends that follow it there. It lies in the shard of its first drawn block, at that
+    block's place; a shard is laid out in partitions of about part_words words. Documents are numbered in a written
+    table and read from its struct, so that a copy finds its row by number and no column's name can clash.
     Documents of no words, which no mix counts, are left out. Nulls, repeats and empty tables are as in mix_blocks.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
@@ -269,19 +277,20 @@ def mixed_documents(docs: DataFrame, *, text_col: str = "text", n_shards: int =
         blocks.groupBy("row_id", "copy", "size")
         .agg(F.sum("words").alias("words"), F.sort_array(F.collect_list(part)).alias("parts"))
         .select(
-            "row_id", F.col("parts")[0]["shard"].alias("shard"), F.col("parts")[0]["shuffle_key"].alias("shuffle_key"),
+            "row_id", "words", F.col("parts")[0]["shard"].alias("shard"), F.col("parts")[0]["shuffle_key"].alias("shuffle_key"),
             F.when(F.col("words") < F.col("size"), F.transform("parts", lambda p: F.struct(p["start"].alias("start"), p["words"].alias("words")))).alias("parts"),
         ),
         "mix-copies",
     )
-    held = copies.agg(F.coalesce(F.sum(64 + 48 * F.coalesce(F.size("parts"), F.lit(0))), F.lit(0))).first()[0]
-    if held <= BROADCAST_BYTES:
+    held, words = copies.agg(F.sum(64 + 48 * F.coalesce(F.size("parts"), F.lit(0))), F.sum("words")).first()
+    if (held or 0) <= BROADCAST_BYTES:
         copies = F.broadcast(copies)
     text = field(text_col)
     split = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"), F.lit(0))
     pieces = let(split, lambda w: F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(w, p["start"].cast("int") + 1, p["words"].cast("int")))), ""))
     cut = F.when(F.col("parts").isNull(), text).otherwise(pieces)
     drawn = stored.join(copies, F.col("number") == F.col("row_id")).select("document", cut.alias("mixed_text"), "shard", "shuffle_key")
-    return laid_out(drawn, n_shards, F.col("shard"), F.col("shuffle_key")).select(
+    parts = max(1, -(-(words or 0) // (n_shards * part_words)))
+    return laid_out(drawn, n_shards, F.col("shard"), F.col("shuffle_key"), parts).select(
         *(F.col("mixed_text").alias(c) if c == text_col else field(c).alias(c) for c in docs.columns)
     )

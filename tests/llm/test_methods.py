@@ -178,6 +178,21 @@ def test_mixed_documents_are_the_drawn_blocks(spark):
     assert mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+def test_large_shards_lie_in_several_partitions(spark):
+    ends = (-(2**63), -(2**62), -1, 0, 5, 2**62, 2**63 - 1)
+    rows = spark.createDataFrame([(s, k) for k in ends for s in (1, 0, 2)], "shard int, shuffle_key long")
+    out = mixing.laid_out(rows, 3, F.col("shard"), F.col("shuffle_key"), 4).withColumn("p", F.spark_partition_id()).collect()
+    assert [(r["shard"], r["shuffle_key"]) for r in sorted(out, key=lambda r: r["p"])] == [(s, k) for s in range(3) for k in ends]
+    assert {r["p"] for r in out} == set(range(12))
+
+    _, df = mix_docs(spark)
+    whole = mixing.mixed_documents(df, n_shards=4, block_words=20)
+    in_parts = mixing.mixed_documents(df, n_shards=4, block_words=20, part_words=60)
+    assert in_parts.rdd.getNumPartitions() > whole.rdd.getNumPartitions() == 4
+    text = lambda d: [tuple(r) for r in d.collect()]
+    assert text(in_parts) == text(whole)
+
+
 def test_cut_documents_keep_their_line_ends(spark):
     ends = (" ", "\n", "  ", "\t\n")
     text = {i: " " + "".join(f"w{i}x{j}" + ends[(i + j) % 4] for j in range(90)) for i in range(12)}
