@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import license_scan, merkle, mixing, near_dedup, neighbours, oracles, packing, quality_classifier, quality_rules, sharding, token_shards, url_filters
+from changelens.llm import alignment, byte_bpe, license_scan, merkle, mixing, near_dedup, neighbours, oracles, packing, quality_classifier, quality_rules, sharding, token_shards, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +60,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_site_classifier, op2_lpt_sharding, op3_license_scan, op4_quality_rules, op5_training_order, op6_url_filter, op7_super_minhash, op8_source_mixture, op9_multiprobe_search, op10_bin_slack_packing, op11_merkle_manifest)
+    found = (op1_site_classifier, op2_lpt_sharding, op3_license_scan, op4_quality_rules, op5_training_order, op6_url_filter, op7_super_minhash, op8_source_mixture, op9_multiprobe_search, op10_bin_slack_packing, op11_merkle_manifest, op12_lockstep_alignment, op13_byte_bpe)
     return {f.__name__: f for f in found}
 
 
