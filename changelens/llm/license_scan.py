@@ -35,8 +35,8 @@ def template_tokens(templates: dict[str, str]) -> dict[str, list[str]]:
 
 def lowered(text: Column) -> Column:
     """Lower case for the letters A-Z; other letters may change, but none turns into one of a-z."""
-    kelvin = "K"  # its lower case is the letter k
-    return F.lower(F.when(text.contains(kelvin), F.translate(text, kelvin, "Å")).otherwise(text))
+    kelvin = "\u212a"  # the sign of the unit, whose lower case is the letter k
+    return F.lower(F.when(text.contains(kelvin), F.translate(text, kelvin, "\u00c5")).otherwise(text))
 
 
 def known_words(docs: DataFrame, known: list[str], *, id_col: str, text_col: str) -> DataFrame:
@@ -82,7 +82,7 @@ def scan_licenses(
 
     A text is split into words once; of these only the known ones, of templates and phrases, are kept, with their
     places. A null text counts as empty and has no block. Repeated rows each have their own row_id. An empty table
-    gives two empty results. Templates are a parameter of tens of lines; their tables are broadcast.
+    gives two empty results, an empty set of templates no match. Templates are a parameter of tens of lines; their tables are broadcast.
     """
     spark = docs.sparkSession
     tokens = template_tokens(TEMPLATES if templates is None else templates)
@@ -123,7 +123,7 @@ def scan_licenses(
         .filter("block between 0 and last")
         .groupBy("row_id", "block")
         .agg(F.collect_set("token").alias("tokens"))
-        .filter((F.size("tokens") >= min(need.values())) & F.arrays_overlap("tokens", first))
+        .filter((F.size("tokens") >= min(need.values(), default=0)) & F.arrays_overlap("tokens", first))
     )
     matches = (
         ranked(blocks, "row_id", "block")
