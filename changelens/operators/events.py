@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changelens.sources.topics import EVENTS
 
+# The events and actions that are routed, and the shape of ids.
 ROUTED = ["pull_request", "push", "installation", "installation_repositories"]
 REVIEW_ACTIONS = ["opened", "synchronize", "reopened", "ready_for_review"]
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"

@@ -9,6 +9,7 @@ from changelens.functions.paths import sensitive_path
 from changelens.functions.text import CLAIM_TAGS, REVIEW_TAGS, estimate_tokens, fence, line_context
 from changelens.operators.findings import SEVERITIES
 
+# The signs of severities. The sentences for people below are fixed as well.
 ICONS = {"critical": "🔴", "high": "🟠", "medium": "🟡", "low": "🔵"}
 
 

@@ -91,13 +91,13 @@ def installation_row(raw: DataFrame) -> DataFrame:
     )
 
 
-def score_trend(reviews: DataFrame, since: str | None = None) -> DataFrame:
-    """(day, avg_score, reviews): completed reviews of each day; decimals keep halves exact."""
+def score_trend(reviews: DataFrame, since: str | None = None, *by: str) -> DataFrame:
+    """(day, avg_score, reviews): completed reviews of each day, apart for each value of the columns `by`; decimals keep halves exact."""
     kept = reviews.filter("status = 'completed'")
     if since:
         kept = kept.filter(F.col("created_at") >= F.lit(since).cast("timestamp"))
     average = F.sum(F.col("score").cast("decimal(18,6)")) / F.nullif(F.count("score"), F.lit(0)) / 10
-    return kept.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(
+    return kept.groupBy(*by, F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(
         F.round(average, 1).cast("double").alias("avg_score"), F.count("*").alias("reviews")
     )
 

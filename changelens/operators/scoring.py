@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from changelens.functions.paths import deleted_test_file, glob_match, sensitive_path
 from changelens.operators.findings import REVIEWERS, SEVERITIES
 
+# What a finding costs, and, below, the texts of risk factors, checks and headlines.
 WEIGHTS = {"critical": 30, "high": 15, "medium": 6, "low": 2}
 
 
@@ -62,15 +63,21 @@ def instructions_for(files: DataFrame, policies: DataFrame) -> DataFrame:
     )
 
 
+def still_there(files: DataFrame) -> DataFrame:
+    """The changed files that the new version has: a removed one touches nothing and nothing can depend on it."""
+    return files.filter("status is null or status <> 'removed'")
+
+
 def risk_inputs(files: DataFrame, kept: DataFrame, affected: DataFrame | None = None, fan_in: DataFrame | None = None) -> DataFrame:
-    """What assess_risk needs of each review. Lines and paths count files that the policy keeps, deleted tests all files.
+    """What assess_risk needs of each review: lines of files that the policy keeps, paths of those of them that are still
+    there, deleted tests of all files.
 
     changed_paths holds the first four sensitive ones, enough to name three and to tell that there are more.
     """
     base = files.groupBy("review_id").agg(F.count_if(deleted_test_file(F.col("status"), F.col("filename"))).alias("deleted_tests"))
     lines = kept.groupBy("review_id").agg(F.sum(F.col("additions") + F.col("deletions")).alias("lines_changed"))
     place = F.row_number().over(Window.partitionBy("review_id").orderBy("ord", "filename"))
-    named = kept.filter(sensitive_path(F.col("filename"))).select("review_id", "ord", "filename").withColumn("place", place).filter("place <= 4")
+    named = still_there(kept).filter(sensitive_path(F.col("filename"))).select("review_id", "ord", "filename").withColumn("place", place).filter("place <= 4")
     first = named.groupBy("review_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "filename"))), lambda x: x["filename"]).alias("changed_paths"))
     out = base.join(lines, "review_id", "left").join(first, "review_id", "left")
     none = F.lit(0).cast("long")

@@ -254,15 +254,23 @@ def oracle_sql() -> dict[str, str]:
             "files",
         ),
         "risk": sql(
-            r"""SELECT review_id, score, CASE WHEN score >= 70 THEN 'critical' WHEN score >= 45 THEN 'high' WHEN score >= 20 THEN 'medium' ELSE 'low' END AS level, CASE WHEN factors = '' THEN 'small, isolated change' ELSE factors END AS factors
-            FROM (SELECT review_id, least(100, least(35, a * 2) + CASE WHEN fan >= 10 THEN 10 ELSE 0 END + CASE WHEN len(s) > 0 THEN 30 ELSE 0 END + least(15, (l // 50) * 3) + CASE WHEN t > 0 THEN 10 ELSE 0 END)::INT AS score,
-            concat_ws('; ', CASE WHEN a > 0 THEN a || ' file(s) depend on the changed code' END, CASE WHEN fan >= 10 THEN 'a changed file is imported directly by ' || fan || ' files' END,
-            CASE WHEN len(s) > 0 THEN 'touches sensitive code: ' || array_to_string(s[1:3], ', ') || CASE WHEN len(s) > 3 THEN '…' ELSE '' END END, CASE WHEN l >= 50 THEN l || ' lines changed' END, CASE WHEN t > 0 THEN t || ' test file(s) deleted' END) AS factors
-            FROM (SELECT f.review_id, coalesce((SELECT count(*) FROM affected x WHERE x.review_id = f.review_id), 0) AS a,
-            coalesce((SELECT max(n) FROM (SELECT c.path, count(*) AS n FROM changed c JOIN edges e ON e.repository_id = c.repository_id AND e.path = c.path WHERE c.review_id = f.review_id GROUP BY 1)), 0) AS fan,
-            coalesce(list(filename ORDER BY ord) FILTER (status <> 'added' AND regexp_matches(filename, '(^|/)(auth|login|session|jwt|token|oauth|password|crypto|secret|payment|billing|checkout|permission|rbac|acl|migrations?|security|middleware)[^/]*', 'i')), []) AS s,
-            coalesce(sum(additions + deletions) FILTER (status <> 'added'), 0)::BIGINT AS l, count(*) FILTER (status = 'removed' AND regexp_matches(filename, '[.]test[.]')) AS t FROM files f GROUP BY 1))""",
-            "files", "affected",
+            r"""SELECT * FROM (WITH RECURSIVE code AS (SELECT repository_id, path, regexp_extract(path, '[0-9]+')::BIGINT AS n, imports FROM code_files),
+            uses AS (SELECT DISTINCT repository_id, path AS importer, t AS target FROM (SELECT *, unnest(list_append(imports, 'src/p' || (n // 100 * 100) || '.ts')) AS t FROM code) WHERE t <> path),
+            ways AS (SELECT n // 10 AS review_id, repository_id, path, 0 AS far FROM code WHERE n % 30 = 0
+                UNION SELECT w.review_id, w.repository_id, importer, far + 1 FROM ways w JOIN uses u ON u.repository_id = w.repository_id AND u.target = w.path WHERE far < 3),
+            hit AS (SELECT review_id, count(DISTINCT path) - 1 AS a FROM ways GROUP BY 1),
+            direct AS (SELECT n // 10 AS review_id, count(*) AS fan FROM code JOIN uses u ON u.repository_id = code.repository_id AND u.target = code.path WHERE n % 30 = 0 GROUP BY 1),
+            f AS (SELECT ord // 3 AS review_id, ord, filename, status, additions + deletions AS churn, filename NOT LIKE 'dist/%' AS kept FROM files),
+            g AS (SELECT review_id, coalesce(sum(churn) FILTER (kept), 0)::BIGINT AS l, count(*) FILTER (status = 'removed' AND regexp_matches(filename, '[._](test|spec)[.]|__tests__/')) AS t,
+                coalesce(list(filename ORDER BY ord) FILTER (kept AND status <> 'removed' AND regexp_matches(filename, '(^|/)(auth|login|session|jwt|token|oauth|password|crypto|secret|payment|billing|checkout|permission|rbac|acl|migrations?|security|middleware)[^/]*', 'i')), []) AS s
+                FROM f GROUP BY 1),
+            parts AS (SELECT review_id, l, t, s, coalesce(a, 0) AS a, coalesce(fan, 0) AS fan FROM g LEFT JOIN hit USING (review_id) LEFT JOIN direct USING (review_id)),
+            summed AS (SELECT *, least(100, least(35, 2 * a) + CASE WHEN fan >= 10 THEN 10 ELSE 0 END + CASE WHEN len(s) > 0 THEN 30 ELSE 0 END + least(15, 3 * (l // 50)) + CASE WHEN t > 0 THEN 10 ELSE 0 END)::INT AS score FROM parts)
+            SELECT review_id, score, CASE WHEN score >= 70 THEN 'critical' WHEN score >= 45 THEN 'high' WHEN score >= 20 THEN 'medium' ELSE 'low' END AS level,
+            coalesce(nullif(concat_ws('; ', CASE WHEN a > 0 THEN a || ' file(s) depend on the changed code' END, CASE WHEN fan >= 10 THEN 'a changed file is imported directly by ' || fan || ' files' END,
+            CASE WHEN len(s) > 0 THEN 'touches sensitive code: ' || array_to_string(s[1:3], ', ') || CASE WHEN len(s) > 3 THEN '…' ELSE '' END END, CASE WHEN l >= 50 THEN l || ' lines changed' END,
+            CASE WHEN t > 0 THEN t || ' test file(s) deleted' END), ''), 'small, isolated change') AS factors FROM summed)""",
+            "files", "code_files",
         ),
         "ingest_events": sql("SELECT event_id, row_number() OVER (PARTITION BY delivery_id ORDER BY received_at, event_id) > 1 AS duplicate FROM webhook_events", "webhook_events"),
         "sweep_outbox": sql("SELECT event_id, delivery_id FROM webhook_events WHERE status = 'received' AND epoch(TIMESTAMP '2024-01-05') - floor(epoch(received_at)) > 30 ORDER BY received_at, event_id LIMIT 50", "webhook_events"),

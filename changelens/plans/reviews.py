@@ -48,28 +48,44 @@ def infer(prompts: DataFrame, model: Model, kind: str, *keys: str) -> DataFrame:
 
 
 def review_context(
-    files: DataFrame, policies: DataFrame, code_files: DataFrame, contents: DataFrame, chunks: DataFrame | None = None, embedder=None, dims: int = 384
-) -> dict[str, DataFrame]:
+    files: DataFrame, policies: DataFrame, code_files: DataFrame, contents: DataFrame, chunks: DataFrame | None = None, embedder=None, dims: int = 384,
+    repositories: DataFrame | None = None,
+) -> dict[str, DataFrame]:
     """What a review is told beside its diff: kept files, affected files, callers, related chunks, rules and risk.
 
     files(review_id, repository_id, ord, filename, status, additions, deletions, patch); contents(review_id, ord, path,
-    content) are new versions of changed files and of their importers. Without chunks there is nothing related.
+    content) are new versions of changed files and of their importers. Of changed files, the first 30 that head_files
+    names are read; removed files change nothing that is left, so they count in lines and deleted tests only.
+
+    repositories(id, installation_id, indexed_sha), if given, says which have an index: the others' reviews get no affected
+    files, callers or related chunks, and index_requests asks for an index of each, once. Without chunks there is
+    nothing related.
     """
     kept = scoring.filter_ignored(files, policies)
-    changed = kept.select("review_id", "repository_id", F.col("ord").alias("rank"), F.col("filename").alias("path"))
+    changed = scoring.still_there(kept).select("review_id", "repository_id", F.col("ord").alias("rank"), F.col("filename").alias("path"))
+    out = {}
+    if repositories is not None:
+        asked = files.select("repository_id").distinct()
+        missing = repositories.filter("indexed_sha is null").select(F.col("id").alias("repository_id"), "installation_id")
+        out["index_requests"] = missing.join(asked, "repository_id", "left_semi").select("*", F.lit(None).cast("string").alias("ref"), F.lit("review").alias("reason"))
+        indexed = repositories.filter("indexed_sha is not null").select(F.col("id").alias("repository_id"))
+        changed = changed.join(indexed, "repository_id", "left_semi")
+        code_files = code_files.join(indexed, "repository_id", "left_semi")
+    heads = diff.head_content_files(kept).select("review_id", F.col("filename").alias("path"), "place")
     affected = graph.blast_radius(changed, graph.reverse_edges(code_files))
     lines = diff.parse_patch(kept, "review_id", "filename")
     added = diff.added_lines(lines).select("review_id", F.col("filename").alias("path"), F.col("new_line").alias("line"))
-    symbols = index.changed_symbols(index.declarations(contents), added)
+    symbols = index.changed_symbols(index.declarations(contents.join(heads, ["review_id", "path"], "left_semi")), added)
     near = graph.nearest_caller_files(affected).select("review_id", "path")
     callers = graph.find_callers(symbols, contents.join(near, ["review_id", "path"], "left_semi"))
     inputs = scoring.risk_inputs(files, kept, affected, graph.max_fan_in(changed, code_files))
-    out = {
-        "files": kept, "affected": affected, "callers": callers, "symbols": symbols,
+    out |= {
+        "files": kept, "head_files": heads, "affected": affected, "callers": callers, "symbols": symbols,
         "rules": scoring.instructions_for(kept, policies), "risk": scoring.assess_risk(inputs),
     }
     if chunks is not None:
-        listed = kept.groupBy("review_id", "repository_id").agg(F.sort_array(F.collect_list(F.struct("ord", "filename", "patch"))).alias("fs"))
+        asking = kept if repositories is None else kept.join(indexed, "repository_id", "left_semi")
+        listed = asking.groupBy("review_id", "repository_id").agg(F.sort_array(F.collect_list(F.struct("ord", "filename", "patch"))).alias("fs"))
         asked = listed.select("review_id", "repository_id", rag_query_text(F.col("fs")).alias("text"))
         out["related"] = retrieval.rag_top_k(retrieval.embed(asked, embedder, dims=dims), chunks, changed.select("review_id", "path"))
     return out
@@ -115,9 +131,10 @@ def staged_review(
     them; policies as validate_policy gives them, by review_id; risk as assess_risk gives it; contents(review_id, file,
     content). intent tells what a change is for; without it the reviewer model is asked, and a failed answer is done
     without. The reviewer is a column, so the three calls are rows of one table. A reviewer that fails is named and its
-    dimension isn't scored; a review whose reviewers all fail is in failed(review_id, error) and has no decision. A
-    review without anything to show is decided with a score of 100, without calls. What models answer is written, so
-    every result speaks of the same answers.
+    dimension isn't scored. A review with files to show that no reviewer answered for is in failed(review_id, error) and
+    has no decision, whatever the cause. A review without anything to show is decided with a score of 100, without
+    calls. A review that contexts don't name is reviewed by its diff alone, one that policies don't name by the default
+    policy. What models answer is written, so every result speaks of the same answers.
 
     report(review_id, summary, score, recommendations, check_title, check_text) and assurance(review_id, assurance) are
     the texts for people; the other tables are what they are made of.
@@ -129,14 +146,16 @@ def staged_review(
     none = F.array().cast("array<struct<ord:int,file:string,line:int,rule_id:string,message:string>>")
     intents = intent_answers(base.withColumn("lint", none), files, intent or reviewer, intent_budget)
 
-    calls = base.join(contexts, "review_id").withColumn("reviewer", F.explode(F.array(*map(F.lit, REVIEWERS))))
+    empty = {c: F.coalesce(c, F.array().cast(contexts.schema[c].dataType)) for c in contexts.columns if c != "review_id"}
+    calls = base.join(contexts, "review_id", "left").withColumns(empty).withColumn("reviewer", F.explode(F.array(*map(F.lit, REVIEWERS))))
     calls = calls.join(lint_lists(lint), "review_id", "left").withColumn("lint", F.when(F.col("reviewer") == "quality", F.col("lint")).otherwise(none))
     prompts = render.review_prompt(render.render_context(calls)).withColumn("prompt", F.concat("context", F.lit("\n\n"), "prompt"))
     answers = settled(infer(prompts, reviewer, "reviewer", "review_id", "reviewer"), "reviewer-answers")
     status = scoring.reviewer_status(answers.select("review_id", "reviewer", F.col("error").isNull().alias("ok")))
     first = answers.groupBy("review_id").agg(F.min_by("error", F.array_position(F.array(*map(F.lit, REVIEWERS)), F.col("reviewer"))).alias("why"))
-    failed = status.filter("all_failed").join(first, "review_id").select("review_id", F.concat(F.lit("all reviewers failed: "), "why").alias("error"))
     status = status.filter("not all_failed")
+    unreviewed = base.select("review_id").distinct().join(status, "review_id", "left_anti").join(first, "review_id", "left")
+    failed = unreviewed.select("review_id", F.concat(F.lit("all reviewers failed: "), F.coalesce("why", F.lit("no answer"))).alias("error"))
 
     found = answers.filter("error is null").select("review_id", "reviewer", F.posexplode("data.findings").alias("ord", "f"))
     down = answers.filter("error is not null").select("review_id", "reviewer")
@@ -152,7 +171,9 @@ def staged_review(
 
     done = everything.join(failed, "review_id", "left_anti")
     score = done.select("review_id").join(scoring.overall_score(kept), "review_id", "left").withColumn("score", F.coalesce("score", F.lit(100)))
-    gate = score.join(policies.select("review_id", "fail_on", "min_score", "warnings"), "review_id")
+    texts = lambda *values: F.array(*map(F.lit, values)).cast("array<string>")
+    default = {"fail_on": texts("critical"), "min_score": F.lit(0), "warnings": texts()}
+    gate = score.join(policies.select("review_id", *default), "review_id", "left").withColumns({c: F.coalesce(c, value) for c, value in default.items()})
     decision = scoring.policy_decision(kept, gate)
     spent = [answers, verdicts, intents]
     tokens = scoring.token_usage(spent[0].select("review_id", "tokens").unionByName(spent[1].select("review_id", "tokens")).unionByName(spent[2].select("review_id", "tokens")))

@@ -35,9 +35,7 @@ def distinct_findings(m) -> DataFrame:
 @query
 def score_trend(m, table):
     seen = registry.scope_reviews(m("reviews"), registry.visible_repositories(m("installations"), m("repositories")))
-    day = F.date_format("created_at", "yyyy-MM-dd").alias("day")
-    average = F.sum(F.col("score").cast("decimal(18,6)")) / F.nullif(F.count("score"), F.lit(0)) / 10
-    return seen.filter("status = 'completed'").groupBy("user", day).agg(F.round(average, 1).cast("double").alias("avg_score"), F.count("*").alias("reviews"))
+    return reports.score_trend(seen, None, "user")
 
 
 @query
@@ -316,10 +314,21 @@ def sensitive_paths(m, table):
     )
 
 
+def hub_code(m) -> DataFrame:
+    """The code files, each importing also the first of its repository."""
+    hub = F.expr("concat('src/p', cast(regexp_extract(path, '([0-9]+)', 1) as bigint) div 100 * 100, '.ts')")
+    return m("code_files").withColumn("imports", F.filter(F.concat("imports", F.array(hub)), lambda x: x != F.col("path")))
+
+
 @query
 def risk(m, table):
-    files = m("files")
-    inputs = scoring.risk_inputs(files, files.filter("status <> 'added'"), affected(m), graph.max_fan_in(changed_files(m), m("code_files")))
+    """Reviews of three documents; every third one also changes a code file."""
+    files = m("files").withColumn("review_id", F.expr("cast(ord div 3 as bigint)"))
+    globs = files.select("review_id").distinct().withColumn("ignore", F.array(F.lit("dist/**")))
+    number = F.expr("cast(regexp_extract(path, '([0-9]+)', 1) as bigint)")
+    changed = m("code_files").filter(number % 30 == 0).select(F.expr("cast(regexp_extract(path, '([0-9]+)', 1) as bigint) div 10").alias("review_id"), "repository_id", F.lit(0).alias("rank"), "path")
+    reached = graph.blast_radius(changed, graph.reverse_edges(hub_code(m)))
+    inputs = scoring.risk_inputs(files, scoring.filter_ignored(files, globs), reached, graph.max_fan_in(changed, hub_code(m)))
     return scoring.assess_risk(inputs).select("review_id", "score", "level", F.array_join("factors", "; ").alias("factors"))
 
 

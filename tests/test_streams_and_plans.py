@@ -193,3 +193,45 @@ def test_review_context(spark):
     assert [r["path"] for r in out["affected"].collect()] == ["src/login.ts"]
     assert [(r["symbol"], r["path"], r["line"]) for r in out["callers"].collect()] == [("check", "src/login.ts", 2)]
     assert out["risk"].first()["score"] == 32 and [r["files"] for r in out["rules"].collect()] == [["src/auth.ts"]]
+
+
+def test_nobody_is_approved_unreviewed(spark):
+    reviews, files, lint = inputs(spark)
+    more = [(3, "no context", ""), (4, "no policy", "")]
+    reviews = reviews.unionByName(spark.createDataFrame(more, reviews.schema))
+    files = files.unionByName(spark.createDataFrame([(i, "r", 0, "src/auth.ts", "modified", PATCH, 2, 0) for i in (3, 4)], FILES))
+    contexts = "review_id long, rules array<struct<path:string,files:array<string>,instructions:string>>, callers array<struct<symbol:string,path:string,line:int,snippet:string>>, affected array<struct<path:string,distance:int,via:string>>, related array<struct<path:string,start_line:int,end_line:int,symbol:string,content:string>>"
+    contexts = spark.createDataFrame([(1, [], None, [], []), (4, [], [], [], [])], contexts)
+    policies = spark.createDataFrame([(i, ["high"], 0, []) for i in (1, 2, 3)], "review_id long, fail_on array<string>, min_score int, warnings array<string>")
+    risk = spark.createDataFrame([(1, 10, "low", ["x"])], "review_id long, score int, level string, factors array<string>")
+    contents = spark.createDataFrame([], "review_id long, file string, content string")
+    model = lambda prompts: [(json.dumps({"findings": [finding(2, "high", "run is never awaited")]}), 1) for _ in prompts]
+    verifier = lambda prompts: [(json.dumps({"verdicts": [{"id": 0, "verdict": "confirmed", "confidence": 0.9, "reason": ""}]}), 3) for _ in prompts]
+    out = plans.staged_review(reviews, files, lint, contexts, policies, risk, contents, model, verifier)
+    assert {r["review_id"]: r["verdict"] for r in out["decision"].collect()} == {1: "request_changes", 2: "approve", 3: "request_changes", 4: "comment"}
+    assert out["failed"].count() == 0
+    broken = plans.staged_review(reviews, files, lint, contexts, policies, risk, contents, lambda prompts: [(None, 0) for _ in prompts], verifier)
+    assert sorted(r["review_id"] for r in broken["failed"].collect()) == [1, 3, 4]
+    assert [tuple(r) for r in broken["decision"].select("review_id", "verdict").collect()] == [(2, "approve")]
+    assert [r["review_id"] for r in broken["report"].collect()] == [2]
+
+
+def test_removed_files_touch_nothing_and_unindexed_repositories_ask_for_an_index(spark):
+    files = [(1, "r", 0, "src/auth/x.ts", "removed", PATCH, 0, 9), (2, "new", 0, "src/a.ts", "modified", PATCH, 2, 0)]
+    files = spark.createDataFrame(files + [(3, "r", i, f"src/f{i}.ts", "modified", PATCH, 1, 0) for i in range(40)], FILES)
+    policies = spark.createDataFrame([(i, [], []) for i in (1, 2, 3)], "review_id long, ignore array<string>, path_instructions array<struct<path:string,instructions:string>>")
+    code = spark.createDataFrame([(r, "src/user.ts", ["src/auth/x.ts", "src/a.ts", "src/f35.ts"]) for r in ("r", "new")], "repository_id string, path string, imports array<string>")
+    body = "export function check(a) {\n  b = run();\n  c;\n}"
+    contents = [(3, i, f"src/f{i}.ts", body.replace("check", f"check{i}")) for i in range(40)] + [(3, 99, "src/user.ts", "check1(2)")]
+    contents = spark.createDataFrame(contents, "review_id long, ord int, path string, content string")
+    repositories = spark.createDataFrame([("r", 5, "sha"), ("new", 6, None), ("other", 7, None)], "id string, installation_id long, indexed_sha string")
+    out = plans.review_context(files, policies, code, contents, repositories=repositories)
+    risk = {r["review_id"]: r for r in out["risk"].collect()}
+    assert (risk[1]["score"], risk[1]["level"], risk[1]["factors"]) == (0, "low", ["small, isolated change"])
+    assert risk[2]["score"] == 0 and risk[3]["score"] == 2
+    assert [(r["review_id"], r["path"], r["via"]) for r in out["affected"].collect()] == [(3, "src/user.ts", "src/f35.ts")]
+    assert [tuple(r) for r in out["index_requests"].collect()] == [("new", 6, None, "review")]
+    assert out["head_files"].filter("review_id = 3").count() == 30 and out["symbols"].count() == 30
+    assert [r["symbol"] for r in out["callers"].collect()] == ["check1"]
+    everywhere = plans.review_context(files, policies, code, contents)
+    assert {r["review_id"]: r["score"] for r in everywhere["risk"].collect()} == {1: 0, 2: 2, 3: 2}
