@@ -36,13 +36,17 @@ def detect_file_changes(tree: DataFrame, code_files: DataFrame) -> DataFrame:
     """
     stale = tree.filter(~F.col("target_sha").eqNullSafe(F.col("indexed_sha")))
     listed = stale.select("repository_id").distinct()
-    known = code_files.join(listed, "repository_id", "left_semi").select("repository_id", "path", "blob_sha")
+    return file_changes(stale, code_files.join(listed, "repository_id", "left_semi"))
+
+
+def file_changes(listed: DataFrame, known: DataFrame) -> DataFrame:
+    """(repository_id, path, sha, change) between listed(repository_id, path, sha) and known(repository_id, path, blob_sha)."""
     change = (
         F.when(F.col("sha").isNull(), "removed").when(F.col("blob_sha").isNull(), "added").when(F.col("sha") != F.col("blob_sha"), "changed")
     )
     return (
-        stale.select("repository_id", "path", "sha")
-        .join(known, ["repository_id", "path"], "full_outer")
+        listed.select("repository_id", "path", "sha")
+        .join(known.select("repository_id", "path", "blob_sha"), ["repository_id", "path"], "full_outer")
         .withColumn("change", change)
         .filter("change is not null")
         .select("repository_id", "path", "sha", "change")
@@ -158,11 +162,13 @@ def alias_prefixes(config: Column, folder: str = "") -> Column:
     return F.when(F.coalesce(F.size(found), F.lit(0)) > 0, found).otherwise(default)
 
 
-def resolve_imports(specs: DataFrame, paths: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(repository_id, from_path, spec, path): the repository's file that each specifier means, none for packages.
+SCRIPT = r"\.(c|m)?js$"
 
-    Every file that a specifier could mean is a candidate with its rank; an equi-join with the repository's paths and
-    the least rank choose. aliases(repository_id, aliases) are entries as alias_prefixes gives them.
+
+def with_base(specs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """specs(repository_id, spec, from_path) with base, the path without ending that each means; those of packages are left out.
+
+    aliases(repository_id, aliases) are entries as alias_prefixes gives them.
     """
     default = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in DEFAULT_ALIASES.items()))
     if aliases is None:
@@ -174,14 +180,36 @@ def resolve_imports(specs: DataFrame, paths: DataFrame, aliases: DataFrame | Non
     base = F.when(F.col("spec").rlike(r"^\.\.?/"), collapse(F.concat(folder, "spec"))).when(
         alias.isNotNull(), collapse(F.concat(alias["value"], F.expr("substring(spec, length(get(filter(aliases, a -> startswith(spec, a.key)), 0).key) + 1)")))
     )
-    script = r"\.(c|m)?js$"
+    return specs.withColumn("base", base).filter("base is not null and base <> '' and not startswith(base, '..')").drop("aliases")
+
+
+def bases_of(paths: DataFrame) -> DataFrame:
+    """(repository_id, base): every base for which resolve_imports would try one of paths(repository_id, path)."""
+    path = F.col("path")
+    stems = F.array_compact(F.array(*(F.when(F.endswith(path, F.lit(t)), F.expr(f"substring(path, 1, length(path) - {len(t)})")) for t in [*EXTENSIONS, *INDEXES])))
+    scripts = F.array(F.lit(".js"), F.lit(".mjs"), F.lit(".cjs"))
+
+    def sources(stem):
+        own = F.when(stem.rlike(r"\.(c|m)?ts$"), F.array(F.regexp_replace(stem, r"\.(c|m)?ts$", ".$1js"))).when(
+            stem.rlike(r"\.tsx$"), F.transform(scripts, lambda s: F.concat(F.regexp_replace(stem, r"\.tsx$", ""), s))
+        )
+        return F.concat(F.array(stem), F.coalesce(own, F.array().cast("array<string>")))
+
+    return paths.select("repository_id", F.explode(F.array_distinct(F.flatten(F.transform(stems, sources)))).alias("base")).distinct()
+
+
+def resolve_imports(specs: DataFrame, paths: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(repository_id, from_path, spec, path): the repository's file that each specifier means, none for packages.
+
+    Every file that a specifier could mean is a candidate with its rank; an equi-join with the repository's paths and
+    the least rank choose. aliases(repository_id, aliases) are entries as alias_prefixes gives them.
+    """
     b = F.col("base")
-    stems = F.when(b.rlike(script), F.array(b, F.regexp_replace(b, script, ".$1ts"), F.regexp_replace(b, script, ".tsx"))).otherwise(F.array(b))
+    stems = F.when(b.rlike(SCRIPT), F.array(b, F.regexp_replace(b, SCRIPT, ".$1ts"), F.regexp_replace(b, SCRIPT, ".tsx"))).otherwise(F.array(b))
     tails = F.array(*map(F.lit, [*EXTENSIONS, *INDEXES]))
     candidates = F.flatten(F.transform(stems, lambda s: F.transform(tails, lambda t: F.concat(s, t))))
     return (
-        specs.withColumn("base", base)
-        .filter("base is not null and base <> '' and not startswith(base, '..')")
+        with_base(specs, aliases)
         .select("repository_id", "from_path", "spec", F.posexplode(candidates).alias("rank", "path"))
         .join(paths.select("repository_id", "path"), ["repository_id", "path"])
         .groupBy("repository_id", "from_path", "spec")

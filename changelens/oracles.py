@@ -449,6 +449,16 @@ def oracle_sql() -> dict[str, str]:
             FROM code_files WHERE path NOT LIKE '%3.ts' OR repository_id NOT IN (SELECT repository_id FROM code_files WHERE path NOT LIKE '%3.ts')""",
             "code_files",
         ),
+        "index_steps": sql(
+            r"""SELECT repository_id, path, sha1(note || lines || 'export function f' || n || '() {' || chr(10) || '  x();' || chr(10) || '}' || chr(10)) AS blob_sha,
+            array_to_string(list_sort(list_distinct(list_filter(imports, lambda x: x <> path AND list_contains(paths, x)))), ',') AS imports,
+            1 + CASE WHEN length(note) // 7 + len(imports) >= 3 THEN 1 ELSE 0 END AS n_chunks, 'f' || n AS symbol, (length(note) // 7 + len(imports) + 1)::INT AS start_line,
+            CASE WHEN note <> '' OR path LIKE '%4.ts' THEN 'v2' ELSE 'v1' END AS commit_sha, 'v2' AS indexed_sha
+            FROM (SELECT *, list(path) OVER (PARTITION BY repository_id) AS paths, CASE WHEN n % 7 = 0 THEN '// new' || chr(10) ELSE '' END AS note,
+            array_to_string(list_transform(imports, lambda x: 'import x from "' || regexp_replace(x, '^src/(.*)[.]ts$', './\1.js') || '";' || chr(10)), '') AS lines
+            FROM (SELECT *, regexp_extract(path, '[0-9]+')::BIGINT AS n FROM code_files WHERE path NOT LIKE '%3.ts'))""",
+            "code_files",
+        ),
         "finding_statuses": sql("SELECT review_id, id, CASE category WHEN 'security' THEN status WHEN 'style' THEN 'resolved' WHEN 'bug' THEN 'dismissed' ELSE 'open' END AS status FROM own", "own"),
         "auto_reviews": sql(
             "SELECT github_repo_id, coalesce(e, auto_review_enabled) AS auto_review_enabled FROM repositories LEFT JOIN (SELECT user_id AS github_repo_id, arg_max(status = 'published', event_id) AS e FROM webhook_events GROUP BY 1) USING (github_repo_id)",

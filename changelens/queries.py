@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from changelens.functions import paths, text
 from changelens.operators import diff, evals, events, findings, graph, index, lifecycle, registry, render, reports, retrieval, scoring
+from changelens.plans import indexing
 from changelens.sources.model import model
-from changelens.sources.tables import decode_blob, ingest_diff_files as ingested, is_code_file, scan_tree as scanned
+from changelens.sources.tables import decode_blob, ingest_diff_files as ingested, is_code_file, scan_tree as scanned, settled
 from changelens.sources.topics import topic_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -748,3 +749,32 @@ def assurance_records(m, table):
         "review_id", get("$.decision.verdict").alias("verdict"), get("$.scorecard.overall").cast("double").alias("overall"), get("$.verification.uncertain").cast("long").alias("uncertain"),
         get("$.recommendations[0]").alias("recommendation"), get("$.intent").alias("intent"),
     )
+
+
+def repository_states(m, old: bool) -> tuple[DataFrame, DataFrame]:
+    """(tree, blobs) of the code files at an older or at their newest commit: scripts that are import lines and one function."""
+    keep = "path not like '%4.ts'" if old else "path not like '%3.ts'"
+    note = F.when(F.col("number") % 7 == 0, F.lit("// old\n" if old else "// new\n")).otherwise("")
+    line = lambda x: F.concat(F.lit('import x from "'), F.regexp_replace(x, r"^src/(.*)\.ts$", "./$1.js"), F.lit('";\n'))
+    code = F.concat(note, F.array_join(F.transform("imports", line), ""), F.lit("export function f"), F.col("number").cast("string"), F.lit("() {\n  x();\n}\n"))
+    files = m("code_files").filter(keep).withColumn("number", F.expr("try_cast(regexp_extract(path, '([0-9]+)', 1) as bigint)")).withColumn("content", code)
+    files = files.withColumn("sha", F.sha1("content"))
+    tree = files.select("repository_id", F.col("number").alias("ord"), F.lit("blob").alias("type"), "path", "sha", F.length("content").alias("size"))
+    return tree, files.select("repository_id", "sha", "content", F.lit("utf-8").alias("encoding"))
+
+
+@query
+def index_steps(m, table):
+    """An index of the older commits brought to the newest ones."""
+    requests = lambda tree, sha: tree.select("repository_id").distinct().withColumn("target_sha", F.lit(sha))
+    state = {}
+    for old, sha in ((True, "v1"), (False, "v2")):
+        tree, blobs = repository_states(m, old)
+        stored = state or {name: tree.sparkSession.createDataFrame([], schema.format(id="bigint")) for name, (schema, _) in indexing.TABLES.items()}
+        state = indexing.refreshed(requests(tree, sha), tree, blobs, stored["files"], stored["chunks"], stored["repositories"], dims=8)
+        state = {name: settled(df, f"state-{name}") for name, df in state.items()}
+    chunks = state["chunks"].groupBy("repository_id", "path").agg(
+        F.count("*").alias("n_chunks"), F.max("symbol").alias("symbol"), F.max(F.when(F.col("symbol").isNotNull(), F.col("start_line"))).alias("start_line"), F.min("commit_sha").alias("commit_sha")
+    )
+    files = state["files"].join(chunks, ["repository_id", "path"]).join(state["repositories"], "repository_id")
+    return files.select("repository_id", "path", "blob_sha", F.array_join("imports", ",").alias("imports"), "n_chunks", "symbol", "start_line", "commit_sha", "indexed_sha")
