@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelens.functions.text import cosine_distance
+from changelens.sources.tables import settled
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
@@ -48,20 +49,76 @@ def embed(df: DataFrame, embedder: Embedder | None = None, *, text_col: str = "t
     return df.mapInPandas(run, f"{schema}, embedding array<float>")
 
 
-def rag_top_k(queries: DataFrame, chunks: DataFrame, changed: DataFrame | None = None, *, k: int = 8, max_distance: float = 0.6) -> DataFrame:
+#: Chunks and queries of a repository that meet in one task.
+PART_ROWS, ASKING_ROWS = 4096, 512
+
+
+def nearest_in_block(asked: np.ndarray, held: np.ndarray, k: int, max_distance: float, hidden: list[np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(query's place, chunks' places, distances) below max_distance, the k nearest and all that tie with the last of them.
+
+    One product of the block measures everything; what comes near the k-th is measured again pair by pair. hidden
+    are the places that each query must not see.
+    """
+    norms = np.sqrt((asked**2).sum(1)), np.sqrt((held**2).sum(1))
+    about = 1 - (asked @ held.T) / np.outer(*norms)
+    out = []
+    for i, row in enumerate(about):
+        row[hidden[i]] = np.inf
+        edge = max_distance + 1e-9
+        if len(row) > k:
+            edge = min(edge, np.partition(row, k - 1)[k - 1] + 1e-9)
+        near = np.flatnonzero(row <= edge)
+        exact = 1 - (held[near] * asked[i]).sum(1) / (norms[0][i] * norms[1][near])
+        below = exact < max_distance
+        out.append((i, near[below], exact[below]))
+    return out
+
+
+def rag_top_k(
+    queries: DataFrame, chunks: DataFrame, changed: DataFrame | None = None, *, k: int = 8, max_distance: float = 0.6, part_rows: int = PART_ROWS, asking_rows: int = ASKING_ROWS
+) -> DataFrame:
     """(review_id, id, path, distance, place): each query's nearest chunks of its repository, outside the changed paths.
 
-    The repository is an equi-join key, so a query meets its own repository's chunks only; the rank limit is pushed
-    below the shuffle by the planner's group limit.
+    In two phases. A repository's chunks are dealt by hash to parts of about part_rows, its queries to blocks of about
+    asking_rows; each part and block meet in one task as one matrix product, which keeps k a query. The parts' best are
+    merged. So no task sees a whole repository, and what is shuffled between the phases are k rows a query and part.
+    Ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite components take no part; vectors of
+    different lengths don't meet. changed(review_id, path): few a review; they travel with its queries.
     """
-    c = chunks.select("repository_id", "id", "path", F.col("embedding").alias("chunk_embedding"))
-    asked = queries.select("review_id", "repository_id", "embedding")
-    if changed is not None:  # few paths a review, so they travel with the query and a chunk is passed over before it is measured
-        own = changed.groupBy("review_id").agg(F.collect_set("path").alias("_changed"))
-        asked = asked.join(own, "review_id", "left")
-        near = asked.join(c, "repository_id").filter(~F.coalesce(F.array_contains("_changed", F.col("path")), F.lit(False)))
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    usable = lambda df: df.filter(F.col("repository_id").isNotNull() & F.coalesce(whole, F.lit(False))).withColumn("dims", F.size("embedding"))
+    held = usable(chunks.select("repository_id", "id", "path", "embedding"))
+    asked = usable(queries.select("review_id", "repository_id", "embedding"))
+    if changed is not None:
+        asked = asked.join(changed.groupBy("review_id").agg(F.collect_set("path").alias("hidden")), "review_id", "left")
     else:
-        near = asked.join(c, "repository_id")
-    near = near.withColumn("distance", cosine_distance(F.col("embedding"), F.col("chunk_embedding"))).filter(F.col("distance") < max_distance)
+        asked = asked.withColumn("hidden", F.array().cast("array<string>"))
+    meet = ["repository_id", "dims"]
+    count = lambda df, rows, name: df.groupBy(*meet).agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    n = settled(count(held, part_rows, "parts").join(count(asked, asking_rows, "blocks"), meet), "retrieval-parts")
+    deal = lambda key, name: F.pmod(F.xxhash64(key), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    # Row hashes, not keys alone, so that repeated ids are dealt apart as well.
+    held = held.join(n, meet).withColumn("part", deal(F.struct("id", "path", F.monotonically_increasing_id()), "parts")).withColumn("block", every("blocks"))
+    asked = asked.join(n, meet).withColumn("block", deal(F.struct("review_id", F.monotonically_increasing_id()), "blocks")).withColumn("part", every("parts"))
+
+    def search(asking: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asking) and len(found):
+            matrix = lambda vectors: np.stack(vectors.to_numpy()).astype(np.float64)
+            at = found.groupby("path").indices
+            none = np.zeros(0, dtype=np.int64)
+            hidden = [np.concatenate([at.get(p, none) for p in paths]) if paths is not None and len(paths) else none for paths in asking["q_hidden"]]
+            review, ids, paths = asking["q_review_id"].to_numpy(), found["id"].to_numpy(), found["path"].to_numpy()
+            for i, places, distances in nearest_in_block(matrix(asking["q_embedding"]), matrix(found["embedding"]), k, max_distance, hidden):
+                out += zip([review[i]] * len(places), ids[places], paths[places], distances, strict=True)
+        return pd.DataFrame(out, columns=["review_id", "id", "path", "distance"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"review_id {kind(queries, 'review_id')}, id {kind(chunks, 'id')}, path string, distance double"
+    keys = [*meet, "part", "block"]
+    # Both sides may come from one table, so the queries' columns get names of their own.
+    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in (*keys, "review_id", "embedding", "hidden")))
+    near = asked.groupBy(*(f"q_{c}" for c in keys)).cogroup(held.groupBy(*keys)).applyInPandas(search, schema)
     place = F.row_number().over(Window.partitionBy("review_id").orderBy("distance", "id"))
-    return near.select("review_id", "id", "path", "distance", place.alias("place")).filter(F.col("place") <= k)
+    return near.withColumn("place", place).filter(F.col("place") <= k)
