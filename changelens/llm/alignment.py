@@ -42,7 +42,7 @@ class ByteLevel:
         self.size = max(ids.values()) + 1
 
     def encode(self, text: str) -> np.ndarray:
-        return self.ids[np.array(self.encoder.encode_ordinary(" " + text), dtype=np.int64)]
+        return self.ids[self.encoder.encode_to_numpy(" " + text, disallowed_special=())]
 
 
 class Pieces:
@@ -124,15 +124,42 @@ def lanes(sizes: np.ndarray, most: int = LANE) -> tuple[np.ndarray, np.ndarray]:
     return first, np.minimum(first + most, doc_end[doc])
 
 
-def align_chunk(texts: list[str | None], a: ByteLevel, b: Pieces, length_a: np.ndarray, length_b: np.ndarray) -> list[pa.Array]:
-    """n_a, n_b, n_links, groups, pairs and times of each text."""
+#: What stands behind an id in a group's text: another one, the group's other side, another group.
+SIGNS = ",|;"
+
+
+@lru_cache(maxsize=2)
+def written_ids(n: int) -> list[bytes]:
+    """Each id below n as text, with each of the SIGNS behind it."""
+    return [f"{i}{sign}".encode() for i in range(n) for sign in SIGNS]
+
+
+def group_texts(flat_a: np.ndarray, flat_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The groups of each document of so many ids as text: `a1,a2|b1;a3|b2,b3`. Both lines' ids are laid group by group."""
+    ends = []
+    for flat, cut in ((flat_a, cut_a), (flat_b, cut_b)):
+        end = np.zeros(len(flat), dtype=np.int64)
+        end[cut] = 1
+        ends.append(end)
+    group_a, group_b = (np.cumsum(end) - end for end in ends)
+    order = np.empty(len(flat_a) + len(flat_b), dtype=np.int64)
+    order[np.arange(len(flat_a)) + np.append(0, cut_b + 1)[group_a]] = len(SIGNS) * flat_a + ends[0]
+    order[np.arange(len(flat_b)) + (cut_a + 1)[group_b]] = len(SIGNS) * flat_b + 2 * ends[1]
+    words = written_ids(int(max(flat_a.max(initial=0), flat_b.max(initial=0))) // 65536 * 65536 + 65536)
+    stops = np.cumsum(sizes).tolist()
+    return [b"".join(map(words.__getitem__, order[i:j].tolist()))[:-1] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
+
+
+def align_chunk(texts: list[str | None], a: ByteLevel, b: Pieces, length_a: np.ndarray, length_b: np.ndarray, as_text: bool) -> list[pa.Array]:
+    """n_a, n_b, n_groups, n_links, groups, pairs and times of each text."""
     none = np.zeros(0, dtype=np.int64)
     ids_a, ids_b, sizes = [], [], []
     for text in texts:
         found = none, none, 0
         if text:
             x, y, whole = a.encode(text), b.encode(text), (" " + text).encode("utf-8")
-            if b"".join(map(a.entries.__getitem__, x.tolist())) == whole == b"".join(map(b.entries.__getitem__, y.tolist())):
+            # A byte-level vocabulary splits the bytes it is given and changes none, so A's length says enough.
+            if length_a[x].sum() == len(whole) and whole == b"".join(map(b.entries.__getitem__, y.tolist())):
                 found = x, y, len(whole)
         for column, value in zip((ids_a, ids_b, sizes), found, strict=True):
             column.append(value)
@@ -143,17 +170,20 @@ def align_chunk(texts: list[str | None], a: ByteLevel, b: Pieces, length_a: np.n
     n_links = np.bincount(doc_of_a[met.a], minlength=len(texts))
     # Groups: both lines' tokens up to each cut.
     cut_a, cut_b = np.sort(met.cut_a), np.sort(met.cut_b)
-    lists = lambda ids, cut: pa.ListArray.from_arrays(pa.array(np.append(0, cut + 1), pa.int32()), pa.array(ids, pa.int32()))
     offsets = lambda n: pa.array(np.append(0, np.cumsum(n)), pa.int32())
-    groups = pa.StructArray.from_arrays([lists(flat_a, cut_a), lists(flat_b, cut_b)], ["a", "b"])
     n_groups = np.bincount(doc_of_a[cut_a], minlength=len(texts))
+    if as_text:
+        groups = pa.array(group_texts(flat_a, flat_b, cut_a, cut_b, n_a + n_b), pa.binary())
+    else:
+        lists = lambda ids, cut: pa.ListArray.from_arrays(pa.array(np.append(0, cut + 1), pa.int32()), pa.array(ids, pa.int32()))
+        groups = pa.ListArray.from_arrays(offsets(n_groups), pa.StructArray.from_arrays([lists(flat_a, cut_a), lists(flat_b, cut_b)], ["a", "b"]))
     # Each document's distinct pairs of ids, and how many links each has.
     code = (doc_of_a[met.a] << 32) | (flat_a[met.a] * b.size + flat_b[met.b])
     distinct, times = np.unique(code, return_counts=True)
     n_pairs = np.bincount(distinct >> 32, minlength=len(texts))
     return [
-        *(pa.array(n, pa.int64()) for n in (n_a, n_b, n_links)),
-        pa.ListArray.from_arrays(offsets(n_groups), groups),
+        *(pa.array(n, pa.int64()) for n in (n_a, n_b, n_groups, n_links)),
+        groups,
         pa.ListArray.from_arrays(offsets(n_pairs), pa.array(distinct & 0xFFFFFFFF, pa.int64())),
         pa.ListArray.from_arrays(offsets(n_pairs), pa.array(times, pa.int32())),
     ]
@@ -171,11 +201,14 @@ def chunks(texts: list[str | None]) -> Iterator[slice]:
         yield slice(first, len(texts))
 
 
-def align(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", a: str | None = None, b: str | None = None) -> DataFrame:
-    """One row a document: n_a, n_b, n_links, groups, pairs and times.
+def align(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", a: str | None = None, b: str | None = None, as_text: bool = False
+) -> DataFrame:
+    """One row a document: n_a, n_b, n_groups, n_links, groups, pairs and times.
 
     a is a byte-level vocabulary (a space is put before the text), b a sentence-piece model (which puts one there).
-    groups (array of a, b: their ids) are cut where tokens of both end at the same byte. A link is a token of A and one of
+    groups (array of a, b: their ids) are cut where tokens of both end at the same byte; as_text gives them as the bytes of
+    `a1,a2|b1;a3|b2,b3`. A link is a token of A and one of
     B whose bytes overlap; pairs are the distinct id pairs linked, as A's id times B's vocabulary plus B's id, and times
     how many links each has. Texts that are null, empty, or that either vocabulary doesn't give back byte by byte have no
     tokens. Texts are aligned whole; long ones in several lanes at once. Repeated rows each give a row, an empty table
@@ -190,11 +223,12 @@ def align(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", a:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in chunks(texts):
-                columns = align_chunk(texts[part], first, second, *sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], *columns], ["doc_id", "n_a", "n_b", "n_links", "groups", "pairs", "times"])
+                columns = align_chunk(texts[part], first, second, *sizes, as_text)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], *columns], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = f"doc_id {kind}, n_a long, n_b long, n_links long, groups array<struct<a:array<int>,b:array<int>>>, pairs array<long>, times array<int>"
+    groups = "binary" if as_text else "array<struct<a:array<int>,b:array<int>>>"
+    out = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups {groups}, pairs array<long>, times array<int>"
     return docs.select(F.col(named(id_col)).alias("doc_id"), F.col(named(text_col)).alias("text")).mapInArrow(run, out)
 
 
@@ -252,11 +286,9 @@ def link_scores(aligned: DataFrame, b_size: int, *, frequent: int = FREQUENT) ->
 
 def alignment_digests(docs: DataFrame, *, frequent: int = FREQUENT, **options) -> DataFrame:
     """Of each document: its tokens, groups and links, how its links rank in the whole table, and the digest of its groups."""
-    joined = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    text = F.array_join(F.transform("groups", lambda g: F.concat(joined(g["a"]), F.lit("|"), joined(g["b"]))), ";")
-    digest = F.when(F.col("n_a") > 0, F.sha2(text, 256)).otherwise("")
-    aligned = align(docs, **options).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), "n_links", digest.alias("groups_sha256"), "pairs", "times"
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    aligned = align(docs, as_text=True, **options).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "pairs", "times"
     )
     b_size = sentencepiece.SentencePieceProcessor(model_file=options.get("b") or public_tokenizers.path("piece_bpe_32k.model")).get_piece_size()
     return link_scores(written(aligned, "aligned"), b_size, frequent=frequent)

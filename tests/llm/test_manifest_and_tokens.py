@@ -153,6 +153,10 @@ def test_alignment_equals_plain_links(spark, docs, frequent):
         want.append((row[0], len(x), len(y), len(groups), len(links), sum(holds[k] == best[k[0]] for k in links), sum(holds[k] for k in links), sha(text)))
     got = alignment.alignment_digests(docs, frequent=frequent).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect()
     assert Counter(map(tuple, got)) == Counter(want)
+    lists = {r["doc_id"]: r["groups"] for r in alignment.align(docs).select("doc_id", "groups").collect()}
+    for row in rows():
+        if plain[row[1]] and row[0] is not None:
+            assert [(g["a"], g["b"]) for g in lists[row[0]]] == plain[row[1]][3]
 
 
 def test_alignment_of_nothing(none):
