@@ -81,6 +81,32 @@ def sweep_outbox(events: DataFrame, now: str, seconds: int = 30, most: int = 50)
     return events.filter((F.col("status") == "received") & (waited > seconds)).orderBy("received_at", "event_id").limit(most)
 
 
+def sweep_results(picked: DataFrame, errors: DataFrame, now: str) -> DataFrame:
+    """What becomes of the events of sweep_outbox: sent in order up to the first error, which is noted; the rest stay received.
+
+    errors(event_id, error) of sending. Out come the picked rows with outcome (sent, failed, untouched), new_status,
+    new_error and published_at. picked are as few as the sweep takes, so one window orders them all.
+    """
+    noted = errors.groupBy("event_id").agg(F.min("error").alias("_error"), F.lit(True).alias("_bad"))
+    order = Window.orderBy("received_at", "event_id")
+    bad = F.coalesce("_bad", F.lit(False))
+    failing = F.min(F.when(bad, F.col("_place"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    outcome = F.when(F.col("_failing").isNull(), "sent").when(F.col("_failing") == F.col("_place"), "failed").otherwise("untouched")
+    sent, failed = F.col("outcome") == "sent", F.col("outcome") == "failed"
+    return (
+        picked.join(F.broadcast(noted), "event_id", "left")
+        .withColumn("_place", F.row_number().over(order))
+        .withColumn("_failing", failing)
+        .withColumn("outcome", outcome)
+        .withColumns({
+            "new_status": F.when(sent, "published").otherwise(F.col("status")),
+            "new_error": F.when(failed, F.substring(F.concat(F.lit("sweeper: "), F.coalesce("_error", F.lit(""))), 1, 500)),
+            "published_at": F.when(sent, F.lit(now).cast("timestamp")),
+        })
+        .drop("_error", "_bad", "_place", "_failing")
+    )
+
+
 def ingest_events(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """events with duplicate: the first of a delivery id, by (received_at, event_id), wins for ever."""
     later = F.row_number().over(Window.partitionBy("delivery_id").orderBy("received_at", "event_id")) > 1

@@ -101,22 +101,31 @@ def deleted_installations(repositories: DataFrame, installations: DataFrame) ->
     )
 
 
-def registry_repositories(events: DataFrame) -> DataFrame:
+def registry_repositories(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Repositories after events(github_repo_id, installation_id, at, seq, full_name, private, html_url, language, description, removed).
 
     The latest event names the repository and its installation; url, language and description keep the last value that
-    wasn't null. Deduced: owner and name from full_name, active unless the last event removed it.
+    wasn't null. Deduced: owner and name from full_name, active unless the last event removed it. stored, with the same
+    columns but at, seq and removed, and with active and auto_review_enabled, counts as older than all events. The
+    user's switch auto_review_enabled is what is stored, true for new repositories: no event undoes it.
     """
-    order = F.struct("at", "seq")
+    columns = ["installation_id", "full_name", "private", "html_url", "language", "description"]
+    switch = F.lit(None).cast("boolean").alias("auto_review_enabled")
+    state = events.select("github_repo_id", *columns, F.col("removed").alias("_gone"), F.lit(1).alias("_age"), "at", "seq", switch)
+    if stored is not None:
+        at, seq = (F.lit(None).cast(events.schema[c].dataType).alias(c) for c in ("at", "seq"))
+        state = state.unionByName(stored.select("github_repo_id", *columns, (~F.col("active")).alias("_gone"), F.lit(0).alias("_age"), at, seq, "auto_review_enabled"))
+    order = F.struct("_age", "at", "seq")
     last = lambda c: F.max_by(c, order).alias(c)
     last_known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
     return (
-        events.groupBy("github_repo_id")
-        .agg(last("installation_id"), last("full_name"), last("private"), last_known("html_url"), last_known("language"), last_known("description"), (~F.max_by("removed", order)).alias("active"))
+        state.groupBy("github_repo_id")
+        .agg(*map(last, columns[:3]), *map(last_known, columns[3:]), last_known("auto_review_enabled"), (~F.max_by("_gone", order)).alias("active"))
         .withColumns({
             "owner": F.substring_index("full_name", "/", 1),
             "name": F.substring_index("full_name", "/", -1),
             "html_url": F.coalesce("html_url", F.concat(F.lit("https://github.com/"), "full_name")),
+            "auto_review_enabled": F.coalesce("auto_review_enabled", F.lit(True)),
         })
     )
 

@@ -449,6 +449,79 @@ def oracle_sql() -> dict[str, str]:
             FROM code_files WHERE path NOT LIKE '%3.ts' OR repository_id NOT IN (SELECT repository_id FROM code_files WHERE path NOT LIKE '%3.ts')""",
             "code_files",
         ),
+        "sweep_results": sql(
+            """, p AS (SELECT *, row_number() OVER (ORDER BY received_at, event_id) AS place FROM webhook_events WHERE status = 'received' AND epoch(TIMESTAMP '2024-01-05') - floor(epoch(received_at)) > 30 ORDER BY received_at, event_id LIMIT 50),
+            f AS (SELECT coalesce(min(place) FILTER (event_id % 8 = 5), 51) AS stop FROM p)
+            SELECT event_id, CASE WHEN place < stop THEN 'sent' WHEN place = stop THEN 'failed' ELSE 'untouched' END AS outcome, CASE WHEN place < stop THEN 'published' ELSE 'received' END AS new_status,
+            CASE WHEN place = stop THEN 'sweeper: refused d' || event_id END AS new_error, CASE WHEN place < stop THEN epoch(TIMESTAMP '2024-01-05')::BIGINT END AS published_s FROM p, f""",
+            "webhook_events",
+        ),
+        "mark_published": sql(
+            """SELECT event_id, CASE WHEN status = 'received' AND s IS NOT NULL THEN 'published' ELSE status END AS status, s AS published_s FROM webhook_events
+            LEFT JOIN (SELECT delivery_id, min(1704067200 + event_id) AS s FROM webhook_events WHERE event_id % 4 <> 1 GROUP BY 1) USING (delivery_id)""",
+            "webhook_events",
+        ),
+        "registry_sync": sql(
+            """, e AS (SELECT user_id AS id, arg_max(action, (received_at, event_id)) AS action, bool_or(event_id % 5 = 0) AS named FROM webhook_events GROUP BY 1)
+            SELECT coalesce(e.id, r.github_repo_id) AS github_repo_id, CASE WHEN e.id IS NOT NULL THEN 'new/r' || e.id ELSE r.full_name END AS full_name,
+            CASE WHEN named THEN 'https://host.example/new' ELSE coalesce(r.html_url, 'https://github.com/' || CASE WHEN e.id IS NOT NULL THEN 'new/r' || e.id ELSE r.full_name END) END AS html_url,
+            CASE WHEN r.github_repo_id % 4 <> 0 THEN 'lang' || (r.github_repo_id % 4) END AS language, CASE WHEN e.id IS NOT NULL THEN action <> 'closed' ELSE r.active END AS active,
+            coalesce(r.auto_review_enabled, true) AS auto_review_enabled FROM e FULL JOIN repositories r ON r.github_repo_id = e.id""",
+            "webhook_events", "repositories",
+        ),
+        "parsed_events": sql(
+            """SELECT id, CASE WHEN id % 13 = 0 THEN 'invalid JSON' ELSE nullif('schema: ' || concat_ws('; ', CASE WHEN id % 11 = 0 THEN 'type: wrong literal' END,
+            CASE WHEN installation_id IS NULL THEN 'installationId: must be a positive integer' END, CASE WHEN id % 7 = 0 THEN 'repoFullName: must be owner/name' END,
+            CASE WHEN id % 6 = 0 THEN 'prNumber: must be a positive integer' END, CASE WHEN id % 5 = 0 THEN 'headSha: must be a 40-char commit sha' END,
+            CASE WHEN id % 4 = 0 THEN 'trigger: must be one of webhook, manual' END), 'schema: ') END AS reason FROM reviews""",
+            "reviews",
+        ),
+        "instructions_for": sql(
+            r"""SELECT review_id, (CASE WHEN review_id % 3 = 0 THEN 3 - n ELSE n END)::INT AS place, path, instructions, md5(string_agg(filename, ',' ORDER BY ord)) AS files_md5, count(*)::INT AS n
+            FROM (SELECT ord // 20 AS review_id, ord, filename FROM files) f, (VALUES (0, 'src/auth/**', 'be careful', '^src/auth/.*$'), (1, '*.py', 'type it', '^(.*/)?[^/]*[.]py$'),
+            (2, 'lib/*/f?.{ts,png}', 'small', '^lib/[^/]*/f[^/][.](ts|png)$'), (3, '**/*.test.ts', 'name cases', '^(.*/)?[^/]*[.]test[.]ts$')) g(n, path, instructions, pattern)
+            WHERE regexp_matches(filename, pattern) GROUP BY review_id, g.n, path, instructions""".replace("count(*)::INT AS n\n", "count(*)::INT AS n\n"),
+            "files",
+        ),
+        "extracted_imports": sql(
+            """SELECT review_id AS repository_id, filename AS from_path, spec FROM files, (SELECT unnest([0, 1, 2, 4, 5]) AS k),
+            LATERAL (SELECT CASE k WHEN 0 THEN './a' || ord WHEN 1 THEN 'side' WHEN 2 THEN '../b' || ord WHEN 4 THEN '@/d' ELSE './lazy' END AS spec) WHERE (k + ord) % 3 <> 0""",
+            "files",
+        ),
+        "alias_tables": sql(
+            """SELECT github_repo_id, CASE WHEN github_repo_id % 3 = 0 THEN '@/=src/,~/=src/' WHEN github_repo_id % 2 = 0
+            THEN '@/=pkg' || (github_repo_id % 5) || '/src/,lib/=pkg' || (github_repo_id % 5) || '/lib' || (github_repo_id % 7) || '/' ELSE '@/=src/,lib/=lib' || (github_repo_id % 7) || '/' END AS aliases FROM repositories""",
+            "repositories",
+        ),
+        "callers": sql(
+            """, s AS (SELECT ord // 20 AS review_id, ord, path, i, n, line FROM source_lines),
+            known AS (SELECT review_id, 'fn' || ord || '_' || i AS symbol FROM s WHERE ord % 6 = 1 AND i % 4 = 0),
+            used AS (SELECT review_id, ord, path, i, n, CASE WHEN i % 4 = 0 THEN 'fn' || ord || '_' || i ELSE 'fn' || (ord + 3) || '_' || (i - 1) END AS symbol FROM s WHERE i % 4 < 2),
+            h AS (SELECT used.* FROM used JOIN known USING (review_id, symbol)),
+            kept AS (SELECT * FROM (WITH RECURSIVE g AS (SELECT review_id, ord, min(i) AS i FROM h GROUP BY 1, 2
+                UNION ALL SELECT review_id, ord, nxt FROM (SELECT g.review_id, g.ord, (SELECT min(h.i) FROM h WHERE h.review_id = g.review_id AND h.ord = g.ord AND h.i > g.i + 5) AS nxt FROM g) WHERE nxt IS NOT NULL) SELECT * FROM g))
+            SELECT review_id, place::INT AS place, symbol, path, line, n_lines FROM (SELECT k.review_id, row_number() OVER (PARTITION BY k.review_id ORDER BY k.ord, k.i) AS place, symbol, path, (k.i + 1)::INT AS line,
+            (least(n, k.i + 6) - greatest(0, k.i - 5))::INT AS n_lines FROM kept k JOIN h ON h.review_id = k.review_id AND h.ord = k.ord AND h.i = k.i) WHERE place <= 12""",
+            "source_lines",
+        ),
+        "summary_texts": sql(
+            """SELECT review_id, concat_ws(' ', CASE WHEN review_id % 3 = 0 THEN 'Renames a thing.' ELSE 'Reviewed ' || (review_id % 7) || ' file(s).' END, 'Risk: ' || CASE WHEN review_id % 2 = 0 THEN 'low' ELSE 'high' END || ' (first reason).',
+            CASE WHEN review_id % 5 = 0 THEN 'No issues found.' ELSE 'Found ' || n || ' issue(s): ' || concat_ws(', ', CASE WHEN c > 0 THEN c || ' critical' END, CASE WHEN h > 0 THEN h || ' high' END, CASE WHEN md > 0 THEN md || ' medium' END,
+            CASE WHEN l > 0 THEN l || ' low' END) || '.' END, CASE WHEN review_id % 4 > 0 THEN (review_id % 4) || ' possible issue(s) were checked and rejected.' END) AS summary
+            FROM (SELECT review_id, count(*) AS n, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'high') AS h, count(*) FILTER (severity = 'medium') AS md, count(*) FILTER (severity = 'low') AS l FROM review_findings GROUP BY 1)""",
+            "review_findings",
+        ),
+        "check_texts": sql(
+            """SELECT review_id, CASE WHEN b > 0 OR score < 40 THEN 'failure' ELSE 'success' END AS conclusion, headline[1:255] AS check_title,
+            headline || chr(10) || chr(10) || '- ' || CASE WHEN b > 0 THEN '❌ ' || b || ' confirmed critical/high finding(s)' ELSE '✅ no confirmed critical/high findings' END || chr(10)
+            || '- ' || CASE WHEN score < 40 THEN '❌' ELSE '✅' END || ' score ' || score || ' vs minimum 40' || CASE WHEN review_id % 9 = 0 THEN chr(10) || '- ⚠️ odd' ELSE '' END
+            || chr(10) || chr(10) || '**Risk:** high (45/100): a; b' AS check_text
+            FROM (SELECT *, CASE WHEN len(r) > 0 THEN 'Blocked by policy: ' || r[1] || CASE WHEN len(r) > 1 THEN ' (+' || (len(r) - 1) || ' more)' ELSE '' END ELSE 'Passes policy with ' || n || ' finding(s) worth a look' END AS headline
+            FROM (SELECT review_id, n, score, len(blocking) AS b, list_concat(blocking, CASE WHEN score < 40 THEN ['score ' || score || ' is below min_score 40'] ELSE [] END) AS r
+            FROM (SELECT review_id, count(*) AS n, greatest(0, floor(100 - sum(w) + 0.5))::INT AS score, coalesce(list(severity || ' ' || category || ' finding at ' || coalesce(file, 'PR') || coalesce(':' || line, '')
+            ORDER BY ord, severity || ' ' || category || ' finding at ' || coalesce(file, 'PR') || coalesce(':' || line, '')) FILTER (verdict <> 'uncertain' AND severity IN ('critical', 'high')), []) AS blocking FROM weighed GROUP BY 1)))""",
+            "weighed",
+        ),
         "index_steps": sql(
             r"""SELECT repository_id, path, sha1(note || lines || 'export function f' || n || '() {' || chr(10) || '  x();' || chr(10) || '}' || chr(10)) AS blob_sha,
             array_to_string(list_sort(list_distinct(list_filter(imports, lambda x: x <> path AND list_contains(paths, x)))), ',') AS imports,
@@ -497,4 +570,6 @@ def oracle_sql() -> dict[str, str]:
     }
     found["eval_summary"] = f"""SELECT round(sum(found) / sum(expected), 2) AS recall, round((sum(findings) - sum("falsePositives")) / sum(findings), 2) AS "precision",
         sum("falsePositives")::BIGINT AS "falsePositives", count(*) FILTER (name % 10 = 0) AS errors, (7 * count(*))::BIGINT AS tokens FROM ({found["eval_metrics"]})"""
+    half = lambda odd: f"""(SELECT round(sum(found) / sum(expected), 2) AS r, round((sum(findings) - sum("falsePositives")) / sum(findings), 2) AS p FROM ({found["eval_metrics"]}) WHERE name % 2 = {odd})"""
+    found["eval_gate"] = f"""SELECT round(a.r - b.r, 2) AS recall_change, round(a.p - b.p, 2) AS precision_change, round(a.r - b.r, 2) >= -0.1 AND round(a.p - b.p, 2) >= -0.1 AS passed FROM {half(1)} a, {half(0)} b"""
     return found

@@ -343,6 +343,120 @@ def sweep_outbox(m, table):
     return lifecycle.sweep_outbox(m("webhook_events"), "2024-01-05").select("event_id", "delivery_id")
 
 
+@query
+def sweep_results(m, table):
+    """The sweep's fifty events when the broker refuses some of them."""
+    picked = lifecycle.sweep_outbox(m("webhook_events"), "2024-01-05")
+    errors = m("webhook_events").filter("event_id % 8 = 5").select("event_id", F.concat(F.lit("refused d"), F.col("event_id").cast("string")).alias("error"))
+    out = lifecycle.sweep_results(picked, errors, "2024-01-05")
+    return out.select("event_id", "outcome", "new_status", "new_error", F.unix_timestamp("published_at").alias("published_s"))
+
+
+@query
+def mark_published(m, table):
+    sent = m("webhook_events").filter("event_id % 4 <> 1").select("delivery_id", F.timestamp_seconds(F.lit(1704067200) + F.col("event_id")).alias("sent_at"))
+    return lifecycle.mark_published(m("webhook_events"), sent).select("event_id", "status", F.unix_timestamp("published_at").alias("published_s"))
+
+
+@query
+def registry_sync(m, table):
+    """Events over stored repositories, whose switch and known values stay."""
+    action = F.get_json_object("payload", "$.action")
+    none = F.lit(None).cast("string")
+    changes = m("webhook_events").select(
+        "github_repo_id", F.lit(1).cast("long").alias("installation_id"), F.col("received_at").alias("at"), F.col("event_id").alias("seq"), F.concat(F.lit("new/r"), F.col("github_repo_id").cast("string")).alias("full_name"),
+        F.lit(False).alias("private"), F.when(F.col("event_id") % 5 == 0, F.lit("https://host.example/new")).alias("html_url"), none.alias("language"), none.alias("description"), (action == "closed").alias("removed"),
+    )
+    stored = m("repositories").withColumn("description", none)
+    return registry.registry_repositories(changes, stored).select("github_repo_id", "full_name", "html_url", "language", "active", "auto_review_enabled")
+
+
+@query
+def parsed_events(m, table):
+    """Request messages of reviews, some of them broken in one way or another."""
+    number = F.col("id")
+    shape = F.to_json(F.struct(
+        F.when(number % 11 == 0, "review.asked").otherwise("review.requested").alias("type"), F.col("installation_id").alias("installationId"),
+        F.when(number % 7 == 0, F.lit("nameless")).otherwise(F.col("repo_full_name")).alias("repoFullName"), F.when(number % 6 == 0, F.lit(0)).otherwise(F.col("pr_number")).alias("prNumber"),
+        F.when(number % 5 == 0, F.upper("head_sha")).otherwise(F.col("head_sha")).alias("headSha"), F.when(number % 4 == 0, "timer").otherwise("manual").alias("trigger"),
+    ))
+    raw = m("reviews").select("id", F.when(number % 13 == 0, F.substring(shape, 1, 20)).otherwise(shape).alias("value"))
+    return events.parse_events(raw, "review.requested").select("id", "reason")
+
+
+@query
+def instructions_for(m, table):
+    rules = F.array(
+        F.struct(F.lit("src/auth/**").alias("path"), F.lit("be careful").alias("instructions")), F.struct(F.lit("*.py").alias("path"), F.lit("type it").alias("instructions")),
+        F.struct(F.lit("lib/*/f?.{ts,png}").alias("path"), F.lit("small").alias("instructions")), F.struct(F.lit("**/*.test.ts").alias("path"), F.lit("name cases").alias("instructions")),
+    )
+    files = m("files").withColumn("review_id", F.expr("cast(ord div 20 as bigint)"))
+    policies = files.select("review_id").distinct().withColumn("path_instructions", F.when(F.col("review_id") % 3 == 0, F.reverse(rules)).otherwise(rules))
+    return scoring.instructions_for(files, policies).select("review_id", "place", "path", "instructions", F.md5(F.array_join("files", ",")).alias("files_md5"), F.size("files").alias("n"))
+
+
+@query
+def extracted_imports(m, table):
+    """Specifiers in scripts made of each document's number: every form, in code and in comments."""
+    number = F.col("ord").cast("string")
+    lines = F.array(
+        F.concat(F.lit('import a from "./a'), number, F.lit('";')), F.lit('import "side";'), F.concat(F.lit("const b = require('../b"), number, F.lit("')")), F.lit('  // import c from "./gone"'),
+        F.concat(F.lit("export * from '@/d"), F.lit("'")), F.lit('const e = await import("./lazy");'), F.lit("const f = from + imports;"),
+    )
+    kept = F.filter(lines, lambda line, i: (i + F.col("ord")) % 3 != 0)
+    files = m("files").select(F.col("review_id").alias("repository_id"), F.col("filename").alias("path"), F.array_join(kept, "\n").alias("content"))
+    return index.extract_imports(files).select("repository_id", "from_path", "spec")
+
+
+@query
+def alias_tables(m, table):
+    """Aliases of repositories whose configurations have comments, bases, or none of their own."""
+    number = F.col("github_repo_id")
+    config = F.concat(
+        F.lit('{ /* own */ "compilerOptions": {'), F.when(number % 2 == 0, F.concat(F.lit('"baseUrl": "./pkg'), (number % 5).cast("string"), F.lit('", '))).otherwise(""),
+        F.lit('"paths": {"@/*": ["src/*"], "one": ["x"], "lib/*": ["./lib'), (number % 7).cast("string"), F.lit('/*", "other/*"]} } // end\n}'),
+    )
+    aliases = index.alias_prefixes(F.when(number % 3 != 0, config))
+    return m("repositories").select("github_repo_id", F.array_join(F.transform(aliases, lambda a: F.concat(a["key"], F.lit("="), a["value"])), ",").alias("aliases"))
+
+
+@query
+def callers(m, table):
+    """Uses of each review's functions in its own scripts, which call those of other files."""
+    own = sources(m).filter(paths.ts_like(F.col("path"))).withColumn("review_id", F.expr("cast(ord div 20 as bigint)"))
+    use = lambda line, i: F.when(i % 4 == 1, F.concat(F.lit("  x = fn"), (F.col("ord") + 3).cast("string"), F.lit("_"), (i - 1).cast("string"), F.lit("(1);"))).otherwise(line)
+    files = own.withColumn("content", F.array_join(F.transform(F.split("content", "\n", -1), use), "\n"))
+    symbols = index.declarations(own.filter("ord % 6 = 1")).select("review_id", "symbol")
+    return graph.find_callers(symbols, files).select("review_id", "place", "symbol", "path", "line", F.size(F.split("snippet", "\n", -1)).alias("n_lines"))
+
+
+@query
+def summary_texts(m, table):
+    found = m("review_findings")
+    counts = scoring.severity_summary(found).select("review_id", F.col("summary").alias("counts"), F.expr("critical + high + medium + low").alias("n_findings"))
+    reviews = counts.withColumns({
+        "intent_summary": F.when(F.col("review_id") % 3 == 0, "Renames a thing."), "n_files": F.expr("cast(review_id % 7 as int)"), "level": F.when(F.col("review_id") % 2 == 0, "low").otherwise("high"),
+        "factors": F.array(F.lit("first reason"), F.lit("second")), "n_rejected": F.col("review_id") % 4, "n_findings": F.when(F.col("review_id") % 5 == 0, 0).otherwise(F.col("n_findings")),
+    })
+    return render.review_summary_text(reviews).select("review_id", "summary")
+
+
+@query
+def check_texts(m, table):
+    found = m("review_findings")
+    base = scoring.overall_score(found).withColumns({"fail_on": F.array(F.lit("critical"), F.lit("high")), "min_score": F.lit(40), "warnings": F.when(F.col("review_id") % 9 == 0, F.array(F.lit("odd"))).otherwise(F.array().cast("array<string>"))})
+    decided = scoring.policy_decision(found, base).withColumns({"level": F.lit("high"), "risk_score": F.lit(45), "factors": F.array(F.lit("a"), F.lit("b"))})
+    return render.check_summary(decided).select("review_id", "conclusion", "check_title", "check_text")
+
+
+@query
+def eval_gate(m, table):
+    """The odd reviews' evaluation against the even ones' as a baseline."""
+    metrics = eval_metrics(m, table).withColumns({"tokens": F.lit(7).cast("long"), "error": F.lit(None).cast("string")})
+    half = lambda odd: evals.eval_summary(metrics.filter(F.col("name") % 2 == odd))
+    return evals.eval_gate(half(1), half(0))
+
+
 @query
 def route_reviews(m, table):
     return events.route_reviews(events.prefilter_events(m("webhook_events")).drop("github_repo_id")).select("event_id", "reason")

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from changelens.operators.events import parse_events
+from changelens.sources.buckets import Buckets, Latest, merge
 from changelens.sources.topics import dead_letter
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Installations and repositories as they follow from events in any order; see Latest. The user's own switch comes as an
+#: event that only fills auto_review_enabled, so no other event undoes it.
+INSTALLATIONS = Latest(["installation_id"], ["at", "seq"], known=["status", "account_login"], first=["owner_user_id"])
+REPOSITORIES = Latest(
+    ["github_repo_id"], ["at", "seq"], known=["installation_id", "full_name", "private", "html_url", "language", "description", "active", "auto_review_enabled"]
+)
 
 
 def split_events(raw: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
@@ -25,82 +28,118 @@ def split_events(raw: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     return valid, dead_letter(parsed.filter("reason is not null"))
 
 
-def stored(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
-    """The table that upsert_stream keeps: of each key, the row of the newest batch that has it; empty before the first."""
-    try:
-        rows = spark.read.schema(f"{schema}, batch long").parquet(path)
-    except AnalysisException as error:  # no batch was ever written
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], schema)
-        raise
-    columns = [c for c in rows.columns if c != "batch"]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("row")).select(*(F.col("row")[c].alias(c) for c in columns))
-
-
-def ingest_stream(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """events(delivery_id, received_at, ...) into a Parquet table in which a delivery id comes once, for ever.
+def append_new(rows: DataFrame, path: str, key: str, n: int = 64) -> None:
+    """Appends those rows whose key the table below path doesn't hold yet.
 
-    The ids seen are stream state, dealt by id, so a batch costs what it brings, however long the history. State is never
-    dropped; it lies in RocksDB, on disk, which the session is set to. The file sink commits each batch once.
+    The table is dealt to n buckets of the key's hash. Only the keys of the rows' own buckets are read. A batch that runs
+    again finds what it wrote before, whatever became of its checkpoint.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return events.dropDuplicates(["delivery_id"]).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    spark = rows.sparkSession
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).persist()
+    try:
+        touched = [r["_bucket"] for r in dealt.select("_bucket").distinct().collect()]
+        if not touched:
+            return
+        kind = rows.schema[key].dataType.simpleString()
+        try:
+            known = spark.read.schema(f"`{key}` {kind}, `_bucket` int").parquet(path).filter(F.col("_bucket").isin(touched))
+            dealt = dealt.join(known, ["_bucket", key], "left_anti")
+        except AnalysisException as error:  # nothing was ever written
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        dealt.write.mode("append").partitionBy("_bucket").parquet(path)
+    finally:
+        dealt.unpersist()
+
+
+def ingest_stream(events: DataFrame, path: str, checkpoint: str, *, wait: str = "1 hour", arrived: Column | None = None, buckets: int = 64) -> DataStreamWriter:
+    """events(delivery_id, ...) into a Parquet table in which a delivery id comes once, for ever.
+
+    Repeats that arrive within `wait` of each other are told by stream state, which ends after it; later ones by the
+    table itself, of which a batch reads the ids in its own buckets. The watermark runs over the time of arrival,
+    not over a time in the event, so no event is too late to be taken. arrived is the clock, by default the batch's.
+    """
+    clock = F.current_timestamp() if arrived is None else arrived
+    once = events.withColumn("_arrived", clock).withWatermark("_arrived", wait).dropDuplicatesWithinWatermark(["delivery_id"]).drop("_arrived")
+    save = lambda batch, _: append_new(batch, path, "delivery_id", buckets)
+    return once.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
 
 
-def upsert_stream(changes: DataFrame, path: str, merge: Callable[[DataFrame], DataFrame], checkpoint: str) -> DataStreamWriter:
-    """A table that follows a stream of changes: each batch, made one row a key by merge, is a folder below path.
+def keyed_table(changes: DataFrame, rule: Latest, path: str, n: int = 256) -> Buckets:
+    """The table that upsert_stream keeps of such changes."""
+    return Buckets(path, rule.schema(changes), rule.keys, n)
 
-    A batch writes its own changes only, whatever the table's size, and replaces its folder if it runs again. stored()
-    reads the newest row of each key.
-    """
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        merge(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def upsert_stream(changes: DataFrame, rule: Latest, table: Buckets, checkpoint: str) -> DataStreamWriter:
+    """A table of states that follows a stream of changes by a rule.
 
-    return changes.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    A batch reads and rewrites the buckets of its own keys. States are dated, so a batch that runs again, or all of them
+    after a lost checkpoint, leave the table as it was.
+    """
+    return changes.writeStream.foreachBatch(lambda batch, _: merge(table, rule, batch)).option("checkpointLocation", checkpoint)
 
 
 def publish_stream(events: DataFrame, send: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> DataStreamWriter:
     """Sends each batch and records what was sent: send returns (delivery_id, sent_at) of its successes.
 
-    The record is written after sending and one folder a batch. What isn't in it is still received, for the sweep.
+    The record is written after sending, each id once with the first time that was noted. What isn't in it is still
+    received, for the sweep.
     """
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        send(batch).select("delivery_id", "sent_at").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    def save(batch: DataFrame, _: int) -> None:
+        sent = send(batch).groupBy("delivery_id").agg(F.min("sent_at").alias("sent_at"))
+        append_new(sent, path, "delivery_id")
 
     return events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
 
 
-def retry_or_dead_letter(
-    rows: DataFrame, handle: Callable[[DataFrame], DataFrame], failed: Callable[[DataFrame, int], None], checkpoint: str, *, most: int = 3, pause: float = 1.0
-) -> DataStreamWriter:
-    """Hands each batch to handle, which returns (row_key, error) of the rows that failed; they are tried again.
+def with_retries(rows: DataFrame, retries: str) -> DataFrame:
+    """rows together with what retry_or_dead_letter has put below retries: with attempt, and not_before of a second one on."""
+    spark = rows.sparkSession
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", attempt int, not_before timestamp"
+    spark.createDataFrame([], schema).write.mode("ignore").json(f"{retries}/start")
+    again = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(retries)
+    return rows.withColumns({"attempt": F.lit(1), "not_before": F.lit(None).cast("timestamp")}).unionByName(again)
+
 
-    Up to `most` times, with pauses of 1, 2, 4 ... seconds; what is left then goes to failed with its last error.
+def retry_or_dead_letter(
+    rows: DataFrame, handle: Callable[[DataFrame], DataFrame], failed: Callable[[DataFrame, int], None], checkpoint: str, retries: str, *,
+    most: int = 3, pause: float = 1.0, key: str = "row_key",
+) -> DataStreamWriter:
+    """Hands each batch to handle, which returns (key, error) of the rows that failed; these come back in later batches.
+
+    Nothing waits for them: a failed row goes to the retry topic, the folder retries, with its number of attempts and
+    the time before which it isn't due, 1, 2, 4 ... pauses on, and the query reads that topic beside its source. A row
+    that isn't due yet goes round once more. After `most` attempts a row goes to failed, with its last error as reason.
+    A batch's retries are one folder, which it replaces if it runs again.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        left = batch.persist()
-        held = [left]
+        batch = batch.persist()
+        columns = [c for c in batch.columns if c not in ("attempt", "not_before")]
+        due = F.col("not_before").isNull() | (F.col("not_before") <= F.current_timestamp())
+        ready = batch.filter(due).persist()
+        early = batch.join(ready.select(key), key, "left_anti")
+        errors = None
         try:
-            for attempt in range(1, most + 1):
-                errors = handle(left).persist()
-                held.append(errors)
-                if errors.isEmpty():
-                    return
-                again = left.join(errors, "row_key")
-                if attempt == most:
-                    failed(again.withColumnRenamed("error", "reason"), batch_id)
-                    return
-                left = again.drop("error").persist()
-                held.append(left)
-                time.sleep(pause * 2 ** (attempt - 1))
+            errors = handle(ready.select(*columns)).persist()
+            again = ready.join(errors.groupBy(key).agg(F.max("error").alias("error")), key)
+            dead = again.filter(F.col("attempt") >= most)
+            if not dead.isEmpty():
+                reason = F.concat(F.lit(f"failed after {most} attempts: "), F.coalesce("error", F.lit("")))
+                failed(dead.withColumn("reason", reason).select(*columns, "reason"), batch_id)
+            seconds = F.lit(pause) * F.pow(F.lit(2.0), F.col("attempt") - 1)
+            after = F.timestamp_millis((F.unix_millis(F.current_timestamp()) + seconds * 1000).cast("long"))
+            later = again.filter(F.col("attempt") < most).withColumn("not_before", after).withColumn("attempt", F.col("attempt") + 1)
+            waiting = later.select(*columns, "attempt", "not_before").unionByName(early.select(*columns, "attempt", "not_before"))
+            if not waiting.isEmpty():
+                waiting.write.mode("overwrite").json(f"{retries}/{batch_id:012d}")
         finally:
-            for df in held:
-                df.unpersist()
+            for df in (batch, ready, errors):
+                if df is not None:
+                    df.unpersist()
 
-    return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return with_retries(rows, retries).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
 def ordered_by_key(batch: DataFrame, key: str = "key", order: str = "offset") -> DataFrame:
@@ -108,80 +147,6 @@ def ordered_by_key(batch: DataFrame, key: str = "key", order: str = "offset") ->
     return batch.repartition(F.col(key)).sortWithinPartitions(key, order)
 
 
-def claims(requests: DataFrame) -> DataFrame:
-    """A stream of requests(repo_full_name, pr_number, head_sha, seq): the first of each key is claimed.
-
-    A row that has a status, where requests carry one, tells how the key's review stands and is no request itself: a
-    failed or pending review may be claimed again, a running or completed one may not.
-    """
-
-    def claim(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        taken = state.exists and state.get[0]
-        out = []
-        for seq, status in zip(rows["seq"], rows["status"], strict=True):
-            if isinstance(status, str):
-                taken = status not in ("failed", "pending")
-                continue
-            out.append((*key, seq, not taken))
-            taken = True
-        state.update((taken,))
-        yield pd.DataFrame(out, columns=["repo_full_name", "pr_number", "head_sha", "seq", "claimed"])
-
-    if "status" not in requests.columns:
-        requests = requests.withColumn("status", F.lit(None).cast("string"))
-    return requests.groupBy("repo_full_name", "pr_number", "head_sha").applyInPandasWithState(
-        claim, "repo_full_name string, pr_number int, head_sha string, seq long, claimed boolean", "taken boolean", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def progress(updates: DataFrame) -> DataFrame:
-    """A stream of updates(review_id, seq, status, progress): those that change a review's state, until it ends."""
-
-    def changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, over = state.get if state.exists else ("", False)
-        out = []
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples(index=False):
-            now = f"{row.status or ''}:{row.progress or ''}"
-            if over or now == last:
-                continue
-            over, last = row.status in ("completed", "failed"), now
-            out.append((key[0], row.seq, row.status, row.progress, over))
-        state.update((last, over))
-        yield pd.DataFrame(out, columns=["review_id", "seq", "status", "progress", "done"])
-
-    return updates.groupBy("review_id").applyInPandasWithState(
-        changes, "review_id long, seq long, status string, progress string, done boolean", "last string, over boolean", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def stuck(updates: DataFrame, *, idle: str = "10 minutes") -> DataFrame:
-    """A stream of updates(review_id, status): a row for each running review that no update reaches for that long.
-
-    Each update of a running review starts its timer anew; an end removes it. attempts counts the timer's firings.
-    """
-    milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["review_id", "attempts"]
-        if state.hasTimedOut:
-            attempts = state.get[0] + 1
-            if attempts >= 3:
-                state.remove()
-            else:
-                state.update((attempts,))
-                state.setTimeoutDuration(milliseconds)
-            yield pd.DataFrame([(key[0], attempts)], columns=columns)
-            return
-        rows = pd.concat(list(batches))
-        if rows["status"].isin(["completed", "failed"]).any():
-            if state.exists:
-                state.remove()
-        else:
-            state.update((state.get[0] if state.exists else 0,))
-            state.setTimeoutDuration(milliseconds)
-        yield pd.DataFrame([], columns=columns)
-
-    return updates.groupBy("review_id").applyInPandasWithState(
-        watch, "review_id long, attempts int", "attempts int", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+def sweep_stream(ticks: DataFrame, sweep: Callable[[SparkSession], None], checkpoint: str) -> DataStreamWriter:
+    """Runs sweep once a batch of ticks, such as a rate source's: the recovery jobs as a stream."""
+    return ticks.writeStream.foreachBatch(lambda batch, _: sweep(batch.sparkSession)).option("checkpointLocation", checkpoint)

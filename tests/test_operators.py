@@ -537,3 +537,14 @@ def test_recovery(spark):
     events_ = spark.createDataFrame([("a", "received"), ("b", "received"), ("c", "failed")], "delivery_id string, status string")
     sent = spark.createDataFrame([("a", at(1)), ("c", at(1))], "delivery_id string, sent_at timestamp")
     assert rows(lifecycle.mark_published(events_, sent), "delivery_id", "status") == [("a", "published"), ("b", "received"), ("c", "failed")]
+
+
+def test_a_sweep_stops_at_the_first_error(spark):
+    events = spark.createDataFrame([(i, f"d{i}", "received", f"2024-01-01 00:00:{i:02}") for i in range(6)], "event_id long, delivery_id string, status string, received_at string")
+    picked = lifecycle.sweep_outbox(events, "2024-01-02", most=5)
+    errors = spark.createDataFrame([(3, "down"), (3, "broken"), (4, "down"), (9, "other")], "event_id long, error string")
+    out = rows(lifecycle.sweep_results(picked, errors, "2024-01-02"), "event_id", "outcome", "new_status", "new_error")
+    sent = [(i, "sent", "published", None) for i in range(3)]
+    assert out == [*sent, (3, "failed", "received", "sweeper: broken"), (4, "untouched", "received", None)]
+    every = lifecycle.sweep_results(picked, errors.limit(0), "2024-01-02")
+    assert every.filter("outcome = 'sent'").count() == 5

@@ -1,15 +1,18 @@
 """Streams run to their end over files and restarted; compositions with scripted models."""
 
 import json
+import shutil
 import sys
+import time
 from collections import Counter
 
+import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from changelens.plans import reviews as plans
 from changelens.sources import topics
-from changelens.streaming import streams
+from changelens.streaming import keyed, streams
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the workers can't import tests
 
@@ -27,15 +30,25 @@ def run(writer):
 def test_ingest_survives_restarts_and_late_repeats(spark, tmp_path):
     schema = "delivery_id string, received_at timestamp, body string"
     source = lambda: spark.readStream.schema(schema).json(str(tmp_path / "in"))
-    go = lambda: run(streams.ingest_stream(source(), str(tmp_path / "table"), str(tmp_path / "ck")))
+    # The clock is the event's own time here, so that hours pass between files.
+    go = lambda ck="ck": run(streams.ingest_stream(source(), str(tmp_path / "table"), str(tmp_path / ck), wait="1 hour", arrived=F.col("received_at"), buckets=4))
     put(tmp_path / "in", "1", [{"delivery_id": d, "received_at": "2024-01-01T00:00:00", "body": "first"} for d in ("a", "b", "a")])
     go()
     put(tmp_path / "in", "2", [{"delivery_id": d, "received_at": "2024-01-05T00:00:00", "body": "second"} for d in ("b", "c")])
     go()
     put(tmp_path / "in", "3", [{"delivery_id": d, "received_at": "2024-01-09T00:00:00", "body": "third"} for d in ("a", "c", "d")])
     go()
-    rows = spark.read.parquet(str(tmp_path / "table")).collect()
-    assert sorted((r["delivery_id"], r["body"]) for r in rows) == [("a", "first"), ("b", "first"), ("c", "second"), ("d", "third")]
+    want = [("a", "first"), ("b", "first"), ("c", "second"), ("d", "third")]
+    read = lambda: sorted((r["delivery_id"], r["body"]) for r in spark.read.parquet(str(tmp_path / "table")).collect())
+    assert read() == want
+    go("lost")  # a new checkpoint replays everything
+    assert read() == want
+    put(tmp_path / "in", "4", [{"delivery_id": "e", "received_at": "2024-02-09T00:00:00", "body": "x"}])
+    go()
+    query = source().withWatermark("received_at", "1 hour").dropDuplicatesWithinWatermark(["delivery_id"]).writeStream.format("noop")
+    query = query.option("checkpointLocation", str(tmp_path / "ck2")).option("maxFilesPerTrigger", 1).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3  # state holds what may still repeat, not all five
 
 
 def test_topics_and_dead_letters(spark, tmp_path):
@@ -49,62 +62,171 @@ def test_topics_and_dead_letters(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.json(str(tmp_path / "dlq")).collect()) == ["{oops", "{}"]
 
 
-def test_upserts_follow_the_stream(spark, tmp_path):
-    schema = "installation_id long, status string"
-    assert streams.stored(spark, str(tmp_path / "none"), schema, ["installation_id"]).isEmpty()
-    source = lambda: spark.readStream.schema(f"{schema}, seq long").json(str(tmp_path / "in"))
-    last = lambda batch: batch.groupBy("installation_id").agg(F.max_by("status", "seq").alias("status"))
-    go = lambda: run(streams.upsert_stream(source(), str(tmp_path / "table"), last, str(tmp_path / "ck")))
-    put(tmp_path / "in", "1", [{"installation_id": 1, "status": "active", "seq": 1}, {"installation_id": 1, "status": "suspended", "seq": 2}])
-    go()
-    put(tmp_path / "in", "2", [{"installation_id": 2, "status": "active", "seq": 3}])
+def test_upserts_follow_the_stream_and_a_lost_checkpoint(spark, tmp_path):
+    schema = "installation_id long, at timestamp, seq long, status string, account_login string, owner_user_id string"
+    source = lambda: spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    rule = streams.INSTALLATIONS
+    table = streams.keyed_table(spark.createDataFrame([], schema), rule, str(tmp_path / "table"), 4)
+    go = lambda ck="ck": run(streams.upsert_stream(source(), rule, table, str(tmp_path / ck)))
+    row = lambda i, seq, status=None, owner=None: {"installation_id": i, "at": "2024-01-01T00:00:00", "seq": seq, "status": status, "account_login": f"org{i}", "owner_user_id": owner}
+    read = lambda: sorted((r["installation_id"], r["status"], r["owner_user_id"]) for r in table.read(spark).collect())
+    put(tmp_path / "in", "1", [row(1, 1, "active"), row(1, 3, "suspended", "u2"), row(2, 2, "active")])
     go()
-    read = lambda: sorted(map(tuple, streams.stored(spark, str(tmp_path / "table"), schema, ["installation_id"]).collect()))
-    assert read() == [(1, "suspended"), (2, "active")]
-    put(tmp_path / "in", "3", [{"installation_id": 1, "status": None, "seq": 4}])
+    assert read() == [(1, "suspended", "u2"), (2, "active", None)]
+    put(tmp_path / "in", "2", [row(1, 2, "active", "u1"), row(2, 5, None, "u3"), row(3, 1, "deleted")])  # one of them late
     go()
-    assert read() == [(1, None), (2, "active")]
-
-
-def test_claims_and_progress(spark, tmp_path):
-    schema = "repo_full_name string, pr_number int, head_sha string, seq long"
-    claims = lambda: streams.claims(spark.readStream.schema(schema).json(str(tmp_path / "c")))
-    go = lambda: run(claims().writeStream.format("json").option("path", str(tmp_path / "claimed")).option("checkpointLocation", str(tmp_path / "ck1")))
-    put(tmp_path / "c", "1", [{"repo_full_name": "o/r", "pr_number": 1, "head_sha": "a", "seq": s} for s in (2, 1)])
+    want = [(1, "suspended", "u1"), (2, "active", "u3"), (3, "deleted", None)]
+    assert read() == want
+    # Without its checkpoint the stream begins again at batch 0, and leaves the table as it was.
+    shutil.rmtree(tmp_path / "ck")
+    (tmp_path / "in" / "2.json").rename(tmp_path / "2.json")
     go()
-    put(tmp_path / "c", "2", [{"repo_full_name": "o/r", "pr_number": 1, "head_sha": h, "seq": 3} for h in ("a", "b")])
-    go()
-    out = spark.read.json(str(tmp_path / "claimed")).collect()
-    assert sorted((r["head_sha"], r["seq"], r["claimed"]) for r in out) == [("a", 1, True), ("a", 2, False), ("a", 3, False), ("b", 3, True)]
-    again = [(1, None), (2, None), (3, "in_progress"), (4, None), (5, "failed"), (6, None), (7, "completed"), (8, None)]
-    put(tmp_path / "d", "1", [{"repo_full_name": "o/r", "pr_number": 1, "head_sha": "a", "seq": seq, "status": status} for seq, status in again])
-    taken = streams.claims(spark.readStream.schema(f"{schema}, status string").json(str(tmp_path / "d")))
-    run(taken.writeStream.format("json").option("path", str(tmp_path / "again")).option("checkpointLocation", str(tmp_path / "ck3")))
-    assert sorted((r["seq"], r["claimed"]) for r in spark.read.json(str(tmp_path / "again")).collect()) == [(1, True), (2, False), (4, False), (6, True), (8, False)]
-
+    assert read() == want
+
+
+def test_repositories_keep_the_users_switch(spark, tmp_path):
+    schema = "github_repo_id long, at timestamp, seq long, installation_id long, full_name string, private boolean, html_url string, language string, description string, active boolean, auto_review_enabled boolean"
+    rule = streams.REPOSITORIES
+    table = streams.keyed_table(spark.createDataFrame([], schema), rule, str(tmp_path / "table"), 2)
+    base = {"github_repo_id": 1, "at": "2024-01-01T00:00:00"}
+    put(tmp_path / "in", "1", [base | {"seq": 1, "installation_id": 5, "full_name": "o/old", "private": False, "language": "go", "active": True}, base | {"seq": 2, "auto_review_enabled": False}])
+    put(tmp_path / "in", "2", [base | {"seq": 3, "installation_id": 5, "full_name": "o/new", "private": True, "html_url": "u", "active": True}])
+    run(streams.upsert_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")), rule, table, str(tmp_path / "ck")))
+    r = table.read(spark).first()
+    assert (r["full_name"], r["private"], r["html_url"], r["language"], r["active"], r["auto_review_enabled"]) == ("o/new", True, "u", "go", True, False)
+
+
+def keyed_run(df, folder, name, n=0, until=None):
+    """Runs a stream with timers, which under availableNow would never end, until it has read n rows and until() holds."""
+    writer = df.writeStream.format("json").option("path", str(folder / name)).option("checkpointLocation", str(folder / f"ck-{name}"))
+    query = writer.trigger(processingTime="100 milliseconds").start()
+    end = time.monotonic() + 90
+    try:
+        while sum(p["numInputRows"] for p in query.recentProgress) < n or until and not until():
+            assert time.monotonic() < end and query.exception() is None
+            time.sleep(0.1)
+    finally:
+        query.stop()
+
+
+CLAIM = "repo_full_name string, pr_number int, head_sha string, seq long, status string"
+
+
+def test_claims_and_their_end(spark, tmp_path):
+    ask = lambda seq, sha="a", status=None: {"repo_full_name": "o/r", "pr_number": 1, "head_sha": sha, "seq": seq, "status": status}
+    out = lambda: sorted((r["head_sha"], r["seq"], r["claimed"]) for r in spark.read.json(str(tmp_path / "claimed")).collect())
+    go = lambda n: keyed_run(keyed.claims(spark.readStream.schema(CLAIM).json(str(tmp_path / "c")), keep="8 seconds"), tmp_path, "claimed", n)
+    put(tmp_path / "c", "1", [ask(2), ask(1)])
+    go(2)
+    again = [(4, "failed"), (5, None), (6, "in_progress"), (7, None), (8, "pending"), (9, None), (10, None), (11, "completed"), (12, None)]
+    put(tmp_path / "c", "2", [ask(3, "b"), *(ask(seq, "a", status) for seq, status in again)])
+    go(10)  # a restart
+    assert out() == [("a", 1, True), ("a", 2, False), ("a", 5, True), ("a", 7, False), ("a", 9, True), ("a", 10, False), ("a", 12, False), ("b", 3, True)]
+    time.sleep(8)
+    put(tmp_path / "c", "3", [ask(20, "b")])
+    go(1)
+    assert ("b", 20, True) in out()  # forgotten in the meantime
+
+
+def test_progress_until_the_end(spark, tmp_path):
     updates = [("in_progress", "quality"), ("in_progress", "quality"), ("in_progress", "scorecard"), ("completed", None), ("in_progress", "late")]
-    put(tmp_path / "p", "1", [{"review_id": 1, "seq": i, "status": s, "progress": p} for i, (s, p) in enumerate(updates)])
-    changed = streams.progress(spark.readStream.schema("review_id long, seq long, status string, progress string").json(str(tmp_path / "p")))
-    run(changed.writeStream.format("json").option("path", str(tmp_path / "changes")).option("checkpointLocation", str(tmp_path / "ck2")))
+    rows = [{"review_id": 1, "seq": i, "status": s, "progress": p} for i, (s, p) in enumerate(updates)]
+    stream = lambda: keyed.progress(spark.readStream.schema("review_id long, seq long, status string, progress string").json(str(tmp_path / "p")))
+    put(tmp_path / "p", "1", rows[:2])
+    keyed_run(stream(), tmp_path, "changes", 2)
+    put(tmp_path / "p", "2", rows[2:])
+    keyed_run(stream(), tmp_path, "changes", 3)
     assert sorted((r["seq"], r["done"]) for r in spark.read.json(str(tmp_path / "changes")).collect()) == [(0, False), (2, False), (3, True)]
 
 
-def test_retries_end_in_dead_letters(spark, tmp_path):
+def test_stuck_reviews_are_sent_round_and_fail(spark, tmp_path):
+    stream = lambda: keyed.stuck(spark.readStream.schema("review_id long, status string").json(str(tmp_path / "u")), idle="6 seconds", most=1)
+    schema = "review_id long, attempts int, status string, error string"
+    out = lambda: sorted((r["review_id"], r["attempts"], r["status"], r["error"]) for r in spark.read.schema(schema).json(str(tmp_path / "stuck")).collect()) if (tmp_path / "stuck").exists() else []
+    put(tmp_path / "u", "1", [{"review_id": 1, "status": "in_progress"}, {"review_id": 2, "status": "in_progress"}, {"review_id": 2, "status": "completed"}])
+    keyed_run(stream(), tmp_path, "stuck", 3)
+    put(tmp_path / "u", "2", [{"review_id": 9, "status": "completed"}])
+    keyed_run(stream(), tmp_path, "stuck", until=lambda: len(out()) == 2)  # a restart: timers are state
+    assert out() == [(1, 1, "failed", "Timed out after 1 attempts"), (1, 1, "pending", None)]
+
+
+def test_messages_come_out_in_order(spark, tmp_path):
+    stream = lambda: keyed.in_order(spark.readStream.schema("key string, seq long, value string").json(str(tmp_path / "m")), wait="12 seconds")
+    rows = lambda: spark.read.schema("key string, seq long, value string, place long, late boolean").json(str(tmp_path / "ordered")).collect()
+    out = lambda key: [(r["seq"], r["late"]) for r in sorted(rows(), key=lambda r: r["place"]) if r["key"] == key]
+    message = lambda key, *seqs: [{"key": key, "seq": s, "value": f"v{s}"} for s in seqs]
+    put(tmp_path / "m", "1", message("a", 3, 2) + message("b", 2, 1))
+    keyed_run(stream(), tmp_path, "ordered", 4)
+    assert out("a") == [] and out("b") == [(1, False), (2, False)]
+    put(tmp_path / "m", "2", message("a", 1, 6, 2) + message("b", 2, 4))
+    keyed_run(stream(), tmp_path, "ordered", 5)
+    assert out("a") == [(1, False), (2, False), (3, False)] and out("b") == [(1, False), (2, False)]
+    put(tmp_path / "m", "4", message("c", 1))
+    # 4 and 5 of a and 3 of b don't come in time.
+    keyed_run(stream(), tmp_path, "ordered", until=lambda: len(rows()) == 8)
+    assert out("a")[3:] == [(6, False)] and out("b")[2:] == [(4, False)]
+    put(tmp_path / "m", "3", message("a", 5, 5, 7, 6))
+    keyed_run(stream(), tmp_path, "ordered", 4)
+    assert sorted(out("a")[4:]) == [(5, True), (7, False)] and len({(r["key"], r["place"]) for r in rows()}) == len(rows()) == 10
+    assert {r["value"] for r in rows() if r["seq"] == 6} == {"v6"}
+
+
+def test_keyed_state_asks_for_its_store(spark):
+    provider = spark.conf.get(keyed.PROVIDER)
+    spark.conf.set(keyed.PROVIDER, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        with pytest.raises(ValueError, match="RocksDB"):
+            keyed.stuck(spark.readStream.format("rate").load().selectExpr("value as review_id", "'pending' as status"))
+        assert spark.conf.get(keyed.PROVIDER).endswith("HDFSBackedStateStoreProvider")
+    finally:
+        spark.conf.set(keyed.PROVIDER, provider)
+
+
+def test_retries_come_back_in_later_batches_and_end_in_dead_letters(spark, tmp_path):
     put(tmp_path / "in", "1", [{"row_key": k} for k in ("ok", "once", "never")])
-    tries, dead = Counter(), []
+    tries, dead = [], []
 
     def handle(batch):
-        keys = [r["row_key"] for r in batch.collect()]
-        tries.update(keys)
-        bad = [(k, "down") for k in keys if k == "never" or k == "once" and tries[k] < 2]
+        keys = sorted(r["row_key"] for r in batch.collect())
+        tries.append(keys)
+        bad = [(k, "down") for k in keys if k == "never" or k == "once" and sum("once" in t for t in tries) < 2]
         return batch.sparkSession.createDataFrame(bad, "row_key string, error string")
 
     def failed(rows, batch_id):
         dead.extend((r["row_key"], r["reason"]) for r in rows.collect())
 
-    stream = spark.readStream.schema("row_key string").json(str(tmp_path / "in"))
-    run(streams.retry_or_dead_letter(stream, handle, failed, str(tmp_path / "ck"), pause=0.01))
-    assert tries == {"ok": 1, "once": 2, "never": 3} and dead == [("never", "down")]
+    def go():
+        stream = spark.readStream.schema("row_key string").json(str(tmp_path / "in"))
+        started = time.monotonic()
+        run(streams.retry_or_dead_letter(stream, handle, failed, str(tmp_path / "ck"), str(tmp_path / "retries"), pause=0.2))
+        return time.monotonic() - started
+
+    go()
+    put(tmp_path / "in", "2", [{"row_key": "other"}])
+    time.sleep(0.5)
+    go()
+    time.sleep(0.7)
+    go()
+    assert [k for t in tries for k in t].count("never") == 3 and dead == [("never", "failed after 3 attempts: down")]
+    assert [t for t in tries if t] == [["never", "ok", "once"], ["never", "once", "other"], ["never"]]
+    go()
+    assert sum(map(len, tries)) == 7
+
+
+def test_rows_that_are_not_due_go_round(spark, tmp_path):
+    put(tmp_path / "in", "1", [{"row_key": "x"}])
+    tries = []
+
+    def handle(batch):
+        tries.extend(r["row_key"] for r in batch.collect())
+        return batch.select("row_key", F.lit("down").alias("error"))
+
+    go = lambda: run(streams.retry_or_dead_letter(spark.readStream.schema("row_key string").json(str(tmp_path / "in")), handle, lambda *_: None, str(tmp_path / "ck"), str(tmp_path / "r"), pause=3600))
+    for _ in range(3):
+        go()
+    assert tries == ["x"]
+    waiting = spark.read.option("recursiveFileLookup", "true").json(str(tmp_path / "r"))
+    assert {r["attempt"] for r in waiting.collect()} == {2} and waiting.count() >= 2
 
 
 def test_publishing_records_what_was_sent(spark, tmp_path):
@@ -114,6 +236,18 @@ def test_publishing_records_what_was_sent(spark, tmp_path):
     assert [r["delivery_id"] for r in spark.read.parquet(str(tmp_path / "sent")).collect()] == ["a"]
 
 
+def test_published_once_after_a_lost_checkpoint(spark, tmp_path):
+    put(tmp_path / "in", "1", [{"delivery_id": d} for d in ("a", "b")])
+    sent = lambda batch: batch.withColumn("sent_at", F.current_timestamp())
+    go = lambda ck: run(streams.publish_stream(spark.readStream.schema("delivery_id string").json(str(tmp_path / "in")), sent, str(tmp_path / "sent"), str(tmp_path / ck)))
+    go("ck")
+    first = {r["delivery_id"]: r["sent_at"] for r in spark.read.parquet(str(tmp_path / "sent")).collect()}
+    put(tmp_path / "in", "2", [{"delivery_id": "c"}])
+    go("lost")
+    after = {r["delivery_id"]: r["sent_at"] for r in spark.read.parquet(str(tmp_path / "sent")).collect()}
+    assert set(after) == {"a", "b", "c"} and all(after[k] == v for k, v in first.items()) and spark.read.parquet(str(tmp_path / "sent")).count() == 3
+
+
 PATCH = "@@ -1,1 +1,3 @@\n a\n+b = run()\n+c"
 FILES = "review_id long, repository_id string, ord int, filename string, status string, patch string, additions int, deletions int"
 LINT = "review_id long, ord int, file string, line int, rule_id string, message string, severity string"
