@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.llm.quality_rules import let
-from changelens.llm.scratch import written
+from changelens.llm.scratch import named, written
 
 WEIGHTS = (5, 2, 1)
 #: Tables of up to so many sources, or of so many ranges of blocks, are broadcast; larger ones are joined by shuffling.
@@ -118,7 +118,7 @@ def mix_blocks(
     its blocks, in a random order, that reach what is left of the target, and the last of them is cut to meet it to a
     word. split_quotas deals the block quotas of all (source, pass) pairs to the shards. Each shard draws its counts as
     the next, disjoint runs of each pass's permuted blocks; shuffle_key is the order inside a shard. The permutation
-    is keyed by the seed and the number of shards, so another layout is another draw.
+    is keyed by the seed alone: what is drawn doesn't hang on the number of shards, only where it lies does.
 
     row_id is row_col, a long that numbers the rows, or a number given here.
 
@@ -162,7 +162,7 @@ def mix_blocks(
         .withColumn("wanted", F.when(F.col("copy") == F.col("copies"), F.col("remainder")))  # of the last pass
         .select("row_id", "doc_id", "source", "size", "copy", "wanted", F.posexplode(starts).alias("block", "start"))
         .withColumn("words", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("start")))
-        .withColumn("place", F.xxhash64("doc_id", "size", "copy", "block", F.lit(seed), F.lit(n_shards)))
+        .withColumn("place", F.xxhash64("doc_id", "size", "copy", "block", F.lit(seed)))
         .withColumn("bucket", F.shiftrightunsigned("place", 64 - bits))
     )
     one_pass = Window.partitionBy("source", "copy").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -266,11 +266,11 @@ def mixed_documents(
     table and read from its struct, so that a copy finds its row by number and no column's name can clash.
     Documents of no words, which no mix counts, are left out. Nulls, repeats and empty tables are as in mix_blocks.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.col(named(c)) for c in docs.columns]
     stored = written(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*columns).alias("document")), "mix-documents")
-    named = {key: options.pop(key, default) for key, default in (("id_col", "doc_id"), ("source_col", "source"))}
+    of = {key: options.pop(key, default) for key, default in (("id_col", "doc_id"), ("source_col", "source"))}
     field = lambda name: F.col("document")[name]
-    flat = stored.select("number", field(named["id_col"]).alias("doc_id"), field(text_col).alias("text"), field(named["source_col"]).alias("source"))
+    flat = stored.select("number", field(of["id_col"]).alias("doc_id"), field(text_col).alias("text"), field(of["source_col"]).alias("source"))
     _, blocks = mix_blocks(flat, row_col="number", n_shards=n_shards, block_words=block_words, **options)
     part = F.struct("start", "words", "shard", "shuffle_key")
     copies = written(
