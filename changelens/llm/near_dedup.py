@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.llm.components import UnionFind, components
-from changelens.llm.scratch import ship, written
+from changelens.llm.scratch import named, ship, written
 from changelens.llm.signatures import band_keys, set_digest, shingle_set, super_minhash
 
 #: Up to so many nodes, texts are picked by a broadcast list of them; beyond, by a shuffled join.
 BROADCAST_NODES = 200_000
-#: Pairs whose signatures agree on less than this share are not compared. By the binomial tail over 128 one-byte slots, a
-#: pair at similarity 0.75 falls below it 0.4 times in a million, less often than it shares no band.
+#: Pairs that share a band are confirmed on their sets, whatever else their signatures say. Other pairs of a family, which
+#: banding doesn't propose, are confirmed too if their signatures agree on this share.
 ESTIMATE = 0.55
 #: Rows in the order in which one is elected; null ids count as largest.
 SMALLEST = "struct(doc_id IS NULL, doc_id, text_hash, number)"
@@ -33,18 +33,24 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
-def link_forest(nodes: np.ndarray, signatures: np.ndarray, texts: list[str], percent: int) -> list[tuple[int, int]]:
-    """(node, root) for each node that is linked with another, however indirectly, among these texts."""
+def link_forest(nodes: np.ndarray, signatures: np.ndarray, texts: list[str], percent: int, band_rows: int = 4) -> list[tuple[int, int]]:
+    """(node, root) for each node that is linked with another, however indirectly, among these texts.
+
+    Every pair that shares a band is confirmed on whole sets, unless a chain of links joins it already.
+    """
     n, slots = signatures.shape
+    bands = signatures.reshape(n, slots // band_rows, band_rows)
     sets = [shingle_set(t) for t in texts]
     size = np.array([len(s) for s in sets])
     found, root = UnionFind(), np.arange(n)
     step = max(1, (1 << 24) // (n * slots))
     for first in range(0, n, step):
         part = slice(first, min(first + step, n))
-        same = np.count_nonzero(signatures[part, None, :] == signatures[None, :, :], axis=2)
+        equal = signatures[part, None, :] == signatures[None, :, :]
+        same = np.count_nonzero(equal, axis=2)
+        banded = equal.reshape(*equal.shape[:2], *bands.shape[1:]).all(axis=3).any(axis=2)
         small, large = np.minimum(size[part, None], size[None, :]), np.maximum(size[part, None], size[None, :])
-        wanted = (same >= ESTIMATE * slots) & (100 * small >= percent * large) & (root[part, None] != root[None, :])
+        wanted = (banded | (same >= ESTIMATE * slots)) & (100 * small >= percent * large) & (root[part, None] != root[None, :])
         i, j = np.nonzero(wanted)
         i += first
         later = i < j
@@ -159,7 +165,7 @@ def grouped_nodes(
         out = []
         for _, unit in group.groupby(["unit", "i", "j"]):
             found = np.frombuffer(b"".join(unit["signature"]), dtype=np.uint8).reshape(len(unit), -1)
-            out += link_forest(unit["node"].to_numpy(), found, unit["text"].tolist(), percent)
+            out += link_forest(unit["node"].to_numpy(), found, unit["text"].tolist(), percent, band_rows)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     forest = (
@@ -176,8 +182,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
     Rows of equal shingle sets form one node. A node gets a SuperMinHash signature, cut into bands of band_rows; nodes
     that share a band's key are candidates. With 32 bands of 4, two nodes of similarity 0.75 share none about five
-    times in a million. Candidates' components are families. A family's members are compared inside tasks: pairs whose
-    signatures are far apart are passed over, others are confirmed on their whole sets, and a task returns a forest,
+    times in a million. Candidates' components are families. A family's members are compared inside tasks: all pairs that
+    share a band, and others whose signatures are close, are confirmed on their whole sets, and a task returns a forest,
     never its pairs. Families of over block_bytes, or of over block_rows members, which make up to `spread` blocks, are cut
     into blocks and each pair of blocks meets in one task, so no task holds more than about twice block_bytes and a
     family's pairs are spread over many tasks. If a family exceeds family_bytes, its buckets take its place, cut the same
@@ -212,7 +218,7 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
     own. Of rows of the smallest id, the one of the smallest text hash and number stays. Up to BROADCAST_NODES dropped
     numbers are broadcast; more are joined by shuffling.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.col(named(c)) for c in docs.columns]
     stored = written(docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*columns).alias("document")), "dedup-documents")
     flat = stored.select("number", F.col("document")[id_col].alias("doc_id"), F.col("document")[text_col].alias("text"))
     rows, nodes, groups = grouped_nodes(flat, number_col="number", **options)
