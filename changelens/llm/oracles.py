@@ -4,12 +4,12 @@ from __future__ import annotations
 
 # The rules, phrases and notices again, in SQL's own words, so that a slip in the operators shows.
 RULES = {
-    "symbols": "n_symbols::DOUBLE / nullif(n_words, 0)",
-    "dup_lines": "n_dup_lines::DOUBLE / nullif(n_lines, 0)",
-    "repeats": "n_repeat_words::DOUBLE / nullif(n_words, 0)",
-    "capitals": "n_capitals::DOUBLE / nullif(word_chars, 0)",
+    "symbols": "n_symbols::DOUBLE / nullif(n_words, 0) / 0.1::DOUBLE",
+    "dup_lines": "n_dup_lines::DOUBLE / nullif(n_lines, 0) / 0.3::DOUBLE",
+    "repeats": "n_repeat_words::DOUBLE / nullif(n_words, 0) / 0.18::DOUBLE",
+    "capitals": "n_capitals::DOUBLE / nullif(word_chars, 0) / 0.3::DOUBLE",
     "word_length": "word_chars::DOUBLE / nullif(n_words, 0) / 10",
-    "marks": "n_marks::DOUBLE / nullif(n_words, 0)",
+    "marks": "n_marks::DOUBLE / nullif(n_words, 0) / 0.1::DOUBLE",
 }
 PHRASES = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
 NOTICES = """
@@ -52,11 +52,8 @@ def license_scan(threshold: float = 0.9, block: int = 64) -> str:
 
 
 def quality_rules(most: float = 0.02, risk: float = 0.05, price: float = 20.0) -> str:
-    levels = ", ".join(f"least(2000, floor(({value}) * 200))::INT AS {rule}" for rule, value in RULES.items())
-    rows = " UNION ALL ".join(f"SELECT stratum, good, '{r}' AS rule, {r} AS level FROM holdout" for r in RULES)
-    cut = ", ".join(f"max(cutoff) FILTER (rule = '{r}') AS {r}_cutoff" for r in RULES)
-    fails = ", ".join(f"coalesce({r} > {r}_cutoff, false) AS {r}_failed" for r in RULES)
-    broken = " OR ".join(f"coalesce({r} > {r}_cutoff, false)" for r in RULES)
+    levels = ", ".join(f"coalesce(least(20000, floor(({value}) * 100))::INT, 0) AS {rule}" for rule, value in RULES.items())
+    fails = ", ".join(f"coalesce({r} > cutoff, false) AS {r}_failed" for r in RULES)
     return rf"""
         WITH w AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{BLANK}+') AS words,
               list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{BLANK}')) AS lines FROM documents),
@@ -68,21 +65,20 @@ def quality_rules(most: float = 0.02, risk: float = 0.05, price: float = 20.0) -
               coalesce(n, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(text, '\p{{Lu}}')) AS n_capitals, len(regexp_extract_all(text, '[!?]')) AS n_marks
               FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
         j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {levels} FROM f),
-        holdout AS (SELECT j.*, good FROM j JOIN (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1) l ON l.doc_id = j.doc_id WHERE NOT base_failed),
+        holdout AS (SELECT stratum, good, greatest({", ".join(RULES)}) AS score FROM j JOIN (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1) l ON l.doc_id = j.doc_id WHERE NOT base_failed),
         sizes AS (SELECT *, row_number() OVER (ORDER BY n DESC, stratum) AS m FROM (SELECT stratum, count(*) FILTER (good) AS n FROM holdout GROUP BY 1)),
-        strata AS (SELECT stratum, n, CASE WHEN n * ln(1 - {most}) <= ln({risk} / ({len(RULES)} * (m + 1))) THEN 'alone ' || stratum ELSE 'rest' END AS unit FROM sizes),
+        strata AS (SELECT stratum, n, CASE WHEN n * ln(1 - {most}) <= ln({risk} / (m + 1)) THEN 'alone ' || stratum ELSE 'rest' END AS unit FROM sizes),
         units AS (SELECT unit, sum(n)::BIGINT AS n FROM strata GROUP BY 1),
         terms AS (SELECT unit, n, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({most}) + (n - i) * ln(1 - {most})) AS p
                   FROM (SELECT unit, n, unnest(range(0, floor(n * {most})::BIGINT + 1)) AS i FROM units)),
         tails AS (SELECT unit, i, sum(p) OVER (PARTITION BY unit ORDER BY i) AS tail FROM terms),
-        allowed AS (SELECT unit, coalesce(max(i) FILTER (tail <= {risk} / ({len(RULES)} * (SELECT count(*) FILTER (unit <> 'rest') + 1 FROM strata))), -1) AS k FROM tails GROUP BY 1),
-        counts AS (SELECT unit, rule, level, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad FROM ({rows}) JOIN strata USING (stratum) WHERE level IS NOT NULL GROUP BY 1, 2, 3),
-        above AS (SELECT unit, rule, level - 1 AS cutoff, sum(good) OVER v AS good, sum(bad) OVER v AS bad FROM counts WINDOW v AS (PARTITION BY unit, rule ORDER BY level DESC)),
-        gains AS (SELECT unit, rule, cutoff, bad - {price} * good AS gain FROM above JOIN allowed USING (unit) WHERE good <= k AND bad - {price} * good > 0),
-        cuts AS (SELECT stratum, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY unit, rule ORDER BY gain DESC, cutoff DESC) AS gains_n FROM gains) JOIN strata s USING (unit) WHERE gains_n = 1),
-        wide AS (SELECT stratum, {cut} FROM cuts GROUP BY 1)
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({broken}) AS kept, j.stratum, {fails}
-        FROM j LEFT JOIN wide ON wide.stratum = j.stratum"""
+        allowed AS (SELECT unit, coalesce(max(i) FILTER (tail <= {risk} / (SELECT count(*) FILTER (unit <> 'rest') + 1 FROM strata)), -1) AS k FROM tails GROUP BY 1),
+        counts AS (SELECT unit, score, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad FROM holdout JOIN strata USING (stratum) GROUP BY 1, 2),
+        above AS (SELECT unit, score - 1 AS cutoff, sum(good) OVER v AS good, sum(bad) OVER v AS bad FROM counts WINDOW v AS (PARTITION BY unit ORDER BY score DESC)),
+        gains AS (SELECT unit, cutoff, bad - {price} * good AS gain FROM above JOIN allowed USING (unit) WHERE good <= k AND bad - {price} * good > 0),
+        cuts AS (SELECT stratum, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY gain DESC, cutoff DESC) AS gains_n FROM gains) JOIN strata s USING (unit) WHERE gains_n = 1)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(greatest({", ".join(RULES)}) > cutoff, false) AS kept, j.stratum, {fails}
+        FROM j LEFT JOIN cuts ON cuts.stratum = j.stratum"""
 
 
 URL_FILTER = r"""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from changelens.llm.scratch import ship, written
+from changelens.llm.scratch import named, ship, written
 
 WORD = re.compile(r"\w+")
 #: Prefixes of words, so that a word's stem speaks for forms that the sample lacks.
@@ -194,7 +194,7 @@ def classify(
     """
     ship(docs.sparkSession)
     site = lambda c: F.col(c).cast("string")
-    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")] if whole else []
+    own = [F.struct(*(F.col(named(c)) for c in docs.columns)).alias("document")] if whole else []
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), site(host_col).alias("host"), site(path_col).alias("path"), *own)
     marked = labels.filter("doc_id is not null").groupBy("doc_id").agg(
         F.max(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False))).alias("bad")

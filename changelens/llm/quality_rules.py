@@ -7,19 +7,21 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelens.llm.scratch import written
+from changelens.llm.scratch import named, written
 
 BLANKS = r"[\x20\x09-\x0D]+"
-#: Each rule's value, large where a text looks bad, in steps of 1/200; a value is held to TOP steps.
+#: Each rule's value, large where a text looks bad, and what is usual for prose: limits of published web-text filters for
+#: symbols, repeated lines, repeated windows and word length, and our own for capitals and marks. Their ratio alone counts.
 RULES = {
-    "symbols": "n_symbols / nullif(n_words, 0)",
-    "dup_lines": "n_dup_lines / nullif(n_lines, 0)",
-    "repeats": "n_repeat_words / nullif(n_words, 0)",
-    "capitals": "n_capitals / nullif(word_chars, 0)",
-    "word_length": "word_chars / nullif(n_words, 0) / 10",
-    "marks": "n_marks / nullif(n_words, 0)",
+    "symbols": ("n_symbols / nullif(n_words, 0)", 0.1),
+    "dup_lines": ("n_dup_lines / nullif(n_lines, 0)", 0.3),
+    "repeats": ("n_repeat_words / nullif(n_words, 0)", 0.18),
+    "capitals": ("n_capitals / nullif(word_chars, 0)", 0.3),
+    "word_length": ("word_chars / nullif(n_words, 0)", 10.0),
+    "marks": ("n_marks / nullif(n_words, 0)", 0.1),
 }
-STEPS, TOP = 200, 2000
+#: A level is a value in hundredths of its limit, held to TOP.
+STEPS, TOP = 100, 20_000
 #: Tables of up to so many labelled ids are broadcast to the documents.
 BROADCAST_LABELS = 1_000_000
 #: Cutoff tables of up to so many strata are broadcast.
@@ -59,7 +61,7 @@ def text_statistics(
 
     whole: with the document's row itself, as the struct document.
     """
-    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")] if whole else []
+    own = [F.struct(*(F.col(named(c)) for c in docs.columns)).alias("document")] if whole else []
     kept = ["document"] if whole else []
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(F.col("text"), "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -88,8 +90,9 @@ def text_statistics(
 
 
 def level(rule: str) -> Column:
-    """The rule's value in steps. Null where a text has no words."""
-    return F.least(F.lit(TOP), F.floor(F.expr(RULES[rule]) * STEPS)).cast("int")
+    """The rule's value in hundredths of its limit. 0 where a text has no words."""
+    value, limit = RULES[rule]
+    return F.coalesce(F.least(F.lit(TOP), F.floor(F.expr(value) / limit * STEPS)), F.lit(0)).cast("int")
 
 
 def allowed_rejections(n: Column, most: float, risk: float) -> Column:
@@ -111,49 +114,48 @@ def allowed_rejections(n: Column, most: float, risk: float) -> Column:
 def certified_cutoffs(
     holdout: DataFrame, *, false_rejection: float = 0.02, risk: float = 0.05, price: float = 20.0
 ) -> DataFrame:
-    """(stratum, rule, cutoff): a text is rejected where the rule's level lies above the cutoff.
-
-    holdout has stratum, good and a column of levels for each rule. A stratum with enough labelled good texts is tested
-    by itself, the others together as the rest, whose limit then holds for them as a whole. Who is tested alone follows
-    from the numbers of good texts only: of the m largest strata, the m-th is, if m + 1 shares of the risk still let it
-    certify a cutoff that rejects none. In a stratum, each rule's cutoffs are tested from the mildest on, one after the
-    other, each against "it rejects more than false_rejection of good texts", by the exact binomial tail. Testing in a
-    fixed order and stopping at the first failure needs no correction among cutoffs; the risk is divided among all rules
-    and tested strata (Bonferroni). So with probability 1 - risk, no cutoff breaks its limit. Of the cutoffs that pass,
-    the one with the most rejected bad texts less price times the rejected good ones is taken, the mildest on ties; a
-    rule without such gain has no cutoff. A rest of too few labelled good texts has none either.
+    """(stratum, cutoff): a text is rejected where its score, the highest of its rules' levels, lies above the cutoff.
+
+    holdout(stratum, good, score). All rules of a stratum share one cutoff, in hundredths of their limits, so what is
+    tested is the rejection by any of them, and false_rejection bounds the share of good texts that a stratum loses in all.
+
+    A stratum with enough labelled good texts is tested by itself, the others together as the rest, whose bound then holds for
+    them as a whole. Who is tested alone follows from the numbers of good texts only: of the m largest strata, the m-th
+    is, if m + 1 shares of the risk still let it certify a cutoff that rejects none. Cutoffs are tested from the
+    mildest on, one after the other, each against "it rejects more than false_rejection of good texts", by the exact
+    binomial tail. Testing in a fixed order and stopping at the first failure needs no correction among cutoffs; the
+    risk is divided among the tested strata (Bonferroni). So with probability 1 - risk, no stratum tested alone, nor the rest,
+    breaks its bound. Of the cutoffs that pass, the one with the most rejected bad texts less price times the rejected
+    good ones is taken, the mildest on ties; a stratum without such gain has no cutoff, and a rest of too few labelled
+    good texts has none either.
 
     The table of strata, one row each, is ordered in one task.
     """
-    rules = list(RULES)
     good, bad = F.count_if("good"), F.count_if(~F.col("good"))
     largest = F.row_number().over(Window.orderBy(F.desc("n"), "stratum"))
-    alone = F.col("n") * math.log1p(-false_rejection) <= F.log(F.lit(risk / len(rules)) / (F.col("m") + 1))
+    alone = F.col("n") * math.log1p(-false_rejection) <= F.log(F.lit(risk) / (F.col("m") + 1))
     strata = holdout.groupBy("stratum").agg(good.alias("n")).withColumn("m", largest)
     strata = written(strata.select("stratum", "n", F.when(alone, F.col("stratum")).alias("unit")), "quality-strata")  # a null unit is the rest
     shares = strata.agg(F.count("unit")).first()[0] + 1
-    units = strata.groupBy("unit").agg(allowed_rejections(F.sum("n"), false_rejection, F.lit(risk / (shares * len(rules)))).alias("allowed"))
+    units = strata.groupBy("unit").agg(allowed_rejections(F.sum("n"), false_rejection, risk / shares).alias("allowed"))
     few = F.broadcast if strata.count() <= BROADCAST_STRATA else lambda df: df
     counts = (
-        holdout.select("stratum", "good", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in rules))).alias("x"))
-        .select("stratum", "good", "x.*")
-        .filter("level is not null")
-        .groupBy("stratum", "rule", "level")
+        holdout.groupBy("stratum", "score")
         .agg(good.alias("good"), bad.alias("bad"))
         .join(few(strata.select("stratum", "unit")), "stratum")
-        .groupBy("unit", "rule", "level")
+        .groupBy("unit", "score")
         .agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     )
-    above = Window.partitionBy("unit", "rule").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy("unit").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     tested = (
-        counts.select("unit", "rule", (F.col("level") - 1).alias("cutoff"), F.sum("good").over(above).alias("good"), F.sum("bad").over(above).alias("bad"))
+        counts.select("unit", (F.col("score") - 1).alias("cutoff"), F.sum("good").over(above).alias("good"), F.sum("bad").over(above).alias("bad"))
         .join(few(units.withColumnRenamed("unit", "of")), F.col("unit").eqNullSafe(F.col("of")))
         .filter(F.col("good") <= F.col("allowed"))
         .withColumn("gain", F.col("bad") - price * F.col("good"))
         .filter("gain > 0")
     )
-    cutoffs = tested.groupBy("unit", "rule").agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
-    return strata.select("stratum", F.col("unit").alias("of")).join(cutoffs, F.col("unit").eqNullSafe(F.col("of"))).select("stratum", "rule", "cutoff")
+    cutoffs = tested.groupBy("unit").agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
+    return strata.select("stratum", F.col("unit").alias("of")).join(cutoffs, F.col("unit").eqNullSafe(F.col("of"))).select("stratum", "cutoff")
 
 
 def apply_quality_rules(
@@ -171,19 +173,19 @@ def apply_quality_rules(
     """
     columns = {"id_col": id_col, "text_col": text_col, "stratum_col": stratum_col}
     marked = labels.filter("quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
-    levels = lambda df: df.select("*", *(level(r).alias(r) for r in RULES))
+    levels = lambda df: df.select("*", *(level(r).alias(r) for r in RULES)).withColumn("score", F.greatest(*RULES))
     if whole and marked.count() <= BROADCAST_LABELS:
-        ids = F.broadcast(marked.select(F.col("doc_id").alias("_labelled")))
-        holdout = levels(written(text_statistics(docs.join(ids, F.col(id_col) == F.col("_labelled"), "left_semi"), **columns), "labelled-rows"))
+        # Only the named columns, under names of our own, so that none of the documents' can clash.
+        flat = docs.select(F.col(named(id_col)).alias("doc_id"), F.col(named(text_col)).alias("text"), F.col(named(stratum_col)).alias("lang"))
+        holdout = levels(written(text_statistics(flat.join(F.broadcast(marked.select("doc_id")), "doc_id", "left_semi")), "labelled-rows"))
         judged = levels(text_statistics(docs, **columns, whole=True))
     else:
         holdout = judged = levels(written(text_statistics(docs, **columns, whole=whole), "quality-rows"))
-    holdout = holdout.filter(~F.col("base_failed")).join(marked, "doc_id").select("stratum", "good", *RULES)
+    holdout = holdout.filter(~F.col("base_failed")).join(marked, "doc_id").select("stratum", "good", "score")
     cutoffs = written(certified_cutoffs(holdout, **options), "quality-cutoffs")
-    wide = cutoffs.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{r}_cutoff") for r in RULES))
-    few = cutoffs.count() <= BROADCAST_STRATA * len(RULES)
-    broken = F.greatest(*(F.coalesce(F.col(r) > F.col(f"{r}_cutoff"), F.lit(False)) for r in RULES))
-    return judged.join(F.broadcast(wide) if few else wide, "stratum", "left").select(
+    few = cutoffs.count() <= BROADCAST_STRATA
+    above = lambda c: F.coalesce(F.col(c) > F.col("cutoff"), F.lit(False))
+    return judged.join(F.broadcast(cutoffs) if few else cutoffs, "stratum", "left").select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -191,8 +193,9 @@ def apply_quality_rules(
         "n_dup_lines",
         "n_repeat_words",
         "base_failed",
-        (~F.col("base_failed") & ~broken).alias("kept"),
+        # One expression over both sides of the join: a part over the texts alone would be computed below the join once more.
+        (~F.greatest("base_failed", above("score"))).alias("kept"),
         "stratum",
-        *(F.coalesce(F.col(r) > F.col(f"{r}_cutoff"), F.lit(False)).alias(f"{r}_failed") for r in RULES),
+        *(above(r).alias(f"{r}_failed") for r in RULES),
         *(["document"] if whole else []),
     )
