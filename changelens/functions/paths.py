@@ -71,3 +71,32 @@ def glob_pattern(glob: Column) -> Column:
 
 def glob_match(path: Column, glob: Column) -> Column:
     return F.regexp_like(path, glob_pattern(glob))
+
+
+def glob_key(glob: Column) -> Column:
+    """(kind, key): something that every path which a glob matches has as one of its path_keys.
+
+    The folder that a glob begins with (d), if it names one; else the last part's name (n), if it is without wildcards; else
+    its ending (e); else every path's empty folder.
+    """
+    parts = F.split(glob, "/", -1)
+    wild = lambda x: x.rlike(r"[*?{}\[\]]")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    first = F.array_min(F.transform(folders, lambda x, i: F.when(wild(x), i)))
+    folder = F.array_join(F.slice(folders, 1, F.coalesce(first, F.size(folders))), "/")
+    name = F.element_at(parts, -1)
+    ending = F.regexp_extract(name, r"(\.[^.*?{}\[\]]+)$", 1)
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+    return (
+        F.when(folder != "", key("d", folder)).when(~wild(name) & (name != ""), key("n", name)).when(ending != "", key("e", ending)).otherwise(key("d", F.lit("")))
+    )
+
+
+def path_keys(path: Column) -> Column:
+    """The (kind, key) pairs of a path: each folder above it, the empty one included, its name and its ending."""
+    parts = F.split(path, "/", -1)
+    name = F.element_at(parts, -1)
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: key("d", F.array_join(F.slice(parts, 1, i), "/")))
+    own = F.array(key("n", name), key("e", F.regexp_extract(name, r"(\.[^.]*)$", 1)))
+    return F.array_distinct(F.concat(folders, own))

@@ -57,33 +57,93 @@ def removed_paths(tree: DataFrame, code_files: DataFrame) -> DataFrame:
     return code_files.select("repository_id", "path").join(tree.select("repository_id", "path"), ["repository_id", "path"], "left_anti")
 
 
+#: Comments, strings and templates as wholes, brackets, and line ends.
+TOKENS = (
+    r"(?s)/\*.*?(?:\*/|\z)|//[^\n]*+|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\\]*+(?:\\.[^`\\]*+)*+`|[{}()\[\]]|\n"
+)
+#: A line that goes on in the next one.
+CONTINUES = r"(=|=>|,|&&|\|\||\?|:|\+|\.)\s*$"
+
+
+def code_lines(files: DataFrame, *keys: str) -> DataFrame:
+    """files(keys, content) as lines (keys, i, line, before, depth, inside, code).
+
+    before and depth count the brackets that are open at a line's begin and end, those in comments, strings and
+    templates left out; inside says that a line begins in one of them; code is the line without them. Both sums run inside a
+    file's rows. Patterns that hold brackets or quotes, and templates in templates, are read as plain code.
+    """
+    file = Window.partitionBy(*keys).orderBy("at")
+    tokens = files.select(*keys, F.posexplode(F.regexp_extract_all("content", F.lit(TOKENS), F.lit(0))).alias("at", "token"))
+    ends = F.length("token") - F.length(F.replace("token", F.lit("\n"), F.lit("")))
+    tokens = tokens.withColumn("ends", ends).withColumn("i", F.coalesce(F.sum("ends").over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    step = F.when(F.col("token").isin("{", "(", "["), 1).when(F.col("token").isin("}", ")", "]"), -1).otherwise(0)
+    long = (F.col("ends") > 0) & (F.col("token") != "\n")
+    # A token over several lines marks those that begin in it.
+    spread = F.explode(F.when(long, F.sequence(F.lit(0), F.col("ends"))).otherwise(F.array(F.lit(0))))
+    marks = tokens.select(*keys, "i", step.alias("step"), spread.alias("k")).select(*keys, (F.col("i") + F.col("k")).cast("int").alias("i"), F.when(F.col("k") == 0, F.col("step")).otherwise(0).alias("step"), "k")
+    by_line = marks.groupBy(*keys, "i").agg(F.sum("step").alias("step"), (F.max("k") > 0).alias("inside"))
+    lines = files.select(*keys, F.posexplode(F.split("content", "\n", -1)).alias("i", "line")).join(by_line, [*keys, "i"], "left")
+    depth = F.sum(F.coalesce("step", F.lit(0))).over(Window.partitionBy(*keys).orderBy("i"))
+    bare = F.rtrim(F.regexp_replace("line", TOKENS.removesuffix(r"|[{}()\[\]]|\n"), ""))
+    inside = F.coalesce("inside", F.lit(False))
+    return (
+        lines.withColumn("depth", depth)
+        .withColumn("before", F.col("depth") - F.coalesce("step", F.lit(0)))
+        .select(*keys, "i", "line", "before", "depth", inside.alias("inside"), F.when(inside, "").otherwise(bare).alias("code"))
+    )
+
+
+def spans(lines: DataFrame, *keys: str) -> DataFrame:
+    """(keys, i, symbol, end) of code_lines with symbol where it is set: the line on which what begins at i is closed.
+
+    That is the first line from i on that has no more brackets open than i began with, and neither ends in the middle of
+    an expression nor stands before an opening brace. Lines meet by the number of brackets, so each is compared in the
+    window of its own level only. What is never closed ends on its own line.
+    """
+    behind = Window.partitionBy(*keys).orderBy("i").rowsBetween(1, Window.unboundedFollowing)
+    following = F.first(F.when(F.trim("code") != "", F.startswith(F.ltrim("code"), F.lit("{"))), ignorenulls=True).over(behind)
+    final = ~F.col("code").rlike(CONTINUES) & ~F.coalesce(following, F.lit(False))
+    closing = lines.withColumn("final", final).filter("final")
+    levels = F.explode(F.sequence(F.col("depth"), F.greatest("before", "depth")))
+    closing = closing.select(*keys, levels.alias("level"), "i", F.lit(None).cast("string").alias("symbol"), F.lit(True).alias("closes"))
+    begun = lines.filter("symbol is not null").select(*keys, F.col("before").alias("level"), "i", "symbol", F.lit(False).alias("closes"))
+    level = Window.partitionBy(*keys, "level").orderBy("i").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    end = F.coalesce(F.min(F.when(F.col("closes"), F.col("i"))).over(level), F.col("i"))
+    return closing.unionByName(begun).withColumn("end", end).filter("not closes").select(*keys, "i", "symbol", "end")
+
+
 def chunk_declarations(files: DataFrame, *, longest: int = 150, shortest: int = 3) -> DataFrame:
     """(repository_id, path, symbol, start_line, end_line, content) of files(repository_id, path, content).
 
-    In scripts, lines that begin a declaration in the first column cut the file into segments, each taking the comment
-    lines above it along; a segment without a name holds imports and loose statements and counts from `shortest` lines
-    on. Segments longer than `longest`, unnamed ones, other languages and files of no segment become line windows.
+    In scripts, declarations outside all brackets are segments, from the comment lines right above them to where their
+    brackets close, however they are indented; what stands between them, imports and loose statements, are segments
+    without a name, which count from `shortest` lines on. Segments longer than `longest`, unnamed ones, other languages and
+    files of no segment become line windows.
     """
-    script = ts_like(F.col("path"))
-    lines = files.filter(script).select("repository_id", "path", F.posexplode(F.split("content", "\n", -1)).alias("i", "line"))
-    by_file = Window.partitionBy("repository_id", "path").orderBy("i")
-    name = F.when(F.regexp_extract("line", DECLARATION, 1) == "", F.regexp_extract("line", DECLARATION, 2))
-    name = F.when(F.col("line").rlike(DECLARATION), name)
-    comment = F.col("line").rlike(r"^\s*(/\*|\*|//)")
-    marked = lines.withColumns({"name": name, "comment": comment})
+    keys = ["repository_id", "path"]
+    lines = code_lines(files.filter(ts_like(F.col("path"))), *keys)
+    named = (F.col("before") == 0) & ~F.col("inside") & F.col("code").rlike(DECLARATION)
+    lines = lines.withColumn("symbol", F.when(named, F.regexp_extract("code", DECLARATION, 2)))
+    ends = spans(lines, *keys).select(*keys, "i", "end")
+    by_file = Window.partitionBy(*keys).orderBy("i")
+    comment = F.col("inside") | F.col("line").rlike(r"^\s*(/\*|\*|//)")
+    marked = lines.join(ends, [*keys, "i"], "left").withColumn("comment", comment & F.col("symbol").isNull())
     # A comment block belongs to the declaration that follows it at once.
     behind = by_file.rowsBetween(1, Window.unboundedFollowing)
-    after = F.first(F.when(~F.col("comment"), F.struct("i", F.col("name").isNotNull().alias("named"))), ignorenulls=True).over(behind)
-    leads = F.col("comment") & F.coalesce(after["named"], F.lit(False))
-    closes = F.col("line").rlike(r"^[}\])]")
-    marked = marked.withColumn("leads", leads).withColumn("closes", closes)
-    before = F.lag("leads").over(by_file)
-    opens = (F.col("leads") & ~F.coalesce(before, F.lit(False))) | (F.col("name").isNotNull() & ~F.coalesce(before, F.lit(False)))
-    loose = F.lag("closes").over(by_file) & F.col("name").isNull() & ~F.col("leads") & (F.trim("line") != "")
-    segments = marked.withColumn("segment", F.sum((opens | F.coalesce(loose, F.lit(False))).cast("int")).over(by_file))
+    after = F.first(F.when(~F.col("comment"), F.col("symbol").isNotNull()), ignorenulls=True).over(behind)
+    held = F.coalesce(F.max("end").over(by_file) >= F.col("i"), F.lit(False))
+    marked = marked.withColumn("held", held).withColumn("leads", ~F.col("held") & F.col("comment") & F.coalesce(after, F.lit(False)))
+    begins = F.col("symbol").isNotNull() & ~F.coalesce(F.max("end").over(by_file.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("i"), F.lit(False))
+    lead_before = F.coalesce(F.lag("leads").over(by_file), F.lit(False))
+    opens = (F.col("leads") | begins) & ~lead_before
+    kind = F.when(F.col("held") | F.col("leads"), "named").when(F.trim("line") != "", "loose")
+    marked = marked.withColumns({"opens": opens, "kind": kind})
+    last = F.last("kind", ignorenulls=True).over(by_file.rowsBetween(Window.unboundedPreceding, -1))
+    turns = (F.col("kind") == "loose") & F.coalesce(last == "named", F.lit(False))
+    segments = marked.withColumn("segment", F.sum((F.col("opens") | F.coalesce(turns, F.lit(False))).cast("int")).over(by_file))
     grouped = (
-        segments.groupBy("repository_id", "path", "segment")
-        .agg(F.first("name", ignorenulls=True).alias("symbol"), F.sort_array(F.collect_list(F.struct("i", "line"))).alias("rows"))
+        segments.groupBy(*keys, "segment")
+        .agg(F.first("symbol", ignorenulls=True).alias("symbol"), F.sort_array(F.collect_list(F.struct("i", "line"))).alias("rows"))
         .withColumn("content", F.regexp_replace(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), r"\s+$", ""))
         .withColumn("skip", F.coalesce(F.length(F.regexp_extract("content", r"^((?:[ \t]*\n)*)", 1)), F.lit(0)))
         .withColumn("first", F.col("rows")[0]["i"] + 1 + F.length(F.regexp_replace(F.regexp_extract("content", r"^((?:[ \t]*\n)*)", 1), r"[^\n]", "")))
@@ -102,24 +162,16 @@ def chunk_declarations(files: DataFrame, *, longest: int = 150, shortest: int =
 
 
 def declarations(files: DataFrame) -> DataFrame:
-    """(review_id, path, symbol, start_line, end_line): functions, classes, methods and function-valued names at any indent.
+    """(review_id, path, symbol, start_line, end_line): functions, classes, methods and function-valued names at any depth.
 
-    A declaration ends at the first later line of its indent that begins with a closing bracket, or on its own line where
-    that closes what it opens. One window over a file's lines of equal indent finds the ends.
+    A declaration ends where the brackets that were open at its begin are all that is open again; see spans.
     """
-    lines = files.filter(ts_like(F.col("path"))).select("review_id", "path", F.posexplode(F.split("content", "\n", -1)).alias("i", "line"))
-    names = [F.regexp_extract("line", CALLABLE, g) for g in (1, 2, 3)]
+    keys = ["review_id", "path"]
+    lines = code_lines(files.filter(ts_like(F.col("path"))), *keys)
+    names = [F.regexp_extract("code", CALLABLE, g) for g in (1, 2, 3)]
     symbol = F.when(names[0] != "", names[0]).when(names[1] != "", names[1]).when(names[2] != "", names[2])
-    indent = F.length(F.regexp_extract("line", r"^([ \t]*)", 1))
-    marked = lines.withColumns({"symbol": F.when(~symbol.isin(NOT_NAMES), symbol), "indent": indent})
-    later = Window.partitionBy("review_id", "path", "indent").orderBy("i").rowsBetween(1, Window.unboundedFollowing)
-    one_line = F.col("line").rlike(r"[;}]\s*$")
-    end = F.when(one_line, F.col("i")).otherwise(F.coalesce("e", "i"))
-    return (
-        marked.withColumn("e", F.min(F.when(F.col("line").rlike(r"^\s*[})\]]"), F.col("i"))).over(later))
-        .filter("symbol is not null")
-        .select("review_id", "path", "symbol", (F.col("i") + 1).alias("start_line"), (end + 1).alias("end_line"))
-    )
+    marked = lines.withColumn("symbol", F.when(~symbol.isin(NOT_NAMES) & ~F.col("inside"), symbol))
+    return spans(marked, *keys).select(*keys, "symbol", (F.col("i") + 1).alias("start_line"), (F.col("end") + 1).alias("end_line"))
 
 
 def changed_symbols(decls: DataFrame, added: DataFrame) -> DataFrame:

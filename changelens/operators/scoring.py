@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelens.functions.paths import deleted_test_file, glob_match, sensitive_path
+from changelens.functions.paths import deleted_test_file, glob_key, glob_match, path_keys, sensitive_path
 from changelens.operators.findings import REVIEWERS, SEVERITIES
 
 # What a finding costs, and, below, the texts of risk factors, checks and headlines.
@@ -45,20 +45,30 @@ def validate_policy(rows: DataFrame) -> DataFrame:
     )
 
 
+def glob_hits(files: DataFrame, globs: DataFrame) -> DataFrame:
+    """(review_id, filename, glob) of globs(review_id, glob) that match files(review_id, filename) of their review.
+
+    Files and globs meet by equality of a folder, a name or an ending that the glob spells out, so a glob's pattern is
+    held only against files that have it. A glob that spells out nothing meets all files of its review.
+    """
+    asked = globs.select("review_id", "glob").distinct().withColumn("at", glob_key(F.col("glob")))
+    keyed = files.select("review_id", "filename").distinct().withColumn("at", F.explode(path_keys(F.col("filename"))))
+    return keyed.join(asked, ["review_id", "at"]).filter(glob_match(F.col("filename"), F.col("glob"))).select("review_id", "filename", "glob")
+
+
 def filter_ignored(files: DataFrame, policies: DataFrame) -> DataFrame:
     """files(review_id, filename, ...) that no ignore glob of the review's policy matches."""
-    globs = policies.select("review_id", F.explode("ignore").alias("_glob"))
-    hit = files.select("review_id", "filename").distinct().join(globs, "review_id").filter(glob_match(F.col("filename"), F.col("_glob")))
+    hit = glob_hits(files, policies.select("review_id", F.explode("ignore").alias("glob")))
     return files.join(hit.select("review_id", "filename"), ["review_id", "filename"], "left_anti")
 
 
 def instructions_for(files: DataFrame, policies: DataFrame) -> DataFrame:
     """(review_id, place, path, instructions, files): path instructions that match changed files, in policy order."""
-    rules = policies.select("review_id", F.posexplode("path_instructions").alias("place", "_i"))
+    rules = policies.select("review_id", F.posexplode("path_instructions").alias("place", "_i")).select("review_id", "place", F.col("_i.path").alias("glob"), F.col("_i.instructions").alias("instructions"))
+    hit = glob_hits(files, rules).join(files.select("review_id", "ord", "filename"), ["review_id", "filename"])
     return (
-        rules.join(files.select("review_id", "ord", "filename"), "review_id")
-        .filter(glob_match(F.col("filename"), F.col("_i.path")))
-        .groupBy("review_id", "place", F.col("_i.path").alias("path"), F.col("_i.instructions").alias("instructions"))
+        rules.join(hit, ["review_id", "glob"])
+        .groupBy("review_id", "place", F.col("glob").alias("path"), "instructions")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "filename"))), lambda x: x["filename"]).alias("files"))
     )
 

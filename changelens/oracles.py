@@ -522,6 +522,16 @@ def oracle_sql() -> dict[str, str]:
             ORDER BY ord, severity || ' ' || category || ' finding at ' || coalesce(file, 'PR') || coalesce(':' || line, '')) FILTER (verdict <> 'uncertain' AND severity IN ('critical', 'high')), []) AS blocking FROM weighed GROUP BY 1)))""",
             "weighed",
         ),
+        "chunked_declarations": sql(
+            r""", g AS (SELECT review_id, filename, ord, i - 1 AS i, len(list) AS n, regexp_matches(filename, '[.](c|m)?(j|t)sx?$') AS script,
+            CASE (i - 1) % 4 WHEN 0 THEN 'function fn' || ord || '_' || (i - 1) || '() {' WHEN 1 THEN '  a = "' || md5(list[i]) || '";' WHEN 2 THEN '}' ELSE '// ' || md5(list[i]) END AS t
+            FROM (SELECT *, string_split(content, chr(10)) AS list, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM files)),
+            parts AS (SELECT ord, 'fn' || ord || '_' || i AS symbol, greatest(i - 1, 0) AS a, CASE WHEN i + 2 < n THEN i + 2 ELSE i END AS b FROM g WHERE script AND i % 4 = 0
+                UNION ALL SELECT ord, NULL, s, least(s + 60, n) - 1 FROM (SELECT ord, n, unnest(range(0, greatest(0, ceil((n - 60) / 50)::BIGINT * 50) + 1, 50)) AS s FROM g WHERE NOT script AND i = 0))
+            SELECT review_id AS repository_id, filename AS path, symbol, (a + 1)::INT AS start_line, (b + 1)::INT AS end_line, md5(string_agg(t, chr(10) ORDER BY i)) AS content_md5
+            FROM parts JOIN g USING (ord) WHERE i BETWEEN a AND b GROUP BY review_id, filename, ord, symbol, a, b""",
+            "files",
+        ),
         "index_steps": sql(
             r"""SELECT repository_id, path, sha1(note || lines || 'export function f' || n || '() {' || chr(10) || '  x();' || chr(10) || '}' || chr(10)) AS blob_sha,
             array_to_string(list_sort(list_distinct(list_filter(imports, lambda x: x <> path AND list_contains(paths, x)))), ',') AS imports,

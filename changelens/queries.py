@@ -649,6 +649,12 @@ def changed_symbols(m, table):
     return index.changed_symbols(index.declarations(sources(m)), added)
 
 
+@query
+def chunked_declarations(m, table):
+    files = sources(m).withColumnRenamed("review_id", "repository_id")
+    return index.chunk_declarations(files).select("repository_id", "path", "symbol", "start_line", "end_line", F.md5("content").alias("content_md5"))
+
+
 def policies(m) -> DataFrame:
     globs = F.when(F.col("review_id") % 3 == 0, F.array(F.lit("dist/**"), F.lit("*.png"))).when(F.col("review_id") % 3 == 1, F.array(F.lit("src/auth/**/*.ts")))
     return m("files").select("review_id").distinct().select("review_id", F.coalesce(globs, F.array().cast("array<string>")).alias("ignore"))

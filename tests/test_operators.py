@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -548,3 +550,71 @@ def test_a_sweep_stops_at_the_first_error(spark):
     assert out == [*sent, (3, "failed", "received", "sweeper: broken"), (4, "untouched", "received", None)]
     every = lifecycle.sweep_results(picked, errors.limit(0), "2024-01-02")
     assert every.filter("outcome = 'sent'").count() == 5
+
+
+CODE = """import { a } from "./a";
+
+/* { not code
+   function ghost() {
+*/
+  export function badly(x: string[]) {
+if (x) { return "} not a bracket {"; }
+        return `
+function alsoGhost() {
+`;
+  }
+export class Outer
+{
+    method(a, b) {
+  const inner = (q) => {
+      return q;
+};
+        return inner; // }
+    }
+    short() { return 1; }
+}
+const sum = (x) =>
+  x +
+  1;
+run(); { }
+export function many(
+  a,
+  b,
+)
+{
+  return [a, b];
+}
+const one = () => 1; function tail() { return "'"; }
+"""
+
+
+def test_declarations_end_where_their_brackets_close(spark):
+    files = spark.createDataFrame([(1, "r", "src/x.ts", CODE), (1, "r", "src/open.ts", "function open() {\n  a();")], "review_id long, repository_id string, path string, content string")
+    got = rows(index.declarations(files).filter("path = 'src/x.ts'"), "symbol", "start_line", "end_line")
+    assert got == [("Outer", 12, 21), ("badly", 6, 11), ("inner", 15, 17), ("many", 26, 32), ("method", 14, 19), ("one", 33, 33), ("short", 20, 20), ("sum", 22, 24)]
+    assert rows(index.declarations(files).filter("path = 'src/open.ts'"), "symbol", "start_line", "end_line") == [("open", 1, 1)]
+    added = spark.createDataFrame([(1, "src/x.ts", n) for n in (7, 16, 31)], "review_id long, path string, line int")
+    assert rows(index.changed_symbols(index.declarations(files), added), "symbol") == [("Outer",), ("badly",), ("inner",), ("many",), ("method",)]
+
+
+def test_chunks_follow_brackets_not_indents(spark):
+    files = spark.createDataFrame([("r", "src/x.ts", CODE)], "repository_id string, path string, content string")
+    got = {r["symbol"]: (r["start_line"], r["end_line"]) for r in index.chunk_declarations(files).collect()}
+    assert got == {"badly": (3, 11), "Outer": (12, 21), "sum": (22, 24), "many": (26, 32), "one": (33, 33)}
+    flat = "\n\n".join(f"let v{i} = {i};\ncall(v{i});\ncall();\nother();" for i in range(3))
+    loose = index.chunk_declarations(spark.createDataFrame([("r", "src/y.ts", flat)], "repository_id string, path string, content string"))
+    assert rows(loose.filter("symbol is null"), "start_line", "end_line") == [(2, 4), (7, 9), (12, 14)] and loose.filter("symbol is not null").count() == 3
+
+
+def test_globs_meet_the_files_that_have_what_they_spell_out(spark):
+    rng = random.Random(4)
+    names = ["a.ts", "b.test.ts", "c.py", "Makefile", ".env", "d.min.js", "x.", "e"]
+    paths_ = sorted({"/".join([*rng.choices(["src", "lib", "docs", "a.b", "src2"], k=rng.randrange(4)), rng.choice(names)]) for _ in range(150)})
+    globs = ["*.ts", "**/*.ts", "src/**", "src/*", "src/**/*.test.ts", "Makefile", "src/Makefile", "*", "**", "?", ".env", "*.{js,ts}", "lib/*/a.ts", "**/docs/*", "a.b/**", "[a-c].*", "src/a.ts", "e", "x.", "*.", "src*/**", "docs"]
+    files = spark.createDataFrame([(1, p) for p in paths_] + [(2, "src/a.ts")], "review_id long, filename string")
+    asked = spark.createDataFrame([(1, g) for g in globs], "review_id long, glob string")
+    got = rows(scoring.glob_hits(files, asked), "filename", "glob")
+    pairs = spark.createDataFrame([(p, g) for p in paths_ for g in globs], "filename string, glob string")
+    assert got == rows(pairs.filter(paths.glob_match(F.col("filename"), F.col("glob"))), "filename", "glob") and len(got) > 100
+    meet = asked.withColumn("at", paths.glob_key(F.col("glob"))).join(files.withColumn("at", F.explode(paths.path_keys(F.col("filename")))), ["review_id", "at"])
+    assert meet.count() < pairs.count() / 2  # a third of these globs spells out nothing
