@@ -97,6 +97,31 @@ def nearest_of(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, rows:
             yield i, chosen[j], distance[j]
 
 
+def chosen_probes(sample: np.ndarray, hashes: StableHashes, n: int, changes: np.ndarray, recall: float, asking: int = 256) -> tuple[int, float, float]:
+    """(probes, recall, share): the fewest probes by which the first `asking` vectors of a sample find that share of their n
+    nearest ones in it, what they find by them, and the share of the sample that they compare. All of changes, if none do.
+
+    In a sample neighbours lie farther off than among all rows, so what is found there is found more often in the whole.
+    """
+    queries = sample[:asking]
+    visit = np.full((len(queries), len(sample)), len(changes), dtype=np.int64)
+    for t in range(len(hashes.a)):
+        keys, probes = hashes.keys(hashes.cells(sample, t)[0]), hashes.probes(queries, t, changes)
+        for i, row in enumerate(probes):
+            known, first = np.unique(row, return_index=True)
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            visit[i] = np.minimum(visit[i], np.where(known[at] == keys, first[at], len(changes)))
+    near = np.empty((len(queries), min(n, len(sample) - 1)), dtype=np.int64)
+    for i, q in enumerate(queries):
+        distance = ((sample - q) ** 2).sum(1)
+        distance[i] = np.inf
+        near[i] = np.argsort(distance, kind="stable")[: near.shape[1]]
+    found = np.sort(np.take_along_axis(visit, near, axis=1).reshape(-1))
+    enough = int(found[max(0, int(np.ceil(recall * len(found))) - 1)]) + 1
+    probes = min(enough, len(changes))
+    return probes, float((found < probes).mean()), float((visit < probes).mean())
+
+
 def neighbours(
     table: DataFrame,
     *,
@@ -104,25 +129,30 @@ def neighbours(
     vector_col: str = "embedding",
     every: int = 100,
     n: int = 10,
-    tables: int = 8,
-    k: int = 6,
-    width: float = 2.0,
-    probes: int = 64,
+    tables: int = 1,
+    k: int = 10,
+    width: float = 4.0,
+    probes: int | None = None,
+    recall: float = 0.94,
+    most_probes: int = 1024,
+    sample: int = 4096,
     bucket_rows: int = 2048,
     seed: int = 5,
 ) -> DataFrame:
     """Each query's n nearest rows found: query_id, rank, vec_id, score. Queries are rows whose id is a multiple of every.
 
     Every row is in one bucket of each table, its width being `width` times the vectors' spread along a random line. A
-    query visits its own bucket and those that perturbations() names, in that order; where they meet, the candidates
-    are ranked by exact distance in double precision, and the tables' best are merged. Buckets of more than bucket_rows
+    query visits its own bucket and those that perturbations() names, in that order, as many as probes says, or else as
+    chosen_probes() finds on up to `sample` rows, those of the smallest hashes; where they meet, the candidates
+    are ranked by exact distance in double precision, and the tables' best are merged. With one table no pair meets
+    twice, so a query measures each row once at most. Buckets of more than bucket_rows
     are split by a hash and a query visits all parts, so a hot bucket never lies in one task. A query that finds fewer
     than n, or than there are, is compared with all rows, in the same parts.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do
     rows without an id; finite vectors whose squares overflow are no candidates. Ties go to the smaller id. A row is its own query only: repeated rows find each other, and a repeated query has results
     for each row. Without usable vectors the result is empty. The driver holds one random matrix and one row a
-    component.
+    component, and the sample.
     """
     spark = table.sparkSession
     ship(spark)
@@ -136,11 +166,14 @@ def neighbours(
     total = rows.count()
     spread = sum(max(0.0, r["ss"] / total - (r["s"] / total) ** 2) for r in sums.collect()) ** 0.5 if total else 1.0
     hashes = StableHashes(dims, max(spread, 1e-12) * width, tables, k, seed)
+    if probes is None:
+        drawn = rows.orderBy(F.xxhash64("row"), "row").limit(sample).select("v").toPandas()["v"]
+        probes = chosen_probes(np.stack(drawn.to_numpy()), hashes, n, perturbations(k, most_probes), recall)[0] if len(drawn) > 1 else 1
     changes = perturbations(k, probes)
 
     def packed(batches: Iterator[pa.RecordBatch], probing: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 512 if probing else 4096) for i in range(0, len(batch), 512 if probing else 4096)):
+            for part in (batch.slice(i, 256 if probing else 4096) for i in range(0, len(batch), 256 if probing else 4096)):
                 vectors = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(part), dims)
                 data = pa.array([x.tobytes() for x in vectors], pa.binary())
                 for t in range(tables):

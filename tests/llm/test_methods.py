@@ -360,3 +360,33 @@ def test_large_families_meet_in_blocks(spark):
     for options in ({}, {"block_rows": 16, "spread": 5}, {"block_rows": 10, "spread": 50}):
         out = near_dedup.near_duplicates(docs, **options).collect()
         assert len(out) == 180 and {r["component_id"] for r in out} == {0}
+
+
+def test_probes_are_the_fewest_that_find_enough():
+    from changelens.llm import neighbours
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(20, 16)) * 4
+    for vectors, most in ((rng.normal(size=(1500, 16)), 0.95), (centres[rng.integers(0, 20, 1500)] + rng.normal(size=(1500, 16)) * 0.3, 0.3)):
+        hashes = neighbours.StableHashes(16, float(np.sqrt(vectors.var(0).sum())) * 2.0, 1, 6, 5)
+        changes = neighbours.perturbations(6, 400)
+        probes, recall, share = neighbours.chosen_probes(vectors, hashes, 10, changes, 0.9, asking=50)
+        assert recall >= 0.9 and share < most
+        fewer = neighbours.chosen_probes(vectors, hashes, 10, changes[: probes - 1], 0.9, asking=50)
+        assert fewer[1] < 0.9 or probes == 1
+    assert neighbours.chosen_probes(np.ones((3, 4)), neighbours.StableHashes(4, 1.0, 1, 2, 5), 10, neighbours.perturbations(2, 4), 0.9)[:2] == (1, 1.0)
+
+
+def test_recall_by_the_chosen_probes(spark):
+    from changelens.llm import neighbours
+
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(3000, 24))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in neighbours.neighbours(table, every=60).collect()}
+    hits = 0
+    for q in range(0, 3000, 60):
+        d = ((vectors - vectors[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += sum((q, int(i)) in got for i in np.argsort(d)[:10])
+    assert len(got) == 500 and hits / 500 >= 0.9
