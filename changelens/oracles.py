@@ -532,6 +532,38 @@ def oracle_sql() -> dict[str, str]:
             FROM parts JOIN g USING (ord) WHERE i BETWEEN a AND b GROUP BY review_id, filename, ord, symbol, a, b""",
             "files",
         ),
+        "review_details": sql(
+            """SELECT r.id, coalesce(pr_title, repo_full_name || '#' || pr_number) AS title, CASE WHEN r.id % 3 = 0 THEN 'https://host.example/r' || r.id ELSE 'https://host.example/' || repo_full_name END AS github_url,
+            coalesce(n, 0)::INT AS n_issues, md5(coalesce(t, '')) AS issues_md5 FROM reviews r LEFT JOIN (SELECT review_id, count(*) AS n, string_agg(concat_ws(' ', ord, id, file, line, severity, status), ';' ORDER BY ord, id) AS t FROM own GROUP BY 1) f ON f.review_id = r.id""",
+            "reviews", "own",
+        ),
+        "reposted_inline": sql(
+            """SELECT review_id, f.id, CASE WHEN r.id % 5 = 0 THEN 'from' ELSE 'base' END AS from_sha, coalesce(EXISTS (SELECT 1 FROM own g WHERE g.review_id = f.review_id AND g.file = f.file AND g.line = f.line AND g.line % 4 <> 0), false) AS inline
+            FROM own f JOIN reviews r ON r.id = f.review_id WHERE f.status <> 'dismissed' AND r.status = 'completed' AND score IS NOT NULL AND installation_id IS NOT NULL""",
+            "reviews", "own",
+        ),
+        "lifecycle_progress": sql(
+            """, u AS (SELECT user_id AS review_id, event_id AS seq, received_at AS ts, CASE event_id % 4 WHEN 0 THEN 'quality' WHEN 1 THEN 'security' WHEN 3 THEN 'done' END AS progress,
+            CASE WHEN event_id % 5 = 0 THEN substr(repeat('e' || event_id || ' ', 300), 1, 1000) END AS error, CASE event_id % 3 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'completed' ELSE 'failed' END AS status FROM webhook_events),
+            s AS (SELECT review_id, arg_max(status, seq) AS status, arg_max(progress, seq) FILTER (progress IS NOT NULL) AS progress, arg_max(error, seq) FILTER (error IS NOT NULL) AS error,
+            epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 AS d FROM u GROUP BY 1)
+            SELECT review_id, status, CASE WHEN status = 'in_progress' THEN progress END AS progress, md5(error) AS error_md5, length(error)::INT AS error_length, CASE WHEN status <> 'in_progress' THEN d END AS duration_ms FROM s""",
+            "webhook_events",
+        ),
+        "progress_steps": sql(
+            """, u AS (SELECT user_id AS review_id, event_id, CASE event_id % 4 WHEN 0 THEN 'quality' WHEN 1 THEN 'quality' WHEN 3 THEN 'security' END AS progress, CASE WHEN event_id % 97 = 0 THEN 'failed' ELSE 'in_progress' END AS status FROM webhook_events),
+            c AS (SELECT *, min(event_id) FILTER (status = 'failed') OVER (PARTITION BY review_id) AS ends, lag(status || ':' || coalesce(progress, '')) OVER (PARTITION BY review_id ORDER BY event_id) AS was FROM u)
+            SELECT event_id, status, progress, status = 'failed' AS done FROM c WHERE event_id <= coalesce(ends, event_id) AND (was IS NULL OR was <> status || ':' || coalesce(progress, ''))""",
+            "webhook_events",
+        ),
+        "validated_answers": sql(
+            """SELECT id, kind, CASE WHEN id % 19 = 0 THEN 'no JSON object in the answer' ELSE nullif(CASE kind
+            WHEN 'review' THEN concat_ws('; ', CASE WHEN id % 3 = 0 THEN 'score' END, CASE WHEN id % 17 = 0 THEN 'findings: at most 40' END, CASE WHEN id % 11 = 0 OR id % 7 = 0 OR id % 13 = 0 THEN 'findings: an item is invalid' END)
+            WHEN 'intent' THEN concat_ws('; ', CASE WHEN id % 5 = 0 THEN 'summary' END, CASE WHEN id % 6 = 0 THEN 'stated' END, CASE WHEN id % 9 = 0 THEN 'alignment' END, CASE WHEN id % 8 = 0 THEN 'alignmentScore' END)
+            ELSE CASE WHEN id % 10 = 0 THEN 'verdicts: required' WHEN id % 4 = 0 OR id % 7 = 0 OR id % 5 = 0 THEN 'verdicts: an item is invalid' ELSE '' END END, '') END AS error
+            FROM reviews, (SELECT unnest(['review', 'intent', 'verdicts']) AS kind)""",
+            "reviews",
+        ),
         "index_steps": sql(
             r"""SELECT repository_id, path, sha1(note || lines || 'export function f' || n || '() {' || chr(10) || '  x();' || chr(10) || '}' || chr(10)) AS blob_sha,
             array_to_string(list_sort(list_distinct(list_filter(imports, lambda x: x <> path AND list_contains(paths, x)))), ',') AS imports,

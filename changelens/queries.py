@@ -84,6 +84,15 @@ def review_rows(m, table):
     return reports.review_row(m("reviews")).select("id", "title", "shown_score", "band")
 
 
+@query
+def review_details(m, table):
+    """Every review with its findings inside, in their order."""
+    issue = lambda i: F.concat_ws(" ", i["ord"], i["id"], i["file"], i["line"], i["severity"], i["status"])
+    reviews = m("reviews").withColumns({"pr_url": F.concat(F.lit("https://host.example/"), "repo_full_name"), "review_url": F.when(F.col("id") % 3 == 0, F.concat(F.lit("https://host.example/r"), F.col("id").cast("string")))})
+    out = reports.review_detail(reviews, distinct_findings(m).withColumn("ord", F.col("ord").cast("int")))
+    return out.select("id", "title", "github_url", F.size("issues").alias("n_issues"), F.md5(F.array_join(F.transform("issues", issue), ";")).alias("issues_md5"))
+
+
 @query
 def repository_rows(m, table):
     return reports.repository_row(m("repositories")).select("full_name", "account", "html_url")
@@ -488,6 +497,23 @@ def progress_changes(m, table):
     return changed.select(F.col("seq").alias("event_id"), "done")
 
 
+@query
+def lifecycle_progress(m, table):
+    """Reviews' states from updates with steps, errors and times."""
+    step = F.get(F.array(*map(F.lit, ["quality", "security", None, "done"])), (F.col("seq") % 4).cast("int"))
+    error = F.when(F.col("seq") % 5 == 0, F.repeat(F.concat(F.lit("e"), F.col("seq").cast("string"), F.lit(" ")), 300))
+    status = F.get(F.array(*map(F.lit, ["in_progress", "completed", "failed"])), (F.col("seq") % 3).cast("int"))
+    state = lifecycle.lifecycle(updates(m).withColumns({"progress": step, "error": error, "status": status, "score": F.col("seq")}))
+    return state.select("review_id", "status", "progress", F.md5("error").alias("error_md5"), F.length("error").alias("error_length"), "duration_ms")
+
+
+@query
+def progress_steps(m, table):
+    step = F.get(F.array(*map(F.lit, ["quality", "quality", None, "security"])), (F.col("seq") % 4).cast("int"))
+    changed = lifecycle.progress_changes(updates(m).withColumns({"progress": step, "status": F.when(F.col("seq") % 97 == 0, "failed").otherwise("in_progress")}))
+    return changed.select(F.col("seq").alias("event_id"), "status", "progress", "done")
+
+
 @query
 def lifecycle_states(m, table):
     return lifecycle.lifecycle(
@@ -600,6 +626,15 @@ def repost_findings(m, table):
     return lifecycle.repost_findings(reviews, m("review_findings")).groupBy("review_id", "from_sha").agg(F.count("*").alias("n"))
 
 
+@query
+def reposted_inline(m, table):
+    """Findings to post again, told apart by whether the diff that they are posted on shows their line."""
+    reviews = m("reviews").withColumns({"base_sha": F.lit("base"), "reviewed_from_sha": F.when(F.col("id") % 5 == 0, F.lit("from"))})
+    found = lifecycle.repost_findings(reviews, distinct_findings(m))
+    shown = distinct_findings(m).filter("file is not null and line % 4 <> 0").select("review_id", "file", "line")
+    return findings.split_inline(found, shown).select("review_id", "id", "from_sha", "inline")
+
+
 @query
 def request_manual(m, table):
     asked = m("reviews").select("repo_full_name", "pr_number", "head_sha", F.col("id").alias("seq"))
@@ -768,6 +803,33 @@ def validate_model_output(m, table):
     return findings.validate_model_output(answers, "reviewer").select("id", "error")
 
 
+@query
+def validated_answers(m, table):
+    """Answers of the three other shapes, each with what is wrong with it: numbers as text, texts too long, values out of range."""
+    number = F.col("id")
+    some = lambda n, good, bad: F.when(number % n == 0, bad).otherwise(good)
+    item = F.struct(
+        some(11, F.lit("a.ts"), F.lit("")).alias("file"), some(7, F.lit("12"), F.lit("1.5")).alias("line"), F.lit("low").alias("severity"), F.lit("bug").alias("category"),
+        F.lit("a message").alias("message"), F.repeat(F.lit("s"), some(13, F.lit(10), F.lit(2001))).alias("suggestion"),
+    )
+    intent = F.struct(
+        some(5, F.lit("what it does"), F.lit("")).alias("summary"), F.lit("fix").alias("changeType"), some(6, F.lit(True), F.lit(None).cast("boolean")).alias("stated"),
+        some(9, F.lit("aligned"), F.lit("sideways")).alias("alignment"), some(8, F.lit("9.5"), F.lit("11")).alias("alignmentScore"),
+    )
+    verdict = F.struct(some(4, F.lit("2"), F.lit("two")).alias("id"), some(7, F.lit("confirmed"), F.lit("maybe")).alias("verdict"), some(5, F.lit(0.5), F.lit(1.5)).alias("confidence"))
+    answers = {
+        "review": F.struct(F.lit("fine").alias("summary"), some(3, F.lit("88"), F.lit("101")).alias("score"), F.array_repeat(item, some(17, F.lit(2), F.lit(41))).alias("findings")),
+        "intent": intent,
+        "verdicts": F.when(number % 10 != 0, F.struct(F.array(verdict).alias("verdicts"))),
+    }
+    out = None
+    for kind, answer in answers.items():
+        text_ = F.when(number % 19 == 0, "no answer").otherwise(F.coalesce(F.to_json(answer), F.lit("{}")))
+        judged = findings.validate_model_output(m("reviews").select("id", text_.alias("text")), kind).select("id", F.lit(kind).alias("kind"), "error")
+        out = judged if out is None else out.unionByName(judged)
+    return out
+
+
 @query
 def review_summaries(m, table):
     found = distinct_findings(m).withColumn("inline", F.coalesce(F.col("line") > 20, F.lit(False))).withColumn("ord", F.struct("ord", "id"))
