@@ -11,8 +11,10 @@ from changelens.llm.scratch import written
 BUCKET_DAYS = 30
 #: Intervals of up to so many bytes, spread over their buckets, are broadcast.
 BROADCAST_BYTES = 32 << 20
-#: Parts into which each pattern's captures are dealt where intervals are joined by shuffling.
-SALTS = 16
+#: Captures of one pattern and time bucket in a part, where intervals are joined by shuffling.
+PART_ROWS = 100_000
+#: Hot patterns of up to so many rows are broadcast.
+BROADCAST_HOT = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -62,22 +64,22 @@ def url_keys(url: Column) -> Column:
     return F.when(host.isNotNull(), keys)
 
 
-def active_entries(captures: DataFrame, intervals: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def active_entries(captures: DataFrame, intervals: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES, part_rows: int = PART_ROWS) -> DataFrame:
     """(capture, kind, pattern, verdict) of every entry that is active when a capture is fetched.
 
     captures(capture, url, fetched_at). Captures and intervals meet by pattern and time bucket, an interval being in each
-    bucket that it touches, so a capture sees only its pattern's entries of that month; the bounds decide. An open
-    interval ends with the last capture. A capture that is fetched at valid_from is inside, at valid_to outside.
+    bucket that it touches, so a capture sees only its pattern's entries of that month; the bounds decide. Buckets
+    before the first capture and behind the last one are left out. A capture that is fetched at valid_from is inside, at valid_to outside.
 
-    Intervals of up to broadcast_bytes are broadcast, so that no capture moves. More are joined by shuffling, each
-    pattern being dealt to SALTS parts: nearly all captures of a month can share a top-level domain.
+    Intervals of up to broadcast_bytes are broadcast, so that no capture moves. More are joined by shuffling; a
+    pattern's captures of a month, which can be nearly all, are counted first and dealt to parts of about part_rows,
+    each of which gets the pattern's intervals.
     """
     bucket = lambda at: F.floor(F.unix_date(F.to_date(at)) / BUCKET_DAYS)
-    last = F.lit(captures.agg(F.max("fetched_at")).first()[0]).cast("timestamp")
-    until = F.least(F.coalesce("valid_to", last), last)
-    spread = written(
-        intervals.filter(F.col("valid_from") <= last).withColumn("bucket", F.explode(F.sequence(bucket(F.col("valid_from")), bucket(until)))), "intervals"
-    )
+    first, last = (F.lit(x).cast("timestamp") for x in captures.agg(F.min("fetched_at"), F.max("fetched_at")).first())
+    since, until = F.greatest("valid_from", first), F.least(F.coalesce("valid_to", last), last)
+    seen = intervals.filter((F.col("valid_from") <= last) & (F.col("valid_to").isNull() | (F.col("valid_to") > first)))
+    spread = written(seen.withColumn("bucket", F.explode(F.sequence(bucket(since), bucket(until)))), "intervals")
     keyed = (
         captures.filter("fetched_at is not null")
         .select("capture", "fetched_at", F.explode(url_keys(F.col("url"))).alias("key"))
@@ -88,8 +90,13 @@ def active_entries(captures: DataFrame, intervals: DataFrame, *, broadcast_bytes
     if size <= broadcast_bytes:
         met = keyed.join(F.broadcast(spread), keys)
     else:
-        keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("capture"), F.lit(SALTS)))
-        met = keyed.join(spread.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, "salt"])
+        # A part_rows-th of the captures' keys at most.
+        hot = written(keyed.groupBy(*keys).count().filter(F.col("count") > part_rows).select(*keys, F.ceil(F.col("count") / part_rows).alias("parts")), "hot-patterns")
+        few = F.broadcast if hot.count() <= BROADCAST_HOT else lambda df: df
+        parts = F.coalesce("parts", F.lit(1))
+        dealt = keyed.join(few(hot), keys, "left").withColumn("part", F.pmod(F.xxhash64("capture"), parts)).drop("parts")
+        copied = spread.join(few(hot), keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+        met = dealt.join(copied, [*keys, "part"])
     return met.filter("fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)").select("capture", "kind", "pattern", "verdict")
 
 

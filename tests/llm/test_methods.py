@@ -346,7 +346,7 @@ def test_captures_are_rows(spark):
         [(1, "http://a.com/x", at), (1, "http://a.com/x", at), (None, "http://a.com/x", at), (1, "http://b.com/", at)], "capture_id long, url string, fetched_at timestamp"
     )
     entries = spark.createDataFrame([("domain", "a.com", True, "block", at)], "kind string, pattern string, listed boolean, verdict string, at timestamp")
-    for options in ({}, {"broadcast_bytes": 0}):
+    for options in ({}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "part_rows": 2}):
         out = url_filters.judge_captures(captures, entries, **options).collect()
         assert sorted((str(r["capture_id"]), r["url"], r["n_active"], r["kept"]) for r in out) == [
             ("1", "http://a.com/x", 1, False), ("1", "http://a.com/x", 1, False), ("1", "http://b.com/", 0, True), ("None", "http://a.com/x", 1, False)
