@@ -16,16 +16,32 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 # Phrases with their labels, and license notices with theirs.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TEMPLATES = {
+    "agpl-notice": "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
+    "artistic-2.0": "You can redistribute it under the terms of the Artistic License 2.0",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted",
+    "bsd-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0",
     "cc-by-4.0": "Licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
+    "cc-by-nc-sa-4.0": "Licensed under CC BY-NC-SA 4.0",
+    "cc-by-nd-4.0": "Licensed under CC BY-ND 4.0",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "gfdl": "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
     "gpl-notice": "You can redistribute it and/or modify it under the terms of the GNU General Public License",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "lgpl-notice": "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
     "mit": "Released under the MIT License",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    "mit-warranty": "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "odbl": "This database is made available under the Open Database License",
+    "ofl-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1",
+    "unlicense": "This is free and unencumbered software released into the public domain",
+    "zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
 }
 
 
