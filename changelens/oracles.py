@@ -260,7 +260,7 @@ def oracle_sql() -> dict[str, str]:
                 UNION SELECT w.review_id, w.repository_id, importer, far + 1 FROM ways w JOIN uses u ON u.repository_id = w.repository_id AND u.target = w.path WHERE far < 3),
             hit AS (SELECT review_id, count(DISTINCT path) - 1 AS a FROM ways GROUP BY 1),
             direct AS (SELECT n // 10 AS review_id, count(*) AS fan FROM code JOIN uses u ON u.repository_id = code.repository_id AND u.target = code.path WHERE n % 30 = 0 GROUP BY 1),
-            f AS (SELECT ord // 3 AS review_id, ord, filename, status, additions + deletions AS churn, filename NOT LIKE 'dist/%' AS kept FROM files),
+            f AS (SELECT (ord // 3)::BIGINT AS review_id, ord, filename, status, additions + deletions AS churn, filename NOT LIKE 'dist/%' AS kept FROM files),
             g AS (SELECT review_id, coalesce(sum(churn) FILTER (kept), 0)::BIGINT AS l, count(*) FILTER (status = 'removed' AND regexp_matches(filename, '[._](test|spec)[.]|__tests__/')) AS t,
                 coalesce(list(filename ORDER BY ord) FILTER (kept AND status <> 'removed' AND regexp_matches(filename, '(^|/)(auth|login|session|jwt|token|oauth|password|crypto|secret|payment|billing|checkout|permission|rbac|acl|migrations?|security|middleware)[^/]*', 'i')), []) AS s
                 FROM f GROUP BY 1),
@@ -478,7 +478,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "instructions_for": sql(
             r"""SELECT review_id, (CASE WHEN review_id % 3 = 0 THEN 3 - n ELSE n END)::INT AS place, path, instructions, md5(string_agg(filename, ',' ORDER BY ord)) AS files_md5, count(*)::INT AS n
-            FROM (SELECT ord // 20 AS review_id, ord, filename FROM files) f, (VALUES (0, 'src/auth/**', 'be careful', '^src/auth/.*$'), (1, '*.py', 'type it', '^(.*/)?[^/]*[.]py$'),
+            FROM (SELECT (ord // 20)::BIGINT AS review_id, ord, filename FROM files) f, (VALUES (0, 'src/auth/**', 'be careful', '^src/auth/.*$'), (1, '*.py', 'type it', '^(.*/)?[^/]*[.]py$'),
             (2, 'lib/*/f?.{ts,png}', 'small', '^lib/[^/]*/f[^/][.](ts|png)$'), (3, '**/*.test.ts', 'name cases', '^(.*/)?[^/]*[.]test[.]ts$')) g(n, path, instructions, pattern)
             WHERE regexp_matches(filename, pattern) GROUP BY review_id, g.n, path, instructions""".replace("count(*)::INT AS n\n", "count(*)::INT AS n\n"),
             "files",
@@ -494,7 +494,7 @@ def oracle_sql() -> dict[str, str]:
             "repositories",
         ),
         "callers": sql(
-            """, s AS (SELECT ord // 20 AS review_id, ord, path, i, n, line FROM source_lines),
+            """, s AS (SELECT (ord // 20)::BIGINT AS review_id, ord, path, i, n, line FROM source_lines),
             known AS (SELECT review_id, 'fn' || ord || '_' || i AS symbol FROM s WHERE ord % 6 = 1 AND i % 4 = 0),
             used AS (SELECT review_id, ord, path, i, n, CASE WHEN i % 4 = 0 THEN 'fn' || ord || '_' || i ELSE 'fn' || (ord + 3) || '_' || (i - 1) END AS symbol FROM s WHERE i % 4 < 2),
             h AS (SELECT used.* FROM used JOIN known USING (review_id, symbol)),
@@ -567,7 +567,7 @@ def oracle_sql() -> dict[str, str]:
         "index_steps": sql(
             r"""SELECT repository_id, path, sha1(note || lines || 'export function f' || n || '() {' || chr(10) || '  x();' || chr(10) || '}' || chr(10)) AS blob_sha,
             array_to_string(list_sort(list_distinct(list_filter(imports, lambda x: x <> path AND list_contains(paths, x)))), ',') AS imports,
-            1 + CASE WHEN length(note) // 7 + len(imports) >= 3 THEN 1 ELSE 0 END AS n_chunks, 'f' || n AS symbol, (length(note) // 7 + len(imports) + 1)::INT AS start_line,
+            (1 + CASE WHEN length(note) // 7 + len(imports) >= 3 THEN 1 ELSE 0 END)::BIGINT AS n_chunks, 'f' || n AS symbol, (length(note) // 7 + len(imports) + 1)::INT AS start_line,
             CASE WHEN note <> '' OR path LIKE '%4.ts' THEN 'v2' ELSE 'v1' END AS commit_sha, 'v2' AS indexed_sha
             FROM (SELECT *, list(path) OVER (PARTITION BY repository_id) AS paths, CASE WHEN n % 7 = 0 THEN '// new' || chr(10) ELSE '' END AS note,
             array_to_string(list_transform(imports, lambda x: 'import x from "' || regexp_replace(x, '^src/(.*)[.]ts$', './\1.js') || '";' || chr(10)), '') AS lines
