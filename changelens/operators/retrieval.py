@@ -53,25 +53,33 @@ def embed(df: DataFrame, embedder: Embedder | None = None, *, text_col: str = "t
 PART_ROWS, ASKING_ROWS = 4096, 512
 
 
-def nearest_in_block(asked: np.ndarray, held: np.ndarray, k: int, max_distance: float, hidden: list[np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(query's place, chunks' places, distances) below max_distance, the k nearest and all that tie with the last of them.
+def _by_value():
+    """The search of a block as a function that travels to workers itself, so that they need no copy of this package."""
 
-    One product of the block measures everything; what comes near the k-th is measured again pair by pair. hidden
-    are the places that each query must not see.
-    """
-    norms = np.sqrt((asked**2).sum(1)), np.sqrt((held**2).sum(1))
-    about = 1 - (asked @ held.T) / np.outer(*norms)
-    out = []
-    for i, row in enumerate(about):
-        row[hidden[i]] = np.inf
-        edge = max_distance + 1e-9
-        if len(row) > k:
-            edge = min(edge, np.partition(row, k - 1)[k - 1] + 1e-9)
-        near = np.flatnonzero(row <= edge)
-        exact = 1 - (held[near] * asked[i]).sum(1) / (norms[0][i] * norms[1][near])
-        below = exact < max_distance
-        out.append((i, near[below], exact[below]))
-    return out
+    def nearest(asked: np.ndarray, held: np.ndarray, k: int, max_distance: float, hidden: list[np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(query's place, chunks' places, distances) below max_distance, the k nearest and all that tie with the last of them.
+
+        One product of the block measures everything; what comes near the k-th is measured again pair by pair. hidden
+        are the places that each query must not see.
+        """
+        norms = np.sqrt((asked**2).sum(1)), np.sqrt((held**2).sum(1))
+        about = 1 - (asked @ held.T) / np.outer(*norms)
+        out = []
+        for i, row in enumerate(about):
+            row[hidden[i]] = np.inf
+            edge = max_distance + 1e-9
+            if len(row) > k:
+                edge = min(edge, np.partition(row, k - 1)[k - 1] + 1e-9)
+            near = np.flatnonzero(row <= edge)
+            exact = 1 - (held[near] * asked[i]).sum(1) / (norms[0][i] * norms[1][near])
+            below = exact < max_distance
+            out.append((i, near[below], exact[below]))
+        return out
+
+    return nearest
+
+
+nearest_in_block = _by_value()
 
 
 def rag_top_k(
