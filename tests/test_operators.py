@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from changelens import queries
 from changelens.functions import paths, text
 from changelens.operators import diff, evals, events, findings, graph, index, lifecycle, registry, render, reports, retrieval, scoring
 from changelens.sources import tables, topics
@@ -618,3 +619,22 @@ def test_globs_meet_the_files_that_have_what_they_spell_out(spark):
     assert got == rows(pairs.filter(paths.glob_match(F.col("filename"), F.col("glob"))), "filename", "glob") and len(got) > 100
     meet = asked.withColumn("at", paths.glob_key(F.col("glob"))).join(files.withColumn("at", F.explode(paths.path_keys(F.col("filename")))), ["review_id", "at"])
     assert meet.count() < pairs.count() / 2  # a third of these globs spells out nothing
+
+
+@pytest.mark.parametrize("name", ["finding_list", "dedupe_findings", "save_findings", "review_summaries", "union_reviewer_findings", "split_inline", "ground_findings"])
+def test_findings_are_shuffled_by_review_alone(spark, name):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert moved and all("hashpartitioning(l_orderkey" in line for line in moved)
+
+
+def test_places_without_a_value_hold_no_row(spark):
+    rows_ = spark.createDataFrame([(1, "a", 1), (1, "a", None), (1, None, 1), (2, "a", 1)], "review_id int, file string, line int")
+    places = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (1, "a", None), (1, None, 1)], "review_id int, file string, line int")
+    out = findings.split_inline(rows_, places)
+    assert sorted((r["review_id"], r["file"] or "", r["line"] or 0, r["inline"]) for r in out.collect()) == [(1, "", 1, False), (1, "a", 0, False), (1, "a", 1, True), (2, "a", 1, False)]
