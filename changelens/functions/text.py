@@ -134,7 +134,8 @@ def rag_query_text(files: Column, most: int = 2000) -> Column:
 
 def extract_json(text: Column) -> Column:
     """The JSON object in a reply, bare or inside other text; null if there is none."""
-    whole = F.when(F.try_parse_json(text).isNotNull(), text)
+    # JSON begins with no letter but those of true, false and null; to find that out by parsing takes longest.
+    whole = F.when(~text.rlike(r"^\s*[A-Za-z&&[^tfnNI]]") & F.try_parse_json(text).isNotNull(), text)
     inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     return F.coalesce(whole, F.when(F.try_parse_json(inner).isNotNull(), inner))
 

@@ -638,3 +638,13 @@ def test_places_without_a_value_hold_no_row(spark):
     places = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (1, "a", None), (1, None, 1)], "review_id int, file string, line int")
     out = findings.split_inline(rows_, places)
     assert sorted((r["review_id"], r["file"] or "", r["line"] or 0, r["inline"]) for r in out.collect()) == [(1, "", 1, False), (1, "a", 0, False), (1, "a", 1, True), (2, "a", 1, False)]
+
+
+def test_an_answer_is_judged_once(spark):
+    plan = queries.QUERIES["validate_model_output"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("exists(") == 1
+
+
+@pytest.mark.parametrize("reply, found", [("null", "null"), (" 12 ", " 12 "), ('"x"', '"x"'), ("Answer: 12", None), ('Answer: {"a":1}', '{"a":1}'), ("nothing", None), ("\n[1]", "\n[1]")])
+def test_bare_json_is_told_from_words(spark, reply, found):
+    assert value(spark, text.extract_json(F.col("reply")), reply=reply) == found
