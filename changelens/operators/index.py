@@ -236,7 +236,7 @@ def with_base(specs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
 
 
 def bases_of(paths: DataFrame) -> DataFrame:
-    """(repository_id, base): every base for which resolve_imports would try one of paths(repository_id, path)."""
+    """(repository_id, base, path): every base for which resolve_imports would try one of paths(repository_id, path)."""
     path = F.col("path")
     stems = F.array_compact(F.array(*(F.when(F.endswith(path, F.lit(t)), F.expr(f"substring(path, 1, length(path) - {len(t)})")) for t in [*EXTENSIONS, *INDEXES])))
     scripts = F.array(F.lit(".js"), F.lit(".mjs"), F.lit(".cjs"))
@@ -247,14 +247,15 @@ def bases_of(paths: DataFrame) -> DataFrame:
         )
         return F.concat(F.array(stem), F.coalesce(own, F.array().cast("array<string>")))
 
-    return paths.select("repository_id", F.explode(F.array_distinct(F.flatten(F.transform(stems, sources)))).alias("base")).distinct()
+    return paths.select("repository_id", F.explode(F.array_distinct(F.flatten(F.transform(stems, sources)))).alias("base"), "path")
 
 
 def resolve_imports(specs: DataFrame, paths: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(repository_id, from_path, spec, path): the repository's file that each specifier means, none for packages.
 
-    Every file that a specifier could mean is a candidate with its rank; an equi-join with the repository's paths and
-    the least rank choose. aliases(repository_id, aliases) are entries as alias_prefixes gives them.
+    Every file that a specifier could mean is a candidate with its rank. Specifiers meet the repository's paths by the few
+    bases that a path can stand for, which are fewer than a specifier's candidates; the least rank chooses.
+    aliases(repository_id, aliases) are entries as alias_prefixes gives them.
     """
     b = F.col("base")
     stems = F.when(b.rlike(SCRIPT), F.array(b, F.regexp_replace(b, SCRIPT, ".$1ts"), F.regexp_replace(b, SCRIPT, ".tsx"))).otherwise(F.array(b))
@@ -262,8 +263,10 @@ def resolve_imports(specs: DataFrame, paths: DataFrame, aliases: DataFrame | Non
     candidates = F.flatten(F.transform(stems, lambda s: F.transform(tails, lambda t: F.concat(s, t))))
     return (
         with_base(specs, aliases)
-        .select("repository_id", "from_path", "spec", F.posexplode(candidates).alias("rank", "path"))
-        .join(paths.select("repository_id", "path"), ["repository_id", "path"])
+        .select("repository_id", "from_path", "spec", "base")
+        .join(bases_of(paths), ["repository_id", "base"])
+        .withColumn("rank", F.array_position(candidates, F.col("path")))
+        .filter("rank > 0")
         .groupBy("repository_id", "from_path", "spec")
         .agg(F.min_by("path", "rank").alias("path"))
         .filter("path <> from_path")
