@@ -25,31 +25,45 @@ def max_fan_in(changed: DataFrame, code_files: DataFrame) -> DataFrame:
     return joined.groupBy("review_id").agg(F.max(F.coalesce("fan_in", F.lit(0))).alias("max_fan_in"))
 
 
-def blast_radius(changed: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
-    """(review_id, path, distance, via) of files that reach a changed one by imports, by the shortest way.
-
-    changed(review_id, repository_id, rank, path); edges as reverse_edges gives them. via is the changed file at the
-    other end; among several, that of the smallest rank. Each level joins the frontier with the edges and drops what
-    was reached before, so cycles end. Levels are few, and each is cut off by a checkpoint where the session has a
-    folder for checkpoints.
+def reached(changed: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
+    """(review_id, repository_id, path, distance, origin) of files that reach a changed one by imports, by the shortest way.
+
+    changed(review_id, repository_id, rank, path); edges as reverse_edges gives them. origin is the rank of the changed file
+    at the other end; among several, the smallest. A level takes the files seen so far a step on: those of the level before
+    go to their importers, and all that import anything stay by an edge to themselves. A file keeps its first distance, so
+    cycles end. Thus each level reads the one before once, and nothing has to be written in between. The rows of a
+    review come out together. Edges are merged, not broadcast: the size of a file tells little of what its lists unfold to.
     """
     keys = ["review_id", "repository_id", "path"]
-    start = changed.groupBy(*keys).agg(F.min("rank").alias("origin"))
-    seen = start.select(*keys, "origin", F.lit(0).alias("distance"))
-    frontier = start
-    cut = changed.sparkSession.sparkContext.getCheckpointDir() is not None
-    for distance in range(1, max_depth + 1):
-        reached = (
-            frontier.join(edges, ["repository_id", "path"])
-            .groupBy("review_id", "repository_id", F.col("importer").alias("path"))
-            .agg(F.min("origin").alias("origin"))
+    itself = edges.select("repository_id", F.col("importer").alias("path"), "importer").distinct()
+    steps = edges.unionByName(itself).hint("merge")
+    seen = changed.groupBy(*keys).agg(F.min("rank").alias("origin")).withColumn("distance", F.lit(0))
+    for level in range(1, max_depth + 1):
+        stays = F.col("importer") == F.col("path")
+        walked = (
+            seen.join(steps, ["repository_id", "path"])
+            .filter((F.col("distance") == level - 1) | stays)
+            .select("review_id", "repository_id", F.col("importer").alias("path"), "origin", F.when(stays, F.col("distance")).otherwise(level).alias("distance"))
         )
-        frontier = reached.join(seen.select(*keys), keys, "left_anti")
-        if cut:
-            frontier = frontier.checkpoint()
-        seen = seen.unionByName(frontier.withColumn("distance", F.lit(distance)))
-    names = changed.groupBy("review_id", F.col("rank").alias("origin")).agg(F.min("path").alias("via"))
-    return seen.filter("distance > 0").join(names, ["review_id", "origin"]).select("review_id", "path", "distance", "via")
+        new = F.col("distance") == level
+        seen = (
+            (walked.repartition("review_id") if level == max_depth else walked)
+            .groupBy(*keys)
+            .agg(F.min("distance").alias("distance"), F.min(F.when(~new, F.col("origin"))).alias("before"), F.min(F.when(new, F.col("origin"))).alias("now"))
+            .select(*keys, F.when(new, F.col("now")).otherwise(F.col("before")).alias("origin"), "distance")
+        )
+    return seen.filter("distance > 0").select(*keys, "distance", "origin")
+
+
+def blast_radius(changed: DataFrame, edges: DataFrame, max_depth: int = 3) -> DataFrame:
+    """(review_id, path, distance, via): what changed files reach, with via, the path of the changed file at the other end.
+
+    A review's changed files, of which there are 300 at most, meet its rows as one map, so those needn't be dealt anew by origin.
+    """
+    names = changed.filter("rank is not null").repartition("review_id").groupBy("review_id", "rank").agg(F.min("path").alias("path"))
+    names = names.groupBy("review_id").agg(F.map_from_entries(F.collect_list(F.struct("rank", "path"))).alias("names")).hint("merge")
+    found = reached(changed, edges, max_depth).filter("origin is not null").join(names, "review_id")
+    return found.select("review_id", "path", "distance", F.element_at("names", F.col("origin")).alias("via"))
 
 
 def order_affected(affected: DataFrame) -> DataFrame:

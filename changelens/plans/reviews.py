@@ -72,7 +72,7 @@ def review_context(
         changed = changed.join(indexed, "repository_id", "left_semi")
         code_files = code_files.join(indexed, "repository_id", "left_semi")
     heads = diff.head_content_files(kept).select("review_id", F.col("filename").alias("path"), "place")
-    affected = graph.blast_radius(changed, graph.reverse_edges(code_files))
+    affected = settled(graph.blast_radius(changed, graph.reverse_edges(code_files)), "affected")
     lines = diff.parse_patch(kept, "review_id", "filename")
     added = diff.added_lines(lines).select("review_id", F.col("filename").alias("path"), F.col("new_line").alias("line"))
     symbols = index.changed_symbols(index.declarations(contents.join(heads, ["review_id", "path"], "left_semi")), added)

@@ -742,7 +742,8 @@ def nearest_caller_files(m, table):
 
 @query
 def order_affected(m, table):
-    return graph.order_affected(affected(m)).select("review_id", "path", "place")
+    reached = graph.reached(changed_files(m), graph.reverse_edges(m("code_files")))
+    return graph.order_affected(reached).select("review_id", "path", "place")
 
 
 @query
